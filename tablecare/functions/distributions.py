@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _TINY = 1e-300
@@ -127,30 +128,30 @@ def _with_nulls(fn, *columns: pd.Series) -> pd.Series:
     return pd.Series(out).where(known, None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _with_nulls(chi_square_tail, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _with_nulls(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return _with_nulls(normal_two_sided, z)
 
 
 def t_multiplier_at(level: float):
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def multiplier(df: pd.Series) -> pd.Series:
         return _with_nulls(lambda v: t_multiplier(v, level), df)
 
     return multiplier
 
 
-@F.pandas_udf("p double, p_less double, p_greater double")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("p", "p_less", "p_greater")]))
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
     rows = [
         fisher_tails(*map(float, cell)) if all(pd.notna(v) for v in cell) else (None, None, None)
