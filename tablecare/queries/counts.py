@@ -316,8 +316,8 @@ def _table1_num(position, column, unit):
 
 
 _POOL = (
-    "SELECT row_id, patient_id, 0 AS at, priority AS v FROM messy_orders UNION ALL "
-    "SELECT row_id, patient_id, 1 AS at, second_priority AS v FROM messy_orders"
+    "SELECT row_id, patient_id, 0 AS place, priority AS v FROM messy_orders UNION ALL "
+    "SELECT row_id, patient_id, 1 AS place, second_priority AS v FROM messy_orders"
 )
 
 
@@ -326,11 +326,11 @@ def _pool_sql(distinct):
     base = f"SELECT *, {fold('v')} AS k FROM ({_POOL}) WHERE NOT {blank('v')}"
     if distinct:
         base = (
-            f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {distinct}, k ORDER BY row_id, at) AS rn FROM ({base})) WHERE rn = 1"
+            f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {distinct}, k ORDER BY row_id, place) AS rn FROM ({base})) WHERE rn = 1"
         )
     return with_tables(
         f"SELECT label, n, {pct('n', 'sum(n) OVER ()')} AS share_pct FROM "
-        f"(SELECT arg_min(v, row_id * 2 + at) AS label, count(*) AS n FROM ({base}) GROUP BY k)", "messy_orders")
+        f"(SELECT arg_min(v, row_id * 2 + place) AS label, count(*) AS n FROM ({base}) GROUP BY k)", "messy_orders")
 
 
 SQL |= {
