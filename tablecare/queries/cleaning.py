@@ -267,7 +267,7 @@ SQL = {
     "report_formats": f"SELECT p_partkey, {plain('p_retailprice')} || ' (SD ' || CAST(p_size AS VARCHAR) || ')' AS mean_sd, "
     "CAST(p_size AS VARCHAR) || ' (IQR not available)' AS median_iqr, "
     f"CAST(p_size AS VARCHAR) || ' (' || {plain('p_size * 2.0::DOUBLE')} || '%)' AS n_percent, "
-    "format('{:,}', p_partkey) || ' (' || CAST(CAST(floor(p_partkey / 20.0 + 0.5) AS BIGINT) AS VARCHAR) || '%)' AS bar, "
+    "format('{:,}', p_partkey) || ' (' || CAST(CAST(floor(p_partkey / 2000.0::DOUBLE * 100 + 0.5) AS BIGINT) AS VARCHAR) || '%)' AS bar, "
     "CASE WHEN p_size / 20000.0 < 0.001 THEN '< 0.001' ELSE CAST(CAST(floor(p_size / 20.0::DOUBLE + 0.5) / 1000 AS DOUBLE) AS VARCHAR) END AS p_text, "
     "CAST(p_size AS VARCHAR) || ' days' AS stay FROM part",
     "word_forms": "SELECT DISTINCT w AS word, CASE w WHEN 'diagnoses' THEN 'diagnose' WHEN 'treated' THEN 'treat' WHEN 'boxes' THEN 'box' "
