@@ -123,3 +123,16 @@ def r2(x: str) -> str:
 
 def plain(x: str) -> str:
     return f"(CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END)"
+
+
+def bigint_counts(sql: str) -> str:
+    """``count_if(x)`` as a filtered count: the same number, but typed BIGINT."""
+    out, rest = "", sql
+    while "count_if(" in rest:
+        head, rest = rest.split("count_if(", 1)
+        depth, end = 1, 0
+        while depth:
+            depth += {"(": 1, ")": -1}.get(rest[end], 0)
+            end += 1
+        out, rest = out + head + "count(*) FILTER (WHERE " + bigint_counts(rest[: end - 1]) + ")", rest[end:]
+    return out + rest

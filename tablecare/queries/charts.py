@@ -183,14 +183,21 @@ def _tab(value, empty):
     )
 
 
+
+
+def _quantile(p):
+    """Type-7 interpolation written out over the sorted values ``l``."""
+    at = f"((n - 1) * {p}::DOUBLE)"
+    low, high = f"l[CAST(floor({at}) AS BIGINT) + 1]", f"l[CAST(ceil({at}) AS BIGINT) + 1]"
+    return f"({low} + ({at} - floor({at})) * ({high} - {low}))"
+
+
 _BOX = (
-    "SELECT CAST(c_nationkey AS VARCHAR) AS label, count(*) AS n, {avg} AS average, {sd} AS stdev, {med} AS median, {q1} AS q1, {q3} AS q3, "
-    "{iqr} AS iqr, min(c_acctbal) AS min, max(c_acctbal) AS max, {rng} AS range, "
-    "CASE WHEN count(*) <= 50 THEN string_agg(CAST(c_acctbal AS VARCHAR), '|' ORDER BY c_custkey) END AS values FROM customer GROUP BY c_nationkey"
-).format(
-    avg=r2("avg(c_acctbal)"), sd=r2("stddev_samp(c_acctbal)"), med=r2("quantile_cont(c_acctbal, 0.5)"),
-    q1=r2("quantile_cont(c_acctbal, 0.25)"), q3=r2("quantile_cont(c_acctbal, 0.75)"),
-    iqr=r2("quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25)"), rng=r2("max(c_acctbal) - min(c_acctbal)"),
+    "WITH g AS (SELECT CAST(c_nationkey AS VARCHAR) AS label, count(*) AS n, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s, "
+    "list(c_acctbal ORDER BY c_acctbal) AS l, min(c_acctbal) AS min, max(c_acctbal) AS max, "
+    "CASE WHEN count(*) <= 50 THEN string_agg(CAST(c_acctbal AS VARCHAR), '|' ORDER BY c_custkey) END AS values FROM customer GROUP BY c_nationkey) "
+    f"SELECT label, n, {r2('m')} AS average, {r2('s')} AS stdev, {r2(_quantile(0.5))} AS median, {r2(_quantile(0.25))} AS q1, {r2(_quantile(0.75))} AS q3, "
+    f"{r2(_quantile(0.75) + ' - ' + _quantile(0.25))} AS iqr, min, max, {r2('max - min')} AS range, values FROM g"
 )
 
 SQL = {

@@ -231,7 +231,7 @@ def _hyper(x):
 
 _EXACT = (
     "r AS (SELECT *, c11 + c12 AS r1, c11 + c21 AS k1 FROM t WHERE c11 + c12 > 0 AND c21 + c22 > 0 AND c11 + c21 > 0 AND c12 + c22 > 0), "
-    "x AS (SELECT *, unnest(range(greatest(0, r1 + k1 - n), least(r1, k1) + 1)) AS x FROM r), "
+    "x AS (SELECT *, unnest(range(CAST(greatest(0, r1 + k1 - n) AS BIGINT), CAST(least(r1, k1) + 1 AS BIGINT))) AS x FROM r), "
     f"y AS (SELECT *, {_hyper('x')} AS px, {_hyper('c11')} AS seen FROM x), "
     "fisher AS (SELECT c_nationkey, least(1, sum(px) FILTER (WHERE px <= seen * (1 + 1e-7))) AS p, "
     "least(1, sum(px) FILTER (WHERE x <= c11)) AS p_less, least(1, sum(px) FILTER (WHERE x >= c11)) AS p_greater FROM y GROUP BY 1)"
@@ -260,7 +260,7 @@ SQL = {
     "welch_refused": "SELECT DISTINCT l_returnflag, CASE l_returnflag WHEN 'A' THEN 'no variation to test' WHEN 'N' THEN 'needs exactly two groups' "
     "ELSE 'ok' END AS status FROM lineitem",
     "contingency_cells": with_tables(
-        _MESSY + "SELECT (SELECT arg_min(priority, row_id) FROM o WHERE o.k = e.k) AS a_label, status AS b_label, n, a_total, b_total, total, "
+        _MESSY + "SELECT (SELECT arg_min(priority, row_id) FROM o WHERE o.k = e.k) AS a_label, status AS b_label, n, CAST(a_total AS BIGINT) AS a_total, CAST(b_total AS BIGINT) AS b_total, CAST(total AS BIGINT) AS total, "
         "round(a_total * 1.0::DOUBLE * b_total / total, 6) AS expected FROM e", "messy_orders"),
     "chi_square": f"WITH {_ITEMS}, {_two_by_two('items', 'size', 'l_linestatus', ['l_returnflag'])} "
     f"SELECT l_returnflag, n, 1 AS df, round({_CHI}, 6) AS chi_square, round({_LEAST}, 6) AS min_expected, c11, c12, c21, c22, a1 AS a_1, b1 AS b_1 FROM t",

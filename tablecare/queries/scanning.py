@@ -227,11 +227,16 @@ _ENCOUNTER_FOUND = [
     _finding("encounters", "Encounter ID", "missing", "(SELECT count_if(visit_id IS NULL) FROM copied_nations)", "empty"),
     _finding("encounters", "note", "textNumbers", "(SELECT count_if(note <> 'same') FROM copied_nations)", None, "number_text"),
 ]
+_ID_LIKE = [
+    *[("orders", c, c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")],
+    ("orders", "o_orderdate", "o_orderdate"), ("events", "ts", "strftime(ts, '%Y-%m-%d %H:%M')"),
+    *[("events", c, c) for c in ("event_id", "user_id", "event_type", "value", "props")],
+]
 _ALL_FOUND = [
     _finding("orders", "o_orderdate", "impossible", "(SELECT count_if(o_orderdate >= TIMESTAMP '2001-07-01') FROM orders)", "in the future"),
     _finding("events", "ts", "impossible", "(SELECT count(*) FROM events)", "in the future"),
-    _finding("orders", "o_totalprice", "duplicateIds", "(SELECT count(*) FROM (SELECT o_totalprice FROM orders GROUP BY 1 HAVING count(*) > 1) "
-             "WHERE (SELECT count(DISTINCT o_totalprice) / count(*) FROM orders) >= 0.9)"),
+    *[_finding(t, c, "duplicateIds", f"(SELECT count_if(k > 1) FROM (SELECT {v} AS v, count(*) AS k FROM {t} GROUP BY 1) "
+               f"HAVING count(*) >= 0.9 * sum(k))") for t, c, v in _ID_LIKE],
 ]
 
 
