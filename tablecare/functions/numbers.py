@@ -28,11 +28,14 @@ def is_number_text(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """The readable number of a text cell, or null."""
+    """The readable number of a text cell, or null.
+
+    A cell that is a clean number already, the common case, is only cast.
+    """
     t = trimmed(c)
     unit = F.regexp_extract(t, NUMBER_GLUED_UNIT, 1)
     clean = F.when(unit != "", unit).otherwise(without_noise(t))
-    return F.when(clean.rlike(NUMBER), clean.try_cast("double"))
+    return F.when(c.rlike(NUMBER), c.try_cast("double")).when(clean.rlike(NUMBER), clean.try_cast("double"))
 
 
 def number_text(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import formats
 from ..functions.numbers import round2, share
@@ -258,6 +259,14 @@ def table1(df: DataFrame, columns: list[str], order_by, numeric: list[str] | Non
 # --- pooled frequencies -------------------------------------------------------------
 
 
+def _place(df: DataFrame, order_by, width: int) -> Column:
+    """Row, then column: one number where the row order is one whole number."""
+    single = order_by if isinstance(order_by, str) else order_by[0] if len(order_by) == 1 else None
+    if single and isinstance(df.schema[single].dataType, (T.IntegerType, T.LongType)):
+        return F.col("row").cast("decimal(38,0)") * width + F.col("m.at")
+    return F.struct("row", F.col("m.at").alias("at"))
+
+
 def pooled_counts(
     df: DataFrame, columns: list[str], order_by, policy: str = "occurrence", entity: str | None = None
 ) -> DataFrame:
@@ -287,16 +296,15 @@ def pooled_counts(
         )
     mentions = rows.select(*[c for c in rows.columns if c != "__all"], F.explode(kept).alias("m")).select(
         *[c for c in rows.columns if c not in ("__all", "row")], F.col("m.key").alias("key"),
-        F.col("m.label").alias("label"), F.struct("row", F.col("m.at").alias("at")).alias("first"),
-    )
-    if policy == "entity":
-        mentions = mentions.groupBy("entity", "alone", "key").agg(
-            F.min_by("label", "first").alias("label"), F.min("first").alias("first")
-        )
-    spelled = mentions.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
-    return spelled.groupBy("key").agg(
-        F.min_by("label", "first").alias("label"), F.sum("n").alias("n"), F.min("first").alias("first")
+        F.col("m.label").alias("label"), _place(df, order_by, len(columns)).alias("first"),
     )
+    labels = mentions.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).groupBy(
+        "key"
+    ).agg(F.min_by("label", "first").alias("label"), F.sum("n").alias("n"), F.min("first").alias("first"))
+    if policy != "entity":
+        return labels
+    once = mentions.select("entity", "alone", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return labels.drop("n").join(once, "key").select("key", "label", "n", "first")
 
 
 def pooled_totals(df: DataFrame, columns: list[str], entity: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.dates import ISO_PREFIX
 from ..functions.formats import plain_number
 from ..functions.numbers import NUMBER, half_up, is_number_text, to_number, without_noise
 from ..functions.text import entity_key, fold_key, is_blank, is_marker
-from .cells import cells, is_text, row_order
+from .cells import cells, is_text, row_order, shared
 
 # The classes of a column, and the limits of the role tests.
 EMPTY, NUMBER_TYPE, BOOLEAN, DATE, MIXED, TEXT = (
@@ -28,9 +28,9 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None, **keep: C
     The one shuffle that the scan and the profile share: cells are counted in
     every task first, and all text rules then run once per distinct value.
     """
-    return cells(df, columns or df.columns, **keep).groupBy("column", "value").agg(
+    return shared(cells(df, columns or df.columns, **keep).groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("n"), *[F.min(k).alias(k) for k in keep]
-    )
+    ))
 
 
 def declared_type(df: DataFrame, column: str) -> str | None:

@@ -8,6 +8,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cells import shared
+
 STEPS = [128, 64, 32, 16, 8, 4, 2, 1]
 CELLS = 256
 
@@ -17,17 +19,17 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles (type 7) of ``value`` per ``by``, one column per prob.
 
-    Equal values are counted before the shuffle.  The value range is cut into
-    cells by approximate quantiles of the whole column, so a (group, cell) pair
-    holds a small slice of the rows however large its group is; cell totals tell
-    which cells hold the wanted ranks, and only those are sorted.  The cut
-    points only balance the work: ranks come from exact counts.
+    Equal values are counted before the shuffle, the only one over the rows.  The
+    counted values are cut into cells by approximate quantiles over all groups,
+    so a (group, cell) pair holds a small slice however large its group is; cell
+    totals tell which cells hold the wanted ranks, and only those are sorted.
+    The cut points only balance the work: ranks come from exact counts.
     """
     rows = df.select(*by, value).filter(F.col(value).isNotNull())
-    cuts = rows.agg(
+    counted = shared(rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c")))
+    cuts = counted.agg(
         F.percentile_approx(value, [i / CELLS for i in range(1, CELLS)], 10_000).alias("cuts")
     ).select("cuts").scalar()
-    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
     counted = _with_cell(counted.withColumn("__cuts", cuts), value).drop("__cuts")
     up_to = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = (

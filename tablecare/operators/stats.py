@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import distributions as dist
 from ..functions.text import quoted
 from .aggregate import value_counts
-from .cells import blank_of, join_on, key_of, number_of, row_order
+from .cells import blank_of, join_on, key_of, number_of, row_order, shared
 from .conditions import Condition
 from .profile import infer_types
 
@@ -39,19 +39,21 @@ def contingency_cells(df: DataFrame, a: str, b: str, order_by, by: list[str] = (
     """
     by = list(by)
     rows = df.filter(~blank_of(df, a) & ~blank_of(df, b))
-    cells = rows.groupBy(*[quoted(c) for c in by], key_of(df, a).alias("a_key"), key_of(df, b).alias("b_key")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    margin = lambda key, name: join_on(
-        cells.groupBy(*by, key).agg(F.sum("n").alias(name)),
-        value_counts(rows, a if key == "a_key" else b, order_by, by).select(
-            *by, F.col("key").alias(key), F.col("label").alias(key[0] + "_label"), F.col("first").alias(key[0] + "_first")
-        ),
-        [*by, key],
-    )
-    out = join_on(join_on(cells, margin("a_key", "a_total"), [*by, "a_key"]), margin("b_key", "b_total"), [*by, "b_key"])
-    total = cells.groupBy(*by).agg(F.sum("n").alias("total"))
-    out = join_on(out, total, by) if by else out.withColumn("total", total.scalar())
+    spelled = shared(rows.groupBy(
+        *[quoted(c) for c in by], key_of(df, a).alias("a_key"), quoted(a).alias("a_label"),
+        key_of(df, b).alias("b_key"), quoted(b).alias("b_label"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.min(row_order(order_by)).alias("first")))
+    cells = spelled.groupBy(*by, "a_key", "b_key").agg(F.sum("n").alias("n"))
+
+    def margin(side: str) -> DataFrame:
+        return spelled.groupBy(*by, f"{side}_key").agg(
+            F.sum("n").alias(f"{side}_total"), F.min_by(f"{side}_label", "first").alias(f"{side}_label"),
+            F.min("first").alias(f"{side}_first"),
+        )
+
+    out = join_on(join_on(cells, margin("a"), [*by, "a_key"]), margin("b"), [*by, "b_key"])
+    total = spelled.groupBy(*by).agg(F.sum("n").alias("total"))
+    out = join_on(out, total, by) if by else out.withColumn("total", total.select("total").scalar())
     expected = F.col("a_total") * F.col("b_total") / F.col("total")
     return out.withColumn("expected", expected)
 
