@@ -94,11 +94,13 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(renamed, same, how).drop(*[f"__r{i}" for i in range(len(keys))])
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """``df`` with all its columns kept alive in every branch that reads it.
+def shared(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with ``columns`` (all of them by default) kept alive in every branch that reads it.
 
     Spark computes a shuffle once for all branches only while they ask for the
     same columns; pruning would give each branch a shuffle, and a scan, of its
-    own.  The test is always true, which the optimizer cannot know.
+    own.  The test is always true, which the optimizer cannot know.  Branches
+    must also not filter on grouping keys, since such filters move below the
+    grouping; they decide inside their aggregates instead.
     """
-    return df.filter(F.xxhash64(*[quoted(c) for c in df.columns]) >= F.lit(-(2**63)))
+    return df.filter(F.xxhash64(*[quoted(c) for c in columns or df.columns]) >= F.lit(-(2**63)))

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import row_rank
 from ..functions.text import fold_key, quoted, trimmed
-from .cells import blank_of, cells, is_temporal, is_text, key_of, number_of, row_order
+from .cells import blank_of, cells, is_temporal, is_text, key_of, number_of, row_order, shared
+
+
+MICROS_PER_DAY = 86_400_000_000
+SLICES = 4096
 
 
 @dataclass(frozen=True)
@@ -57,7 +61,7 @@ def _instant(df: DataFrame, column: str) -> Column:
 
 def as_of_join(
     events: DataFrame, priors: DataFrame, key: str, time: str, bring: list[str], prior_order,
-    prefix: str = "prior_", slice_width: float = 86_400_000_000.0,
+    prefix: str = "prior_", slice_width: float | None = None,
 ) -> Matched:
     """The latest prior at or before each event of the same key.
 
@@ -65,9 +69,9 @@ def as_of_join(
     last row counts, and events at one time share their answer.  Each key's
     points are cut into time slices that are searched on their own, and the last
     prior of every slice is carried to the slices after it, so a key with most
-    of the rows spreads over its slices.  ``slice_width`` is in microseconds for
-    dates (one day), in the column's own unit for numbers; it never changes the
-    result.
+    of the rows spreads over its slices.  ``slice_width`` is one day for date
+    columns, given in microseconds, and for others a 4096th of the whole span;
+    it never changes the result.
     """
     payload = F.struct(*[quoted(c).alias(f"b{i}") for i, c in enumerate(bring)])
     p = priors.filter(quoted(key).isNotNull()).select(
@@ -84,9 +88,16 @@ def as_of_join(
         F.max_by("__p", F.col("__p").isNotNull()).alias("__p"), F.bool_or("__e").alias("__e")
     )
     lowest = F.lit(-(2**62)).cast("long")
-    points = points.withColumn(
-        "__s", F.when(F.col("__t") == float("-inf"), lowest).otherwise(F.floor(F.col("__t") / slice_width))
-    )
+    points = shared(points, "__k", "__t", "__e")
+    dated = F.when(F.col("__t") != float("-inf"), F.col("__t"))
+    if slice_width is None and is_temporal(events, time):
+        slice_width = MICROS_PER_DAY
+    if slice_width is None:
+        span = points.agg(((F.max(dated) - F.min(dated)) / SLICES).alias("w"))
+        width = span.select(F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(1.0))).scalar()
+    else:
+        width = F.lit(float(slice_width))
+    points = points.withColumn("__s", F.coalesce(F.floor(dated / width), lowest))
     in_slice = Window.partitionBy("__k", "__s").orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
     searched = points.withColumn("__here", F.last("__p", ignorenulls=True).over(in_slice)).filter("__e")
     slices = points.groupBy("__k", "__s").agg(

@@ -110,12 +110,12 @@ def profile(df: DataFrame, order_by, columns: list[str] | None = None, sample_ro
     v, n = F.col("value"), F.col("n")
     number = to_number(v)
     facts = values.groupBy("column").agg(*class_counts(), F.min(number).alias("lo"), F.max(number).alias("hi"))
-    filled = values.filter(~is_blank(v))
-    distinct = filled.select("column", entity_key(v).alias("k")).groupBy("column").agg(
+    distinct = values.select("column", F.when(~is_blank(v), entity_key(v)).alias("k")).groupBy("column").agg(
         F.count_distinct("k").alias("distinct")
     )
-    by_count = Window.partitionBy("column").orderBy(F.desc("n"), "first")
-    top = filled.withColumn("rn", F.row_number().over(by_count)).filter("rn <= 3").groupBy("column").agg(
+    by_count = Window.partitionBy("column").orderBy(F.asc("blank"), F.desc("n"), F.asc("first"))
+    ranked = values.withColumn("blank", is_blank(v)).withColumn("rn", F.row_number().over(by_count))
+    top = ranked.filter((F.col("rn") <= 3) & ~F.col("blank")).groupBy("column").agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("rn", "value", "n"))),
             lambda t: F.concat(t["value"], F.lit(" ("), t["n"].cast("string"), F.lit(")")),

@@ -104,11 +104,8 @@ def column_facts(df: DataFrame, values: DataFrame, columns: list[str], today: st
         count(c("x") < 0).alias("negative"), count(c("x") > MAX_AGE).alias("over_age"),
         count(c("future")).alias("future"),
     )
-    text_columns = [x for x in columns if is_text(df, x)]
-    labels = (
-        flagged.filter(_named(text_columns) & ~c("blank") & ~c("marker")).select("column", "low").distinct()
-        .groupBy("column").agg(F.count(F.lit(1)).alias("labels"))
-    )
+    label = F.when(~c("blank") & ~c("marker"), c("low"))
+    labels = flagged.select("column", label.alias("low")).groupBy("column").agg(F.count_distinct("low").alias("labels"))
     return facts.join(F.broadcast(labels), "column", "left").withColumn(
         "class", class_of(declared_types(df, columns))
     )
@@ -156,15 +153,16 @@ def cell_findings(facts: DataFrame, table: str, id_columns: list[str], columns:
 def unit_suffixes(values: DataFrame, facts: DataFrame, table: str) -> DataFrame:
     """Numbers with a unit word, where one word has most of them (Q10)."""
     unit = F.lower(F.regexp_extract(trimmed(F.col("value")), NUMBER_UNIT, 2))
-    per_unit = values.select("column", unit.alias("unit"), "n").filter("unit <> ''").groupBy("column", "unit").agg(
+    per_unit = values.select("column", F.when(unit != "", unit).alias("unit"), "n").groupBy("column", "unit").agg(
         F.sum("n").alias("n")
     )
+    with_unit = F.when(F.col("unit").isNotNull(), F.col("n"))
     total = per_unit.groupBy("column").agg(
-        F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("unit", "n").alias("unit")
+        F.sum(with_unit).alias("total"), F.max(with_unit).alias("most"), F.max_by("unit", with_unit).alias("unit")
     ).filter((F.col("total") >= 2) & (F.col("most") / F.col("total") >= UNIT_MIN_SHARE))
     soft = facts.filter(~F.col("class").isin(NUMBER_TYPE, DATE)).select("column")
     return _rows(
-        total.join(F.broadcast(soft), "column", "left_semi"), table, F.col("column"),
+        total.join(F.broadcast(soft), "column"), table, F.col("column"),
         _finding("unitSuffixNumbers", F.col("total"), F.col("unit"), F.lit("strip_unit")),
     )
 
@@ -175,14 +173,13 @@ def variant_map(values: DataFrame, few: DataFrame) -> DataFrame:
     Only columns with at most 40 distinct values, so every group is small; the
     most common spelling wins, the first seen on a tie.
     """
-    spelled = values.join(F.broadcast(few), "column", "left_semi").filter(~is_blank(F.col("value"))).withColumn(
-        "key", fold_key(F.col("value"))
-    )
+    key = F.when(~is_blank(F.col("value")), fold_key(F.col("value")))
+    spelled = values.join(F.broadcast(few), "column").withColumn("key", key)
     by_key = Window.partitionBy("column", "key")
     best = by_key.orderBy(F.desc("n"), F.asc("first"))
     return spelled.select(
         "column", F.col("value").alias("raw"), F.first("value").over(best).alias("canonical"), "n",
-        F.count(F.lit(1)).over(by_key).alias("spellings"),
+        F.count("key").over(by_key).alias("spellings"),
     ).filter("spellings > 1")
 
 

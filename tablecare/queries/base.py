@@ -37,15 +37,15 @@ SELECT o_orderkey AS row_id,
   CASE WHEN o_orderkey % 5 = 0 THEN '1900-01-' || lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0')
        ELSE CAST(o_orderkey % 30 AS STRING) END AS stay,
   CASE WHEN o_orderkey % 4 = 0 THEN 'N/A' ELSE CAST(o_orderkey % 12 AS STRING) || ' Days' END AS course_days
-FROM orders"""
+FROM @orders"""
 
-# Three copies of some rows, told apart only by row_id.
-COPIED_NATIONS = """
-SELECT n_nationkey * 10 + r_regionkey AS row_id,
-  CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_nationkey END AS visit_id,
-  n_name AS name, n_regionkey AS region,
-  CASE WHEN n_nationkey % 5 = 0 THEN CAST(r_regionkey AS STRING) ELSE 'same' END AS note
-FROM nation, region WHERE r_regionkey < 3"""
+# Three copies of every order, told apart only by row_id; some copies differ in a note.
+COPIED_VISITS = """
+SELECT o_orderkey * 10 + copy AS row_id,
+  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey END AS visit_id,
+  o_custkey AS customer, o_orderpriority AS priority,
+  CASE WHEN o_orderkey % 5 = 0 THEN CAST(copy AS STRING) ELSE 'same' END AS note
+FROM (SELECT *, 0 AS copy FROM @orders UNION ALL SELECT *, 1 AS copy FROM @orders UNION ALL SELECT *, 2 AS copy FROM @orders) AS copies"""
 
 MESSY_CUSTOMER = """
 SELECT c_custkey AS row_id,
@@ -54,11 +54,11 @@ SELECT c_custkey AS row_id,
   CASE WHEN c_custkey % 7 = 0 THEN 'Nowhere' ELSE 'Nation ' || CAST(c_nationkey AS STRING) END AS nation,
   CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'Dr ' || CAST(c_custkey % 97 AS STRING) || CASE WHEN c_custkey % 4 = 0 THEN ' ' ELSE '' END END AS doctor,
   c_acctbal AS balance, c_nationkey
-FROM customer"""
+FROM @customer"""
 
 TABLES = {
-    "messy_orders": (MESSY_ORDERS, ["orders"]), "copied_nations": (COPIED_NATIONS, ["nation", "region"]),
-    "messy_customer": (MESSY_CUSTOMER, ["customer"]),
+    "messy_orders": (MESSY_ORDERS, "orders"), "copied_visits": (COPIED_VISITS, "orders"),
+    "messy_customer": (MESSY_CUSTOMER, "customer"),
 }
 
 
@@ -67,21 +67,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A messy table, made by Spark from the driver tables."""
-    sql, sources = TABLES[name]
-    return spark.sql(_bind(sql, sources), **{s: table(spark, folder, s) for s in sources})
-
-
-def _bind(sql: str, sources: list[str]) -> str:
-    head, tail = sql.rsplit("FROM ", 1)
-    for s in sources:
-        tail = tail.replace(s, "{" + s + "}", 1)
-    return head + "FROM " + tail
+    """A messy table, made by Spark from a driver table."""
+    sql, source = TABLES[name]
+    return spark.sql(sql.replace(f"@{source}", "{" + source + "}"), **{source: table(spark, folder, source)})
 
 
 def with_tables(sql: str, *names: str) -> str:
     """An oracle query over the derived tables it names."""
-    views = ", ".join(f"{n} AS ({TABLES[n][0]})" for n in names)
+    views = ", ".join(f"{n} AS ({TABLES[n][0].replace('@', '')})" for n in names)
     return f"WITH {views} {sql}"
 
 

@@ -115,9 +115,9 @@ def _keep_one(policy, side="kept"):
     return run
 
 
-def _nations(step, side):
+def _visits(step, side):
     def run(spark, folder):
-        df = derived(spark, folder, "copied_nations").withColumn("visit_id", F.col("visit_id").cast("string"))
+        df = derived(spark, folder, "copied_visits").withColumn("visit_id", F.col("visit_id").cast("string"))
         split = rows.dedupe_rows(df, "row_id") if step == "rows" else rows.dedupe_encounters(df, "visit_id", "row_id")
         return getattr(split, side)
 
@@ -167,8 +167,8 @@ QUERIES = {
     "keep_one_first": _keep_one("first::visit_date"), "keep_one_last": _keep_one("last::visit_date"),
     "keep_one_complete": _keep_one("complete"), "keep_one_firstrow": _keep_one("firstrow"),
     "keep_one_lastrow": _keep_one("lastrow"), "keep_one_removed": _keep_one("last::visit_date", "removed"),
-    "dedupe_rows": _nations("rows", "kept"), "dedupe_rows_removed": _nations("rows", "removed"),
-    "dedupe_encounters": _nations("encounters", "kept"), "dedupe_encounters_removed": _nations("encounters", "removed"),
+    "dedupe_rows": _visits("rows", "kept"), "dedupe_rows_removed": _visits("rows", "removed"),
+    "dedupe_encounters": _visits("encounters", "kept"), "dedupe_encounters_removed": _visits("encounters", "removed"),
     "split_rows": split_rows, "paired_explode": _paired("rows"), "paired_mismatched": _paired("mismatched"),
     "long_to_wide": long_to_wide, "long_to_wide_collisions": long_to_wide_collisions, "wide_to_long": wide_to_long,
 }
@@ -208,14 +208,13 @@ _FILLED = " + ".join(
     f"CAST(NOT {blank(f'CAST({c} AS VARCHAR)')} AS INTEGER)"
     for c in ("patient_id", "priority", "second_priority", "status", "amount", "visit_date", "tags", "doses", "stay", "course_days")
 )
-_NATION_COLUMNS = "CAST(visit_id AS VARCHAR) AS visit_id, name, region, note"
-_NATIONS = f"(SELECT row_id, {_NATION_COLUMNS} FROM copied_nations)"
+_VISITS = "(SELECT row_id, CAST(visit_id AS VARCHAR) AS visit_id, customer, priority, note FROM copied_visits)"
 
 
-def _nation_sql(apart, keep):
+def _visit_sql(apart, keep):
     return with_tables(
-        f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY visit_id, name, region, note{apart} ORDER BY row_id) AS rn "
-        f"FROM {_NATIONS}) WHERE rn {'=' if keep else '>'} 1", "copied_nations")
+        f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY visit_id, customer, priority, note{apart} ORDER BY row_id) AS rn "
+        f"FROM {_VISITS}) WHERE rn {'=' if keep else '>'} 1", "copied_visits")
 
 
 _APART = ", CASE WHEN visit_id IS NULL THEN row_id END"
@@ -284,8 +283,8 @@ SQL = {
     "keep_one_first": _survivors(f"{_DAY} ASC NULLS LAST"), "keep_one_last": _survivors(f"{_DAY} DESC NULLS LAST"),
     "keep_one_complete": _survivors(f"({_FILLED}) DESC"), "keep_one_firstrow": _survivors("row_id"),
     "keep_one_lastrow": _survivors("row_id DESC"), "keep_one_removed": _survivors(f"{_DAY} DESC NULLS LAST", keep=False),
-    "dedupe_rows": _nation_sql("", True), "dedupe_rows_removed": _nation_sql("", False),
-    "dedupe_encounters": _nation_sql(_APART, True), "dedupe_encounters_removed": _nation_sql(_APART, False),
+    "dedupe_rows": _visit_sql("", True), "dedupe_rows_removed": _visit_sql("", False),
+    "dedupe_encounters": _visit_sql(_APART, True), "dedupe_encounters_removed": _visit_sql(_APART, False),
     "split_rows": with_tables(
         f"SELECT row_id, unnest(CASE WHEN len({_items('tags')}) = 0 THEN [NULL] ELSE {_items('tags')} END) AS tags FROM messy_orders", ORDERS),
     "paired_explode": with_tables(

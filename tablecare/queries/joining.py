@@ -77,11 +77,11 @@ def vocabulary(spark, folder):
 
 
 def _definitions(spark, folder):
-    """A definitions table built from the nations: a value list and a guarded threshold each."""
-    return table(spark, folder, "nation").selectExpr(
-        "n_nationkey AS row_id", "concat('Term ', n_nationkey % 20, CASE WHEN n_nationkey >= 20 THEN 's' ELSE '' END) AS Term",
-        "CASE WHEN n_nationkey % 2 = 0 THEN 'Status' ELSE 'amount' END AS `Column it applies to`",
-        "CASE WHEN n_nationkey % 2 = 0 THEN 'F, o or x' ELSE concat('> ', n_nationkey * 10, CASE WHEN n_nationkey % 3 = 0 "
+    """A definitions table over the suppliers: 20 terms, each defined again and again, the last one winning."""
+    return table(spark, folder, "supplier").selectExpr(
+        "s_suppkey AS row_id", "concat('Term ', s_suppkey % 20, CASE WHEN s_suppkey >= 20 THEN 's' ELSE '' END) AS Term",
+        "CASE WHEN s_suppkey % 2 = 0 THEN 'Status' ELSE 'amount' END AS `Column it applies to`",
+        "CASE WHEN s_suppkey % 2 = 0 THEN 'F, o or x' ELSE concat('> ', s_suppkey % 100 * 10, CASE WHEN s_suppkey % 20 % 3 = 0 "
         "THEN ' when Status = P' ELSE '' END) END AS `Values that count`",
     )
 
@@ -151,16 +151,19 @@ def _off(column):
 
 
 _RULES = (
-    "SELECT n_nationkey AS k, 'term' || CAST(n_nationkey % 20 AS VARCHAR) AS key, 'Term ' || CAST(n_nationkey % 20 AS VARCHAR) || "
-    "CASE WHEN n_nationkey >= 20 THEN 's' ELSE '' END AS term FROM nation "
-    "QUALIFY row_number() OVER (PARTITION BY n_nationkey % 20 ORDER BY n_nationkey DESC) = 1"
+    "SELECT s_suppkey AS k, 'term' || CAST(s_suppkey % 20 AS VARCHAR) AS key, 'Term ' || CAST(s_suppkey % 20 AS VARCHAR) || "
+    "CASE WHEN s_suppkey >= 20 THEN 's' ELSE '' END AS term FROM supplier "
+    "QUALIFY row_number() OVER (PARTITION BY s_suppkey % 20 ORDER BY s_suppkey DESC) = 1"
 )
 _EVEN = "k % 2 = 0"
 
 
-def _defined_count(k):
-    test = "status IN ('F', 'O')" if k % 2 == 0 else f"{num('amount')} > {k * 10}" + (" AND status = 'P'" if k % 3 == 0 else "")
-    return f"count_if({test}) AS is_term{k % 20}"
+def _defined(term):
+    """Rows of messy orders one of the 20 terms holds for."""
+    if term % 2 == 0:
+        return "status IN ('F', 'O')"
+    bound = f"(SELECT max(s_suppkey) % 100 * 10 FROM supplier WHERE s_suppkey % 20 = {term})"
+    return f"({num('amount')} > {bound}" + (" AND status = 'P')" if term % 3 == 0 else ")")
 
 
 SQL = {
@@ -179,15 +182,16 @@ SQL = {
     "vocab_violations": with_tables(f", terms AS ({_TERMS}) {_off('segment')} UNION ALL {_off('nation')}", "messy_customer"),
     "definitions_table": "SELECT key, term, CASE WHEN " + _EVEN + " THEN 'Status' ELSE 'amount' END AS column, "
     "CASE WHEN " + _EVEN + " THEN 'values' ELSE 'threshold' END AS kind, CASE WHEN NOT " + _EVEN + " THEN '>' END AS op, "
-    "CASE WHEN NOT " + _EVEN + " THEN CAST(k * 10 AS DOUBLE) END AS value, "
-    "CASE WHEN NOT " + _EVEN + " AND k % 3 = 0 THEN 'Status' END AS when_column, "
-    "CASE WHEN NOT " + _EVEN + " AND k % 3 = 0 THEN 'P' END AS when_value, "
+    "CASE WHEN NOT " + _EVEN + " THEN CAST(k % 100 * 10 AS DOUBLE) END AS value, "
+    "CASE WHEN NOT " + _EVEN + " AND k % 20 % 3 = 0 THEN 'Status' END AS when_column, "
+    "CASE WHEN NOT " + _EVEN + " AND k % 20 % 3 = 0 THEN 'P' END AS when_value, "
     "CASE WHEN " + _EVEN + f" THEN 'F|o|x' ELSE '' END AS listed FROM ({_RULES})",
     "definitions_merged": "SELECT key, CASE WHEN k % 20 < 3 OR " + _EVEN + " THEN 'values' ELSE 'threshold' END AS kind, "
     "CASE WHEN k % 20 < 3 THEN 'z|y' WHEN " + _EVEN + f" THEN 'F|o|x' ELSE '' END AS listed FROM ({_RULES})",
-    "definitions_filter": with_tables("SELECT " + ", ".join(_defined_count(k) for k in range(5, 25)) + " FROM messy_orders", "messy_orders"),
+    "definitions_filter": with_tables(
+        "SELECT " + ", ".join(f"count_if({_defined(k)}) AS is_term{k}" for k in range(20)) + " FROM messy_orders", "messy_orders"),
     "definition_rows": with_tables(
-        f"SELECT row_id, status, amount FROM messy_orders WHERE {num('amount')} > 90 AND status = 'P'", "messy_orders"),
+        f"SELECT row_id, status, amount FROM messy_orders WHERE {_defined(9)}", "messy_orders"),
     "replace_codes": with_tables(
         f"SELECT row_id, CASE WHEN {trim('doctor')} IN (SELECT 'Dr ' || CAST(s_suppkey % 60 AS VARCHAR) FROM supplier) "
         f"THEN 'P' || substr({trim('doctor')}, 4) ELSE doctor END AS doctor FROM messy_customer", "messy_customer"),

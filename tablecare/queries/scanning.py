@@ -18,7 +18,7 @@ FIXES = [
     Fix("parse_date", "visit_date", {"order": "DMY"}), Fix("strip_unit", "course_days"),
     Fix("keep_one", "patient_id", {"policy": "last::visit_date"}), Fix("dedupe_rows"),
 ]
-NATION_FIXES = [Fix("dedupe_encounters", "visit_id"), Fix("dedupe_rows")]
+VISIT_FIXES = [Fix("dedupe_encounters", "visit_id"), Fix("dedupe_rows")]
 
 
 def scan_orders(spark, folder):
@@ -33,8 +33,8 @@ def scan_customers(spark, folder):
 
 
 def _encounters(spark, folder):
-    """Copied nations as an encounter export: repeated ids, some exact copies."""
-    return derived(spark, folder, "copied_nations").withColumnRenamed("visit_id", "Encounter ID")
+    """Copied orders as an encounter export: repeated ids, some exact copies."""
+    return derived(spark, folder, "copied_visits").withColumnRenamed("visit_id", "Encounter ID")
 
 
 def scan_encounters(spark, folder):
@@ -52,7 +52,7 @@ def scan_all_tables(spark, folder):
 
 def differing_ids(spark, folder):
     df = _encounters(spark, folder)
-    return quality.differing_rows(df, "Encounter ID", ["Encounter ID", "name", "region", "note"], "row_id")
+    return quality.differing_rows(df, "Encounter ID", ["Encounter ID", "customer", "priority", "note"], "row_id")
 
 
 def scan_samples(spark, folder):
@@ -130,7 +130,7 @@ def apply_fixes_log(spark, folder):
 
 
 def apply_fixes_copies(spark, folder):
-    return fixes.apply_fixes(_encounters(spark, folder).withColumnRenamed("Encounter ID", "visit_id"), NATION_FIXES, "row_id").log
+    return fixes.apply_fixes(_encounters(spark, folder).withColumnRenamed("Encounter ID", "visit_id"), VISIT_FIXES, "row_id").log
 
 
 def selected_findings(spark, folder):
@@ -218,14 +218,14 @@ _CUSTOMER_FOUND = [
     _finding("customers", "segment", "notInPicklist", _c("count_if(segment LIKE '%X')")),
     _finding("customers", "nation", "notInPicklist", _c("count_if(nation = 'Nowhere')")),
 ]
-_NATION_ROWS = "(SELECT CAST(visit_id AS VARCHAR) AS visit_id, name, region, note FROM copied_nations)"
-_IDS = f"(SELECT visit_id, count(*) AS n, count(DISTINCT (name, region, note)) AS d FROM {_NATION_ROWS} WHERE visit_id IS NOT NULL GROUP BY 1)"
+_VISIT_ROWS = "(SELECT CAST(visit_id AS VARCHAR) AS visit_id, customer, priority, note FROM copied_visits)"
+_IDS = f"(SELECT visit_id, count(*) AS n, count(DISTINCT (customer, priority, note)) AS d FROM {_VISIT_ROWS} WHERE visit_id IS NOT NULL GROUP BY 1)"
 _ENCOUNTER_FOUND = [
-    _finding("encounters", None, "duplicateRows", f"(SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {_NATION_ROWS})) FROM copied_nations)", None, "dedupe_rows"),
+    _finding("encounters", None, "duplicateRows", f"(SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {_VISIT_ROWS})) FROM copied_visits)", None, "dedupe_rows"),
     _finding("encounters", "Encounter ID", "duplicateEncounterIds", f"(SELECT count(*) FROM {_IDS} WHERE n > 1)",
              f"(SELECT CAST(sum(n - d) AS BIGINT) || ' copies, ' || count_if(d > 1) || ' differing' FROM {_IDS})", "dedupe_encounters"),
-    _finding("encounters", "Encounter ID", "missing", "(SELECT count_if(visit_id IS NULL) FROM copied_nations)", "empty"),
-    _finding("encounters", "note", "textNumbers", "(SELECT count_if(note <> 'same') FROM copied_nations)", None, "number_text"),
+    _finding("encounters", "Encounter ID", "missing", "(SELECT count_if(visit_id IS NULL) FROM copied_visits)", "empty"),
+    _finding("encounters", "note", "textNumbers", "(SELECT count_if(note <> 'same') FROM copied_visits)", None, "number_text"),
 ]
 _ID_LIKE = [
     *[("orders", c, c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")],
@@ -301,12 +301,12 @@ def _sample_row(c):
 
 SQL = {
     "scan_findings": with_tables(_union(_FOUND), ORDERS), "scan_customers": with_tables(_union(_CUSTOMER_FOUND), CUSTOMERS),
-    "scan_encounters": with_tables(_union(_ENCOUNTER_FOUND), "copied_nations"), "scan_all_tables": _union(_ALL_FOUND),
+    "scan_encounters": with_tables(_union(_ENCOUNTER_FOUND), "copied_visits"), "scan_all_tables": _union(_ALL_FOUND),
     "differing_ids": with_tables(
-        f", ids AS (SELECT visit_id, min(row_id) AS f FROM copied_nations WHERE visit_id IS NOT NULL GROUP BY 1 "
-        "HAVING count(DISTINCT (name, region, note)) > 1 ORDER BY f LIMIT 5) "
-        "SELECT row_id, visit_id AS \"Encounter ID\", name, region, note FROM (SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY row_id) AS rn "
-        "FROM copied_nations WHERE visit_id IN (SELECT visit_id FROM ids)) WHERE rn <= 4", "copied_nations"),
+        f", ids AS (SELECT visit_id, min(row_id) AS f FROM copied_visits WHERE visit_id IS NOT NULL GROUP BY 1 "
+        "HAVING count(DISTINCT (customer, priority, note)) > 1 ORDER BY f LIMIT 5) "
+        "SELECT row_id, visit_id AS \"Encounter ID\", customer, priority, note FROM (SELECT *, row_number() OVER (PARTITION BY visit_id ORDER BY row_id) AS rn "
+        "FROM copied_visits WHERE visit_id IN (SELECT visit_id FROM ids)) WHERE rn <= 4", "copied_visits"),
     "scan_samples": with_tables(" UNION ALL ".join(
         f"SELECT * FROM (SELECT '{c}' AS \"column\", row_number() OVER (ORDER BY min(row_id)) AS place, {c} AS value, count(*) AS n FROM messy_orders "
         f"WHERE coalesce(NOT {_IS_NUMBER.format(c=c)}, true) GROUP BY {c}) WHERE place <= 5" for c in ("amount", "stay")), ORDERS),
@@ -351,9 +351,9 @@ SQL = {
         _log(6, "split_rows(tags)", "0", "kept", "split"),
     ]), ORDERS),
     "apply_fixes_copies": with_tables(" UNION ALL ".join([
-        _log(0, "dedupe_rows", "0", "copied_nations", f"(SELECT DISTINCT * FROM {_NATION_ROWS})"),
-        _log(1, "dedupe_encounters(visit_id)", "0", f"(SELECT DISTINCT * FROM {_NATION_ROWS})", f"(SELECT DISTINCT * FROM {_NATION_ROWS})"),
-    ]), "copied_nations"),
+        _log(0, "dedupe_rows", "0", "copied_visits", f"(SELECT DISTINCT * FROM {_VISIT_ROWS})"),
+        _log(1, "dedupe_encounters(visit_id)", "0", f"(SELECT DISTINCT * FROM {_VISIT_ROWS})", f"(SELECT DISTINCT * FROM {_VISIT_ROWS})"),
+    ]), "copied_visits"),
     "selected_findings": with_tables(
         _finding("orders", "course_days", "missing", _m(f"count_if({missing('course_days')})"), "markers", "blank_markers"), ORDERS),
 }
