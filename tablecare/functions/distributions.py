@@ -112,9 +112,13 @@ def fisher_tails(a: float, b: float, c: float, d: float) -> tuple[float, float,
     spread = 60 * math.sqrt(max(mean * (1 - row / n) * (1 - column / n), 0.0)) + 60 if n else 0.0
     start, stop = max(lowest, math.floor(mean - spread)), min(highest, math.ceil(mean + spread))
     x = np.arange(start, stop + 1)
-    log_choose = lambda m, k: _lgamma(m + 1.0) - _lgamma(k + 1.0) - _lgamma(m - k + 1.0)
-    log_p = lambda k: log_choose(row, k) + log_choose(n - row, column - k) - log_choose(n, column)
-    p, seen = np.exp(log_p(x)), float(np.exp(log_p(np.array([a])))[0])
+    # Neighbouring tables differ by a simple ratio, so their logs add up without
+    # the cancellation that log-factorials of large counts suffer from.
+    to_next = np.log((row - x) * (column - x) / ((x + 1) * (n - row - column + x + 1)))[:-1] if len(x) > 1 else np.array([])
+    log_p = np.concatenate([[0.0], np.cumsum(to_next)])
+    p = np.exp(log_p - log_p.max())
+    p = p / p.sum()
+    seen = float(p[int(a - start)]) if start <= a <= stop else 0.0
     tails = p[p <= seen * (1 + 1e-7)].sum(), p[x <= a].sum(), p[x >= a].sum()
     return tuple(float(min(1.0, v)) for v in tails)
 

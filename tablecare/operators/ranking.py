@@ -78,7 +78,7 @@ def sort_columns(df: DataFrame, column: str, order_by, descending: bool = False)
     way = Column.desc_nulls_last if descending else Column.asc_nulls_last
     if is_text(df, column):
         number = number_of(df, column)
-        keys = [number, F.when(number.isNull(), key_of(df, column))]
+        keys = [number, F.when(number.isNull() & ~blank_of(df, column), key_of(df, column))]
     else:
         keys = [quoted(column)]
     return [blank_of(df, column).asc(), *[way(k) for k in keys], row_order(order_by).asc()]
