@@ -114,7 +114,8 @@ def fisher_tails(a: float, b: float, c: float, d: float) -> tuple[float, float,
     x = np.arange(start, stop + 1)
     # Neighbouring tables differ by a simple ratio, so their logs add up without
     # the cancellation that log-factorials of large counts suffer from.
-    to_next = np.log((row - x) * (column - x) / ((x + 1) * (n - row - column + x + 1)))[:-1] if len(x) > 1 else np.array([])
+    at = x[:-1]
+    to_next = np.log((row - at) * (column - at) / ((at + 1) * (n - row - column + at + 1)))
     log_p = np.concatenate([[0.0], np.cumsum(to_next)])
     p = np.exp(log_p - log_p.max())
     p = p / p.sum()

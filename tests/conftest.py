@@ -12,7 +12,7 @@ from tablecare.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, memory="4g")
+    return local_session(8, memory="6g")
 
 
 @pytest.fixture
