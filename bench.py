@@ -13,7 +13,7 @@ from tablecare.queries import QUERIES
 from tablecare.session import local_session
 
 HEADLINE = [
-    "cohort_funnel", "cohort_funnel_by_entity", "group_share", "stats_by_group", "describe", "table1",
+    "cohort_funnel", "cohort_funnel_by_entity", "group_share", "stats_by_group", "quantiles_by_group", "describe", "table1",
     "pooled_rank_entity", "top_frequency", "top_magnitude", "keep_one_last", "dedupe_rows", "anti_join", "lookup_join",
     "asof_join", "long_to_wide", "wide_to_long", "scan_findings", "apply_fixes_rows", "profile", "dataset_month",
     "crosstab_median", "histogram", "boxdot", "pareto", "welch_t", "chi_square", "value_candidates", "deidentify",

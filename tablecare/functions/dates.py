@@ -22,26 +22,29 @@ def slash_parts(c: Column) -> tuple[Column, Column, Column]:
 
 
 def calendar_date(year: Column, month: Column, day: Column) -> Column:
-    """The date, or null where no such day exists."""
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+    """The date, or null where no such day exists.
+
+    Counted from the first of the month, so nothing has to fail to be refused.
+    """
+    first = F.when(month.between(1, 12) & (year >= 1), F.make_date(year, month, F.lit(1)))
+    return F.when(day.between(1, F.dayofmonth(F.last_day(first))), F.date_add(first, day - 1))
 
 
 def is_calendar_date(year: Column, month: Column, day: Column) -> Column:
-    in_range = month.between(1, 12) & day.between(1, 31)
-    return F.coalesce(in_range & calendar_date(year, month, day).isNotNull(), F.lit(False))
+    return calendar_date(year, month, day).isNotNull()
 
 
 def slash_date(c: Column, order: str) -> Column:
     """The date a d/m/y or m/d/y cell means under ``order``, else null."""
     a, b, year = slash_parts(c)
     month, day = (b, a) if order == "DMY" else (a, b)
-    return F.when(trimmed(c).rlike(SLASH_DATE) & is_calendar_date(year, month, day), calendar_date(year, month, day))
+    return F.when(trimmed(c).rlike(SLASH_DATE), calendar_date(year, month, day))
 
 
 def parse_date(c: Column, order: str = "MDY") -> Column:
     """Rewrite d/m/y or m/d/y text as ISO text, leaving what it cannot read (F8)."""
     t = trimmed(c)
-    return F.when(t.rlike(ISO_PREFIX), t).otherwise(F.coalesce(F.date_format(slash_date(c, order), "yyyy-MM-dd"), c))
+    return F.when(t.rlike(ISO_PREFIX), t).otherwise(F.coalesce(slash_date(c, order).cast("string"), c))
 
 
 def period_label(c: Column, granularity: str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +15,7 @@ from ..functions.text import fold_key, is_blank, quoted
 from ..functions.units import column_unit, duration_label
 from .cells import blank_of, cells, is_numeric, is_text, join_on, key_of, number_of, row_order, text_of
 from .conditions import Condition, all_of, entity_flags, keep, keep_groups
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, is_small, small_quantiles
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 STATISTICS = ("sum", "average", "median", "quartiles", "stdev", "min", "max", "range", "distinct")
@@ -134,7 +137,10 @@ def numeric_bundle(df: DataFrame, by: list[str], value: str, quartiles: bool = T
     ``value`` is already numeric.  No readable number gives nulls, never 0.
     """
     x = F.col(value)
+    small = quartiles and is_small(df)
+    extra = [small_quantiles(value, QUARTILES).alias("__q")] if small else []
     bundle = df.groupBy(*by).agg(
+        *extra,
         F.count(F.lit(1)).alias("rows"), F.count(x).alias("n"), F.count_if(x.isNull()).alias("skipped"),
         F.sum(x).alias("sum"), round2(F.avg(x)).alias("average"),
         round2(F.when(F.count(x) >= 2, F.stddev_samp(x))).alias("stdev"),
@@ -142,8 +148,10 @@ def numeric_bundle(df: DataFrame, by: list[str], value: str, quartiles: bool = T
     )
     if not quartiles:
         return bundle
-    exact = exact_quantiles(df, by, value, QUARTILES)
-    if by:
+    exact = None if small else exact_quantiles(df, by, value, QUARTILES, small=False)
+    if small:
+        exact = bundle.select("*", *[F.col("__q")[i].alias(q) for i, q in enumerate(QUARTILES)]).drop("__q")
+    elif by:
         exact = join_on(bundle, exact, by, "left")
     else:
         found = exact.agg(F.struct(*[F.max(q).alias(q) for q in QUARTILES])).scalar()
@@ -263,8 +271,8 @@ def _place(df: DataFrame, order_by, width: int) -> Column:
     """Row, then column: one number where the row order is one whole number."""
     single = order_by if isinstance(order_by, str) else order_by[0] if len(order_by) == 1 else None
     if single and isinstance(df.schema[single].dataType, (T.IntegerType, T.LongType)):
-        return F.col("row").cast("decimal(38,0)") * width + F.col("m.at")
-    return F.struct("row", F.col("m.at").alias("at"))
+        return F.col("row").cast("decimal(38,0)") * width + F.col("at")
+    return F.struct("row", "at")
 
 
 def pooled_counts(
@@ -276,10 +284,6 @@ def pooled_counts(
     ``entity`` once per entity; rows without an entity count each on its own.
     Repeats inside a row are dropped before anything is shuffled.
     """
-    cell = lambda i, c: F.struct(
-        key_of(df, c).alias("key"), text_of(df, c).alias("label"), F.lit(i).alias("at"), blank_of(df, c).alias("blank")
-    )
-    first = row_order(order_by).alias("row")
     who = []
     if policy == "entity":
         blank = blank_of(df, entity)
@@ -287,16 +291,24 @@ def pooled_counts(
             F.when(~blank, key_of(df, entity)).alias("entity"),
             F.when(blank, row_order(order_by)).alias("alone"),
         ]
-    raw = F.filter(F.array(*[cell(i, c) for i, c in enumerate(columns)]), lambda x: ~x["blank"]).alias("__all")
-    rows = df.select(*who, first, raw)
-    kept = F.col("__all")
-    if policy != "occurrence":
-        kept = F.filter(
-            kept, lambda x: ~F.exists(F.col("__all"), lambda y: (y["key"] == x["key"]) & (y["at"] < x["at"]))
-        )
-    mentions = rows.select(*[c for c in rows.columns if c != "__all"], F.explode(kept).alias("m")).select(
-        *[c for c in rows.columns if c not in ("__all", "row")], F.col("m.key").alias("key"),
-        F.col("m.label").alias("label"), _place(df, order_by, len(columns)).alias("first"),
+    keyed = df.select(
+        *who, row_order(order_by).alias("row"),
+        *[F.when(~blank_of(df, c), key_of(df, c)).alias(f"k{i}") for i, c in enumerate(columns)],
+        *[text_of(df, c).alias(f"l{i}") for i, c in enumerate(columns)],
+    )
+
+    def counts(i: int) -> Column:
+        """Filled, and under a per-row policy not said by an earlier column."""
+        earlier = [] if policy == "occurrence" else [F.col(f"k{j}").eqNullSafe(F.col(f"k{i}")) for j in range(i)]
+        return reduce(and_, [~e for e in earlier], F.col(f"k{i}").isNotNull())
+
+    said = F.array(*[
+        F.struct(F.when(counts(i), F.col(f"k{i}")).alias("key"), F.col(f"l{i}").alias("label"), F.lit(i).alias("at"))
+        for i in range(len(columns))
+    ])
+    names = [c for c in ("entity", "alone") if policy == "entity"]
+    mentions = keyed.select(*names, "row", F.inline(said)).filter("key IS NOT NULL").select(
+        *names, "key", "label", _place(df, order_by, len(columns)).alias("first")
     )
     labels = mentions.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).groupBy(
         "key"

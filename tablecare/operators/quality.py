@@ -64,8 +64,8 @@ def column_facts(df: DataFrame, values: DataFrame, columns: list[str], today: st
     """
     v, n = F.col("value"), F.col("n")
     t = trimmed(v)
-    a, b, year = slash_parts(v)
     slash = t.rlike(SLASH_DATE) & ~t.rlike(ISO_PREFIX)
+    a, b, year = (F.when(slash, part) for part in slash_parts(v))
     limited = t.rlike(LIMIT_LOOSE) | t.rlike(NOT_DONE)
     number = F.coalesce(is_number_text(v) & ~is_blank(v), F.lit(False))
     unit = F.lower(F.regexp_extract(v, UNIT_WORD, 1))

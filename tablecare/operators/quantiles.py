@@ -12,10 +12,21 @@ from .cells import shared
 
 STEPS = [128, 64, 32, 16, 8, 4, 2, 1]
 CELLS = 256
+SMALL_INPUT_BYTES = 32 * 1024 * 1024
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the planner bounds the input so low that one task could hold all of it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL_INPUT_BYTES
+
+
+def small_quantiles(value: str, probs: dict[str, float]) -> Column:
+    """All quantiles in one aggregate that holds a group's distinct values; small inputs only."""
+    return F.percentile(value, F.array(*[F.lit(p) for p in probs.values()]))
 
 
 def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, probs: dict[str, float]
+    df: DataFrame, by: list[str], value: str, probs: dict[str, float], small: bool | None = None
 ) -> DataFrame:
     """Linear-interpolation quantiles (type 7) of ``value`` per ``by``, one column per prob.
 
@@ -24,7 +35,13 @@ def exact_quantiles(
     so a (group, cell) pair holds a small slice however large its group is; cell
     totals tell which cells hold the wanted ranks, and only those are sorted.
     The cut points only balance the work: ranks come from exact counts.
+
+    An input the planner sizes under 32 MB takes Spark's own exact aggregate;
+    ``small`` overrides that choice.
     """
+    if is_small(df) if small is None else small:
+        found = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(small_quantiles(value, probs).alias("__q"))
+        return found.filter("__q IS NOT NULL").select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)])
     rows = df.select(*by, value).filter(F.col(value).isNotNull())
     counted = shared(rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c")))
     cuts = counted.agg(

@@ -31,6 +31,29 @@ def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
 # --- contingency tables ------------------------------------------------------------------
 
 
+def _spelled(df: DataFrame, a: str, b: str, order_by, by: list[str]) -> DataFrame:
+    """The rows counted per segment and pair of spellings; everything else reads this."""
+    rows = df.filter(~blank_of(df, a) & ~blank_of(df, b))
+    return shared(rows.groupBy(
+        *[quoted(c) for c in by], key_of(df, a).alias("a_key"), quoted(a).alias("a_label"),
+        key_of(df, b).alias("b_key"), quoted(b).alias("b_label"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.min(row_order(order_by)).alias("first")))
+
+
+def _margin(spelled: DataFrame, side: str, by: list[str]) -> DataFrame:
+    """One row per level: its total, its first spelling and when it was first seen."""
+    return spelled.groupBy(*by, f"{side}_key").agg(
+        F.sum("n").alias(f"{side}_total"), F.min_by(f"{side}_label", "first").alias(f"{side}_label"),
+        F.min("first").alias(f"{side}_first"),
+    )
+
+
+def _with_margins(spelled: DataFrame, by: list[str]) -> DataFrame:
+    cells = spelled.groupBy(*by, "a_key", "b_key").agg(F.sum("n").alias("n"))
+    with_a = join_on(cells, _margin(spelled, "a", by), [*by, "a_key"])
+    return join_on(with_a, _margin(spelled, "b", by), [*by, "b_key"])
+
+
 def contingency_cells(df: DataFrame, a: str, b: str, order_by, by: list[str] = ()) -> DataFrame:
     """Observed cells with margins and expected counts.
 
@@ -38,24 +61,20 @@ def contingency_cells(df: DataFrame, a: str, b: str, order_by, by: list[str] = (
     segment; one grouping of the rows, margins from the grouped table.
     """
     by = list(by)
-    rows = df.filter(~blank_of(df, a) & ~blank_of(df, b))
-    spelled = shared(rows.groupBy(
-        *[quoted(c) for c in by], key_of(df, a).alias("a_key"), quoted(a).alias("a_label"),
-        key_of(df, b).alias("b_key"), quoted(b).alias("b_label"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.min(row_order(order_by)).alias("first")))
-    cells = spelled.groupBy(*by, "a_key", "b_key").agg(F.sum("n").alias("n"))
+    spelled = _spelled(df, a, b, order_by, by)
+    out, total = _with_margins(spelled, by), spelled.groupBy(*by).agg(F.sum("n").alias("total"))
+    out = join_on(out, total, by) if by else out.withColumn("total", total.select("total").scalar())
+    return out.withColumn("expected", F.col("a_total") * F.col("b_total") / F.col("total"))
 
-    def margin(side: str) -> DataFrame:
-        return spelled.groupBy(*by, f"{side}_key").agg(
-            F.sum("n").alias(f"{side}_total"), F.min_by(f"{side}_label", "first").alias(f"{side}_label"),
-            F.min("first").alias(f"{side}_first"),
-        )
 
-    out = join_on(join_on(cells, margin("a"), [*by, "a_key"]), margin("b"), [*by, "b_key"])
-    total = spelled.groupBy(*by).agg(F.sum("n").alias("total"))
-    out = join_on(out, total, by) if by else out.withColumn("total", total.select("total").scalar())
-    expected = F.col("a_total") * F.col("b_total") / F.col("total")
-    return out.withColumn("expected", expected)
+def _side(spelled: DataFrame, side: str, by: list[str]) -> DataFrame:
+    """Per segment: how many levels a side has, its rarest, its first and its last seen."""
+    key, label, first = f"{side}_key", f"{side}_label", f"{side}_first"
+    return _margin(spelled, side, by).groupBy(*by).agg(
+        F.count(F.lit(1)).alias(f"{side}_levels"), F.min(f"{side}_total").alias(f"{side}_least"),
+        F.sum(f"{side}_total").alias(f"{side}_sum"), F.min_by(key, first).alias(f"{side}_one"),
+        F.min_by(label, first).alias(f"{side}_1"), F.max_by(label, first).alias(f"{side}_2"),
+    )
 
 
 def contingency(df: DataFrame, a: str, b: str, order_by, by: list[str] = ()) -> DataFrame:
@@ -65,20 +84,14 @@ def contingency(df: DataFrame, a: str, b: str, order_by, by: list[str] = ()) ->
     o*o/e minus the total.  ``a`` of the 2 by 2 counts the levels seen first.
     """
     by = list(by)
-    cells = contingency_cells(df, a, b, order_by, by)
-    level = lambda side: cells.groupBy(*by, f"{side}_key").agg(
-        F.first(f"{side}_label").alias("label"), F.first(f"{side}_first").alias("first"), F.sum("n").alias("n")
-    ).groupBy(*by).agg(
-        F.count(F.lit(1)).alias(f"{side}_levels"), F.min("n").alias(f"{side}_least"),
-        F.min_by(f"{side}_key", "first").alias(f"{side}_one"), F.min_by("label", "first").alias(f"{side}_1"),
-        F.max_by("label", "first").alias(f"{side}_2"),
-    )
-    sides = _joined(level("a"), level("b"), by)
-    marked = join_on(cells, sides, by) if by else _joined(cells, sides, by)
+    spelled = _spelled(df, a, b, order_by, by)
+    sides = _joined(_side(spelled, "a", by), _side(spelled, "b", by), by)
+    marked = _joined(_with_margins(spelled, by), sides, by)
     in_a, in_b = F.col("a_key") == F.col("a_one"), F.col("b_key") == F.col("b_one")
     count = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    expected = F.col("a_total") * F.col("b_total") / F.col("a_sum")
     summed = marked.groupBy(*by).agg(
-        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n") / F.col("expected")) - F.sum("n")).alias("chi_square"),
+        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n") / expected) - F.sum("n")).alias("chi_square"),
         count(in_a & in_b).alias("c11"), count(in_a & ~in_b).alias("c12"),
         count(~in_a & in_b).alias("c21"), count(~in_a & ~in_b).alias("c22"),
     )

@@ -8,6 +8,7 @@ from ..operators import aggregate, ranking
 from ..operators.conditions import (
     all_of, entity_flags, equals, filter_groups_test, keep, keep_listed, missing, one_of, present, threshold,
 )
+from ..operators.quantiles import exact_quantiles
 from .base import blank, derived, fold, missing as missing_sql, num, pct, plain, r2, table, trim, with_tables
 
 STAGES = [equals("o_orderstatus", "f"), equals("o_orderpriority", " 1-urgent"), threshold("o_totalprice", ">", 100000)]
@@ -106,6 +107,17 @@ def stats_overall(spark, folder):
     )
 
 
+def quantiles_by_group(spark, folder):
+    """The distributed quantiles, whatever the input size."""
+    return exact_quantiles(
+        table(spark, folder, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p01": 0.01, "median": 0.5, "p99": 0.99}, small=False
+    )
+
+
+def quantiles_overall(spark, folder):
+    return exact_quantiles(table(spark, folder, "events"), [], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, small=False)
+
+
 def describe(spark, folder):
     return aggregate.describe(derived(spark, folder, "messy_orders"), "amount", "status", "row_id")
 
@@ -191,6 +203,7 @@ QUERIES = {
     "filter_groups": filter_groups, "preview_count": preview_count, "preview_tally": preview_tally,
     "predicates_null_negation": predicates_null_negation, "listed_rows": listed_rows, "rows_behind": rows_behind,
     "n_percent": n_percent, "stats_by_group": stats_by_group, "stats_messy": stats_messy, "stats_overall": stats_overall,
+    "quantiles_by_group": quantiles_by_group, "quantiles_overall": quantiles_overall,
     "describe": describe, "describe_duration": describe_duration, "table1": table1, "distinct_folded": distinct_folded,
     "companion_stat": companion_stat, "value_frequencies": value_frequencies, "levels": levels,
     "pooled_rank_occurrence": _pooled("occurrence"), "pooled_rank_row": _pooled("row"),
@@ -334,6 +347,9 @@ def _pool_sql(distinct):
 
 
 SQL |= {
+    "quantiles_by_group": "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.01) AS p01, quantile_cont(l_extendedprice, 0.5) AS median, "
+    "quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1",
+    "quantiles_overall": "SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events",
     "stats_by_group": "SELECT label, rows, n, skipped, round(sum, 0) AS sum, average, stdev, q1, median, q3, iqr, min, max, range FROM "
     f"(SELECT l_returnflag AS label, {_bundle('l_extendedprice')} FROM lineitem GROUP BY 1)",
     "stats_messy": with_tables(
