@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, WS_CHARS, trimmed
+from .text import MAYBE_WS, WHITESPACE, WS, WS_CHARS, trimmed
 
 # The shapes of a number, of a number with a unit word, and of a
 # result outside a measuring range.
@@ -20,7 +20,7 @@ MONEY_NOISE = "[$," + WS_CHARS + "]"
 
 
 def without_noise(c: Column) -> Column:
-    return F.regexp_replace(c, MONEY_NOISE, "")
+    return F.when(c.rlike(f"[$, {MAYBE_WS}]"), F.translate(c, "$," + WHITESPACE, "")).otherwise(c)
 
 
 def is_number_text(c: Column) -> Column:
@@ -30,12 +30,14 @@ def is_number_text(c: Column) -> Column:
 def to_number(c: Column) -> Column:
     """The readable number of a text cell, or null.
 
-    A cell that is a clean number already, the common case, is only cast.
+    A cell that is a clean number already, the common case, is only cast, and a
+    cell without a digit is never read further.
     """
     t = trimmed(c)
     unit = F.regexp_extract(t, NUMBER_GLUED_UNIT, 1)
     clean = F.when(unit != "", unit).otherwise(without_noise(t))
-    return F.when(c.rlike(NUMBER), c.try_cast("double")).when(clean.rlike(NUMBER), clean.try_cast("double"))
+    read = F.when(clean.rlike(NUMBER), clean.try_cast("double"))
+    return F.when(c.rlike(NUMBER), c.try_cast("double")).when(c.rlike("[0-9]"), read)
 
 
 def number_text(c: Column) -> Column:

@@ -16,6 +16,12 @@ SPACE_CODES = [
 WHITESPACE = "".join(map(chr, SPACE_CODES))
 WS_CHARS = "".join(f"\\x{{{code:x}}}" for code in SPACE_CODES)
 WS = "[" + WS_CHARS + "]"
+NOT_WS = "[^" + WS_CHARS + "]"
+# Quick looks that say whether a cell needs the exact rule at all: white space of
+# Latin-1, or any character wide enough to be another kind of space.
+MAYBE_WS = "\\x09-\\x0D\\xA0\\x{1680}-\\x{FFFF}"
+MAYBE_AT_EDGE = f"^[ {MAYBE_WS}]|[ {MAYBE_WS}]\\z"
+MAYBE_TO_COLLAPSE = f"  |[{MAYBE_WS}]"
 MISSING_MARKERS = ["n/a", "na", "none", "-", "."]
 
 
@@ -25,12 +31,15 @@ def quoted(name: str) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.btrim(c.cast("string"), F.lit(WHITESPACE))
+    """Without white space at both ends; most cells have none and are only looked at."""
+    t = c.cast("string")
+    return F.when(t.rlike(MAYBE_AT_EDGE), F.btrim(t, F.lit(WHITESPACE))).otherwise(t)
 
 
 def fold_key(c: Column) -> Column:
     """Trim, lower-case, and collapse runs of white space (F1)."""
-    return F.regexp_replace(F.lower(trimmed(c)), WS + "+", " ")
+    low = F.lower(trimmed(c))
+    return F.when(low.rlike(MAYBE_TO_COLLAPSE), F.regexp_replace(low, WS + "+", " ")).otherwise(low)
 
 
 def entity_key(c: Column) -> Column:
@@ -44,7 +53,7 @@ def column_key(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return F.coalesce(trimmed(c) == "", F.lit(True))
+    return F.coalesce(~c.cast("string").rlike(NOT_WS), F.lit(True))
 
 
 def is_missing(c: Column) -> Column:

@@ -12,7 +12,7 @@ from .cells import shared
 
 STEPS = [128, 64, 32, 16, 8, 4, 2, 1]
 CELLS = 256
-SMALL_INPUT_BYTES = 32 * 1024 * 1024
+SMALL_INPUT_BYTES = 4 * 1024 * 1024
 
 
 def is_small(df: DataFrame) -> bool:
@@ -36,7 +36,7 @@ def exact_quantiles(
     totals tell which cells hold the wanted ranks, and only those are sorted.
     The cut points only balance the work: ranks come from exact counts.
 
-    An input the planner sizes under 32 MB takes Spark's own exact aggregate;
+    An input the planner sizes under 4 MB takes Spark's own exact aggregate;
     ``small`` overrides that choice.
     """
     if is_small(df) if small is None else small:
