@@ -33,9 +33,8 @@ def to_number(c: Column) -> Column:
     A cell that is a clean number already, the common case, is only cast, and a
     cell without a digit is never read further.
     """
-    t = trimmed(c)
-    unit = F.regexp_extract(t, NUMBER_GLUED_UNIT, 1)
-    clean = F.when(unit != "", unit).otherwise(without_noise(t))
+    unit = F.regexp_extract(F.btrim(c, F.lit(WHITESPACE)), NUMBER_GLUED_UNIT, 1)
+    clean = F.when(unit != "", unit).otherwise(without_noise(c))
     read = F.when(clean.rlike(NUMBER), clean.try_cast("double"))
     return F.when(c.rlike(NUMBER), c.try_cast("double")).when(c.rlike("[0-9]"), read)
 
