@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sharding
+from . import bpe, chat, decontaminate, sharding
 from .common import table, utf8_size
 
 
@@ -51,6 +51,62 @@ FROM whole
 """
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Which words of each document lie in windows of 10 benchmark words, and of which items."""
+    found = decontaminate.find_windows(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"), keep=["doc_id"]
+    )
+    return found.select(
+        "doc_id", "n_words", decontaminate.hit_words(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP2_SQL = f"""
+WITH items AS (SELECT item_id, {_words_sql('text')} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i + 1 : i + least(10, len(w))], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(len(w) - least(10, len(w)) + 1)) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT doc_id, {_words_sql('text')} AS w FROM documents),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS i
+        FROM docs, (SELECT DISTINCT n FROM windows) AS lengths WHERE len(w) >= n)),
+found AS (SELECT doc_id, p.n, i, item_id FROM places AS p JOIN windows AS x ON p.n = x.n AND p.win = x.win),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public vocabulary file, which the package that brings it knows."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document and the text decoded from them, as digests."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = bpe.round_trip(docs, tokenizer_path(WORD_BPE), keep=["doc_id"])
+    return done.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 8 shards of equal row counts and equal mixture (law ``rows``)."""
     text = F.col("text")
@@ -99,6 +155,12 @@ FROM cut
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_decontamination": op2_decontamination,
+    "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
 }
-SQL = {"op1_chat_formatting": OP1_SQL, "op10_sharding": OP10_SQL}
+SQL = {
+    "op1_chat_formatting": OP1_SQL,
+    "op2_decontamination": OP2_SQL,
+    "op10_sharding": OP10_SQL,
+}
