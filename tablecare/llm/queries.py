@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, sharding
+from . import bpe, chat, decontaminate, linededup, sharding, simhash
 from .common import table, utf8_size
 
 
@@ -87,6 +87,49 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    found = simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("group").alias("component_id")
+    )
+
+
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document less the three-line windows that occur before it, and the removed lines."""
+    done = linededup.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    span = F.transform("removed", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
+    return done.select("doc_id", "text", "n_lines", "n_removed", F.array_join(span, ",").alias("removed"))
+
+
+OP8_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS at_line
+  FROM documents WHERE text IS NOT NULL),
+counted AS (
+  SELECT doc_id, at_line, trim(line) AS said, row_number() OVER (PARTITION BY doc_id ORDER BY at_line) - 1 AS c
+  FROM lines WHERE trim(line) <> ''),
+windows AS (
+  SELECT a.doc_id, a.c, a.said || chr(10) || b.said || chr(10) || d.said AS win
+  FROM counted AS a JOIN counted AS b ON a.doc_id = b.doc_id AND b.c = a.c + 1
+  JOIN counted AS d ON a.doc_id = d.doc_id AND d.c = a.c + 2),
+later AS (SELECT doc_id, c FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, c) AS nth FROM windows) WHERE nth > 1),
+gone AS (
+  SELECT DISTINCT k.doc_id, k.at_line FROM later AS l JOIN counted AS k ON k.doc_id = l.doc_id AND k.c BETWEEN l.c AND l.c + 2),
+runs AS (
+  SELECT doc_id, min(at_line) AS a, max(at_line) + 1 AS b
+  FROM (SELECT *, at_line - row_number() OVER (PARTITION BY doc_id ORDER BY at_line) AS run FROM gone) GROUP BY doc_id, run),
+spans AS (
+  SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed, CAST(sum(b - a) AS BIGINT) AS n_removed FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY at_line) FILTER (WHERE g.at_line IS NULL) AS text
+  FROM lines LEFT JOIN gone AS g USING (doc_id, at_line) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents AS d LEFT JOIN kept AS k USING (doc_id) LEFT JOIN spans USING (doc_id)
+"""
+
+
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -156,11 +199,14 @@ FROM cut
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
+    "op6_simhash": op6_simhash,
+    "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
 }
 SQL = {
     "op1_chat_formatting": OP1_SQL,
     "op2_decontamination": OP2_SQL,
+    "op8_line_dedup": OP8_SQL,
     "op10_sharding": OP10_SQL,
 }
