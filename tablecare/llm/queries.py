@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, linededup, sharding, simhash
+from . import bpe, chat, decontaminate, linededup, secrets, sharding, simhash
 from .common import table, utf8_size
 
 
@@ -87,6 +87,16 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document: spans of the fixed patterns and of random-looking tokens."""
+    found = secrets.find_secrets(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    base = F.col("base")
+    return found.select(
+        "doc_id", *[secrets.number_of(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     found = simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
@@ -199,6 +209,7 @@ FROM cut
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
+    "op3_secrets": op3_secrets,
     "op6_simhash": op6_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
