@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, linededup, secrets, sharding, simhash
+from . import bpe, chat, decontaminate, html, linededup, secrets, sharding, simhash, topk
 from .common import table, utf8_size
 
 
@@ -97,6 +97,31 @@ def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 highest integer inner products of every 50th vector with all other vectors."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+OP4_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER () AS r
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, q.r, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM whole AS q, whole AS c WHERE q.vec_id % 50 = 0 AND q.r <> c.r),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op5_html(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, folder, "pages").select("page_id", "url", "html"), ["page_id", "url"])
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     found = simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
@@ -210,6 +235,8 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
     "op3_secrets": op3_secrets,
+    "op4_topk": op4_topk,
+    "op5_html": op5_html,
     "op6_simhash": op6_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
@@ -218,6 +245,7 @@ QUERIES = {
 SQL = {
     "op1_chat_formatting": OP1_SQL,
     "op2_decontamination": OP2_SQL,
+    "op4_topk": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_sharding": OP10_SQL,
 }
