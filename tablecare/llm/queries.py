@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, linededup, secrets, sharding, simhash, topk
+from . import bpe, chat, decontaminate, html, langid, linededup, secrets, sharding, simhash, topk
 from .common import table, utf8_size
 
 
@@ -130,6 +130,13 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The predicted language of every document, learned from rows that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs), ["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document less the three-line windows that occur before it, and the removed lines."""
     done = linededup.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
@@ -238,6 +245,7 @@ QUERIES = {
     "op4_topk": op4_topk,
     "op5_html": op5_html,
     "op6_simhash": op6_simhash,
+    "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,

@@ -188,11 +188,29 @@ def classes_of(fps: DataFrame, limit: int = DISTANCE) -> DataFrame:
     return rooted(stored(first.unionByName(searched_links(begun, limit))))
 
 
+def rooted_rows(docs: DataFrame, key: str, text: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(key, digest, fp) of every row, and (fp, root) of every fingerprint; both stored."""
+    digested = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("digest"), F.col(f"`{text}`").alias("text"))
+    marked = stored(fingerprints(digested, ["key", "digest"], "text", "fp"))
+    return marked, stored(classes_of(marked, limit))
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = DISTANCE) -> DataFrame:
     """One row per document: ``key``, its fingerprint ``fp`` and ``group``, the least key of its group."""
-    marked = stored(fingerprints(docs, [key], text, "fp"))
-    roots = stored(classes_of(marked, limit))
-    named = marked.groupBy("fp").agg(F.min(F.col(f"`{key}`")).alias("least")).join(roots, "fp")
+    marked, roots = rooted_rows(docs, key, text, limit)
+    named = marked.groupBy("fp").agg(F.min("key").alias("least")).join(roots, "fp")
     least = named.groupBy("root").agg(F.min("least").alias("group"))
     by_print = roots.join(least, "root").select(F.col("fp").alias("__fp"), "group")
-    return marked.join(by_print, marked["fp"] == by_print["__fp"]).select(F.col(f"`{key}`"), "fp", "group")
+    return marked.join(by_print, marked["fp"] == by_print["__fp"]).select(F.col("key").alias(key), "fp", "group")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = DISTANCE) -> DataFrame:
+    """The row of ``docs`` with the least key of each group (null keys last, then the least text digest)."""
+    marked, roots = rooted_rows(docs, key, text, limit)
+    place = F.struct(F.col("key").isNull().alias("absent"), "key", "digest")
+    by_print = marked.groupBy("fp").agg(F.min(place).alias("first")).join(roots, "fp")
+    first = by_print.groupBy("root").agg(F.min("first").alias("first"))
+    chosen = first.select(F.col("first.key").alias("__key"), F.col("first.digest").alias("__digest"))
+    met = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__digest"))
+    # A group has one such key and digest; rows that repeat both are copies of it.
+    return docs.join(chosen, met).dropDuplicates(["__key", "__digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
