@@ -117,7 +117,7 @@ def record_paths(record: Column, depth: int = 3) -> Column:
 
         def field_paths(key: Column) -> Column:
             path = named(key)
-            held = F.get_json_object(value, F.concat(F.lit("$['"), key, F.lit("']")))
+            held = F.call_function("get_json_object", value, F.concat(F.lit("$['"), key, F.lit("']")))
             parts = F.coalesce(F.from_json(held, "array<string>"), none)
             listed = F.flatten(F.transform(parts, lambda p: below(p, F.concat(path, F.lit("[]")), left - 1)))
             inner = F.when(held.startswith("["), listed).when(held.startswith("{"), below(held, path, left - 1))
