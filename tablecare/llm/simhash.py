@@ -5,10 +5,14 @@ words, repeats included, is hashed (XXH64, seed 42), and a bit of the 64-bit
 fingerprint is 1 when it is set in more than half the hashes.  Documents link when
 their fingerprints differ in at most ``DISTANCE`` bits; groups are what links connect.
 
-Multi-index hashing: the fingerprint is cut into segments.  With 4 differing bits in 3
-segments, one of the first two segments differs in at most 1 bit or the last one in
-none.  So each fingerprint looks up a small Hamming ball (radius 1 or 0) of keys in
-each segment's table and the whole distance is verified for what it meets.
+Multi-index hashing: the fingerprint is cut into ``BLOCKS`` = 6 blocks, and every three
+blocks together are a segment of about 32 bits with a table of its own.  Of 4 differing
+bits, either three blocks have none, and the segments of all 20 triples are looked up as
+they are; or exactly two blocks have none and the others one each.  For the second case
+every two blocks choose a third, and the Hamming ball of radius 1 in that block is
+looked up in their triple's table.  One of two fingerprints has a 0 where they differ,
+so a ball only turns 0 into 1.  The whole distance is verified for whatever is met.
+Keys of 32 bits keep chance meetings rare up to some 10^10 fingerprints.
 
 Nothing grows with the square of a group:
 
@@ -30,7 +34,7 @@ empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +48,7 @@ from .components import connected
 
 SHINGLE = 4
 DISTANCE = 4
-SEGMENTS = 3
+BLOCKS = 6
 SEED = 42
 CHUNK = 1 << 16
 
@@ -99,26 +103,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def segment_masks(segments: int = SEGMENTS) -> list[int]:
-    """The 64 bits cut into nearly equal segments."""
-    edges = [64 * i // segments for i in range(segments + 1)]
+def block_masks(blocks: int = BLOCKS) -> list[int]:
+    """The 64 bits cut into nearly equal blocks."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
 
 
-def radii(limit: int = DISTANCE, segments: int = SEGMENTS) -> list[int]:
-    """The ball radius per segment that finds every pair within ``limit`` (-1: no lookup)."""
-    least, rest = divmod(limit, segments)
-    return [least if i <= rest else least - 1 for i in range(segments)]
+def segments(limit: int = DISTANCE, blocks: int = BLOCKS) -> tuple[list[int], list[tuple[int, int]]]:
+    """The masks of all segments, and the lookups (segment number, flipped bit or 0) that find every close pair.
 
-
-def ball(mask: int, radius: int) -> list[int]:
-    """All patterns of at most ``radius`` flipped bits inside a mask."""
-    bits = [1 << i for i in range(64) if mask >> i & 1]
-    found, last = {0}, {0}
-    for _ in range(radius):
-        last = {x | b for x in last for b in bits if not x & b}
-        found |= last
-    return sorted(found) if radius >= 0 else []
+    A segment is ``blocks - limit + 1`` blocks.  Either that many blocks are equal, or
+    just one fewer are and each other block differs in one bit.
+    """
+    masks, size = block_masks(blocks), blocks - limit + 1
+    chosen = list(combinations(range(blocks), size))
+    lookups = [(i, 0) for i in range(len(chosen))]
+    for equal in combinations(range(blocks), size - 1):
+        third = next(b for b in range(blocks) if b not in equal)
+        number = chosen.index(tuple(sorted([*equal, third])))
+        lookups += [(number, 1 << bit) for bit in range(64) if masks[third] >> bit & 1]
+    return [sum(masks[b] for b in c) for c in chosen], lookups
 
 
 def sorted_links(fps: DataFrame, limit: int = DISTANCE, rotations: int = 4, ahead: int = 2) -> DataFrame:
@@ -151,18 +155,17 @@ def sorted_links(fps: DataFrame, limit: int = DISTANCE, rotations: int = 4, ahea
     return out.distinct()
 
 
-def searched_links(classes: DataFrame, limit: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """Links (a, b) between fingerprints of different classes; ``classes`` has (fp, root)."""
-    masks, reach = segment_masks(segments), radii(limit, segments)
+def searched_links(classes: DataFrame, limit: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """Links (a, b) that join all close classes; ``classes`` has (fp, root), at most one link for a fp and a root."""
+    masks, asked = segments(limit, blocks)
     tables = F.array(*[F.struct(F.lit(i).alias("seg"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)])
     probes = F.array(*[
-        F.struct(F.lit(i).alias("seg"), F.lit(_signed(m)).alias("mask"), F.lit(_signed(flip)).alias("flip"))
-        for i, (m, r) in enumerate(zip(masks, reach)) for flip in ball(m, r)
+        F.struct(F.lit(i).alias("seg"), F.lit(_signed(masks[i])).alias("mask"), F.lit(_signed(flip)).alias("flip")) for i, flip in asked
     ])
     members = classes.select(F.col("fp").alias("b"), F.col("root").alias("b_root"), F.explode(tables).alias("t"))
     members = members.select("b", "b_root", F.col("t.seg").alias("seg"), F.col("b").bitwiseAND(F.col("t.mask")).alias("key"))
     lookups = classes.select(F.col("fp").alias("a"), F.col("root").alias("a_root"), F.explode(probes).alias("p"))
-    lookups = lookups.select(
+    lookups = lookups.filter(F.col("a").bitwiseAND(F.col("p.flip")) == 0).select(
         "a", "a_root", F.col("p.seg").alias("seg"),
         F.col("a").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")).alias("key"),
     )
@@ -170,7 +173,7 @@ def searched_links(classes: DataFrame, limit: int = DISTANCE, segments: int = SE
     mixed = lookups.join(buckets, ["seg", "key"]).filter((F.col("low") != F.col("a_root")) | (F.col("high") != F.col("a_root")))
     met = mixed.drop("low", "high").join(members, ["seg", "key"])
     near = met.filter((F.col("a_root") != F.col("b_root")) & (distance(F.col("a"), F.col("b")) <= limit))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return near.groupBy("a", "b_root").agg(F.min("b").alias("b")).select("a", "b")
 
 
 def classes_of(fps: DataFrame, limit: int = DISTANCE) -> DataFrame:

@@ -42,15 +42,15 @@ def test_fingerprint(text):
     assert s.fingerprint(text) == plain_fingerprint(text)
 
 
-@pytest.mark.parametrize("limit, segments", [(4, 3), (4, 4), (3, 3), (4, 2), (5, 3)])
-def test_balls_meet_every_close_pair(limit, segments):
+@pytest.mark.parametrize("limit, blocks", [(4, 6), (4, 5), (4, 4), (3, 5), (5, 7)])
+def test_lookups_meet_every_close_pair(limit, blocks):
     rng = random.Random(9)
-    masks, reach = s.segment_masks(segments), s.radii(limit, segments)
-    assert sum(masks) == 2**64 - 1
-    for _ in range(2000):
-        flips = sum(1 << b for b in rng.sample(range(64), limit))
-        assert any(r >= 0 and (flips & m).bit_count() <= r for m, r in zip(masks, reach))
-    assert len(s.ball(0b111, 1)) == 4 and len(s.ball(0b111, 2)) == 7 and s.ball(0b111, -1) == []
+    masks, lookups = s.segments(limit, blocks)
+    assert sum(s.block_masks(blocks)) == 2**64 - 1
+    for _ in range(1500):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << bit for bit in rng.sample(range(64), rng.randint(0, limit)))
+        assert any(not x & f and (x & masks[i]) ^ f == y & masks[i] for i, f in lookups for x, y in ((a, b), (b, a)))
 
 
 def clustered(rng, clusters, size):
@@ -72,7 +72,7 @@ def test_classes_against_all_pairs(spark):
 
 def test_the_search_alone_finds_all(spark):
     fps = sorted(set(clustered(random.Random(8), 8, 25)))
-    links = {tuple(r) for r in s.searched_links(spark.createDataFrame([(f, f) for f in fps], "fp long, root long")).collect()}
+    links = {tuple(sorted(r)) for r in s.searched_links(spark.createDataFrame([(f, f) for f in fps], "fp long, root long")).collect()}
     wanted = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4}
     assert links == wanted
 
