@@ -13,9 +13,9 @@ from ..functions import formats
 from ..functions.numbers import round2, share
 from ..functions.text import fold_key, is_blank, quoted
 from ..functions.units import column_unit, duration_label
-from .cells import blank_of, cells, is_numeric, is_text, join_on, key_of, number_of, row_order, text_of
+from .cells import blank_of, cells, is_numeric, is_text, join_on, key_of, number_of, row_order, shared, text_of
 from .conditions import Condition, all_of, entity_flags, keep, keep_groups
-from .quantiles import exact_quantiles, is_small, small_quantiles
+from .quantiles import CELLS, counted_values, cut_points, quantiles_of
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 STATISTICS = ("sum", "average", "median", "quartiles", "stdev", "min", "max", "range", "distinct")
@@ -24,15 +24,17 @@ STATISTICS = ("sum", "average", "median", "quartiles", "stdev", "min", "max", "r
 # --- labels and counts ---------------------------------------------------------
 
 
-def value_counts(df: DataFrame, column: str, order_by, by: list[str] = ()) -> DataFrame:
+def value_counts(df: DataFrame, column: str, order_by, by: list[str] = (), blanks: bool = False) -> DataFrame:
     """Non-blank values folded to one key: ``key, label, n, first``.
 
     The label is the spelling seen first.  Raw spellings are counted before the
     shuffle, so only one row per spelling and task moves, however common it is.
+    ``blanks`` adds the count of blank cells under a null key.
     """
-    raw = df.filter(~blank_of(df, column)).select(
-        *[quoted(b) for b in by], key_of(df, column).alias("key"), quoted(column).alias("label"),
-        row_order(order_by).alias("first"),
+    filled = ~blank_of(df, column)
+    raw = (df if blanks else df.filter(filled)).select(
+        *[quoted(b) for b in by], F.when(filled, key_of(df, column)).alias("key"),
+        F.when(filled, quoted(column)).alias("label"), row_order(order_by).alias("first"),
     )
     spelled = raw.groupBy(*by, "key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
     if not is_text(df, column):
@@ -122,36 +124,55 @@ def last_stage_text(stages: DataFrame) -> DataFrame:
 def group_share(df: DataFrame, column: str, order_by, conditions: list[Condition] = ()) -> DataFrame:
     """Count and share per value; the share is of all filtered rows (A3)."""
     rows = keep(df, list(conditions))
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    return value_counts(rows, column, order_by).select(
-        "label", "n", share(F.col("n"), total).alias("share_pct"), "first"
-    )
+    counts = shared(value_counts(rows, column, order_by, blanks=True))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    percent = F.when(F.col("key").isNotNull(), share(F.col("n"), total))
+    return counts.withColumn("share_pct", percent).filter("share_pct IS NOT NULL").select("label", "n", "share_pct", "first")
 
 
 # --- statistics -----------------------------------------------------------------
 
 
+def _steady_sum(x: Column, times: Column | None = None) -> Column:
+    """The sum, in decimal where every number has at most six decimals, so row order cannot show in it."""
+    exact = x.try_cast("decimal(20,6)")
+    plain, weighted = (x, exact) if times is None else (x * times, exact * times.cast("decimal(17,0)"))
+    steady = F.bool_and(x.isNull() | F.coalesce(exact.cast("double") == x, F.lit(False)))
+    return F.when(steady, F.sum(weighted).cast("double")).otherwise(F.sum(plain))
+
+
 def numeric_bundle(df: DataFrame, by: list[str], value: str, quartiles: bool = True) -> DataFrame:
     """Every statistic of the readable numbers in ``value`` per ``by``.
 
-    ``value`` is already numeric.  No readable number gives nulls, never 0.
+    ``value`` is already numeric.  No readable number gives nulls, never 0.  With
+    quartiles all statistics come from one count of the distinct values.
     """
     x = F.col(value)
-    small = quartiles and is_small(df)
-    extra = [small_quantiles(value, QUARTILES).alias("__q")] if small else []
-    bundle = df.groupBy(*by).agg(
-        *extra,
-        F.count(F.lit(1)).alias("rows"), F.count(x).alias("n"), F.count_if(x.isNull()).alias("skipped"),
-        F.sum(x).alias("sum"), round2(F.avg(x)).alias("average"),
-        round2(F.when(F.count(x) >= 2, F.stddev_samp(x))).alias("stdev"),
-        F.min(x).alias("min"), F.max(x).alias("max"), round2(F.max(x) - F.min(x)).alias("range"),
-    )
     if not quartiles:
-        return bundle
-    exact = None if small else exact_quantiles(df, by, value, QUARTILES, small=False)
-    if small:
-        exact = bundle.select("*", *[F.col("__q")[i].alias(q) for i, q in enumerate(QUARTILES)]).drop("__q")
-    elif by:
+        return df.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("rows"), F.count(x).alias("n"), F.count_if(x.isNull()).alias("skipped"),
+            _steady_sum(x).alias("sum"), round2(F.avg(x)).alias("average"),
+            round2(F.when(F.count(x) >= 2, F.stddev_samp(x))).alias("stdev"),
+            F.min(x).alias("min"), F.max(x).alias("max"), round2(F.max(x) - F.min(x)).alias("range"),
+        )
+    counted = counted_values(df, by, value)
+    cuts = cut_points(counted, value)
+    # Deviations are taken from a middle value of all rows, which keeps their squares small.
+    times, apart = F.col("__c"), x - F.coalesce(F.get(cuts, F.lit(CELLS // 2 - 1)), F.lit(0.0))
+    sums = counted.groupBy(*by).agg(
+        F.sum(times).alias("rows"), F.coalesce(F.sum(F.when(x.isNotNull(), times)), F.lit(0)).alias("n"),
+        _steady_sum(x, times).alias("sum"), F.min(x).alias("min"), F.max(x).alias("max"),
+        F.sum(apart * times).alias("__s"), F.sum(apart * apart * times).alias("__q"),
+    )
+    variance = F.greatest((F.col("__q") - F.col("__s") * F.col("__s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))
+    bundle = sums.select(
+        *by, "rows", "n", (F.col("rows") - F.col("n")).alias("skipped"), "sum",
+        round2(F.col("sum") / F.when(F.col("n") > 0, F.col("n"))).alias("average"),
+        round2(F.when(F.col("n") >= 2, F.sqrt(variance))).alias("stdev"),
+        "min", "max", round2(F.col("max") - F.col("min")).alias("range"),
+    )
+    exact = quantiles_of(counted, cuts, by, value, QUARTILES)
+    if by:
         exact = join_on(bundle, exact, by, "left")
     else:
         found = exact.agg(F.struct(*[F.max(q).alias(q) for q in QUARTILES])).scalar()

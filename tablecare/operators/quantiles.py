@@ -10,43 +10,39 @@ from pyspark.sql import functions as F
 
 from .cells import shared
 
-STEPS = [128, 64, 32, 16, 8, 4, 2, 1]
-CELLS = 256
-SMALL_INPUT_BYTES = 4 * 1024 * 1024
+CELLS = 4096
+STEPS = [CELLS >> i for i in range(1, CELLS.bit_length())]
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether the planner bounds the input so low that one task could hold all of it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL_INPUT_BYTES
+def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Every distinct value per ``by`` with its number of rows ``__c``: the one shuffle over the rows.
 
+    Null is a value of its own here, so that one count serves every statistic.
+    """
+    return shared(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c")))
+
+
+def cut_points(counted: DataFrame, value: str) -> Column:
+    """Values that cut the counted values into cells of nearly equal size, as one scalar array."""
+    cuts = F.percentile_approx(value, [i / CELLS for i in range(1, CELLS)], 10 * CELLS)
+    return counted.agg(cuts.alias("cuts")).select("cuts").scalar()
 
-def small_quantiles(value: str, probs: dict[str, float]) -> Column:
-    """All quantiles in one aggregate that holds a group's distinct values; small inputs only."""
-    return F.percentile(value, F.array(*[F.lit(p) for p in probs.values()]))
 
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linear-interpolation quantiles (type 7) of ``value`` per ``by``, one column per prob."""
+    counted = counted_values(df, by, value)
+    return quantiles_of(counted, cut_points(counted, value), by, value, probs)
 
-def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, probs: dict[str, float], small: bool | None = None
-) -> DataFrame:
-    """Linear-interpolation quantiles (type 7) of ``value`` per ``by``, one column per prob.
 
-    Equal values are counted before the shuffle, the only one over the rows.  The
-    counted values are cut into cells by approximate quantiles over all groups,
+def quantiles_of(counted: DataFrame, cuts: Column, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """The quantiles of counted values; a group without a value has no row.
+
+    The counted values are cut into cells by approximate quantiles over all groups,
     so a (group, cell) pair holds a small slice however large its group is; cell
     totals tell which cells hold the wanted ranks, and only those are sorted.
     The cut points only balance the work: ranks come from exact counts.
-
-    An input the planner sizes under 4 MB takes Spark's own exact aggregate;
-    ``small`` overrides that choice.
     """
-    if is_small(df) if small is None else small:
-        found = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(small_quantiles(value, probs).alias("__q"))
-        return found.filter("__q IS NOT NULL").select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)])
-    rows = df.select(*by, value).filter(F.col(value).isNotNull())
-    counted = shared(rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c")))
-    cuts = counted.agg(
-        F.percentile_approx(value, [i / CELLS for i in range(1, CELLS)], 10_000).alias("cuts")
-    ).select("cuts").scalar()
+    counted = counted.withColumn("__c", F.when(F.col(value).isNotNull(), F.col("__c")).otherwise(F.lit(0)))
     counted = _with_cell(counted.withColumn("__cuts", cuts), value).drop("__cuts")
     up_to = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = (

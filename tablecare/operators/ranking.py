@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.numbers import share
 from ..functions.text import quoted
 from .aggregate import pooled_counts, value_counts
-from .cells import blank_of, is_text, key_of, number_of, row_order
+from .cells import blank_of, is_text, key_of, number_of, row_order, shared
 from .conditions import Condition, keep
 from .numbering import number_rows
 
 
-def top_with_ties(df: DataFrame, value: str, n: int | None, least: bool = False) -> DataFrame:
-    """The ``n`` best rows and every row tied with the last of them.
+def top_with_ties(
+    df: DataFrame, value: str, n: int | None, least: bool = False, whole: Column | None = None
+) -> DataFrame:
+    """The ``n`` best rows and every row tied with the last of them (W2); all rows where ``whole`` holds.
 
     The cutoff is found by a top-n that keeps ``n`` rows per task, and applied
     as a filter, so ties of any number stay spread over the cluster.
@@ -23,7 +25,8 @@ def top_with_ties(df: DataFrame, value: str, n: int | None, least: bool = False)
         return df
     best = df.select(value).orderBy(F.asc(value) if least else F.desc(value)).limit(n)
     cutoff = best.agg(F.max(value) if least else F.min(value)).scalar()
-    return df.filter(F.col(value) <= cutoff if least else F.col(value) >= cutoff)
+    good = F.col(value) <= cutoff if least else F.col(value) >= cutoff
+    return df.filter(good if whole is None else good | whole)
 
 
 def _best_first(value: str, least: bool) -> list[Column]:
@@ -36,8 +39,8 @@ def top_frequency(
 ) -> DataFrame:
     """Most or least common values, n (%) of the rows that have one."""
     rows = keep(df, list(conditions))
-    counts = value_counts(rows, column, order_by)
-    filled = rows.agg(F.count_if(~blank_of(rows, column))).scalar()
+    counts = shared(value_counts(rows, column, order_by))
+    filled = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     ranked = top_with_ties(counts, "n", n, least)
     return ranked.select("label", "n", share(F.col("n"), filled).alias("share_pct"), "first").orderBy(
         *_best_first("n", least)

@@ -91,7 +91,7 @@ def stats_by_group(spark, folder):
     return aggregate.summarise(
         table(spark, folder, "lineitem"), "l_extendedprice",
         ["sum", "average", "stdev", "quartiles", "min", "max", "range"], "l_returnflag", ["l_orderkey", "l_linenumber"],
-    ).drop("first").withColumn("sum", F.round("sum", 0))
+    ).drop("first")
 
 
 def stats_messy(spark, folder):
@@ -110,12 +110,12 @@ def stats_overall(spark, folder):
 def quantiles_by_group(spark, folder):
     """The distributed quantiles, whatever the input size."""
     return exact_quantiles(
-        table(spark, folder, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p01": 0.01, "median": 0.5, "p99": 0.99}, small=False
+        table(spark, folder, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p01": 0.01, "median": 0.5, "p99": 0.99}
     )
 
 
 def quantiles_overall(spark, folder):
-    return exact_quantiles(table(spark, folder, "events"), [], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, small=False)
+    return exact_quantiles(table(spark, folder, "events"), [], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
 
 
 def describe(spark, folder):
@@ -289,7 +289,7 @@ SQL = {
 
 def _bundle(x):
     return (
-        f"count(*) AS rows, count({x}) AS n, count(*) - count({x}) AS skipped, sum({x}) AS sum, {r2(f'avg({x})')} AS average, "
+        f"count(*) AS rows, count({x}) AS n, count(*) - count({x}) AS skipped, CAST(sum(CAST({x} AS DECIMAL(20,6))) AS DOUBLE) AS sum, {r2(f'avg({x})')} AS average, "
         f"{r2(f'stddev_samp({x})')} AS stdev, {r2(f'quantile_cont({x}, 0.25)')} AS q1, {r2(f'quantile_cont({x}, 0.5)')} AS median, "
         f"{r2(f'quantile_cont({x}, 0.75)')} AS q3, {r2(f'quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)')} AS iqr, "
         f"min({x}) AS min, max({x}) AS max, {r2(f'max({x}) - min({x})')} AS range"
@@ -350,7 +350,7 @@ SQL |= {
     "quantiles_by_group": "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.01) AS p01, quantile_cont(l_extendedprice, 0.5) AS median, "
     "quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1",
     "quantiles_overall": "SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events",
-    "stats_by_group": "SELECT label, rows, n, skipped, round(sum, 0) AS sum, average, stdev, q1, median, q3, iqr, min, max, range FROM "
+    "stats_by_group": "SELECT label, rows, n, skipped, sum, average, stdev, q1, median, q3, iqr, min, max, range FROM "
     f"(SELECT l_returnflag AS label, {_bundle('l_extendedprice')} FROM lineitem GROUP BY 1)",
     "stats_messy": with_tables(
         f"SELECT arg_min(priority, row_id) AS label, {_bundle('x')}, "

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tablecare.operators import aggregate, quantiles, ranking
+from tablecare.operators import aggregate, ranking
 from tablecare.operators.conditions import (
     Condition, Definition, definition_flags, entity_flags, equals, keep, keep_groups, keep_listed, missing, one_of, present, threshold,
 )
@@ -87,9 +87,8 @@ def test_labels_are_first_seen_whatever_the_partitions(frame):
 ])
 def test_quartiles_interpolate(spark, values, want):
     df = spark.createDataFrame([("a", float(v)) for v in values], "g string, x double")
-    for small in (True, False):
-        got = [tuple(r)[1:] for r in exact_quantiles(df, ["g"], "x", aggregate.QUARTILES, small).collect()]
-        assert got == ([want] if want else [])
+    got = [tuple(r)[1:] for r in exact_quantiles(df, ["g"], "x", aggregate.QUARTILES).collect()]
+    assert got == ([want] if want else [])
 
 
 def test_quartiles_are_exact_under_heavy_skew(spark):
@@ -99,15 +98,25 @@ def test_quartiles_are_exact_under_heavy_skew(spark):
         "CASE WHEN id % 3 = 0 THEN 7.0D ELSE (id * 7919 % 30011) / 3.0D END AS x",
     )
     probs = {"low": 0.001, "q1": 0.25, "median": 0.5, "high": 0.999}
-    got = {r["g"]: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "x", probs, small=False).collect()}
+    got = {r["g"]: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "x", probs).collect()}
     frame = df.toPandas()
     for group, values in frame.groupby("g")["x"]:
         assert got[group] == pytest.approx([values.quantile(p) for p in probs.values()], abs=1e-9)
 
 
-@pytest.mark.parametrize("limit", [0, 2**40])
-def test_statistics_of_messy_numbers(frame, monkeypatch, limit):
-    monkeypatch.setattr(quantiles, "SMALL_INPUT_BYTES", limit)
+def test_sums_do_not_depend_on_the_row_order(spark):
+    values = [0.1, 1e12, -1e12, 0.2, 0.3, 33333.33] * 50
+    sums = set()
+    for partitions in (1, 3, 7):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, x double").repartition(partitions, "i")
+        for quartiles in (True, False):
+            sums.add(aggregate.numeric_bundle(df, [], "x", quartiles).first()["sum"])
+    assert sums == {50 * 33333.33 + 30}
+    tiny = spark.createDataFrame([(1e-12,), (2e-12,)], "x double")
+    assert aggregate.numeric_bundle(tiny, [], "x").first()["sum"] == pytest.approx(3e-12)
+
+
+def test_statistics_of_messy_numbers(frame):
     df = frame("Duration_days", [("10",), ("6",), ("5",), ("N/A",), ("3",)])
     s = aggregate.summarise(df, "Duration_days", ["sum", "average", "quartiles", "stdev", "min", "max", "range"]).first()
     assert (s["n"], s["skipped"], s["sum"], s["average"], s["stdev"]) == (4, 1, 24.0, 6.0, 2.94)
