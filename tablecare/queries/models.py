@@ -112,13 +112,15 @@ def mean_diff_ci(spark, folder):
 
 
 def tail_probabilities(spark, folder):
-    """Tails with the degrees of freedom that have a closed form."""
+    """Tails with the degrees of freedom that have a closed form, and large ones beside their expansions."""
     facts = table(spark, folder, "events").groupBy("user_id").agg(F.avg("value").alias("m"))
     at = lambda x, df: (x, F.lit(float(df)))
     chi, t = F.col("m") / 20, F.col("m") / 30
     return facts.select(
         "user_id", *[F.round(chi_square_p(*at(chi, d)), 10).alias(f"chi_{d}") for d in (2, 4)],
         *[F.round(t_p(*at(t, d)), 10).alias(f"t_{d}") for d in (1, 2, 4)], F.round(normal_p(t), 7).alias("z"),
+        *[F.round(t_p(*at(t, 10**d)), 7).alias(f"t_e{d}") for d in (5, 6, 8)],
+        *[F.round(chi_square_p(F.lit(10.0**d) + F.floor("m") * 0, F.lit(10.0**d)), 7).alias(f"chi_e{d}") for d in (5, 6, 8)],
     )
 
 
@@ -250,7 +252,9 @@ SQL = {
     "tail_probabilities": "WITH m AS (SELECT user_id, avg(value) / 20 AS x, avg(value) / 30 AS t FROM events GROUP BY 1) "
     "SELECT user_id, round(exp(-x / 2), 10) AS chi_2, round(exp(-x / 2) * (1 + x / 2), 10) AS chi_4, round(1 - 2 / pi() * atan(t), 10) AS t_1, "
     "round(1 - t / sqrt(t * t + 2), 10) AS t_2, round(1 - t * (t * t + 6) / pow(t * t + 4, 1.5), 10) AS t_4, "
-    f"round(1 - 2 * {_area(_NORMAL, 't')}, 7) AS z FROM m",
+    f"round(1 - 2 * {_area(_NORMAL, 't')}, 7) AS z, "
+    + ", ".join(f"round(1 - 2 * {_area(_NORMAL, 't')} + exp(-t * t / 2) / sqrt(2 * pi()) * t * (t * t + 1) / 2e{d}, 7) AS t_e{d}" for d in (5, 6, 8))
+    + ", " + ", ".join(f"round(0.5::DOUBLE - 1 / (3 * sqrt(pi() * 1e{d})), 7) AS chi_e{d}" for d in (5, 6, 8)) + " FROM m",
     "welch_t": f"WITH {_ITEMS}, g AS (SELECT l_returnflag, size, count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v, "
     "row_number() OVER (PARTITION BY l_returnflag ORDER BY min(row_id)) AS place FROM items GROUP BY 1, 2) "
     "SELECT l_returnflag, a.size AS group_a, b.size AS group_b, a.n AS n_a, b.n AS n_b, round(a.m, 4) AS mean_a, round(b.m, 4) AS mean_b, "

@@ -27,6 +27,26 @@ def test_tails_match_published_values():
     assert dist.t_multiplier([8.0, 1.0, 1e7], 0.95) == pytest.approx([2.306004, 12.706205, 1.959964], abs=1e-5)
 
 
+@pytest.mark.parametrize("df", [99_999.0, 1e5, 1e6, 1e8, 1e10])
+def test_tails_of_large_tables(df):
+    """Against the first terms of the expansions in 1 / df."""
+    p = 0.5 - 1 / (3 * np.sqrt(np.pi * df))
+    assert dist.chi_square_tail([df], [df]) == pytest.approx([p], abs=2 / df**1.5)
+    z = np.array([0.5, 2.0, 5.0])
+    density = np.exp(-z * z / 2) / np.sqrt(2 * np.pi)
+    wanted = dist.normal_two_sided(z) + density * z * (z * z + 1) / (2 * df)
+    assert dist.t_two_sided(z, df) == pytest.approx(wanted, abs=30 / df**2 + 1e-14)
+    # The three moments of a chi-square variable turn it normal.
+    cube = np.cbrt(1 + 3 * np.sqrt(2 / df)) - (1 - 2 / (9 * df))
+    assert dist.chi_square_tail([df + 3 * np.sqrt(2 * df)], [df])[0] == pytest.approx(dist.normal_two_sided(np.array([cube / np.sqrt(2 / (9 * df))]))[0] / 2, rel=1e-3)
+
+
+def test_tails_are_smooth_where_the_method_changes():
+    below, above = dist.chi_square_tail([2e5 - 0.2, 2e5 + 0.2], [2e5 - 0.2, 2e5 + 0.2])
+    assert below == pytest.approx(above, abs=1e-8)
+    assert dist.t_two_sided([3.0], [1e5 - 0.01]) == pytest.approx(dist.t_two_sided([3.0], [1e5]), rel=1e-9)
+
+
 @pytest.mark.parametrize("cells, p", [((3, 1, 1, 3), 0.4857), ((1, 9, 11, 3), 0.00276), ((0, 5, 5, 0), 0.00794)])
 def test_fisher(cells, p):
     assert dist.fisher_tails(*cells)[0] == pytest.approx(p, abs=5e-5)
