@@ -24,24 +24,24 @@ def _order_names(order_by) -> list[str]:
     return [order_by] if isinstance(order_by, str) else list(order_by)
 
 
-def _split(df: DataFrame, kept: DataFrame, order_by) -> Split:
-    """Removed rows by an anti join on the row order, which no key can make hot."""
-    names = _order_names(order_by)
-    same = [quoted(n).eqNullSafe(F.col(f"__k{i}")) for i, n in enumerate(names)]
-    ids = kept.select(*[quoted(n).alias(f"__k{i}") for i, n in enumerate(names)])
-    return Split(kept, df.join(ids, same, "left_anti"))
+def _split(df: DataFrame, kept: DataFrame) -> Split:
+    """Removed rows as the multiset difference, so kept and removed rows together are the input.
+
+    Rows are counted by their whole content in every task first, so neither a hot
+    key nor a repeated row order gathers or loses any.
+    """
+    return Split(kept, df.exceptAll(kept))
 
 
-def _first_copies(df: DataFrame, order_by, *apart) -> DataFrame:
-    """One row per distinct content, the earliest; ``apart`` keeps some rows from merging.
+def _first_copies(df: DataFrame, order_by) -> DataFrame:
+    """One row per distinct content, the earliest.
 
     The content is the grouping key itself, so copies collapse inside each task
     before the shuffle and no window sorts them.
     """
     names = _order_names(order_by)
     content = [c for c in df.columns if c not in names]
-    extra = [a.alias(f"__apart{i}") for i, a in enumerate(apart)]
-    groups = df.groupBy(*[quoted(c) for c in content], *extra).agg(F.min(row_order(order_by)).alias("__first"))
+    groups = df.groupBy(*[quoted(c) for c in content]).agg(F.min(row_order(order_by)).alias("__first"))
     first = [F.col("__first").alias(names[0])] if len(names) == 1 else [
         F.col("__first")[n].alias(n) for n in names
     ]
@@ -51,26 +51,28 @@ def _first_copies(df: DataFrame, order_by, *apart) -> DataFrame:
 
 def dedupe_rows(df: DataFrame, order_by) -> Split:
     """Keep the first of every set of exact copies."""
-    return _split(df, _first_copies(df, order_by), order_by)
+    return _split(df, _first_copies(df, order_by))
 
 
 def dedupe_encounters(df: DataFrame, id_column: str, order_by) -> Split:
     """Remove exact copies only where the id is filled."""
-    alone = F.when(blank_of(df, id_column), row_order(order_by))
-    return _split(df, _first_copies(df, order_by, alone), order_by)
+    blank = blank_of(df, id_column)
+    return _split(df, _first_copies(df.filter(~blank), order_by).unionByName(df.filter(blank)))
 
 
 def keep_one(df: DataFrame, entity: str, policy: str, order_by) -> Split:
     """One row per entity by ``first::date``, ``last::date``, ``complete``, ``firstrow``, ``lastrow``.
 
-    Rows without an entity are all kept; each is its own group, so they never
-    meet in one task.  A row without a readable date loses to any with one; ties
-    go to the earliest row.  The ``row_number() = 1`` filter lets Spark drop all
-    but one row per entity in every task before the shuffle.
+    Rows without an entity are all kept and never ranked.  A row without a readable
+    date loses to any with one; ties go to the earliest row, and where the row order
+    repeats, to the least content digest, so every evaluation picks the same row.
+    The ``row_number() = 1`` filter lets Spark drop all but one row per entity in
+    every task before the shuffle.
     """
     mode, _, date_column = policy.partition("::")
     blank = blank_of(df, entity)
     key = entity_key(quoted(entity)) if is_text(df, entity) else quoted(entity)
+    settled = F.xxhash64(*[quoted(c) for c in df.columns])
     earliest = row_order(order_by).asc()
     if mode in ("first", "last"):
         score = _moment(df, date_column)
@@ -83,9 +85,9 @@ def keep_one(df: DataFrame, entity: str, policy: str, order_by) -> Split:
         best = [earliest if mode == "firstrow" else row_order(order_by).desc()]
     else:
         raise ValueError(f"unknown policy {policy!r}")
-    window = Window.partitionBy(F.when(~blank, key), F.when(blank, row_order(order_by))).orderBy(*best)
-    ranked = df.withColumn("__rn", F.row_number().over(window))
-    return _split(df, ranked.filter("__rn = 1").drop("__rn"), order_by)
+    window = Window.partitionBy(key).orderBy(*best, settled)
+    ranked = df.filter(~blank).withColumn("__rn", F.row_number().over(window)).filter("__rn = 1").drop("__rn")
+    return _split(df, ranked.unionByName(df.filter(blank)))
 
 
 def _moment(df: DataFrame, column: str):

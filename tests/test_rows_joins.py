@@ -31,6 +31,18 @@ def test_blank_ids_are_all_kept_even_when_they_are_most_rows(frame):
     assert keep_one(df, "id", "last::d", "row_id").kept.count() == 181
 
 
+def test_no_row_is_lost_where_the_order_repeats(spark):
+    df = spark.createDataFrame(
+        [("2024-01-01", None, "a"), ("2024-01-01", " ", "b"), ("2024-01-01", "P1", "c"), ("2024-01-01", "P1", "d"), ("2024-01-01", "P1", "d")],
+        "day string, id string, note string",
+    ).repartition(3)
+    for split in (keep_one(df, "id", "first::day", "day"), keep_one(df, "id", "complete", "day"), dedupe_rows(df, "day"), dedupe_encounters(df, "id", "day")):
+        together = sorted([tuple(r) for r in split.kept.unionByName(split.removed).collect()], key=repr)
+        assert together == sorted([tuple(r) for r in df.collect()], key=repr)
+        assert {r["note"] for r in split.kept.collect()} >= {"a", "b"}
+    assert keep_one(df, "id", "first::day", "day").removed.count() == 2
+
+
 def test_exact_copies(frame, rows):
     df = frame("CSN, Drug", [("1", "a"), ("1", "a"), ("2", "a"), (None, "b"), (None, "b"), ("2", "c")])
     split = dedupe_rows(df, "row_id")
