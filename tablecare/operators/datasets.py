@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import looks_like_time, period_label, period_label_typed, time_order
@@ -12,7 +12,7 @@ from ..functions.formats import plain_number
 from ..functions.numbers import half_up, round2
 from ..functions.text import fold_key, quoted
 from .aggregate import numeric_bundle
-from .cells import blank_of, is_temporal, is_text, key_of, number_of, row_order, text_of
+from .cells import blank_of, is_temporal, is_text, key_of, number_of, row_order, shared, text_of
 from .conditions import apply_filter
 from .numbering import number_rows, running_total
 from .quantiles import exact_quantiles
@@ -23,7 +23,6 @@ POINT_CAP = 2000
 DOTS_PER_GROUP = 50
 PANEL_CAP = 12
 SUBGROUP_CAP = 8
-TIME_SAMPLE = 50
 UNIT_BIN_RANGE = 20
 TARGET_BINS = 10
 PARETO_PERCENT = 80
@@ -34,28 +33,19 @@ SMALL_SHARE_PERCENT = 2
 class Categorical:
     """``points(label, value, n, first)`` with what was left out.
 
-    ``total`` is the cohort behind a count, a one-row table; it stays the whole
-    cohort when points are later cut or folded.
+    ``is_time`` is decided inside the plan: a date column, or every label reads as a
+    period.  ``total`` is the cohort behind a count, a one-row table; it stays the
+    whole cohort when points are later cut or folded.
     """
 
     points: DataFrame
     how: str
-    is_time: bool
+    is_time: Column
     no_data: DataFrame
     unreadable_periods: DataFrame
     total: DataFrame
 
 
-def label_is_time(df: DataFrame, column: str, order_by) -> bool:
-    """A date column, or text whose first filled cells all look like periods."""
-    if is_temporal(df, column):
-        return True
-    head = df.filter(quoted(column).isNotNull()).select(
-        text_of(df, column).alias("v"), row_order(order_by).alias("o")
-    ).orderBy("o").limit(TIME_SAMPLE)
-    return bool(head.agg(F.bool_and(looks_like_time(F.col("v"))).alias("t")).first()["t"])
-
-
 def categorical(
     df: DataFrame, label: str, order_by, value: str | None = None, how: str = "count",
     bucket: str | None = None, chosen=None,
@@ -81,10 +71,10 @@ def categorical(
     )
     periods = keyed.filter(F.col("label").isNull()).select(F.col("raw").alias("value")).distinct()
     keyed = keyed.filter(F.col("label").isNotNull())
-    spelled = keyed.groupBy("key", "label").agg(
+    spelled = shared(keyed.groupBy("key", "label").agg(
         F.count(F.lit(1)).alias("rows"), F.count("x").alias("n"), F.sum("x").alias("total"),
         F.min("first").alias("first"),
-    )
+    ))
     groups = spelled.groupBy("key").agg(
         F.min_by("label", "first").alias("label"), F.sum("rows").alias("rows"), F.sum("n").alias("n"),
         F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"), F.min("first").alias("first"),
@@ -92,6 +82,9 @@ def categorical(
     if how == "median":
         medians = exact_quantiles(keyed, ["key"], "x", {"median": 0.5})
         groups = groups.join(medians, "key", "left")
+    is_time = F.lit(True) if typed else spelled.agg(
+        F.coalesce(F.bool_and(looks_like_time(F.col("label"))), F.lit(False)).alias("t")
+    ).scalar()
     number = {
         "count": F.col("rows").cast("double"), "sum": F.col("total"),
         "average": round2(F.col("total") / F.when(F.col("n") > 0, F.col("n"))),
@@ -100,7 +93,7 @@ def categorical(
     with_value = groups.withColumn("value", number)
     points = with_value.filter(F.col("value").isNotNull()).select("label", "value", "n", "first")
     return Categorical(
-        points=points, how=how, is_time=label_is_time(df, label, order_by),
+        points=points, how=how, is_time=is_time,
         no_data=with_value.filter(F.col("value").isNull()).select("label"),
         unreadable_periods=periods, total=groups.agg(F.sum("rows").alias("total")),
     )
@@ -111,43 +104,41 @@ def in_order(data: Categorical) -> DataFrame:
 
     Periods keep first-seen order unless every label reads as a time.
     """
-    if not data.is_time:
-        return data.points.orderBy(F.desc("value"), "first")
+    return _ordered(data, F.desc, F.col("value"))
+
+
+def _ordered(data: Categorical, way, key: Column) -> DataFrame:
+    """Time axes by time, others by ``key``; ties by first sight."""
     at = time_order(F.col("label"))
     unread = data.points.agg(F.count_if(at.isNull())).scalar()
-    return data.points.orderBy(F.when(unread == 0, at).asc(), "first")
+    marked = data.points.withColumns({
+        "__at": F.when(data.is_time & (unread == 0), at), "__key": F.when(~data.is_time, key),
+    })
+    return marked.orderBy("__at", way("__key"), "first").drop("__at", "__key")
 
 
 def sort_points(data: Categorical, mode: str = "value") -> DataFrame:
     """By label without case, or by value; a time axis is never re-ordered (O3)."""
-    if data.is_time:
-        return in_order(data)
-    if mode == "alpha":
-        return data.points.orderBy(F.lower("label"), "first")
-    return data.points.orderBy(F.desc("value"), "first")
+    return _ordered(data, F.asc, F.lower("label")) if mode == "alpha" else in_order(data)
 
 
 def cap_rank(data: Categorical, n: int | None, least: bool = False) -> Categorical:
-    """The ``n`` largest or smallest categories, ties at the cut kept (O2)."""
-    if data.is_time:
-        return data
-    return replace(data, points=top_with_ties(data.points, "value", n, least))
+    """The ``n`` largest or smallest categories, ties at the cut kept; a time axis whole (O2)."""
+    return replace(data, points=top_with_ties(data.points, "value", n, least, data.is_time))
 
 
 def fold_small(data: Categorical, percent: float = SMALL_SHARE_PERCENT) -> DataFrame:
-    """Categories under ``percent`` of the total as one, where at least two are."""
+    """Categories under ``percent`` of the total as one, where at least two are; never periods."""
     points = data.points
-    if data.is_time:
-        return points.select("label", "value")
     total = points.agg(F.coalesce(F.sum(F.abs("value")), F.lit(0.0))).scalar()
     small = F.abs("value") / F.when(total != 0, total).otherwise(F.lit(1.0)) * 100 < percent
-    marked = points.withColumn("small", small)
+    marked = points.withColumn("small", small & ~data.is_time)
     folded = marked.agg(F.count_if("small")).scalar()
     other = F.col("small") & (folded >= 2)
     label = F.when(other, F.concat(F.lit("Other ("), folded.cast("string"), F.lit(" smaller groups)")))
-    return marked.select(F.coalesce(label, F.col("label")).alias("label"), "value", other.alias("is_other")).groupBy(
-        "label", "is_other"
-    ).agg(F.sum("value").alias("value")).orderBy("is_other", F.desc("value")).select("label", "value")
+    return marked.select(
+        F.coalesce(label, F.col("label")).alias("label"), "value", other.alias("is_other"), F.when(~other, F.col("first")).alias("own"),
+    ).groupBy("label", "is_other", "own").agg(F.sum("value").alias("value")).orderBy("is_other", F.desc("value")).select("label", "value")
 
 
 def extreme(data: Categorical) -> DataFrame:
@@ -155,8 +146,8 @@ def extreme(data: Categorical) -> DataFrame:
 
     No row for a time axis, a tie, a single category or a median.
     """
-    speaks = F.lit(not data.is_time and data.how != "median")
-    two = data.points.filter(speaks).orderBy(F.desc("value"), "first").limit(2)
+    speaks = data.points.filter(~data.is_time) if data.how != "median" else data.points.limit(0)
+    two = speaks.orderBy(F.desc("value"), "first").limit(2)
     best = two.agg(
         F.max_by("label", "value").alias("label"), F.max("value").alias("value"),
         F.min("value").alias("second"), F.count(F.lit(1)).alias("seen"),
@@ -175,7 +166,7 @@ def pareto(data: Categorical) -> DataFrame:
 
     No row where it means nothing: not a count, a time axis, one category.
     """
-    points = data.points if data.how == "count" and not data.is_time else data.points.limit(0)
+    points = data.points.filter(~data.is_time) if data.how == "count" else data.points.limit(0)
     ranked = running_total(points, [F.desc("value"), F.asc("first")], "value", "cum_value", "position")
     total, seen = data.total.scalar(), ranked.agg(F.count(F.lit(1))).scalar()
     return ranked.filter(seen >= 2).select(
@@ -223,9 +214,9 @@ def scatter(df: DataFrame, x: str, y: str, order_by, chosen=None, cap: int = POI
 
 @dataclass(frozen=True)
 class Crosstab:
-    """``cells(label, slot, subgroup, value)``, every label with every slot.
+    """``cells(key, label, slot, subgroup, value)``, every key with every slot.
 
-    ``labels(label, rows, first)`` orders the categories; at most eight slots.
+    ``labels(key, label, rows, first)`` orders the categories; at most eight slots.
     """
 
     cells: DataFrame
@@ -234,7 +225,8 @@ class Crosstab:
 
 
 def crosstab(
-    df: DataFrame, label: str, subgroup: str, order_by, value: str | None = None, how: str = "count", chosen=None
+    df: DataFrame, label: str, subgroup: str, order_by, value: str | None = None, how: str = "count", chosen=None,
+    subgroups_shown: int = SUBGROUP_CAP,
 ) -> Crosstab:
     """Label by subgroup; beyond eight subgroups the seven largest and one Other."""
     rows = apply_filter(df, chosen).filter(~blank_of(df, label) & ~blank_of(df, subgroup))
@@ -251,20 +243,20 @@ def crosstab(
         F.min_by(v, "first").alias("label"), F.sum("rows").alias("rows"), F.min("first").alias("first")
     )
     labels, subgroups = by_key("lk", "lv"), by_key("sk", "sv")
-    largest = subgroups.orderBy(F.desc("rows"), "first").limit(SUBGROUP_CAP)
+    largest = subgroups.orderBy(F.desc("rows"), "first").limit(subgroups_shown)
     ranked = largest.withColumn("slot", F.row_number().over(Window.orderBy(F.desc("rows"), "first")) - 1)
     found = subgroups.agg(F.count(F.lit(1))).scalar()
-    last = F.when(F.col("found") > SUBGROUP_CAP, SUBGROUP_CAP - 1).otherwise(SUBGROUP_CAP)
+    last = F.when(F.col("found") > subgroups_shown, subgroups_shown - 1).otherwise(subgroups_shown)
     own = ranked.withColumn("found", found).filter(F.col("slot") < last)
     other_name = F.concat(
-        F.lit("Other ("), (F.col("found") - SUBGROUP_CAP + 1).cast("string"), F.lit(" smaller groups)")
+        F.lit("Other ("), (F.col("found") - subgroups_shown + 1).cast("string"), F.lit(" smaller groups)")
     )
     slots = own.select("slot", F.col("label").alias("subgroup")).unionByName(
-        ranked.withColumn("found", found).filter((F.col("found") > SUBGROUP_CAP) & (F.col("slot") == SUBGROUP_CAP - 1))
+        ranked.withColumn("found", found).filter((F.col("found") > subgroups_shown) & (F.col("slot") == subgroups_shown - 1))
         .select("slot", other_name.alias("subgroup"))
     )
     slot_of = F.broadcast(own.select("sk", "slot"))  # at most eight rows
-    other_slot = F.coalesce(F.col("slot"), F.lit(SUBGROUP_CAP - 1))
+    other_slot = F.coalesce(F.col("slot"), F.lit(subgroups_shown - 1))
     merged = spelled.join(slot_of, "sk", "left").groupBy("lk", other_slot.alias("slot")).agg(
         F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total")
     )
@@ -281,19 +273,19 @@ def crosstab(
     grid = labels.select("lk", "label", F.explode(F.sequence(F.lit(0), (n_slots - 1).cast("int"))).alias("slot"))
     cells = grid.join(merged.select("lk", "slot", number.alias("value")), ["lk", "slot"], "left").join(
         F.broadcast(slots), "slot"
-    ).select("label", "slot", "subgroup", F.coalesce("value", empty).alias("value"))
-    return Crosstab(cells, labels.select("label", "rows", "first"), slots)
+    ).select(F.col("lk").alias("key"), "label", "slot", "subgroup", F.coalesce("value", empty).alias("value"))
+    return Crosstab(cells, labels.select(F.col("lk").alias("key"), "label", "rows", "first"), slots)
 
 
-def small_multiples(data: Crosstab) -> DataFrame:
-    """The twelve largest categories as panels with one shared scale."""
-    panels = data.labels.orderBy(F.desc("rows"), "first").limit(PANEL_CAP)
-    shown = data.cells.join(F.broadcast(panels.select("label", "rows")), "label")
+def small_multiples(data: Crosstab, panels: int = PANEL_CAP) -> DataFrame:
+    """The largest categories as panels with one shared scale."""
+    largest_labels = data.labels.orderBy(F.desc("rows"), "first").limit(panels)
+    shown = data.cells.join(F.broadcast(largest_labels.select("key", "rows")), "key")
     largest = shown.agg(F.max("value")).scalar()
     categories = data.labels.agg(F.count(F.lit(1))).scalar()
     return shown.select(
         "label", "rows", "slot", "subgroup", "value", largest.alias("max_value"),
-        F.greatest(categories - PANEL_CAP, F.lit(0)).alias("hidden"),
+        F.greatest(categories - panels, F.lit(0)).alias("hidden"),
     )
 
 
@@ -343,11 +335,11 @@ def histogram_left_out(df: DataFrame, value: str, chosen=None) -> DataFrame:
     )
 
 
-def box_dot(df: DataFrame, label: str, value: str, order_by, chosen=None) -> DataFrame:
-    """Full statistics per group, highest median first; raw values only up to 50.
+def box_dot(df: DataFrame, label: str, value: str, order_by, chosen=None, dots_shown: int = DOTS_PER_GROUP) -> DataFrame:
+    """Full statistics per group, highest median first; raw values only up to ``dots_shown``.
 
-    The values are cut to 51 per group in every task before they move, so no
-    task ever holds a large group; a group of 51 shows its box only.
+    The values are cut to one more per group in every task before they move, so no
+    task ever holds a large group; a larger group shows its box only.
     """
     rows = apply_filter(df, chosen).filter(~blank_of(df, label)).select(
         key_of(df, label).alias("key"), text_of(df, label).alias("label"), row_order(order_by).alias("first"),
@@ -358,12 +350,12 @@ def box_dot(df: DataFrame, label: str, value: str, order_by, chosen=None) -> Dat
     readable = rows.filter("x IS NOT NULL")
     stats = numeric_bundle(readable, ["key"], "x")
     head = Window.partitionBy("key").orderBy("first")
-    dots = readable.withColumn("rn", F.row_number().over(head)).filter(F.col("rn") <= DOTS_PER_GROUP + 1).groupBy(
+    dots = readable.withColumn("rn", F.row_number().over(head)).filter(F.col("rn") <= dots_shown + 1).groupBy(
         "key"
     ).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "x"))), lambda d: d["x"]).alias("values"))
     return labels.join(stats, "key").join(dots, "key").select(
         "label", "n", "average", "stdev", "median", "q1", "q3", "iqr", "min", "max", "range",
-        F.when(F.col("n") <= DOTS_PER_GROUP, F.col("values")).alias("values"), "first",
+        F.when(F.col("n") <= dots_shown, F.col("values")).alias("values"), "first",
     ).orderBy(F.desc("median"), "first")
 
 

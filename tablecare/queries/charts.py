@@ -54,23 +54,23 @@ def unreadable_periods(spark, folder):
 
 
 def crosstab(spark, folder):
-    return datasets.crosstab(derived(spark, folder, ORDERS), "priority", "status", "row_id").cells
+    return datasets.crosstab(derived(spark, folder, ORDERS), "priority", "status", "row_id").cells.drop("key")
 
 
 def crosstab_other(spark, folder):
-    return datasets.crosstab(table(spark, folder, "part"), "p_type", "p_brand", "p_partkey").cells
+    return datasets.crosstab(table(spark, folder, "part"), "p_type", "p_brand", "p_partkey").cells.drop("key")
 
 
 def _crosstab(how):
     def run(spark, folder):
-        return datasets.crosstab(table(spark, folder, "part"), "p_type", "p_brand", "p_partkey", "p_retailprice", how).cells
+        return datasets.crosstab(table(spark, folder, "part"), "p_type", "p_brand", "p_partkey", "p_retailprice", how).cells.drop("key")
 
     return run
 
 
 def small_multiples(spark, folder):
     data = datasets.crosstab(table(spark, folder, "part"), "p_brand", "p_type", "p_partkey")
-    return datasets.small_multiples(data)
+    return datasets.small_multiples(data).drop("key")
 
 
 def histogram(spark, folder):

@@ -56,7 +56,7 @@ def period_labels(spark, folder):
     month = dates.period_label(F.col("visit_date"), "month")
     return df.select(
         "row_id", month.alias("month"), dates.period_label(F.col("visit_date"), "quarter").alias("quarter"),
-        dates.time_order(month).alias("time_order"),
+        dates.time_order(month).cast("string").alias("time_order"),
     )
 
 
@@ -260,7 +260,7 @@ SQL = {
         f", p AS (SELECT row_id, nullif(regexp_extract(visit_date, '^(\\d{{4}})-(\\d{{2}})', 1), '') AS year, "
         f"nullif(regexp_extract(visit_date, '^(\\d{{4}})-(\\d{{2}})', 2), '') AS mo FROM messy_orders) "
         f"SELECT row_id, year || '-' || mo AS month, {_QUARTER} AS quarter, "
-        "CAST(year AS INTEGER) * 10000 + CAST(mo AS INTEGER) * 100 + 1 AS time_order FROM p", ORDERS),
+        "year || '-' || mo || '-01' AS time_order FROM p", ORDERS),
     "quantity_to_days": f"SELECT p_partkey, said, CASE WHEN unit IS NOT NULL THEN x END AS number, unit, {r2('x * per')} AS days, "
     f"unit = 'months' AS approximate, {r2('x * per * 24')} AS hours, CAST(NULL AS DOUBLE) AS unknown FROM ({_SAID})",
     "report_formats": f"SELECT p_partkey, {plain('p_retailprice')} || ' (SD ' || CAST(p_size AS VARCHAR) || ')' AS mean_sd, "

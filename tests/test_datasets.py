@@ -15,6 +15,10 @@ def visits(frame):
     return frame("Dx, Drug, Days, Ward, Visit_date", ROWS)
 
 
+def is_time(data):
+    return data.total.select(data.is_time).first()[0]
+
+
 def points(df):
     return [(r["label"], r["value"]) for r in df.collect()]
 
@@ -41,10 +45,12 @@ def test_periods_are_in_time_order_and_unreadable_ones_named(visits):
 def test_time_labels_sort_only_when_all_parse(frame):
     df = frame("m", [("Mar 2024",), ("Jan 2024",), ("Feb 2024",), ("Jan 2024",)])
     data = datasets.categorical(df, "m", "row_id")
-    assert data.is_time and points(datasets.in_order(data))[0] == ("Jan 2024", 2.0)
+    assert is_time(data) and points(datasets.in_order(data))[0] == ("Jan 2024", 2.0)
     mixed = frame("m", [("2024-03",)] * 55 + [("2024-01",), ("no date",)])
     data = datasets.categorical(mixed, "m", "row_id")
-    assert data.is_time and [p[0] for p in points(datasets.in_order(data))] == ["2024-03", "2024-01", "no date"]
+    assert not is_time(data) and [p[0] for p in points(datasets.in_order(data))] == ["2024-03", "2024-01", "no date"]
+    wards = frame("m", [("2024-03",)] * 50 + [(f"Ward {i % 7}",) for i in range(500)])
+    assert datasets.pareto(datasets.categorical(wards, "m", "row_id")).count() == 8
 
 
 def test_pareto(frame):
