@@ -8,6 +8,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import term_key
 from ..functions.text import quoted
@@ -59,11 +60,20 @@ class Condition:
                 if wanted else F.lit(False)
             return (c.isNull() | ~hit) if self.negated else (c.isNotNull() & hit)
         if self.kind == "threshold":
-            hit = _COMPARE[self.op](number_of(df, self.column), F.lit(float(self.value)))
-            guarded = reduce(and_, [*self._guard(df), hit])
-            return F.coalesce(guarded, F.lit(False))
+            return F.coalesce(reduce(and_, self.conjuncts(df)), F.lit(False))
         raise ValueError(f"unknown condition kind {self.kind!r}")
 
+    def conjuncts(self, df: DataFrame) -> list[Column]:
+        """The test as separate parts for a filter, which takes null as no; typed parts reach the scan."""
+        if self.kind != "threshold":
+            return [self.test(df)]
+        compare, kind = _COMPARE[self.op], data_type(df, self.column)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            c = quoted(self.column)
+            limit = float("inf")
+            return [*self._guard(df), compare(c, F.lit(float(self.value))), ~F.isnan(c), c != F.lit(limit), c != F.lit(-limit)]
+        return [*self._guard(df), compare(number_of(df, self.column), F.lit(float(self.value)))]
+
     def _guard(self, df: DataFrame) -> list[Column]:
         return [Condition("value", self.when[0], value=self.when[1]).test(df)] if self.when else []
 
@@ -148,7 +158,7 @@ def all_of(df: DataFrame, conditions: list[Condition]) -> Column:
 
 def keep(df: DataFrame, conditions: list[Condition]) -> DataFrame:
     """The rows every condition holds for; also the rows behind a count."""
-    return reduce(lambda d, c: d.filter(c.test(d)), conditions, df)
+    return reduce(lambda d, part: d.filter(part), [part for c in conditions for part in c.conjuncts(df)], df)
 
 
 def filter_groups_test(df: DataFrame, groups: list[list[tuple]]) -> Column:

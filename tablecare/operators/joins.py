@@ -14,6 +14,7 @@ from .cells import blank_of, cells, is_temporal, is_text, key_of, number_of, row
 
 MICROS_PER_DAY = 86_400_000_000
 SLICES = 4096
+SPREAD = 1024
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,14 @@ class Matched:
     unmatched: DataFrame
 
 
+def _spread(df: DataFrame, absent: Column) -> Column:
+    """0 for rows with a key; rows without one get one of many numbers that no other side has.
+
+    As a second join key it keeps rows that cannot match from meeting in one task.
+    """
+    return F.when(absent, F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(SPREAD)) + 1).otherwise(F.lit(0)).cast("long")
+
+
 def anti_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows of ``a`` whose key is not in ``b``; rows with a null key are left out."""
     known = b.select(key_of(b, key).alias("__k")).filter(F.col("__k").isNotNull()).distinct()
@@ -32,18 +41,21 @@ def anti_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def lookup_join(a: DataFrame, b: DataFrame, key: str, bring: list[str], b_order) -> Matched:
-    """Bring columns from the first row of ``b`` per key.
+    """Bring columns from the first row of ``b`` per key; a blank key finds nothing.
 
     ``b`` is cut to one row per key before the join, in every task first, so a
     repeated key in ``b`` cannot multiply rows.
     """
     first = Window.partitionBy("__k").orderBy(row_order(b_order))
-    table = b.withColumn("__k", key_of(b, key)).filter(F.col("__k").isNotNull())
+    table = b.withColumn("__k", key_of(b, key)).filter(~blank_of(b, key))
     table = table.withColumn("__rn", F.row_number().over(first)).filter("__rn = 1").select(
         "__k", F.lit(True).alias("__hit"), *[quoted(c).alias(f"__b{i}") for i, c in enumerate(bring)]
     )
     kept = [c for c in a.columns if c not in bring]
-    joined = a.join(table, key_of(a, key) == F.col("__k"), "left")
+    blank = blank_of(a, key)
+    asked = a.withColumns({"__a": F.when(~blank, key_of(a, key)), "__spread": _spread(a, blank)})
+    met = (F.col("__a") == F.col("__k")) & (F.col("__spread") == F.col("__none"))
+    joined = asked.join(table.withColumn("__none", F.lit(0).cast("long")), met, "left")
     rows = joined.select(*[quoted(c) for c in kept], *[F.col(f"__b{i}").alias(c) for i, c in enumerate(bring)])
     return Matched(rows, joined.filter(F.col("__hit").isNull()).select(*[quoted(c) for c in a.columns]))
 
@@ -108,7 +120,8 @@ def as_of_join(
     answers = searched.join(carried, ["__k", "__s"]).select(
         "__k", "__t", F.coalesce("__here", "__carried").alias("__found")
     )
-    joined = keyed.join(answers, ["__k", "__t"], "left")
+    keyed = keyed.withColumn("__spread", _spread(events, F.col("__k").isNull()))
+    joined = keyed.join(answers.withColumn("__spread", F.lit(0).cast("long")), ["__k", "__t", "__spread"], "left")
     own = [quoted(c) for c in events.columns]
     rows = joined.select(*own, *[F.col("__found")[f"b{i}"].alias(prefix + c) for i, c in enumerate(bring)])
     return Matched(rows, joined.filter(F.col("__found").isNull()).select(*own))
@@ -133,7 +146,10 @@ def off_vocabulary(df: DataFrame, vocab: DataFrame, columns: list[str] | None =
 def replace_by_codes(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     """Names in a column to their codes ``(name, code)``; unknown names stay."""
     table = codes.select(F.col("name").alias("__name"), F.col("code").alias("__code"))
-    joined = df.join(table, F.when(~blank_of(df, column), trimmed(quoted(column))) == F.col("__name"), "left")
+    blank = blank_of(df, column)
+    asked = df.withColumns({"__asked": F.when(~blank, trimmed(quoted(column))), "__spread": _spread(df, blank)})
+    met = (F.col("__asked") == F.col("__name")) & (F.col("__spread") == F.col("__none"))
+    joined = asked.join(table.withColumn("__none", F.lit(0).cast("long")), met, "left")
     return joined.select(*[
         F.coalesce(F.col("__code"), quoted(c).cast("string")).alias(c) if c == column else quoted(c)
         for c in df.columns

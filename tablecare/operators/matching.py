@@ -72,30 +72,38 @@ def _first_word(phrase: str) -> list[str]:
 def typo_candidates(index: DataFrame, phrases: list[str], n: int | None = None) -> DataFrame:
     """Values with a word one or two edits from a one-word phrase, closest first.
 
-    Words are compared only where their lengths differ by no more than the edits
-    allowed.
+    Every distinct word is compared once, and only where its length differs by no
+    more than the edits allowed and it holds one of the phrase's pieces: of one
+    piece more than the edits allowed, one stays whole.
     """
+    folded = words.fold_spelling(F.col("q")[0])
     asked = phrase_table(index.sparkSession, phrases).filter(F.size("q") == 1).select(
-        "phrase", words.fold_spelling(F.col("q")[0]).alias("a"),
-        words.typo_budget(F.length(F.col("q")[0])).alias("budget"),
+        "phrase", folded.alias("a"), words.typo_budget(F.length(F.col("q")[0])).alias("budget"),
     ).filter("budget > 0")
-    length = F.length("a")
-    asked = asked.withColumn("len", F.explode(F.sequence(length - F.col("budget"), length + F.col("budget"))))
-    one = index.select("column", "value", F.explode(F.array_distinct("v")).alias("w")).withColumn(
-        "b", words.fold_spelling(F.col("w"))
-    ).withColumn("len", F.length("b"))
-    near = one.join(F.broadcast(asked), "len").withColumn("distance", words.edit_distance(F.col("a"), F.col("b"), 2))
-    best = near.filter(F.col("distance") <= F.col("budget")).groupBy("phrase", "column", "value").agg(
-        F.min("distance").alias("distance")
+    length, size = F.length("a"), F.floor(F.length("a") / (F.col("budget") + 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("budget")), lambda i: F.col("a").substr(i * size + 1, size))
+    asked = asked.select(
+        "phrase", "a", "budget", F.when(size > 0, pieces).alias("pieces"),
+        F.explode(F.sequence(length - F.col("budget"), length + F.col("budget"))).alias("len"),
     )
+    spelled = index.select("column", "value", F.explode(F.array_distinct("v")).alias("w")).select(
+        "column", "value", words.fold_spelling(F.col("w")).alias("b")
+    )
+    known = spelled.select("b").distinct().withColumn("len", F.length("b"))
+    whole = F.exists("pieces", lambda p: F.col("b").contains(p)) | F.col("pieces").isNull()
+    near = known.join(F.broadcast(asked), "len").filter(whole).select(
+        "phrase", "b", "budget", words.edit_distance(F.col("a"), F.col("b"), 2).alias("distance")
+    ).filter(F.col("distance") <= F.col("budget"))
+    best = spelled.join(near, "b").groupBy("phrase", "column", "value").agg(F.min("distance").alias("distance"))
     return _best(best, [F.asc("distance"), F.length("value").asc(), F.asc("value"), F.asc("column")], n)
 
 
 def nearest_values(index: DataFrame, columns: list[str], phrases: list[str], n: int = 3) -> DataFrame:
     """The ``n`` values or column names that share most words with a phrase.
 
-    Words agree when one starts with the other, so only words with the same
-    first letter meet.
+    Words agree when one starts with the other.  Every distinct word is compared
+    once, and only with phrase words of the same first two letters, or of the same
+    first letter where one of them is a single letter.
     """
     spark = index.sparkSession
     names = spark.createDataFrame([(c,) for c in columns], "value string").select(
@@ -103,11 +111,14 @@ def nearest_values(index: DataFrame, columns: list[str], phrases: list[str], n:
     )
     targets = index.select(F.lit("value").alias("kind"), "column", "value", "v").unionByName(names)
     words_of = targets.select("kind", "column", "value", F.explode(F.array_distinct("v")).alias("w"))
+    start = lambda c, k: F.concat(F.lit(str(k)), F.substring(c, 1, k))
     asked = phrase_table(spark, phrases).select("phrase", F.posexplode("q").alias("at", "a"))
-    asked = asked.withColumn("letter", F.substring("a", 1, 1))
-    met = words_of.withColumn("letter", F.substring("w", 1, 1)).join(F.broadcast(asked), "letter")
+    short_too = F.array(start("a", 2), F.concat(F.lit("2"), F.substring("a", 1, 1)))
+    asked = asked.withColumn("block", F.explode(F.when(F.length("a") > 1, short_too).otherwise(F.array(start("a", 1)))))
+    known = words_of.select("w").distinct().withColumn("block", F.explode(F.array(start("w", 1), start("w", 2))))
     agree = F.col("w").startswith(F.col("a")) | F.col("a").startswith(F.col("w"))
-    hits = met.filter(agree).groupBy("phrase", "kind", "column", "value").agg(
+    met = known.join(F.broadcast(asked), "block").filter(agree).select("phrase", "at", "w").distinct()
+    hits = words_of.join(met, "w").groupBy("phrase", "kind", "column", "value").agg(
         F.count_distinct("at").alias("overlap")
     )
     order = [F.desc("overlap"), F.length("value").asc(), F.asc("kind"), F.asc("value"), F.asc("column")]

@@ -25,7 +25,6 @@ from .profile import DATE, MIXED, NUMBER_TYPE, TEXT, class_counts, class_of, dec
 ID_MIN_VALUES = 4
 ID_MIN_UNIQUE = 0.9
 CLOSED_MAX_LABELS = 4
-VARIANT_MAX_DISTINCT = 40
 UNIT_MIN_SHARE = 0.6
 LIST_MAX_MEAN_LENGTH = 40
 MAX_AGE = 120
@@ -170,8 +169,8 @@ def unit_suffixes(values: DataFrame, facts: DataFrame, table: str) -> DataFrame:
 def variant_map(values: DataFrame, few: DataFrame) -> DataFrame:
     """``column, raw, canonical`` for spellings that fold together (Q11).
 
-    Only columns with at most 40 distinct values, so every group is small; the
-    most common spelling wins, the first seen on a tie.
+    The most common spelling wins, the first seen on a tie.  The window holds the
+    spellings of one key of one column.
     """
     key = F.when(~is_blank(F.col("value")), fold_key(F.col("value")))
     spelled = values.join(F.broadcast(few), "column").withColumn("key", key)
@@ -183,11 +182,10 @@ def variant_map(values: DataFrame, few: DataFrame) -> DataFrame:
     ).filter("spellings > 1")
 
 
-def few_valued(facts: DataFrame) -> DataFrame:
-    """Category-like columns: at most 40 distinct values, not numbers or dates."""
-    return facts.filter(
-        (F.col("distinct") <= VARIANT_MAX_DISTINCT) & ~F.col("class").isin(NUMBER_TYPE, DATE)
-    ).select("column")
+def few_valued(facts: DataFrame, most: int | None = None) -> DataFrame:
+    """Category-like columns: not numbers or dates, and with at most ``most`` distinct values if that is given."""
+    few = F.lit(True) if most is None else F.col("distinct") <= most
+    return facts.filter(few & ~F.col("class").isin(NUMBER_TYPE, DATE)).select("column")
 
 
 def variant_findings(variants: DataFrame, table: str) -> DataFrame:
@@ -254,7 +252,7 @@ def patient_findings(df: DataFrame, table: str, column: str, columns: list[str])
 
 def survivor_policies(df: DataFrame, columns: list[str]) -> list[str]:
     """The row-survival policies a table offers, from its date-like columns."""
-    dates = [c for c in columns if is_temporal(df, c) or "date" in c.lower()][:3]
+    dates = [c for c in columns if is_temporal(df, c) or "date" in c.lower()]
     by_date = [f"{way}::{d}" for d in dates for way in ("first", "last")]
     return [*(by_date or ["firstrow", "lastrow"]), "complete"]
 

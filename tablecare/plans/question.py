@@ -93,15 +93,30 @@ def answer(tables: dict[str, DataFrame], spec: Question | Measure, order_by) ->
     return _measure(df, spec) if isinstance(spec, Measure) else _question(df, spec, order_by)
 
 
-def answer_all(tables: dict[str, DataFrame], specs: list, order_by) -> list[DataFrame]:
+class Answers(list):
+    """Result tables, and the copies of filtered rows that they share until ``release``."""
+
+    def __init__(self, tables: list[DataFrame], copies: list[DataFrame]):
+        super().__init__(tables)
+        self._copies = copies
+
+    def release(self) -> None:
+        for copy in self._copies:
+            copy.unpersist()
+        self._copies = []
+
+
+def answer_all(tables: dict[str, DataFrame], specs: list, order_by) -> Answers:
     """Several specs over the same tables (X11).
 
     Questions that share a table and all their filters read the filtered rows
-    once; that copy may spill to disk and is rebuilt if an executor is lost.
+    once; that copy may spill to disk, is rebuilt if an executor is lost, and goes
+    when the answers are released.  A Table 1 describes the whole table, as it does
+    when asked alone.
     """
     shared = {}
     for s in specs:
-        if isinstance(s, Question) and s.stages:
+        if _filtered(s):
             shared.setdefault((s.table, s.stages), []).append(s)
     cached = {
         at: keep(tables[at[0]] if at[0] else next(iter(tables.values())), list(at[1])).persist()
@@ -110,9 +125,13 @@ def answer_all(tables: dict[str, DataFrame], specs: list, order_by) -> list[Data
     }
     out = []
     for s in specs:
-        rows = cached.get((s.table, s.stages)) if isinstance(s, Question) else None
+        rows = cached.get((s.table, s.stages)) if _filtered(s) else None
         out.append(answer(tables, s, order_by) if rows is None else _question(rows, replace(s, stages=()), order_by))
-    return out
+    return Answers(out, list(cached.values()))
+
+
+def _filtered(spec: Question | Measure) -> bool:
+    return isinstance(spec, Question) and bool(spec.stages) and spec.intent != "table1"
 
 
 def _needs_funnel(q: Question) -> bool:

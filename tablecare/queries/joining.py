@@ -12,13 +12,17 @@ from .base import blank, derived, fold, num, table, trim, with_tables
 
 def anti_join(spark, folder):
     a = table(spark, folder, "customer").withColumn("key", F.concat(F.lit(" C"), "c_custkey"))
-    b = table(spark, folder, "orders").filter("o_totalprice > 300000").withColumn("key", F.concat(F.lit("c"), "o_custkey", F.lit(" ")))
+    b = table(spark, folder, "orders").withColumn(
+        "key", F.when(F.col("o_custkey") % 3 != 0, F.concat(F.lit("c"), "o_custkey", F.lit(" ")))
+    )
     return joins.anti_join(a, b, "key").select("c_custkey", "c_name")
 
 
 def _lookup(spark, folder):
-    brands = table(spark, folder, "part").selectExpr("upper(p_brand) AS brand", "p_type", "p_size", "p_partkey").filter("p_size > 48")
-    asked = table(spark, folder, "part").selectExpr("p_partkey AS id", "concat(' ', p_brand) AS brand")
+    brands = table(spark, folder, "part").selectExpr("upper(p_brand) AS brand", "p_type", "p_size", "p_partkey")
+    asked = table(spark, folder, "part").selectExpr(
+        "p_partkey AS id", "CASE WHEN p_partkey % 7 = 0 THEN ' ' WHEN p_partkey % 7 = 1 THEN concat(p_brand, 'x') ELSE concat(' ', p_brand) END AS brand"
+    )
     return joins.lookup_join(asked, brands, "brand", ["p_type", "p_size"], "p_partkey")
 
 
@@ -33,7 +37,7 @@ def lookup_unmatched(spark, folder):
 def _as_of(spark, folder):
     events = table(spark, folder, "events")
     asked = events.filter("event_type IN ('purchase', 'error')").select("event_id", "user_id", "ts")
-    priors = events.filter("event_type = 'view' AND value > 40").select("event_id", "user_id", "ts", "value")
+    priors = events.filter("event_type NOT IN ('purchase', 'error')").select("event_id", "user_id", "ts", "value")
     return joins.as_of_join(asked, priors, "user_id", "ts", ["value", "event_id"], "event_id")
 
 
@@ -77,11 +81,11 @@ def vocabulary(spark, folder):
 
 
 def _definitions(spark, folder):
-    """A definitions table over the suppliers: 20 terms, each defined again and again, the last one winning."""
-    return table(spark, folder, "supplier").selectExpr(
-        "s_suppkey AS row_id", "concat('Term ', s_suppkey % 20, CASE WHEN s_suppkey >= 20 THEN 's' ELSE '' END) AS Term",
-        "CASE WHEN s_suppkey % 2 = 0 THEN 'Status' ELSE 'amount' END AS `Column it applies to`",
-        "CASE WHEN s_suppkey % 2 = 0 THEN 'F, o or x' ELSE concat('> ', s_suppkey % 100 * 10, CASE WHEN s_suppkey % 20 % 3 = 0 "
+    """A definitions table over the customers: 20 terms, each defined again and again, the last one winning."""
+    return table(spark, folder, "customer").selectExpr(
+        "c_custkey AS row_id", "concat('Term ', c_custkey % 20, CASE WHEN c_custkey >= 20 THEN 's' ELSE '' END) AS Term",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'Status' ELSE 'amount' END AS `Column it applies to`",
+        "CASE WHEN c_custkey % 2 = 0 THEN 'F, o or x' ELSE concat('> ', c_custkey % 100 * 10, CASE WHEN c_custkey % 20 % 3 = 0 "
         "THEN ' when Status = P' ELSE '' END) END AS `Values that count`",
     )
 
@@ -96,7 +100,9 @@ def definitions_table(spark, folder):
 
 def definitions_merged(spark, folder):
     parsed = parse_definitions(_definitions(spark, folder), "row_id")
-    store = parse_definitions(_definitions(spark, folder).filter("row_id < 3").withColumn("Values that count", F.lit("z; y")), "row_id")
+    store = parse_definitions(table(spark, folder, "nation").selectExpr(
+        "n_nationkey AS row_id", "concat('term ', n_nationkey % 3) AS Term", "'Status' AS `Column`", "'z; y' AS `Values that count`",
+    ), "row_id")
     return merge_definitions(parsed, store).select("key", "rule.kind", F.array_join("rule.values", "|").alias("listed"))
 
 
@@ -127,14 +133,14 @@ QUERIES = {
 }
 
 _LOOKUP = (
-    "(SELECT p_partkey AS id, ' ' || p_brand AS brand FROM part) a LEFT JOIN "
+    "(SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN ' ' WHEN p_partkey % 7 = 1 THEN p_brand || 'x' ELSE ' ' || p_brand END AS brand FROM part) a LEFT JOIN "
     "(SELECT lower(p_brand) AS k, arg_min(p_type, p_partkey) AS p_type, arg_min(p_size, p_partkey) AS p_size FROM part "
-    "WHERE p_size > 48 GROUP BY 1) b ON lower(trim(a.brand)) = b.k"
+    "GROUP BY 1) b ON lower(trim(a.brand)) = b.k"
 )
 _ASOF = (
     "(SELECT event_id, user_id, ts FROM events WHERE event_type IN ('purchase', 'error')) e ASOF LEFT JOIN "
     "(SELECT user_id, ts, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events "
-    "WHERE event_type = 'view' AND value > 40 GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts"
+    "WHERE event_type NOT IN ('purchase', 'error') GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts"
 )
 _DAY = "coalesce(epoch(try_strptime(visit_date, '%Y-%m-%d')), -1e18)"
 _TERMS = (
@@ -151,9 +157,9 @@ def _off(column):
 
 
 _RULES = (
-    "SELECT s_suppkey AS k, 'term' || CAST(s_suppkey % 20 AS VARCHAR) AS key, 'Term ' || CAST(s_suppkey % 20 AS VARCHAR) || "
-    "CASE WHEN s_suppkey >= 20 THEN 's' ELSE '' END AS term FROM supplier "
-    "QUALIFY row_number() OVER (PARTITION BY s_suppkey % 20 ORDER BY s_suppkey DESC) = 1"
+    "SELECT c_custkey AS k, 'term' || CAST(c_custkey % 20 AS VARCHAR) AS key, 'Term ' || CAST(c_custkey % 20 AS VARCHAR) || "
+    "CASE WHEN c_custkey >= 20 THEN 's' ELSE '' END AS term FROM customer "
+    "QUALIFY row_number() OVER (PARTITION BY c_custkey % 20 ORDER BY c_custkey DESC) = 1"
 )
 _EVEN = "k % 2 = 0"
 
@@ -162,12 +168,12 @@ def _defined(term):
     """Rows of messy orders one of the 20 terms holds for."""
     if term % 2 == 0:
         return "status IN ('F', 'O')"
-    bound = f"(SELECT max(s_suppkey) % 100 * 10 FROM supplier WHERE s_suppkey % 20 = {term})"
+    bound = f"(SELECT max(c_custkey) % 100 * 10 FROM customer WHERE c_custkey % 20 = {term})"
     return f"({num('amount')} > {bound}" + (" AND status = 'P')" if term % 3 == 0 else ")")
 
 
 SQL = {
-    "anti_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    "anti_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 <> 0)",
     "lookup_join": f"SELECT a.id, a.brand, b.p_type, b.p_size FROM {_LOOKUP}",
     "lookup_unmatched": f"SELECT a.id, a.brand FROM {_LOOKUP} WHERE b.k IS NULL",
     "asof_join": f"SELECT e.event_id, e.user_id, p.value AS prior_value, p.event_id AS prior_event_id FROM {_ASOF}",

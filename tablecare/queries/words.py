@@ -31,9 +31,9 @@ def nearest_values(spark, folder):
 
 
 def column_by_vocab(spark, folder):
-    vocabulary = table(spark, folder, "part").selectExpr("explode(split(p_name, ' ')) AS word").filter(
-        "word IN ('ring', 'rings', 'bolt', 'gear', 'widget', 'gizmo', 'promo')"
-    ).unionByName(table(spark, folder, "part").selectExpr("p_type AS word").filter("p_type <> 'SMALL'")).distinct()
+    vocabulary = table(spark, folder, "part").selectExpr("explode(split(p_name, ' ')) AS word").unionByName(
+        table(spark, folder, "part").selectExpr("p_type AS word")
+    ).distinct()
     return matching.columns_by_vocabulary(_index(spark, folder), vocabulary)
 
 
@@ -84,7 +84,7 @@ SQL = {
     ),
     "column_by_vocab": (
         f"WITH {_INDEX}, words AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) "
-        "WHERE w IN ('ring', 'rings', 'bolt', 'gear', 'widget', 'gizmo', 'promo') UNION SELECT DISTINCT lower(p_type) FROM part WHERE p_type <> 'SMALL'), "
+        "UNION SELECT DISTINCT lower(p_type) FROM part), "
         "e AS (SELECT \"column\", value, unnest(t) AS x FROM v), "
         "h AS (SELECT \"column\", value, bool_or(x IN (SELECT w FROM words)) AS hit FROM e GROUP BY 1, 2) "
         "SELECT \"column\", count_if(hit) AS matched, count(*) AS total FROM h GROUP BY 1 HAVING count_if(hit) / count(*) >= 0.6"

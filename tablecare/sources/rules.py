@@ -53,15 +53,15 @@ def merge_definitions(sheet: DataFrame, store: DataFrame) -> DataFrame:
     return sides.select("key", F.coalesce("b", "a").alias("d")).select("key", "d.*")
 
 
-def load_definitions(parsed: DataFrame, columns: list[str]) -> list[Definition]:
+def load_definitions(parsed: DataFrame, columns: list[str], most: int = MAX_DEFINITIONS) -> list[Definition]:
     """Definitions as conditions over the columns of a table.
 
-    They become literals of a plan, so their number is checked first; a longer
-    list of values belongs in a table joined by ``keep_listed``.
+    They become literals of a plan, so their number is checked first against ``most``;
+    a longer list of values belongs in a table joined by ``keep_listed``.
     """
-    rows = parsed.orderBy("key").take(MAX_DEFINITIONS + 1)
-    if len(rows) > MAX_DEFINITIONS:
-        raise ValueError(f"more than {MAX_DEFINITIONS} definitions")
+    rows = parsed.orderBy("key").take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"more than {most} definitions; raise `most`, or join a table of values with keep_listed")
     out = []
     for r in rows:
         rule, guard = r["rule"], None

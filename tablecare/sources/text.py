@@ -19,7 +19,10 @@ def read_delimited(
 ) -> DataFrame:
     """CSV or TSV with every cell as literal text.
 
-    Only the header line is read here.  ``_row`` sorts in file order however
+    Only header lines are read here.  Every file must have the first file's header;
+    Spark checks that as it reads, and refuses a file with other columns or another
+    order.  Where header names are blank or repeat, they are compared first, file by
+    file, and must be equal.  ``_row`` sorts in file order however
     Spark packs the splits.  ``multiline`` allows line breaks inside quoted
     cells, at the price of one task per file.
     """
@@ -30,10 +33,15 @@ def read_delimited(
     head = reader.csv(paths).head()
     if head is None:
         raise ValueError("no data found: the first line must hold the column headers")
-    names = unique_names(list(head))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = reader.schema(schema).option("header", True).option("enforceSchema", True).csv(paths)
-    return rows.select("*", F.struct(
+    written, names = list(head), unique_names(list(head))
+    plain = all(written) and len({n.lower() for n in written}) == len(written)
+    if not plain:
+        for file in reader.csv(paths).inputFiles():
+            if list(reader.csv(file).head() or []) != written:
+                raise ValueError(f"the header of {file} differs from the first file's")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (written if plain else names)])
+    rows = reader.schema(schema).option("header", True).option("enforceSchema", not plain).csv(paths)
+    return rows.select(*[quoted(f.name).alias(n) for f, n in zip(schema, names)], F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
     ).alias(ROW))

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tablecare.functions import words
 from tablecare.functions.names import name_key
 from tablecare.operators import matching
 from tablecare.operators.conditions import equals, one_of, threshold
@@ -170,3 +172,26 @@ def test_phrases_meet_values(frame):
 
 def test_names_fold():
     assert name_key("Patient ID") == name_key("patient_id") == "patientid"
+
+
+def test_typos_against_every_word(spark):
+    rng = random.Random(1)
+    values = list({"".join(rng.choices("abcde", k=rng.randint(2, 9))) for _ in range(400)})
+    phrases = list({"".join(rng.choices("abcde", k=rng.randint(3, 9))) for _ in range(30)})
+    index = matching.value_index(spark.createDataFrame([(v,) for v in values], "c string"), ["c"])
+    got = {(r["phrase"], r["value"], r["distance"]) for r in matching.typo_candidates(index, phrases).collect()}
+    pairs = spark.createDataFrame([(p, v) for p in phrases for v in values], "p string, v string").select(
+        "p", "v", F.levenshtein(words.fold_spelling(F.col("p")), words.fold_spelling(F.col("v"))).alias("d"), words.typo_budget(F.length("p")).alias("b"),
+    )
+    assert got == {tuple(r) for r in pairs.filter("b > 0 AND d <= b").select("p", "v", "d").collect()}
+
+
+def test_a_table1_stays_whole_beside_filtered_questions(frame):
+    df = frame("Dx, Ward", [("UTI", "A"), ("flu", "A"), ("UTI", "B"), (None, "B")])
+    stages = (equals("Ward", "A"),)
+    alone = Question("table1", stages=stages, columns=("Dx",))
+    grouped = [Question("count", stages=stages, group="Dx"), Question("top", stages=stages, target="Dx")]
+    answers = answer_all({"t": df}, [alone, *grouped], "row_id")
+    assert [tuple(r) for r in answers[0].collect()] == [tuple(r) for r in answer({"t": df}, alone, "row_id").collect()]
+    assert sum(r["n"] for r in answers[1].collect()) == 2
+    answers.release()

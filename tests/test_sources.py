@@ -23,6 +23,15 @@ def test_headers_are_made_unique(spark, tmp_path):
         text.read_delimited(spark, str(tmp_path / "empty.csv"))
 
 
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    for folder, header in (("plain", "b,a"), ("odd", "b,a,a")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "1.csv").write_text(("a,b\n" if folder == "plain" else "a,a,b\n") + "1,2,3\n")
+        (tmp_path / folder / "2.csv").write_text(header + "\n3,4,5\n")
+        with pytest.raises(Exception, match="(?i)header"):
+            text.read_delimited(spark, str(tmp_path / folder)).collect()
+
+
 def test_row_sorts_in_file_order_over_many_splits(spark, tmp_path):
     for name, start in (("1.csv", 0), ("2.csv", 4000)):
         (tmp_path / name).write_text("v\n" + "".join(f"{i}\n" for i in range(start, start + 4000)))
