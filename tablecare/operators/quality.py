@@ -292,6 +292,20 @@ def entity_column(facts: DataFrame, columns: list[str], named: str | None = None
     return next((c for c in columns if c in found), None)
 
 
+def likely_grain(facts: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """The grain check of a table whose entity nobody names: its first nearly unique column with a repeat (Q20)."""
+    place = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
+    likely = facts.filter(
+        (F.col("filled") >= ID_MIN_VALUES) & (F.col("distinct") / F.col("filled") >= ID_MIN_UNIQUE)
+        & (F.col("distinct") < F.col("filled"))
+    )
+    first = likely.agg(F.min(F.struct(
+        F.element_at(place, F.col("column")).alias("place"), "column", "filled", "distinct"
+    )).alias("e")).select("e.*")
+    detail = F.concat(F.col("filled").cast("string"), F.lit(" rows, "), F.col("distinct").cast("string"), F.lit(" entities"))
+    return _rows(first, table, F.col("column"), _finding("repeating_entity", F.col("distinct"), detail))
+
+
 # --- the scan ------------------------------------------------------------------------------
 
 
@@ -301,8 +315,8 @@ def scan(
 ) -> DataFrame:
     """Every detector on one table (Q2).
 
-    ``today`` bounds future dates.  ``entity`` adds the grain check.  Text columns
-    that hold dates are named in ``date_columns`` for the start/end check.
+    ``today`` bounds future dates.  The grain check takes ``entity``, or the first
+    column that looks like one.  Text columns that hold dates are named in ``date_columns`` for the start/end check.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     columns = columns or [c for c in df.columns if c not in order]
@@ -319,8 +333,7 @@ def scan(
     parts += [backwards] if backwards is not None else []
     if vocab is not None:
         parts.append(vocabulary_findings(df, table, vocab, columns))
-    if entity:
-        parts.append(grain_finding(df, table, entity))
+    parts.append(grain_finding(df, table, entity) if entity else likely_grain(facts, table, columns))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -335,6 +348,47 @@ def scan_all(tables: dict[str, DataFrame], order_by, **options) -> DataFrame:
     return reduce(DataFrame.unionByName, [scan(df, name, order_by, **options) for name, df in tables.items()])
 
 
+def value_tests(today: str) -> list[tuple[str, str | None, Column]]:
+    """(type, detail, test of ``value`` and its count ``n``) for the findings that single values cause."""
+    v = F.col("value")
+    number = is_number_text(v) & ~is_blank(v)
+    as_double = F.when(v.rlike(NUMBER), v.try_cast("double"))
+    return [
+        ("missing", "markers", is_marker(v)), ("textNumbers", None, number),
+        ("textDates", None, trimmed(v).rlike(SLASH_DATE) & ~trimmed(v).rlike(ISO_PREFIX)), ("epochDates", None, v.rlike(EPOCH_DATE)),
+        ("censored", None, (trimmed(v).rlike(LIMIT_LOOSE) | trimmed(v).rlike(NOT_DONE)) & ~is_blank(v)),
+        ("multiValue", None, F.size(split_list(v)) > 1), ("unitSuffixNumbers", None, trimmed(v).rlike(NUMBER_UNIT)),
+        ("mixedUnits", None, (F.regexp_extract(v, UNIT_WORD, 1) != "") & v.rlike("[0-9]")),
+        ("duplicateIds", None, ~is_blank(v) & (F.col("n") > 1)), ("impossible", "negative", as_double < 0),
+        ("impossible", f"age over {MAX_AGE}", as_double > MAX_AGE), ("impossible", "in the future", F.substring(v, 1, 10) > F.lit(today)),
+    ]
+
+
+def explained(findings: DataFrame, df: DataFrame, order_by, columns: list[str] | None = None, today: str = "9999-12-31") -> DataFrame:
+    """``findings`` with ``fixable`` and ``samples``: up to five values that cause each, as seen first (Q2).
+
+    Findings about whole rows, ids or other columns have no samples.
+    """
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    columns = columns or [c for c in df.columns if c not in order]
+    values = value_frequencies(df, columns, first=row_order(order_by))
+    causes = F.array_compact(F.array(*[
+        F.when(test, F.struct(F.lit(kind).alias("type"), F.lit(detail).cast("string").alias("why"))) for kind, detail, test in value_tests(today)
+    ]))
+    caused = values.select("column", "value", "first", F.explode(causes).alias("c")).select("column", "value", "first", "c.*")
+    window = Window.partitionBy("column", "type", "why").orderBy("first", "value")
+    kept = caused.withColumn("rn", F.row_number().over(window)).filter(F.col("rn") <= SAMPLES)
+    listed = kept.groupBy(F.col("column").alias("__column"), F.col("type").alias("__type"), "why").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"]).alias("samples")
+    )
+    same = (F.col("column") == F.col("__column")) & (F.col("type") == F.col("__type")) & (
+        F.col("why").isNull() | (F.col("detail") == F.col("why"))
+    )
+    return findings.join(listed, same, "left").select(
+        *findings.columns, F.col("fix").isNotNull().alias("fixable"), "samples"
+    )
+
+
 def samples(df: DataFrame, columns: list[str], test, order_by) -> DataFrame:
     """Up to five distinct values per column for which ``test(value)`` holds, as seen first."""
     values = value_frequencies(df, columns, first=row_order(order_by)).filter(test(F.col("value")))

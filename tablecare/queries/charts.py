@@ -100,6 +100,17 @@ def pareto(spark, folder):
     return datasets.pareto(_by_brand(spark, folder))
 
 
+_MIXED_AXIS = (
+    "SELECT o_orderkey AS row_id, CASE WHEN o_orderkey < 200 THEN '2024-0' || CAST(1 + o_orderkey % 9 AS STRING) ELSE o_orderpriority END AS label FROM {0}"
+)
+
+
+def pareto_mixed_axis(spark, folder):
+    """Labels that look like months for many rows and then do not: no time axis."""
+    df = spark.sql(_MIXED_AXIS.format("{orders}"), orders=table(spark, folder, "orders"))
+    return datasets.pareto(datasets.categorical(df, "label", "row_id")).select("label", "value")
+
+
 def pareto_summary(spark, folder):
     return datasets.pareto_summary(datasets.pareto(_by_brand(spark, folder)))
 
@@ -148,7 +159,7 @@ QUERIES = {
     "crosstab": crosstab, "crosstab_other": crosstab_other, "crosstab_sum": _crosstab("sum"),
     "crosstab_average": _crosstab("average"), "crosstab_median": _crosstab("median"), "small_multiples": small_multiples,
     "histogram": histogram, "histogram_whole": histogram_whole, "histogram_left_out": histogram_left_out, "boxdot": box_dot,
-    "boxdot_no_data": box_dot_no_data, "pareto": pareto, "pareto_summary": pareto_summary, "other_fold": other_fold,
+    "boxdot_no_data": box_dot_no_data, "pareto": pareto, "pareto_mixed_axis": pareto_mixed_axis, "pareto_summary": pareto_summary, "other_fold": other_fold,
     "rank_cap": rank_cap, "rank_cap_least": rank_cap_least, "sorted_points": sorted_points, "scatter_sample": scatter_sample,
     "scatter_small": scatter_small, "extreme": extreme, "extreme_average": extreme_average, "reference_line": reference_line,
 }
@@ -201,6 +212,8 @@ _BOX = (
 )
 
 SQL = {
+    "pareto_mixed_axis": "SELECT label, CAST(count(*) AS DOUBLE) AS value FROM (" + _MIXED_AXIS.format("orders").replace("AS STRING", "AS VARCHAR")
+    + ") GROUP BY 1",
     "dataset_categorical": with_tables(
         f"SELECT arg_min(priority, row_id) AS label, CAST(count(*) AS DOUBLE) AS value FROM messy_orders WHERE NOT {blank('priority')} GROUP BY {fold('priority')}", ORDERS),
     "dataset_sum": with_tables(_points("sum(x)"), ORDERS),

@@ -115,6 +115,14 @@ def _keep_one(policy, side="kept"):
     return run
 
 
+def keep_one_repeated_order(spark, folder):
+    """Kept and removed rows per status where a day is all the order there is: together they are the input."""
+    df = derived(spark, folder, ORDERS).select("patient_id", "status", "visit_date")
+    split = rows.keep_one(df, "patient_id", "firstrow", "visit_date")
+    both = split.kept.withColumn("kept", F.lit(1)).unionByName(split.removed.withColumn("kept", F.lit(0)))
+    return both.agg(F.sum("kept").alias("kept"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("kept") == 0).alias("removed"))
+
+
 def _visits(step, side):
     def run(spark, folder):
         df = derived(spark, folder, "copied_visits").withColumn("visit_id", F.col("visit_id").cast("string"))
@@ -167,7 +175,7 @@ QUERIES = {
     "keep_one_first": _keep_one("first::visit_date"), "keep_one_last": _keep_one("last::visit_date"),
     "keep_one_complete": _keep_one("complete"), "keep_one_firstrow": _keep_one("firstrow"),
     "keep_one_lastrow": _keep_one("lastrow"), "keep_one_removed": _keep_one("last::visit_date", "removed"),
-    "dedupe_rows": _visits("rows", "kept"), "dedupe_rows_removed": _visits("rows", "removed"),
+    "keep_one_repeated_order": keep_one_repeated_order, "dedupe_rows": _visits("rows", "kept"), "dedupe_rows_removed": _visits("rows", "removed"),
     "dedupe_encounters": _visits("encounters", "kept"), "dedupe_encounters_removed": _visits("encounters", "removed"),
     "split_rows": split_rows, "paired_explode": _paired("rows"), "paired_mismatched": _paired("mismatched"),
     "long_to_wide": long_to_wide, "long_to_wide_collisions": long_to_wide_collisions, "wide_to_long": wide_to_long,
@@ -283,6 +291,9 @@ SQL = {
     "keep_one_first": _survivors(f"{_DAY} ASC NULLS LAST"), "keep_one_last": _survivors(f"{_DAY} DESC NULLS LAST"),
     "keep_one_complete": _survivors(f"({_FILLED}) DESC"), "keep_one_firstrow": _survivors("row_id"),
     "keep_one_lastrow": _survivors("row_id DESC"), "keep_one_removed": _survivors(f"{_DAY} DESC NULLS LAST", keep=False),
+    "keep_one_repeated_order": with_tables(
+        f"SELECT k AS kept, n AS rows, n - k AS removed FROM (SELECT count_if({blank('patient_id')}) + count(DISTINCT lower({trim('patient_id')})) "
+        f"FILTER (WHERE NOT {blank('patient_id')}) AS k, count(*) AS n FROM messy_orders)", ORDERS),
     "dedupe_rows": _visit_sql("", True), "dedupe_rows_removed": _visit_sql("", False),
     "dedupe_encounters": _visit_sql(_APART, True), "dedupe_encounters_removed": _visit_sql(_APART, False),
     "split_rows": with_tables(

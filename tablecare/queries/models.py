@@ -140,9 +140,25 @@ def glm_linear(spark, folder):
     )
 
 
-def glm_logistic(spark, folder):
+def _labelled(spark, folder):
     marked = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
-    return stats.regress(marked.withColumn("kchars", F.col("n_chars") / 1000), "quality", ["kchars", "lang"], "logistic")
+    return marked.withColumn("kchars", F.col("n_chars") / 1000)
+
+
+def glm_logistic(spark, folder):
+    return stats.regress(_labelled(spark, folder), "quality", ["kchars", "lang"], "logistic")
+
+
+def glm_logistic_score(spark, folder):
+    """What a maximum-likelihood fit leaves: residuals that add up to nothing over every predictor."""
+    rows = _labelled(spark, folder)
+    fit = {r["term"]: r["estimate"] for r in stats.regress(rows, "quality", ["kchars", "lang"], "logistic").collect()}
+    by_level = F.create_map(*[F.lit(x) for t, e in fit.items() for x in (t, e)])
+    line = fit["(intercept)"] + fit["kchars"] * F.col("kchars") + F.coalesce(by_level[F.concat(F.lit("lang = "), "lang")], F.lit(0.0))
+    left = rows.withColumn("left", F.col("quality") - 1 / (1 + F.exp(-line)))
+    per_level = left.groupBy(F.concat(F.lit("lang = "), "lang").alias("term")).agg(F.sum("left").alias("s"), F.count(F.lit(1)).alias("n"))
+    over_all = left.agg(F.lit("kchars").alias("term"), F.sum(F.col("left") * F.col("kchars")).alias("s"), F.count(F.lit(1)).alias("n"))
+    return per_level.unionByName(over_all).select("term", "n", (F.round(F.abs("s"), 3)).alias("score"))
 
 
 QUERIES = {
@@ -151,6 +167,7 @@ QUERIES = {
     "test_choice": test_choice, "test_choice_rule": test_choice_rule, "choose_test": choose_test, "wilson": wilson,
     "fisher": fisher, "mean_diff_ci": mean_diff_ci, "tail_probabilities": tail_probabilities, "epv_gate": epv_gate,
     "glm_linear": glm_linear, "glm_logistic": glm_logistic,
+    "glm_logistic_score": glm_logistic_score,
 }
 
 # --- the same in SQL -----------------------------------------------------------------------------
@@ -249,6 +266,8 @@ SQL = {
     "test_choice": f"WITH {_CUSTOMERS}, {_two_by_two('cust', 'account', 'trade', ['c_nationkey'])}, {_EXACT}, c AS (SELECT *, sqrt({_CHI}) AS q FROM r) "
     f"SELECT c_nationkey, CASE WHEN {_LEAST} < 5 THEN 'fisher' ELSE 'chi-square' END AS test, "
     f"round(CASE WHEN {_LEAST} < 5 THEN p ELSE 1 - 2 * {_area(_NORMAL, 'q')} END, 7) AS p FROM c JOIN fisher USING (c_nationkey)",
+    "glm_logistic_score": "WITH m AS (SELECT lang FROM labels JOIN documents USING (doc_id)) "
+    "SELECT 'lang = ' || lang AS term, count(*) AS n, 0.0::DOUBLE AS score FROM m GROUP BY 1 UNION ALL SELECT 'kchars', count(*), 0.0 FROM m",
     "tail_probabilities": "WITH m AS (SELECT user_id, avg(value) / 20 AS x, avg(value) / 30 AS t FROM events GROUP BY 1) "
     "SELECT user_id, round(exp(-x / 2), 10) AS chi_2, round(exp(-x / 2) * (1 + x / 2), 10) AS chi_4, round(1 - 2 / pi() * atan(t), 10) AS t_1, "
     "round(1 - t / sqrt(t * t + 2), 10) AS t_2, round(1 - t * (t * t + 6) / pow(t * t + 4, 1.5), 10) AS t_4, "

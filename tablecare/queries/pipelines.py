@@ -147,7 +147,17 @@ def masked_rows(spark, folder):
     return masked_sample(derived(spark, folder, CUSTOMERS), "row_id", withheld=["doctor"])
 
 
+def masked_shape(spark, folder):
+    """What a masked sample keeps of the first rows: letters stay letters, digits digits, and withheld cells say so."""
+    shown = masked_rows(spark, folder)
+    shape = lambda c: F.regexp_replace(F.regexp_replace(c, "[A-Za-z]", "a"), "[0-9]", "9")
+    return shown.select(
+        shape(F.col("segment")).alias("segment"), shape(F.col("nation")).alias("nation"), "doctor", F.col("balance").isNull().alias("no_balance"),
+    )
+
+
 QUERIES = {
+    "masked_sample_shape": masked_shape,
     "pipeline_answer": pipeline_answer, "pipeline_measure": pipeline_measure, "pipeline_compound": pipeline_compound,
     "user_transform": user_transform, "single_filter": single_filter, "absent_values": absent, "deidentify": deidentify,
     "new_codes": new_codes, "person_codes": person_codes, "report_cards": report_cards_query,
@@ -205,7 +215,12 @@ _VARIANTS = (
     f"WHERE NOT {blank('segment')})) WHERE spellings > 1"
 )
 
+_SHAPE = "regexp_replace(regexp_replace({0}, '[A-Za-z]', 'a', 'g'), '[0-9]', '9', 'g') AS {0}"
+
 SQL = {
+    "masked_sample_shape": with_tables(
+        f"SELECT {_SHAPE.format('segment')}, {_SHAPE.format('nation')}, '[withheld]' AS doctor, balance IS NULL AS no_balance "
+        "FROM (SELECT * FROM messy_customer ORDER BY row_id LIMIT 10)", CUSTOMERS),
     "pipeline_answer": with_tables(
         f"SELECT arg_min(priority, row_id) AS label, count(*) AS rows, count(x) AS n, count(*) - count(x) AS skipped, {r2('avg(x)')} AS average FROM "
         f"(SELECT *, {num('amount')} AS x FROM messy_orders WHERE status = 'F' AND NOT {blank('priority')}) GROUP BY {fold('priority')}", ORDERS),

@@ -50,6 +50,25 @@ def scan_all_tables(spark, folder):
     return quality.scan_all(tables, "row_id", today="2001-06-30")
 
 
+def scan_explained(spark, folder):
+    found = quality.explained(scan_orders(spark, folder), derived(spark, folder, ORDERS), "row_id", today="2000-06-30")
+    chosen = found.filter("type IN ('textNumbers', 'epochDates', 'censored', 'duplicateRows')")
+    return chosen.select("column", "type", "count", "fixable", F.array_join("samples", "|").alias("samples"))
+
+
+_LIMITS = (
+    "SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 3 = 0 THEN 'take 5 mg' WHEN o_orderkey % 3 = 1 THEN 'take 2 ml' ELSE 'as told' END AS note, "
+    "CAST(o_orderkey % 140 AS STRING) AS age, CAST(o_orderkey % 50 - 2 AS STRING) AS dose, o_orderdate AS start_date, "
+    "CASE WHEN o_orderkey % 11 = 0 THEN o_orderdate - INTERVAL 3 DAY ELSE o_orderdate + INTERVAL 2 DAY END AS end_date FROM {0}"
+)
+
+
+def scan_limits(spark, folder):
+    """Mixed units, impossible numbers and stays that end before they start."""
+    df = spark.sql(_LIMITS.format("{orders}"), orders=table(spark, folder, "orders"))
+    return quality.scan(df, "stays", "row_id").filter("type IN ('mixedUnits', 'impossible')")
+
+
 def differing_ids(spark, folder):
     df = _encounters(spark, folder)
     return quality.differing_rows(df, "Encounter ID", ["Encounter ID", "customer", "priority", "note"], "row_id")
@@ -139,7 +158,7 @@ def selected_findings(spark, folder):
 
 QUERIES = {
     "scan_findings": scan_orders, "scan_customers": scan_customers, "scan_encounters": scan_encounters,
-    "scan_all_tables": scan_all_tables, "differing_ids": differing_ids, "scan_samples": scan_samples,
+    "scan_all_tables": scan_all_tables, "scan_explained": scan_explained, "scan_limits": scan_limits, "differing_ids": differing_ids, "scan_samples": scan_samples,
     "grain_check": grain_check, "variant_map": variant_map, "type_inference": type_inference,
     "type_inference_typed": type_inference_typed, "profile": profile_orders, "column_roles": column_roles,
     "described_columns": described_columns, "vocabulary_kept": vocabulary_kept, "normalised_rows": normalised_rows,
@@ -194,7 +213,7 @@ _FOUND = [
     _finding("orders", "stay", "epochDates", _m("count_if(stay LIKE '1900-%')"), None, "epoch_serial"),
     _finding("orders", "course_days", "unitSuffixNumbers", _m("count_if(course_days LIKE '% Days')"), "days", "strip_unit"),
     _finding("orders", "amount", "unitSuffixNumbers", _m("count_if(amount LIKE '% mg')"), "mg", "strip_unit"),
-    *[_finding("orders", c, "categoryVariants", _variant_count(c, "messy_orders"), None, "merge_spellings", "map") for c in ("priority",)],
+    *[_finding("orders", c, "categoryVariants", _variant_count(c, "messy_orders"), None, "merge_spellings", "map") for c in ("patient_id", "priority")],
     _finding("orders", "amount", "censored", _m("count_if(amount = '<0.5')"), None, "censored", "policy?"),
     *[_finding("orders", c, "multiValue", _m(f"count_if(regexp_matches({c}, '[^\\s,;]\\s*[,;].*[^\\s,;]'))"), None, "split_rows")
       for c in ("tags", "doses", "amount")],
@@ -214,6 +233,7 @@ _CUSTOMER_FOUND = [
     _finding("customers", "balance", "duplicateIds", "(SELECT count(*) FROM (SELECT balance FROM messy_customer GROUP BY 1 HAVING count(*) > 1))"),
     _finding("customers", "segment", "missing", _c("count_if(segment IS NULL)"), "empty"),
     _finding("customers", "doctor", "missing", _c("count_if(doctor IS NULL)"), "empty"),
+    _finding("customers", "doctor", "categoryVariants", _variant_count("doctor", "messy_customer"), None, "merge_spellings", "map"),
     _finding("customers", "segment", "categoryVariants", _variant_count("segment", "messy_customer"), None, "merge_spellings", "map"),
     _finding("customers", "segment", "notInPicklist", _c("count_if(segment LIKE '%X')")),
     _finding("customers", "nation", "notInPicklist", _c("count_if(nation = 'Nowhere')")),
@@ -240,6 +260,61 @@ _ALL_FOUND = [
 ]
 
 
+def _likely_grain(table_name, source, columns):
+    """The first nearly unique column with a repeat, in the order of the columns."""
+    facts = " UNION ALL ".join(
+        f"SELECT {i} AS i, '{c}' AS c, count({v}) AS f, count(DISTINCT {v}) AS d FROM {source}" for i, (c, v) in enumerate(columns)
+    )
+    return (
+        f"SELECT '{table_name}' AS \"table\", c AS \"column\", 'repeating_entity' AS type, d AS count, f || ' rows, ' || d || ' entities' AS detail, "
+        f"CAST(NULL AS VARCHAR) AS fix, CAST(NULL AS VARCHAR) AS param FROM (SELECT * FROM ({facts}) WHERE f >= 4 AND d >= 0.9 * f AND d < f ORDER BY i LIMIT 1)"
+    )
+
+
+_CUSTOMER_FOUND.append(_likely_grain("customers", "messy_customer", [("balance", "balance")]))
+_ALL_FOUND += [_likely_grain(t, t, [(c, v) for u, c, v in _ID_LIKE if u == t]) for t in ("orders", "events")]
+
+
+def _explained(column, kind, test):
+    seen = f"SELECT {column} AS v, min(row_id) AS f FROM messy_orders WHERE {test} GROUP BY 1 ORDER BY f LIMIT 5"
+    return (
+        f"SELECT '{column}' AS \"column\", '{kind}' AS type, (SELECT count(*) FROM messy_orders WHERE {test}) AS count, true AS fixable, "
+        f"(SELECT string_agg(v, '|' ORDER BY f) FROM ({seen})) AS samples"
+    )
+
+
+_EXPLAINED = [
+    _explained("amount", "textNumbers", _AMOUNT_NUMBER), _explained("stay", "textNumbers", "regexp_matches(stay, '^\\d+$')"),
+    _explained("doses", "textNumbers", _IS_NUMBER.format(c="doses")), _explained("stay", "epochDates", "stay LIKE '1900-%'"),
+    _explained("amount", "censored", "amount = '<0.5'"),
+    "SELECT CAST(NULL AS VARCHAR) AS \"column\", 'duplicateRows' AS type, (SELECT count(*) - (SELECT count(*) FROM "
+    "(SELECT DISTINCT * EXCLUDE (row_id) FROM messy_orders)) FROM messy_orders) AS count, true AS fixable, CAST(NULL AS VARCHAR) AS samples",
+]
+_STAYS = "(" + _LIMITS.format("orders").replace("AS STRING", "AS VARCHAR") + ")"
+_LIMITS_FOUND = [
+    _finding("stays", "note", "mixedUnits", f"(SELECT count_if(note LIKE 'take%') FROM {_STAYS})", "mg, ml"),
+    _finding("stays", "age", "impossible", f"(SELECT count_if(CAST(age AS INT) > 120) FROM {_STAYS})", "age over 120"),
+    _finding("stays", "dose", "impossible", f"(SELECT count_if(CAST(dose AS INT) < 0) FROM {_STAYS})", "negative"),
+    _finding("stays", "end_date", "impossible", f"(SELECT count_if(end_date < start_date) FROM {_STAYS})", "before start_date"),
+]
+
+
+def _class_of(c):
+    """The class of a text column of messy_orders, from its cells (row_id is typed)."""
+    plain, marked = f"regexp_matches({c}, '^-?\\d+(\\.\\d+)?$')", f"(NOT {blank(c)} AND {missing(c)})"
+    cells = (
+        f"SELECT count_if(NOT {blank(c)}) AS filled, count_if({plain}) AS numbers, count_if(regexp_matches({c}, '^\\d{{{{4}}}}-\\d{{{{2}}}}-\\d{{{{2}}}}')) AS iso, "
+        f"count_if({marked}) AS markers, count(TRY_CAST({c} AS DOUBLE)) AS castable FROM messy_orders"
+    ).replace("{{", "{").replace("}}", "}")
+    kind = (
+        "CASE WHEN filled = 0 THEN 'empty' WHEN numbers = filled THEN 'number' WHEN iso > 0 AND iso + markers = filled THEN 'date' "
+        "WHEN numbers > 0 THEN 'mixed (text + numbers)' ELSE 'text' END"
+    )
+    return (
+        f"SELECT '{c}' AS \"column\", {kind} AS type, {kind} IN ('number', 'mixed (text + numbers)') OR (filled > 0 AND castable = filled) AS is_numeric FROM ({cells})"
+    )
+
+
 def _union(parts):
     return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE count > 0"
 
@@ -316,8 +391,9 @@ SQL = {
         f"SELECT 'priority' AS \"column\", raw, first_value(raw) OVER (PARTITION BY k ORDER BY n DESC, f) AS canonical, n, spellings FROM "
         f"(SELECT *, count(*) OVER (PARTITION BY k) AS spellings FROM (SELECT priority AS raw, {fold('priority')} AS k, count(*) AS n, min(row_id) AS f "
         f"FROM messy_orders WHERE NOT {blank('priority')} GROUP BY 1, 2)) WHERE spellings > 1", ORDERS),
-    "type_inference": " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", '{t}' AS type, {'true' if t != 'text' else 'false'} AS is_numeric" for c, t in _TYPES.items()),
+    "type_inference": with_tables(
+        "SELECT 'row_id' AS \"column\", 'number' AS type, true AS is_numeric UNION ALL " + " UNION ALL ".join(_class_of(c) for c in _TEXT_COLUMNS), ORDERS),
+    "scan_explained": with_tables(" UNION ALL ".join(_EXPLAINED), ORDERS), "scan_limits": _union(_LIMITS_FOUND),
     "type_inference_typed": "SELECT column_name AS \"column\", CASE WHEN column_name = 'l_shipdate' THEN 'date' WHEN column_name IN "
     "('l_returnflag', 'l_linestatus') THEN 'text' ELSE 'number' END AS type, column_name NOT IN ('l_shipdate', 'l_returnflag', 'l_linestatus') "
     "AS is_numeric FROM (DESCRIBE lineitem)",
