@@ -51,6 +51,9 @@ NAMES = re.compile(
     r"alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|replies|"
     r"share|sharing|social|related|recommended|recommendations|widget|toolbar|skip-?link|copyright|disclaimer)($|[\s_-])", re.I,
 )
+HEADERS = {"header", "site-header", "global-header", "topbar", "top-bar"}
+# A class that tells the state of a page, not what the element is.
+STATE = re.compile(r"(has|no|with|is|not|js)[_-]", re.I)
 ARTICLE_NAMES = re.compile(r"(^|\s)(article-?body|article-?content|post-?body|post-?content|entry-?content|story-?body)($|\s)", re.I)
 
 MARKUP = re.compile(
@@ -67,7 +70,7 @@ def attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
 
 
-def is_furniture(tag: str, given: dict[str, str], in_article: bool) -> bool:
+def is_furniture(tag: str, given: dict[str, str], in_article: bool, by_name: bool = True) -> bool:
     if tag in FURNITURE or (tag == "header" and not in_article):
         return True
     if not given or tag in ("html", "body"):
@@ -76,7 +79,12 @@ def is_furniture(tag: str, given: dict[str, str], in_article: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""), re.I):
         return True
-    return bool(NAMES.search(given.get("class", "")) or NAMES.search(given.get("id", "")))
+    if not by_name:
+        return False
+    names = [n for n in f"{given.get('class', '')} {given.get('id', '')}".split() if not STATE.match(n)]
+    if tag in ("article", "main"):
+        return any(NAMES.fullmatch(n) for n in names)
+    return any(NAMES.search(n) or (n.lower() in HEADERS and not in_article) for n in names)
 
 
 def is_article(tag: str, given: dict[str, str]) -> bool:
@@ -97,7 +105,7 @@ class Line:
         return SPACE.sub(" ", references.unescape("".join(self.parts))).strip()
 
 
-def lines_of(html: str) -> tuple[list[Line | None], bool]:
+def lines_of(html: str, by_name: bool = True) -> tuple[list[Line | None], bool]:
     """The lines of a page, None for each line without text, and whether it names an article."""
     lines: list[Line | None] = []
     # Open elements: (tag, furniture, article).
@@ -150,7 +158,7 @@ def lines_of(html: str) -> tuple[list[Line | None], bool]:
             if tag in BLOCKS and stack and stack[-1][0] in ("p", "li") and (stack[-1][0] == tag or stack[-1][0] == "p"):
                 close(1)
             given = attributes(m["rest"]) if m["rest"] else {}
-            furniture = is_furniture(tag, given, articles > 0)
+            furniture = is_furniture(tag, given, articles > 0, by_name)
             article = not furniture and is_article(tag, given)
             if furniture or article or tag in CONTAINERS or tag == "a":
                 if m["rest"].rstrip().endswith("/") and tag not in BLOCKS:
@@ -170,10 +178,20 @@ def lines_of(html: str) -> tuple[list[Line | None], bool]:
 
 
 def main_text(html: str | None) -> str:
-    """The text between the surge and dive points of a page's line blocks."""
+    """The text between the surge and dive points of a page's line blocks.
+
+    A page that names no article and of which nothing is left is read again without
+    going by class and id names.
+    """
     if not html:
         return ""
     lines, named = lines_of(html)
+    found = between(lines, named)
+    return found if found or named else between(*lines_of(html, False))
+
+
+def between(lines: list[Line | None], named: bool) -> str:
+    """The text of the kept regions between surge and dive points."""
     texts = []
     for line in lines:
         kept = line is not None and (line.article if named else line.linked < LINKED * line.size)

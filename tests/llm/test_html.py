@@ -35,6 +35,12 @@ def test_links_and_hidden_parts_without_an_article():
     assert main_text(page) == said.strip()
 
 
+def test_class_names_of_wrappers():
+    assert main_text("<body class='has-sidebar'><div class='no-sidebar is-modal'><article class='post with-comments'><p>kept</p></article></div>") == "kept"
+    assert main_text("<div class='page-share'><p>all there is</p></div>") == "all there is"
+    assert main_text("<div class='site-header'><p>Menu</p></div><p>text</p><article class='comment'><p>c</p></article>") == "text"
+
+
 def test_far_small_regions_go_and_short_blocks_stay():
     long = "word " * 100
     page = f"<p>stray</p><nav>x</nav><h1>Title</h1><p>{long}</p><p>ok</p><nav>x</nav><p>stray</p>"
