@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_folder
 
@@ -45,5 +46,16 @@ def numbered(df: DataFrame, order_by: list[Column], name: str) -> DataFrame:
     return rows.join(F.broadcast(shifts), "__part").select(*df.columns, (F.col("__pos") + F.col("__shift")).alias(name))
 
 
+def carried(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
+    """The columns ``keep`` under safe names (``__kept0`` ...), and the place of the text column.
+
+    The text is added only where it is not among ``keep``, so no row holds it twice.
+    """
+    kept = [F.col(f"`{c}`").alias(f"__kept{i}") for i, c in enumerate(keep)]
+    if text in keep and df.schema[text].dataType == T.StringType():
+        return df.select(*kept), keep.index(text)
+    return df.select(*kept, F.col(f"`{text}`").cast("string").alias("__text")), len(keep)
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))

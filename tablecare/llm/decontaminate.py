@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import carried
+
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 SLICE = 2 << 20
@@ -154,8 +156,8 @@ FOUND = [
 ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _searcher(shared, names: list[str], keep_text: bool, later: bool):
-    """A pass over documents for one block; ``later``: findings of earlier blocks come along."""
+def _searcher(shared, held: list[str], text_name: str, later: bool):
+    """A pass over documents for one block that keeps ``held``; ``later``: findings of earlier blocks come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         benchmark = shared.value
@@ -168,18 +170,18 @@ def _searcher(shared, names: list[str], keep_text: bool, later: bool):
                     for s in spans:
                         hit[s["start"] : s["end"]] = True
                     items.update(known)
-            columns = [part.column(n) for n in (*names, "__text") if n != "__text" or keep_text]
-            columns += [
+            columns = [
+                *[part.column(n) for n in held],
+
                 pa.array([len(t) for t in texts], pa.int64()),
                 pa.array([[{"start": a, "end": b} for a, b in spans_of(hit)] if hit.any() else [] for hit, _ in results], ARROW_SPANS),
                 pa.array([sorted(items) for _, items in results], pa.list_(pa.string())),
             ]
-            out = [*names, *(["__text"] if keep_text else []), *[f.name for f in FOUND]]
-            return pa.RecordBatch.from_arrays(columns, names=out)
+            return pa.RecordBatch.from_arrays(columns, names=[*held, *[f.name for f in FOUND]])
 
         for batch in batches:
             start, waiting, size = 0, [], 0
-            for text in (x.as_py() for x in batch.column("__text")):
+            for text in (x.as_py() for x in batch.column(text_name)):
                 waiting.append(words_of(text))
                 size += len(text or "")
                 if size > SLICE:
@@ -211,14 +213,14 @@ def find_windows(
     """
     keep = list(docs.columns) if keep is None else keep
     sc = docs.sparkSession.sparkContext
-    kept = [F.col(f"`{c}`").alias(f"__kept{i}") for i, c in enumerate(keep)]
     names = [f"__kept{i}" for i in range(len(keep))]
-    out = docs.select(*kept, F.col(f"`{text}`").cast("string").alias("__text"))
+    out, at_text = carried(docs, keep, text)
+    text_name = out.columns[at_text]
     blocks = list(map(lambda items: sc.broadcast(Benchmark(items, window)), blocks_of(benchmark, item, item_text, block_bytes)))
     for i, shared in enumerate(blocks):
-        keep_text = i + 1 < len(blocks)
-        fields = [f for f in out.schema.fields if f.name in names or (f.name == "__text" and keep_text)]
-        out = out.mapInArrow(_searcher(shared, names, keep_text, i > 0), T.StructType([*fields, *FOUND]))
+        held = names if text_name in names or i + 1 == len(blocks) else [*names, text_name]
+        fields = [out.schema[n] for n in held]
+        out = out.mapInArrow(_searcher(shared, held, text_name, i > 0), T.StructType([*fields, *FOUND]))
     added = ("n_words", "spans", "items")
     return out.select(
         *[F.col(n).alias(c) for n, c in zip(names, keep) if c not in added],
