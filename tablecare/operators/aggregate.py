@@ -291,7 +291,7 @@ def table1(df: DataFrame, columns: list[str], order_by, numeric: list[str] | Non
 def _place(df: DataFrame, order_by, width: int) -> Column:
     """Row, then column: one number where the row order is one whole number."""
     single = order_by if isinstance(order_by, str) else order_by[0] if len(order_by) == 1 else None
-    if single and isinstance(df.schema[single].dataType, (T.IntegerType, T.LongType)):
+    if single and isinstance(df.schema[single].dataType, (T.IntegerType, T.LongType, T.DecimalType)):
         return F.col("row").cast("decimal(38,0)") * width + F.col("at")
     return F.struct("row", "at")
 

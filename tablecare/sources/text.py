@@ -41,10 +41,27 @@ def read_delimited(
                 raise ValueError(f"the header of {file} differs from the first file's")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (written if plain else names)])
     rows = reader.schema(schema).option("header", True).option("enforceSchema", not plain).csv(paths)
-    return rows.select(*[quoted(f.name).alias(n) for f, n in zip(schema, names)], F.struct(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
-    ).alias(ROW))
+    cells = [quoted(f.name).alias(n) for f, n in zip(schema, names)]
+    return _numbered(rows.select(
+        *cells, F.input_file_name().alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__id"),
+    ), names, sorted(reader.csv(paths).inputFiles()))
+
+
+def _numbered(rows: DataFrame, names: list[str], files: list[str]) -> DataFrame:
+    """``_row`` as one number: the file's place, then the split's, then the row's in its task.
+
+    A number, unlike a struct, is aggregated by hashing.
+    """
+    listed = rows.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "__file string, __place long")
+    if len(files) == 1:
+        placed = rows.withColumn("__place", F.lit(0))
+    else:
+        placed = rows.join(listed, "__file", "left")
+    number = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")
+    inside = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(10,0)")
+    row = number("__place", 10) * F.lit(str(1 << 77)).cast("decimal(24,0)") + number("__block", 14) * F.lit(1 << 33).cast("decimal(10,0)") + inside
+    return placed.select(*[quoted(n) for n in names], row.cast("decimal(38,0)").alias(ROW))
 
 
 def normalise(df: DataFrame, numeric_text: bool = True, keep: tuple[str, ...] = (ROW,)) -> DataFrame:
@@ -83,5 +100,5 @@ def load_tables(spark: SparkSession, paths: dict[str, str], **options) -> dict[s
 
 def write_delimited(df: DataFrame, path: str) -> None:
     """All rows with a header, one part file per task."""
-    plain = [quoted(c) for c in df.columns if not isinstance(df.schema[c].dataType, T.StructType)]
+    plain = [quoted(c) for c in df.columns if c != ROW and not isinstance(df.schema[c].dataType, T.StructType)]
     df.select(*plain).write.mode("overwrite").option("header", True).csv(path)

@@ -33,7 +33,7 @@ def test_files_with_other_headers_are_refused(spark, tmp_path):
 
 
 def test_row_sorts_in_file_order_over_many_splits(spark, tmp_path):
-    for name, start in (("1.csv", 0), ("2.csv", 4000)):
+    for name, start in (("1 ä.csv", 0), ("2%20.csv", 4000)):
         (tmp_path / name).write_text("v\n" + "".join(f"{i}\n" for i in range(start, start + 4000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
