@@ -17,8 +17,9 @@ TIME_LIKE = r"(?i)^(\d{4}([-/]\d{1,2})?|" + "|".join(MONTHS) + r"|q[1-4])"
 
 
 def slash_parts(c: Column) -> tuple[Column, Column, Column]:
-    t = trimmed(c)
-    return tuple(F.regexp_extract(t, SLASH_DATE, i).try_cast("int") for i in (1, 2, 3))
+    """The three numbers of a cell that has the shape of a slash date; anything for other cells."""
+    parts = F.split(trimmed(c), "[/-]")
+    return tuple(F.get(parts, F.lit(i)).try_cast("int") for i in range(3))
 
 
 def calendar_date(year: Column, month: Column, day: Column) -> Column:

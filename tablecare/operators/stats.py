@@ -115,7 +115,9 @@ def table_test(df: DataFrame, a: str, b: str, order_by, by: list[str] = (), leve
     base = contingency(df, a, b, order_by, by)
     two, sparse = F.col("c11").isNotNull(), F.col("min_expected") < MIN_EXPECTED
     exact = two & sparse
-    tested = base.withColumn("fisher", F.when(exact, dist.fisher_p("c11", "c12", "c21", "c22"))).withColumn(
+    # Null counts keep the exact test away from tables it is not for.
+    asked = [F.when(exact, F.col(c)) for c in ("c11", "c12", "c21", "c22")]
+    tested = base.withColumn("fisher", dist.fisher_p(*asked)).withColumn(
         "chi_p", dist.chi_square_p("chi_square", F.col("df").cast("double"))
     )
     return tested.select(
