@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import looks_like_time, period_label, period_label_typed, time_order
 from ..functions.formats import plain_number
@@ -20,6 +21,7 @@ from .ranking import top_with_ties
 
 # How much of a dataset is shown.
 POINT_CAP = 2000
+POSITION_CELLS = 65536
 DOTS_PER_GROUP = 50
 PANEL_CAP = 12
 SUBGROUP_CAP = 8
@@ -197,16 +199,64 @@ def scatter(df: DataFrame, x: str, y: str, order_by, chosen=None, cap: int = POI
     is kept for i = 0 .. cap-1.
     """
     rows = apply_filter(df, chosen)
+    at = row_order(order_by)
     points = rows.select(
-        number_of(df, x).alias("x"), number_of(df, y).alias("y"), row_order(order_by).alias("at")
+        number_of(df, x).alias("x"), number_of(df, y).alias("y"), at.alias("at")
     ).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    placed = number_rows(points, [F.asc("at")], "position", start=0)
-    n = placed.agg(F.count(F.lit(1))).scalar()
+    kind = points.schema["at"].dataType
+    if isinstance(kind, T.NumericType):
+        placed = _placed_by_cells(points, F.col("at").cast("double"), cap)
+    elif isinstance(kind, (T.DateType, T.TimestampType)):
+        placed = _placed_by_cells(points, F.unix_micros(F.col("at").cast("timestamp")).cast("double"), cap)
+    else:
+        placed = number_rows(points, [F.asc("at")], "position", start=0)
+        placed = placed.withColumn("n", placed.agg(F.count(F.lit(1))).scalar())
+    return placed.filter(_wanted_from(F.col("position"), F.col("n"), cap) == F.col("position")).select(
+        "position", "x", "y", F.col("n").alias("total_points")
+    )
+
+
+def _wanted_from(position: Column, n: Column, cap: int) -> Column:
+    """The first position at or after ``position`` that an even thinning keeps; null if there is none."""
     step = n.cast("double") / cap
-    taken = (F.col("n") <= cap) | ((F.col("i") < cap) & (F.floor(F.col("i") * F.col("step")) == F.col("position")))
-    return placed.withColumns({"n": n, "step": step}).withColumn(
-        "i", F.ceil(F.col("position") / F.col("step"))
-    ).filter(taken).select("position", "x", "y", F.col("n").alias("total_points"))
+    i = F.ceil(position / step)
+    # Division may round up past the step that starts here.
+    i = F.when((i > 0) & (F.floor((i - 1) * step) >= position), i - 1).otherwise(i)
+    return F.when(n <= cap, position).when(i < cap, F.floor(i * step))
+
+
+def _placed_by_cells(points: DataFrame, at: Column, cap: int) -> DataFrame:
+    """Positions in the order of ``at`` for the cells of rows that hold a wanted position, and some others.
+
+    Rows are counted in equal steps of the order, twice; only the few cells that hold
+    wanted positions are sorted, so the table itself is never sorted or written.
+    """
+    def cell(value: Column, low: Column, high: Column, parts: int) -> Column:
+        inside = F.floor((value - low) / (high - low) * parts).cast("int")
+        return F.when(high > low, F.least(inside, F.lit(parts - 1))).otherwise(F.lit(0))
+
+    points = points.withColumn("a", F.coalesce(at, F.lit(float("-inf"))))
+    known = F.when(F.col("a") != float("-inf"), F.col("a"))
+    facts = points.agg(F.struct(F.min(known).alias("low"), F.max(known).alias("high"), F.count(F.lit(1)).alias("n")).alias("f")).scalar()
+    first = points.withColumn("f", facts).select(
+        "x", "y", "at", "a", F.col("f.n").alias("n"),
+        F.when(known.isNotNull(), cell(F.col("a"), F.col("f.low"), F.col("f.high"), POSITION_CELLS)).otherwise(F.lit(-1)).alias("c1"),
+    )
+    before = Window.orderBy("c1").rowsBetween(Window.unboundedPreceding, -1)
+    counts = first.groupBy("c1").agg(F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.min("a").alias("low"), F.max("a").alias("high"))
+    counts = counts.withColumn("below", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    holds = _wanted_from(F.col("below"), F.col("n"), cap) < F.col("below") + F.col("rows")
+    # At most one row per cell of the first cut.
+    kept = F.broadcast(counts.filter(holds).select("c1", "low", "high", "below"))
+    second = first.join(kept, "c1").withColumn("c2", cell(F.col("a"), F.col("low"), F.col("high"), POSITION_CELLS // 64))
+    inner = Window.partitionBy("c1").orderBy("c2").rowsBetween(Window.unboundedPreceding, -1)
+    finer = second.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("below").alias("below"))
+    finer = finer.withColumn("start", F.col("below") + F.coalesce(F.sum("rows").over(inner), F.lit(0)))
+    holds = _wanted_from(F.col("start"), F.col("n"), cap) < F.col("start") + F.col("rows")
+    # At most one row per kept point.
+    exact = second.drop("below").join(F.broadcast(finer.filter(holds).select("c1", "c2", "start")), ["c1", "c2"])
+    inside = Window.partitionBy("c1", "c2").orderBy("at")
+    return exact.select("x", "y", "n", (F.col("start") + F.row_number().over(inside) - 1).alias("position"))
 
 
 # --- crosstab ------------------------------------------------------------------------

@@ -107,6 +107,16 @@ def test_box_dot_shows_values_of_small_groups_only(spark):
     assert [r["label"] for r in datasets.box_dot(df, "g", "x", "id").collect()] == ["c", "b", "a"]
 
 
+@pytest.mark.parametrize("n, cap", [(0, 10), (9, 10), (11, 10), (137, 10), (3000, 77)])
+def test_scatter_positions_under_any_spread_of_the_order(spark, n, cap):
+    for keys in ([i * 7919 % 10007 for i in range(n)], [i if i < n * 0.8 else i * 10**12 for i in range(n)]):
+        rows = [(k, float(i), 0.5) for i, k in enumerate(keys)]
+        df = spark.createDataFrame(rows, "k long, x double, y double").repartition(4)
+        got = {(r["position"], r["x"]) for r in datasets.scatter(df, "x", "y", "k", cap=cap).collect()}
+        order = sorted(rows)
+        assert got == {(p, order[p][1]) for p in ([int(i * (n / cap)) for i in range(cap)] if n > cap else range(n))}
+
+
 def test_scatter_takes_evenly_spaced_points(spark):
     df = spark.range(0, 5000, 1, 7).selectExpr("id", "CAST(id % 100 AS DOUBLE) AS x", "CAST((id * 7) % 50 AS DOUBLE) AS y")
     got = datasets.scatter(df, "x", "y", "id").orderBy("position").collect()
