@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cells import shared
+from .cells import join_on, shared
 
-CELLS = 4096
+CELLS = 256
+INNER_CELLS = 1024
 STEPS = [CELLS >> i for i in range(1, CELLS.bit_length())]
 
 
@@ -39,37 +40,28 @@ def quantiles_of(counted: DataFrame, cuts: Column, by: list[str], value: str, pr
 
     The counted values are cut into cells by approximate quantiles over all groups,
     so a (group, cell) pair holds a small slice however large its group is; cell
-    totals tell which cells hold the wanted ranks, and only those are sorted.
-    The cut points only balance the work: ranks come from exact counts.
+    totals tell which cells hold the wanted ranks.  Those are cut again, into equal
+    steps of their span, and only the steps that hold a wanted rank are sorted.
+    The cuts only balance the work: ranks come from exact counts.
     """
     counted = counted.withColumn("__c", F.when(F.col(value).isNotNull(), F.col("__c")).otherwise(F.lit(0)))
     counted = _with_cell(counted.withColumn("__cuts", cuts), value).drop("__cuts")
-    up_to = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = (
-        counted.groupBy(*by, "__cell").agg(F.sum("__c").alias("__in"))
-        .select(
-            *by, "__cell",
-            (F.sum("__in").over(up_to) - F.col("__in")).alias("__below"), "__in",
-            F.sum("__in").over(Window.partitionBy(*by)).alias("__n"),
-        )
+    x = F.col(value).cast("double")
+    cells = counted.groupBy(*by, "__cell").agg(F.sum("__c").alias("__in"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    cells = cells.withColumn("__n", F.sum("__in").over(Window.partitionBy(*by))).withColumn("__base", F.lit(0).cast("long"))
+    targets = _holding(cells, by, "__cell", probs).select(*by, "__cell", "__n", F.col("__below").alias("__base"), "__lo", "__hi")
+    low, high = F.col("__lo"), F.col("__hi")
+    step = F.when(high > low, F.least(F.floor((x - low) / (high - low) * INNER_CELLS).cast("int"), F.lit(INNER_CELLS - 1)))
+    inner = join_on(counted, targets, [*by, "__cell"]).withColumn("__step", F.coalesce(step, F.lit(0)))
+    steps = inner.groupBy(*by, "__cell", "__step").agg(
+        F.sum("__c").alias("__in"), F.first("__n").alias("__n"), F.first("__base").alias("__base")
     )
-    ranks = {name: _ranks(F.col("__n"), p) for name, p in probs.items()}
-    wanted = reduce(or_, [
-        (r >= F.col("__below")) & (r < F.col("__below") + F.col("__in"))
-        for pair in ranks.values() for r in pair[:2]
-    ])
-    targets = cells.filter(wanted).select(
-        *[F.col(b).alias(f"__t_{i}") for i, b in enumerate(by)], F.col("__cell").alias("__t_cell"), "__below", "__n"
-    )
-    same = reduce(
-        and_, [F.col(b).eqNullSafe(F.col(f"__t_{i}")) for i, b in enumerate(by)],
-        F.col("__cell") == F.col("__t_cell"),
-    )
-    in_cell = Window.partitionBy(*by, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.join(targets, same).select(
-        *by, value, "__n",
-        (F.col("__below") + F.sum("__c").over(in_cell)).alias("__end"), "__c",
+    finer = _holding(steps, [*by, "__cell"], "__step", probs).select(*by, "__cell", "__step", "__below")
+    in_step = Window.partitionBy(*by, "__cell", "__step").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = join_on(inner, finer, [*by, "__cell", "__step"]).select(
+        *by, value, "__n", (F.col("__below") + F.sum("__c").over(in_step)).alias("__end"), "__c",
     )
+    ranks = {name: _ranks(F.col("__n"), p) for name, p in probs.items()}
     at = lambda r: F.max(F.when((r >= F.col("__end") - F.col("__c")) & (r < F.col("__end")), F.col(value)))
     picked = placed.groupBy(*by, "__n").agg(*[
         agg.alias(f"__{name}_{side}")
@@ -82,6 +74,17 @@ def quantiles_of(counted: DataFrame, cuts: Column, by: list[str], value: str, pr
     ])
 
 
+def _holding(cells: DataFrame, by: list[str], order: str, probs: dict[str, float]) -> DataFrame:
+    """The cells that hold a wanted rank, with ``__below``: ``__base`` and the counts of earlier cells."""
+    up_to = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    below = F.col("__base") + F.sum("__in").over(up_to) - F.col("__in")
+    wanted = reduce(or_, [
+        (r >= F.col("__below")) & (r < F.col("__below") + F.col("__in"))
+        for p in probs.values() for r in _ranks(F.col("__n"), p)[:2]
+    ])
+    return cells.withColumn("__below", below).filter(wanted)
+
+
 def _with_cell(df: DataFrame, value: str) -> DataFrame:
     """Add how many cut points lie below ``value``, by halving the sorted cuts.
 
