@@ -393,7 +393,7 @@ SQL = {
         f"FROM messy_orders WHERE NOT {blank('priority')} GROUP BY 1, 2)) WHERE spellings > 1", ORDERS),
     "type_inference": with_tables(
         "SELECT 'row_id' AS \"column\", 'number' AS type, true AS is_numeric UNION ALL " + " UNION ALL ".join(_class_of(c) for c in _TEXT_COLUMNS), ORDERS),
-    "scan_explained": with_tables(" UNION ALL ".join(_EXPLAINED), ORDERS), "scan_limits": _union(_LIMITS_FOUND),
+    "scan_explained": with_tables(_union(_EXPLAINED), ORDERS), "scan_limits": _union(_LIMITS_FOUND),
     "type_inference_typed": "SELECT column_name AS \"column\", CASE WHEN column_name = 'l_shipdate' THEN 'date' WHEN column_name IN "
     "('l_returnflag', 'l_linestatus') THEN 'text' ELSE 'number' END AS type, column_name NOT IN ('l_shipdate', 'l_returnflag', 'l_linestatus') "
     "AS is_numeric FROM (DESCRIBE lineitem)",
