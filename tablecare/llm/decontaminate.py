@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 from .common import carried
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SLICE = 2 << 20
 LANE = 256
 TABLE_BITS = 18
@@ -111,34 +112,40 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.numbers: dict[bytes, int] = {}
-        owners: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, text in items:
-            words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
-            length = min(window, len(words))
-            for i in range(len(words) - length + 1 if length else 0):
-                found = owners.setdefault(length, {}).setdefault(tuple(words[i : i + length]), set())
-                if item is not None:
-                    found.add(item)
-        self.matchers = [Matcher(np.array(list(x), np.int64)) for x in owners.values()]
-        self.items = [[sorted(s) for s in x.values()] for x in owners.values()]
+        self.names = [item for item, _ in items]
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for place, (_, text) in enumerate(items):
+            words = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)], np.int32)
+            if len(words):
+                by_length.setdefault(min(window, len(words)), []).append((place, words))
+        # Per length: the matcher of the distinct windows, and the items of each as one array cut at starts.
+        self.matchers: list[tuple[Matcher, np.ndarray, np.ndarray]] = []
+        for length, group in by_length.items():
+            rows = np.concatenate([sliding_window_view(words, length) for _, words in group])
+            owner = np.repeat([place for place, _ in group], [len(words) - length + 1 for _, words in group])
+            whole = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * length))).ravel()
+            _, first, number = np.unique(whole, return_index=True, return_inverse=True)
+            order = np.argsort(number, kind="stable")
+            starts = np.searchsorted(number[order], np.arange(len(first) + 1))
+            self.matchers.append((Matcher(rows[first]), owner[order], starts))
 
     def search(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, set[str]]]:
         """Per text: a mark for each hit word, and the items with an occurring window."""
         get = self.numbers.get
         sizes = np.array([len(t) for t in texts], np.int64)
         firsts = np.cumsum(sizes + 1) - sizes - 1
-        words = np.zeros(int(sizes.sum()) + len(texts), np.int64)
+        words = np.zeros(int(sizes.sum()) + len(texts), np.int32)
         for first, text in zip(firsts.tolist(), texts):
             words[first : first + len(text)] = [get(w, 0) for w in text]
         edges = np.zeros(len(words) + 1, np.int64)
         items: list[set[str]] = [set() for _ in texts]
-        for matcher, owners in zip(self.matchers, self.items):
+        for matcher, owner, cuts in self.matchers:
             starts, numbers = matcher.search(words)
             np.add.at(edges, starts, 1)
             np.add.at(edges, starts + matcher.length, -1)
             of_text = np.searchsorted(firsts, starts, side="right") - 1
             for t, n in set(zip(of_text.tolist(), numbers.tolist())):
-                items[t].update(owners[n])
+                items[t].update(self.names[i] for i in owner[cuts[n] : cuts[n + 1]].tolist() if self.names[i] is not None)
         hit = np.cumsum(edges)[:-1] > 0
         return [(hit[f : f + n], s) for f, n, s in zip(firsts.tolist(), sizes.tolist(), items)]
 
