@@ -47,15 +47,24 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c.cast("string")), "[^a-z0-9]+"), lambda w: w != "")
 
 
+# Plural endings (a pattern, the part that goes, what comes instead, the
+# least length of the word); the first that fits is taken.
+PLURALS = [
+    ("oses$", "oses$", "osis", 0),
+    ("(ches|shes|xes|sses)$", "es$", "", 0),
+    ("ies$", "ies$", "y", 0),
+    ("[^s]s$", "s$", "", 4),
+]
+
+# Spellings that fold together, in the order they are applied.
+SPELLINGS = [("ae", "e"), ("oe", "e"), (r"ise\b", "ize"), (r"isation\b", "ization"), ("ll", "l")]
+
+
 def singular(w: Column) -> Column:
     """Plural to singular by ending."""
-    return (
-        F.when(w.endswith("oses"), F.regexp_replace(w, "oses$", "osis"))
-        .when(w.rlike("(ches|shes|xes|sses)$"), F.regexp_replace(w, "es$", ""))
-        .when(w.endswith("ies"), F.regexp_replace(w, "ies$", "y"))
-        .when(w.rlike("[^s]s$") & (F.length(w) > 3), F.regexp_replace(w, "s$", ""))
-        .otherwise(w)
-    )
+    return F.coalesce(*[
+        F.when(w.rlike(ending) & (F.length(w) >= least), F.regexp_replace(w, goes, comes)) for ending, goes, comes, least in PLURALS
+    ], w)
 
 
 def fold_word(w: Column) -> Column:
@@ -71,7 +80,7 @@ def fold_words(words: Column) -> Column:
 
 def fold_spelling(w: Column) -> Column:
     """British and American spellings to one form."""
-    for pattern, to in (("ae", "e"), ("oe", "e"), (r"ise\b", "ize"), (r"isation\b", "ization"), ("ll", "l")):
+    for pattern, to in SPELLINGS:
         w = F.regexp_replace(w, pattern, to)
     return w
 

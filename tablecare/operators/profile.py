@@ -79,15 +79,17 @@ def class_of(declared: Column) -> Column:
     )
 
 
-def infer_types(df: DataFrame, columns: list[str] | None = None, window: int | None = None) -> DataFrame:
+def infer_types(df: DataFrame, columns: list[str] | None = None, window: int | None = None, order_by=None) -> DataFrame:
     """``column, type`` for every column.
 
-    The whole table decides; ``window`` limits the look to that many rows.
+    The whole table decides; ``window`` limits the look to the first rows of ``order_by``.
     ``is_numeric`` is the looser test: a number or mixed class, or every value
     readable as a number.
     """
     columns = columns or df.columns
-    rows = df.limit(window) if window else df
+    if window and order_by is None:
+        raise ValueError("a window of rows needs order_by")
+    rows = df.orderBy(row_order(order_by)).limit(window) if window else df
     v, n = F.col("value"), F.col("n")
     counts = cells(rows, columns).withColumn("n", F.lit(1)).groupBy("column").agg(
         *class_counts(), F.coalesce(F.sum(F.when(v.try_cast("double").isNotNull(), n)), F.lit(0)).alias("castable")
