@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.dates import row_rank
 from ..functions.text import fold_key, quoted, trimmed
 from .cells import blank_of, cells, is_temporal, is_text, key_of, number_of, row_order, shared
+from .quantiles import cut_points, with_cell
 
 
-MICROS_PER_DAY = 86_400_000_000
-SLICES = 4096
 SPREAD = 1024
 
 
@@ -81,9 +80,9 @@ def as_of_join(
     last row counts, and events at one time share their answer.  Each key's
     points are cut into time slices that are searched on their own, and the last
     prior of every slice is carried to the slices after it, so a key with most
-    of the rows spreads over its slices.  ``slice_width`` is one day for date
-    columns, given in microseconds, and for others a 4096th of the whole span;
-    it never changes the result.
+    of the rows spreads over its slices.  Slices hold about equally many points of
+    all keys, so also a key whose rows lie close together is cut; ``slice_width``
+    asks for equal spans of time instead.  Slices never change the result.
     """
     payload = F.struct(*[quoted(c).alias(f"b{i}") for i, c in enumerate(bring)])
     p = priors.filter(quoted(key).isNotNull()).select(
@@ -102,14 +101,12 @@ def as_of_join(
     lowest = F.lit(-(2**62)).cast("long")
     points = shared(points, "__k", "__t", "__e")
     dated = F.when(F.col("__t") != float("-inf"), F.col("__t"))
-    if slice_width is None and is_temporal(events, time):
-        slice_width = MICROS_PER_DAY
     if slice_width is None:
-        span = points.agg(((F.max(dated) - F.min(dated)) / SLICES).alias("w"))
-        width = span.select(F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(1.0))).scalar()
+        known = points.withColumn("__d", dated)
+        cut = with_cell(known.withColumn("__cuts", cut_points(known, "__d")), "__d")
+        points = cut.withColumn("__s", F.col("__cell")).drop("__cuts", "__cell", "__d")
     else:
-        width = F.lit(float(slice_width))
-    points = points.withColumn("__s", F.coalesce(F.floor(dated / width), lowest))
+        points = points.withColumn("__s", F.coalesce(F.floor(dated / F.lit(float(slice_width))), lowest))
     in_slice = Window.partitionBy("__k", "__s").orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
     searched = points.withColumn("__here", F.last("__p", ignorenulls=True).over(in_slice)).filter("__e")
     slices = points.groupBy("__k", "__s").agg(

@@ -45,7 +45,7 @@ def quantiles_of(counted: DataFrame, cuts: Column, by: list[str], value: str, pr
     The cuts only balance the work: ranks come from exact counts.
     """
     counted = counted.withColumn("__c", F.when(F.col(value).isNotNull(), F.col("__c")).otherwise(F.lit(0)))
-    counted = _with_cell(counted.withColumn("__cuts", cuts), value).drop("__cuts")
+    counted = with_cell(counted.withColumn("__cuts", cuts), value).drop("__cuts")
     x = F.col(value).cast("double")
     cells = counted.groupBy(*by, "__cell").agg(F.sum("__c").alias("__in"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
     cells = cells.withColumn("__n", F.sum("__in").over(Window.partitionBy(*by))).withColumn("__base", F.lit(0).cast("long"))
@@ -85,7 +85,7 @@ def _holding(cells: DataFrame, by: list[str], order: str, probs: dict[str, float
     return cells.withColumn("__below", below).filter(wanted)
 
 
-def _with_cell(df: DataFrame, value: str) -> DataFrame:
+def with_cell(df: DataFrame, value: str) -> DataFrame:
     """Add how many cut points lie below ``value``, by halving the sorted cuts.
 
     One projection per step, so each step reads the one before and the whole

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablecare.operators import joins, reshape
 from tablecare.operators.rows import dedupe_encounters, dedupe_rows, keep_one
@@ -117,3 +118,14 @@ def test_long_to_wide(frame, rows):
 def test_wide_to_long_drops_blanks(frame, rows):
     df = frame("pid, Na, K", [("P1", "140", None), ("P2", " ", "4")])
     assert rows(reshape.wide_to_long(df, "pid", ["Na", "K"])) == [("P1", "Na", "140"), ("P2", "K", "4")]
+
+
+def test_as_of_cuts_a_key_whose_rows_lie_in_one_day(spark):
+    at = lambda i: f"2024-01-01 {i // 60 % 24:02d}:{i % 60:02d}:00"
+    events = spark.createDataFrame([("hot", at(i * 7 % 1440), i) for i in range(400)] + [(None, at(5), 900), ("b", at(9), 901)], "k string, t string, i int")
+    priors = spark.createDataFrame([("hot", at(i * 11 % 1440), i) for i in range(300)] + [("b", at(10), 901), (None, at(1), 902)], "k string, t string, p int")
+    timed = lambda df: df.withColumn("t", F.to_timestamp("t"))
+    got = {r["i"]: r["prior_p"] for r in joins.as_of_join(timed(events), timed(priors), "k", "t", ["p"], "p").rows.collect()}
+    latest = {i * 11 % 1440: i for i in range(300)}
+    wanted = {i: max([(m, p) for m, p in latest.items() if m <= i * 7 % 1440], default=(0, None))[1] for i in range(400)}
+    assert got == wanted | {900: None, 901: None}
