@@ -32,8 +32,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import carried
+
 SHORT = 48
 SLICE = 1 << 20
 CACHED = 400_000
@@ -244,11 +247,13 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | N
 
     ``path`` is the vocabulary file's place on every executor.
     """
-    keep = [c for c in df.columns if c != text] if keep is None else keep
-    kept = [f for f in df.select(*[f"`{c}`" for c in keep]).schema.fields if f.name not in ("n_tokens", "ids", "decoded")]
-    names = [f.name for f in kept]
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     added += [T.StructField("decoded", T.StringType())] if decode else []
+    keep = [c for c in df.columns if c != text] if keep is None else keep
+    keep = [c for c in keep if c not in [f.name for f in added]]
+    taken, at_text = carried(df, keep, text)
+    names = [f"__kept{i}" for i in range(len(keep))]
+    schema = T.StructType([*taken.schema.fields[: len(keep)], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_at(path)
@@ -257,11 +262,11 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | N
             columns = [batch.column(i).slice(start, len(ids)) for i in range(len(names))]
             columns += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
             columns += [pa.array([vocabulary.decode(x) for x in ids], pa.string())] if decode else []
-            return pa.RecordBatch.from_arrays(columns, names=[*names, *[f.name for f in added]])
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         for batch in batches:
             start, done, size = 0, [], 0
-            for ids in encode_all(vocabulary, (x.as_py() for x in batch.column(len(names)))):
+            for ids in encode_all(vocabulary, (x.as_py() for x in batch.column(at_text))):
                 done.append(ids)
                 size += len(ids)
                 if size > 4 * SLICE:
@@ -270,7 +275,6 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | N
             if done:
                 yield rows_of(batch, start, done)
 
-    from pyspark.sql import functions as F
-
-    taken = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text"))
-    return taken.mapInArrow(run, T.StructType([*kept, *added]))
+    return taken.mapInArrow(run, schema).select(
+        *[F.col(n).alias(c) for n, c in zip(names, keep)], *[f.name for f in added]
+    )

@@ -214,6 +214,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: in
     by_print = marked.groupBy("fp").agg(F.min(place).alias("first")).join(roots, "fp")
     first = by_print.groupBy("root").agg(F.min("first").alias("first"))
     chosen = first.select(F.col("first.key").alias("__key"), F.col("first.digest").alias("__digest"))
-    met = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__digest"))
+    names = {c: f"__kept{i}" for i, c in enumerate(docs.columns)}
+    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    met = F.col(names[key]).eqNullSafe(F.col("__key")) & (F.xxhash64(names[text]) == F.col("__digest"))
     # A group has one such key and digest; rows that repeat both are copies of it.
-    return docs.join(chosen, met).dropDuplicates(["__key", "__digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return whole.join(chosen, met).dropDuplicates(["__key", "__digest"]).select(*[F.col(n).alias(c) for c, n in names.items()])
