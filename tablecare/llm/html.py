@@ -2,11 +2,13 @@
 
 Markup is stripped into lines, one per block element.  Lines inside page furniture
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, hidden parts)
-have no text, nor have lines outside the page's article, if it names one, or lines that
-are mostly links outside an article.  Each piece of furniture also stands for ``WIDTH``
-empty lines.  The lengths of the lines are summed over sliding windows of ``WIDTH``
-lines; where the sum surges from zero a region begins, where it dives to zero it ends.
-A page that names its article keeps every region of it; on other pages the regions
+have no text, nor have lines that are mostly links outside an article.  Each piece of
+furniture and each edge of an article also stands for ``WIDTH`` empty lines.  The
+lengths of the lines are summed over sliding windows of ``WIDTH`` lines, on every page;
+where the sum surges from zero a region begins, where it dives to zero it ends.  An
+article that the page names is evidence for its regions: they are all kept, and another
+region only if a window of it reaches ``SURGE`` and it has more text than the whole
+article, which then is a teaser.  On pages without text in a named article the regions
 that reach ``SHARE`` of the largest one are kept.  Lines of kept regions are the text.
 
 Character references are decoded after the markup is gone; white space inside a block
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WIDTH = 3
+SURGE = 86
 SHARE = 0.2
 LINKED = 0.6
 
@@ -137,6 +140,8 @@ def lines_of(html: str, by_name: bool = True) -> tuple[list[Line | None], bool]:
                 lines.extend([None] * WIDTH)
             articles -= article
             links -= tag == "a"
+            if article and tag in BLOCKS:
+                lines.extend([None] * WIDTH)
 
     for m in MARKUP.finditer(html):
         add(html[at : m.start()])
@@ -168,7 +173,7 @@ def lines_of(html: str, by_name: bool = True) -> tuple[list[Line | None], bool]:
                 articles += article
                 links += tag == "a"
                 named = named or (article and not hidden)
-                if furniture:
+                if furniture or (article and tag in BLOCKS):
                     lines.extend([None] * WIDTH)
         if tag in BLOCKS:
             line.article = articles > 0
@@ -186,15 +191,15 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     lines, named = lines_of(html)
-    found = between(lines, named)
-    return found if found or named else between(*lines_of(html, False))
+    found = between(lines)
+    return found if found or named else between(lines_of(html, False)[0])
 
 
-def between(lines: list[Line | None], named: bool) -> str:
+def between(lines: list[Line | None]) -> str:
     """The text of the kept regions between surge and dive points."""
     texts = []
     for line in lines:
-        kept = line is not None and (line.article if named else line.linked < LINKED * line.size)
+        kept = line is not None and (line.article or line.linked < LINKED * line.size)
         texts.append(line.text() if kept else "")
     sizes = [len(t) for t in texts] + [0] * WIDTH
     sums = [sum(sizes[i : i + WIDTH]) for i in range(len(texts))]
@@ -205,8 +210,13 @@ def between(lines: list[Line | None], named: bool) -> str:
         elif not s and start is not None:
             regions.append((sum(sizes[start:i]), start, i))
             start = None
+    inside = [any(t and line.article for t, line in zip(texts[a:b], lines[a:b])) for _, a, b in regions]
+    article = sum(r[0] for r, own in zip(regions, inside) if own)
     largest = max([r[0] for r in regions], default=0)
-    chosen = [r for r in regions if named or r[0] >= SHARE * largest]
+    chosen = [
+        r for r, own in zip(regions, inside)
+        if own or (r[0] > article and max(sums[r[1] : r[2]]) >= SURGE if article else r[0] >= SHARE * largest)
+    ]
     return "\n\n".join(t for _, a, b in chosen for t in texts[a:b] if t)
 
 

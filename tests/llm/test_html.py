@@ -47,6 +47,13 @@ def test_far_small_regions_go_and_short_blocks_stay():
     assert main_text(page) == f"Title\n\n{long.strip()}\n\nok"
 
 
+def test_text_denser_than_a_teaser_article_is_kept():
+    long = "word " * 100
+    teaser = "<article><p>Read this too</p></article>"
+    assert main_text(f"<div><p>{long}</p><p>end</p></div><div>{teaser}</div>") == f"{long.strip()}\n\nend\n\nRead this too"
+    assert main_text(f"<div><p>Not the story</p></div><article><p>{long}</p></article><div><p>nor this</p></div>") == long.strip()
+
+
 def test_very_long_page():
     page = "<article>" + "<p>some words here</p>" * 50_000 + "</article>"
     assert main_text(page).count("\n\n") == 49_999
