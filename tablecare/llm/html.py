@@ -2,14 +2,18 @@
 
 Markup is stripped into lines, one per block element.  Lines inside page furniture
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, hidden parts)
-have no text, nor have lines that are mostly links outside an article.  Each piece of
-furniture and each edge of an article also stands for ``WIDTH`` empty lines.  The
+have no text.  Lines that are mostly links count as empty outside an article; fewer than
+``WIDTH`` of them in a row between lines of one region belong to it, more are a menu.
+Each piece of furniture and each edge of an article also stands for ``WIDTH`` empty lines.  The
 lengths of the lines are summed over sliding windows of ``WIDTH`` lines, on every page;
 where the sum surges from zero a region begins, where it dives to zero it ends.  An
 article that the page names is evidence for its regions: they are all kept, and another
 region only if a window of it reaches ``SURGE`` and it has more text than the whole
-article, which then is a teaser.  On pages without text in a named article the regions
-that reach ``SHARE`` of the largest one are kept.  Lines of kept regions are the text.
+article, which then is a teaser.  On pages without text in a named article a region is
+kept for its own density, if a window of it reaches ``SURGE`` (or none of the page does),
+or for its place: it has a line in the same container as a kept region, or, where that
+container is the page itself, lies between two such.  How long the other regions are
+does not matter.  Lines of kept regions are the text.
 
 Character references are decoded after the markup is gone; white space inside a block
 becomes one space.  Defined cases: null, empty and textless pages give an empty text;
@@ -30,7 +34,6 @@ from pyspark.sql import types as T
 
 WIDTH = 3
 SURGE = 86
-SHARE = 0.2
 LINKED = 0.6
 
 # Elements by their role in a page.
@@ -98,11 +101,11 @@ def is_article(tag: str, given: dict[str, str]) -> bool:
 
 
 class Line:
-    __slots__ = ("parts", "article", "linked", "size")
+    __slots__ = ("parts", "article", "container", "linked", "size")
 
-    def __init__(self, article: bool):
+    def __init__(self, article: bool, container: int):
         self.parts: list[str] = []
-        self.article, self.linked, self.size = article, 0, 0
+        self.article, self.container, self.linked, self.size = article, container, 0, 0
 
     def text(self) -> str:
         return SPACE.sub(" ", references.unescape("".join(self.parts))).strip()
@@ -111,18 +114,18 @@ class Line:
 def lines_of(html: str, by_name: bool = True) -> tuple[list[Line | None], bool]:
     """The lines of a page, None for each line without text, and whether it names an article."""
     lines: list[Line | None] = []
-    # Open elements: (tag, furniture, article).
-    stack: list[tuple[str, bool, bool]] = []
-    hidden = articles = links = 0
+    # Open elements: (tag, furniture, article, the number of the innermost container; 0 is the page).
+    stack: list[tuple[str, bool, bool, int]] = []
+    hidden = articles = links = containers = 0
     named = False
-    line = Line(False)
+    line = Line(False, 0)
     at = 0
 
     def end_line() -> None:
         nonlocal line
         if line.size:
             lines.append(line)
-        line = Line(articles > 0)
+        line = Line(articles > 0, stack[-1][3] if stack else 0)
 
     def add(text: str) -> None:
         if not hidden and text:
@@ -134,7 +137,7 @@ def lines_of(html: str, by_name: bool = True) -> tuple[list[Line | None], bool]:
     def close(count: int) -> None:
         nonlocal hidden, articles, links
         for _ in range(count):
-            tag, furniture, article = stack.pop()
+            tag, furniture, article, _ = stack.pop()
             if furniture:
                 hidden -= 1
                 lines.extend([None] * WIDTH)
@@ -168,7 +171,11 @@ def lines_of(html: str, by_name: bool = True) -> tuple[list[Line | None], bool]:
             if furniture or article or tag in CONTAINERS or tag == "a":
                 if m["rest"].rstrip().endswith("/") and tag not in BLOCKS:
                     continue
-                stack.append((tag, furniture, article))
+                inner = stack[-1][3] if stack else 0
+                if tag in CONTAINERS and tag not in ("html", "body"):
+                    containers += 1
+                    inner = containers
+                stack.append((tag, furniture, article, inner))
                 hidden += furniture
                 articles += article
                 links += tag == "a"
@@ -176,7 +183,7 @@ def lines_of(html: str, by_name: bool = True) -> tuple[list[Line | None], bool]:
                 if furniture or (article and tag in BLOCKS):
                     lines.extend([None] * WIDTH)
         if tag in BLOCKS:
-            line.article = articles > 0
+            line.article, line.container = articles > 0, stack[-1][3] if stack else 0
     add(html[at:])
     end_line()
     return lines, named
@@ -197,27 +204,39 @@ def main_text(html: str | None) -> str:
 
 def between(lines: list[Line | None]) -> str:
     """The text of the kept regions between surge and dive points."""
-    texts = []
+    texts, sizes = [], []
     for line in lines:
-        kept = line is not None and (line.article or line.linked < LINKED * line.size)
-        texts.append(line.text() if kept else "")
-    sizes = [len(t) for t in texts] + [0] * WIDTH
+        texts.append(line.text() if line is not None else "")
+        counts = line is not None and (line.article or line.linked < LINKED * line.size)
+        sizes.append(len(texts[-1]) if counts else 0)
+    sizes += [0] * WIDTH
     sums = [sum(sizes[i : i + WIDTH]) for i in range(len(texts))]
     regions, start = [], None
     for i, s in enumerate([*sums, 0]):
         if s and start is None:
             start = i
         elif not s and start is not None:
-            regions.append((sum(sizes[start:i]), start, i))
+            # A region is seen up to WIDTH - 1 lines before its first line.
+            regions.append((next(j for j in range(start, i) if sizes[j]), i))
             start = None
-    inside = [any(t and line.article for t, line in zip(texts[a:b], lines[a:b])) for _, a, b in regions]
-    article = sum(r[0] for r, own in zip(regions, inside) if own)
-    largest = max([r[0] for r in regions], default=0)
-    chosen = [
-        r for r, own in zip(regions, inside)
-        if own or (r[0] > article and max(sums[r[1] : r[2]]) >= SURGE if article else r[0] >= SHARE * largest)
-    ]
-    return "\n\n".join(t for _, a, b in chosen for t in texts[a:b] if t)
+    own = [any(lines[i].article for i in range(a, b) if sizes[i]) for a, b in regions]
+    dense = [max(sums[a:b]) >= SURGE for a, b in regions]
+    if any(own):
+        article = sum(sum(sizes[a:b]) for (a, b), x in zip(regions, own) if x)
+        kept = [x or (d and sum(sizes[a:b]) > article) for (a, b), x, d in zip(regions, own, dense)]
+    else:
+        kept = in_place(dense if any(dense) else [True] * len(regions), [
+            {lines[i].container for i in range(a, b) if sizes[i]} for a, b in regions
+        ])
+    return "\n\n".join(t for (a, b), x in zip(regions, kept) if x for t in texts[a:b] if t)
+
+
+def in_place(kept: list[bool], containers: list[set[int]]) -> list[bool]:
+    """Regions that are kept, or share a container with a kept one; the page itself (0) only between two such."""
+    shared = set().union(*[c for c, k in zip(containers, kept) if k]) - {0}
+    on_page = [i for i, (c, k) in enumerate(zip(containers, kept)) if k and 0 in c]
+    first, last = (on_page[0], on_page[-1]) if on_page else (0, -1)
+    return [k or bool(c & shared) or (0 in c and first < i < last) for i, (c, k) in enumerate(zip(containers, kept))]
 
 
 def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:

@@ -54,6 +54,16 @@ def test_text_denser_than_a_teaser_article_is_kept():
     assert main_text(f"<div><p>Not the story</p></div><article><p>{long}</p></article><div><p>nor this</p></div>") == long.strip()
 
 
+def test_a_long_body_keeps_its_short_parts():
+    body, ending = "word " * 1000, "last " * 180
+    ad = "<div class='ad'>Buy</div>"
+    page = f"<div id='c'><p>{body}</p>{ad}<p>ok</p>{ad}<p>{ending}</p>{ad}<p>The end.</p></div><nav>x</nav><div><p>Imprint</p></div>"
+    assert main_text(page) == f"{body.strip()}\n\nok\n\n{ending.strip()}\n\nThe end."
+    assert main_text(f"<p>stray</p>{ad}<p>{body}</p>{ad}<p>ok</p>{ad}<p>{ending}</p>") == f"{body.strip()}\n\nok\n\n{ending.strip()}"
+    link = "<p><a href=x>A source of the story</a></p>"
+    assert main_text(f"<div>{link}<p>{body}</p>{link}<p>{ending}</p></div>") == f"{body.strip()}\n\nA source of the story\n\n{ending.strip()}"
+
+
 def test_very_long_page():
     page = "<article>" + "<p>some words here</p>" * 50_000 + "</article>"
     assert main_text(page).count("\n\n") == 49_999
