@@ -1,8 +1,11 @@
 """Secret scan: fixed patterns, and a randomness test battery over every other long token.
 
 Base spans are the leftmost non-overlapping matches of each fixed pattern that are long
-enough.  Every other token of ``LEAST`` or more characters is tested.  Its alphabet is
-inferred (hex, base32, alphanumeric, base64 or base64url), and on the symbol numbers:
+enough.  Every other token of ``LEAST`` or more characters is cut at inner ``=`` and
+tested, whole and cut at ``-_``, at ``+/`` and at all four; the cut with the least p-value
+counts, its p-values times the number of cuts that differ.  The alphabet of a part is the
+narrowest that fits (hex; letters, base32 and base36 of one case; alphanumeric, base64 or
+base64url), and on the symbol numbers:
 
 * a chi-squared test of uniform use of the alphabet,
 * a Wald-Wolfowitz runs test around the median, and
@@ -42,25 +45,29 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 
-LEAST = 20
+LEAST = 16
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+SEGMENT = re.compile(r"[A-Za-z0-9+/_-]+")
+# The ways to cut a segment into parts: whole, and at separators that are foreign to an alphabet.
+CUTS = [SEGMENT, re.compile(r"[A-Za-z0-9+/]+"), re.compile(r"[A-Za-z0-9_-]+"), re.compile(r"[A-Za-z0-9]+")]
 HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 
 # Symbols of each alphabet in their order, and the rates of people's text in it: the
 # chance that two symbols are equal, its spread per symbol, and of a change of class.
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALPHABETS = {
-    "hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "alphanumeric": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "hex": DIGITS + "abcdef", "letters": LOWER, "base32": LOWER + "234567", "base36": DIGITS + LOWER,
+    "alphanumeric": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_",
 }
+# Alphabets of one case, numbered by the lower-case letter.
+ONE_CASE = {"hex", "letters", "base32", "base36"}
 NATURAL = {
-    "hex": (0.12, 0.004, 0.10), "base32": (0.066, 0.0012, 0.10), "alphanumeric": (0.066, 0.0012, 0.35),
-    "base64": (0.066, 0.0012, 0.35), "base64url": (0.066, 0.0012, 0.35),
+    "hex": (0.12, 0.004, 0.10), "letters": (0.066, 0.0012, 0.10), "base32": (0.066, 0.0012, 0.10), "base36": (0.066, 0.0012, 0.10),
+    "alphanumeric": (0.066, 0.0012, 0.35), "base64": (0.066, 0.0012, 0.35), "base64url": (0.066, 0.0012, 0.35),
 }
 ACCEPT = 0.001
 RATE = 0.01
-BANDS = [20, 24, 32, 48, 80]
+BANDS = [16, 20, 24, 32, 48, 80]
 LEVELS = 3000
 
 _NORMAL = NormalDist()
@@ -76,8 +83,12 @@ def alphabet_of(token: str) -> str | None:
         return None
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", token):
         return "hex"
-    if re.fullmatch(r"[A-Z2-7]+", token):
+    if re.fullmatch(r"[a-z]+|[A-Z]+", token):
+        return "letters"
+    if re.fullmatch(r"[a-z2-7]+|[A-Z2-7]+", token):
         return "base32"
+    if re.fullmatch(r"[a-z0-9]+|[A-Z0-9]+", token):
+        return "base36"
     if token.isalnum():
         return "alphanumeric"
     if re.fullmatch(r"[A-Za-z0-9+/]+", token):
@@ -152,7 +163,7 @@ def battery(token: str) -> tuple[str, float] | None:
         return None
     symbols = ALPHABETS[name]
     place = {c: i for i, c in enumerate(symbols)}
-    numbers = [place[c] for c in (body.lower() if name == "hex" else body)]
+    numbers = [place[c] for c in (body.lower() if name in ONE_CASE else body)]
     counts = [0] * len(symbols)
     for x in numbers:
         counts[x] += 1
@@ -183,17 +194,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def tested_tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, int]]:
-    """(start, end, alphabet, band, level) of the long tokens that touch no base span."""
+    """(start, end, alphabet, band, level) of the parts of long tokens that touch no base span."""
     out = []
     for m in LONG.finditer(text):
-        if any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        found = battery(m[0])
-        if found:
-            out.append((m.start(), m.end(), found[0], band_of(len(m[0].rstrip("="))), level_of(found[1])))
+        for segment in SEGMENT.finditer(text, m.start(), m.end()):
+            if segment.end() - segment.start() >= LEAST:
+                out += best_cut(text, segment.start(), segment.end(), m.end(), base)
     return out
 
 
+def best_cut(text: str, start: int, end: int, padded: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, int]]:
+    """The tested parts of the cut of a segment that looks most random; what pads the token up to ``padded`` is its last part's."""
+    cuts = {tuple((p.start(), p.end()) for p in cut.finditer(text, start, end) if p.end() - p.start() >= LEAST) for cut in CUTS}
+    tried = []
+    for cut in sorted(c for c in cuts if c):
+        parts = []
+        for a, b in cut:
+            stop = padded if not text[b:padded].strip("=") else b
+            if not any(x < stop and a < y for x, _, y in base) and (found := battery(text[a:b])):
+                parts.append((found[1], a, stop, found[0], band_of(b - a)))
+        if parts:
+            tried.append(parts)
+    if not tried:
+        return []
+    return [(a, b, name, band, level_of(min(1.0, p * len(tried)))) for p, a, b, name, band in min(tried)]
+
+
 SPAN = "start long, kind int, end long"
 TOKEN = "start long, end long, alphabet string, band int, level int"
 

@@ -38,6 +38,26 @@ def test_digits_and_padding_have_no_alphabet():
     assert s.battery("1234567890" * 3) is None and s.battery("=" * 40) is None
 
 
+@pytest.mark.parametrize("symbols", [
+    string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_lowercase + "234567", string.ascii_lowercase,
+])
+def test_random_tokens_of_one_case_are_not_refused_for_their_alphabet(symbols):
+    rng = random.Random(11)
+    refused = sum(s.battery("".join(rng.choices(symbols, k=80)))[1] == 1.0 for _ in range(200))
+    assert refused <= 4
+
+
+def test_tokens_are_cut_at_separators_and_inner_equal_signs():
+    rng = random.Random(12)
+    body = "".join(rng.choices(string.ascii_lowercase + string.digits, k=40))
+    mixed = "".join(rng.choices(string.ascii_letters + string.digits, k=40))
+    for text, a, b in [
+        (f"AWS_KEY={mixed}==", 8, 50), (f"prod-live_{body}", 10, 50), (f"a-path/{mixed}/with-more", 2, 52), (f"{mixed}", 0, 40), ("aB3xY9kQ2mZ7pR4t", 0, 16),
+    ]:
+        found = [t for t in s.tested_tokens(text, []) if t[4] > 100]
+        assert [t[:2] for t in found] == [(a, b)], text
+
+
 def docs_with(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(4)
 
