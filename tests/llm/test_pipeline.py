@@ -96,3 +96,14 @@ def test_nulls_repeats_and_empty_tables(spark, tmp_path):
         docs = done
     kept = [r["doc_id"] for r in docs.collect()]
     assert len(kept) == len(set(kept)) and None in kept and 50 not in kept
+
+
+def test_the_last_stage_decodes_what_it_encoded(spark, tmp_path):
+    import hashlib
+
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    rows = [(1, "Some words, twice: some words!", "en", "s", 0), (2, "", "en", "s", 0), (3, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for r in corpus_pipeline.encode(spark, docs, str(tmp_path)).collect():
+        decoded = " ".join(map(library.id_to_token, np.frombuffer(r["ids"], "<u4").tolist()))
+        assert r["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
