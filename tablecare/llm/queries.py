@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, langid, linededup, secrets, sharding, simhash, topk
+from . import bpe, chat, decontaminate, html, langid, linededup, repair, secrets, sharding, simhash, topk
 from .common import table, utf8_size
 
 
@@ -238,6 +238,108 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, place - (7
 FROM cut
 """
 
+def damaged(told: DataFrame) -> DataFrame:
+    """Conversations with the faults that the CRC-32 of ``conv_id:turn`` deals out."""
+    def or_space(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    fate = F.crc32(F.concat(or_space("conv_id"), F.lit(":"), or_space("turn")).cast("binary")) % 20
+    text, role = or_space("text"), or_space("role")
+    rows = told.withColumn("fate", fate).filter("fate <> 0").select(
+        "conv_id", "turn", F.when(F.col("fate") == 4, "user").otherwise(role).alias("role"),
+        F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(F.col("fate") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired turns of every damaged conversation."""
+    told = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = repair.repair(damaged(told))
+    every = told.select("conv_id").distinct()
+    summary, digests = fixed.summary, fixed.digests()
+    out = every.join(summary, every["conv_id"].eqNullSafe(summary["conv"]), "left").drop("conv")
+    out = out.join(digests, out["conv_id"].eqNullSafe(digests["conv"]), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+# A place of a conversation has, per state, the least (cost, audit) from there and the turns it leaves.
+def _op11_sql() -> str:
+    after = {0: 2, 1: 2, 2: 3, 3: 2}
+    added = {0: "user", 1: "user", 2: "assistant", 3: "user"}
+    keeps = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}}
+
+    def step(q: int, cost: str, edit: str, turns: str) -> str:
+        return (
+            f"{{'cost': s[{q + 1}].cost + {cost}, 'audit': '{edit}' || s[{q + 1}].audit, "
+            f"'turns': {turns} || s[{q + 1}].turns}}"
+        )
+
+    def least(options: list[str]) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    over = []
+    for q in range(4):
+        options = [step(q, "2", "D", "[]::VARCHAR[]")]
+        stays = "CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+        options.append(step(after[q], f"1 + {stays}", "R", f"['{added[q]}:' || text]"))
+        for initial, moves in keeps.items():
+            if q in moves:
+                options.append(step(moves[q], f"{stays} + CASE WHEN left(role, 1) = '{initial}' THEN 0 ELSE 1000000000 END", "K", "[role || ':' || text]"))
+        over.append(least(options))
+    closed = [least([f"s[{q + 1}]", step(after[q], "5", "I", f"['{added[q]}:']")]) for q in range(4)]
+    ends = "[{'cost': 0, 'audit': '', 'turns': []::VARCHAR[]}, {'cost': 10, 'audit': 'II', 'turns': ['user:', 'assistant:']}, {'cost': 5, 'audit': 'I', 'turns': ['assistant:']}, {'cost': 0, 'audit': '', 'turns': []::VARCHAR[]}]"
+    return f"""
+WITH RECURSIVE remainders AS (SELECT {_crc_rounds()} AS t),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS h
+  FROM conversations),
+dealt AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce([('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT for i in range(len(h) // 2)],
+    lambda crc, b: xor(t[(xor(crc, b) & 255) + 1], (crc >> 8)), 4294967295), 4294967295) % 20 AS fate
+  FROM named, remainders),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM dealt WHERE fate <> 0),
+ordered AS (
+  SELECT conv_id, turn, role, text, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM ordered),
+found AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM judged GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, n AS i, {ends} AS s FROM found
+  UNION ALL
+  SELECT conv_id, i, [{', '.join(closed)}] AS s FROM (
+    SELECT conv_id, i, [{', '.join(closed)}] AS s FROM (
+      SELECT w.conv_id, w.i - 1 AS i, [{', '.join(over)}] AS s
+      FROM walk AS w JOIN judged AS j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i WHERE w.i > 0))),
+best AS (SELECT conv_id, s[1] AS b FROM walk WHERE i = 0)
+SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.cost, 0) AS BIGINT) AS cost, coalesce(b.audit, '') AS audit,
+  sha256(coalesce(array_to_string(b.turns, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS k
+LEFT JOIN found AS f ON f.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN best AS e ON e.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+
+
+OP11_SQL = _op11_sql()
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
@@ -249,6 +351,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 SQL = {
     "op1_chat_formatting": OP1_SQL,
@@ -256,4 +359,5 @@ SQL = {
     "op4_topk": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_sharding": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
