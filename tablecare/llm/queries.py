@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, langid, linededup, repair, secrets, sharding, simhash, topk
+from . import bpe, chat, decontaminate, html, langid, linededup, repair, secrets, sharding, simhash, spelling, topk
 from .common import table, utf8_size
 
 
@@ -340,6 +342,56 @@ LEFT JOIN found AS f ON f.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN best
 
 OP11_SQL = _op11_sql()
 
+
+def misspelt(key: str, run: bytes) -> bytes:
+    """The run (Latin-1), without one of its letters where 97 divides the CRC-32 of ``key:run``."""
+    h = zlib.crc32(f"{key}:{run.decode('latin-1')}".encode())
+    if h % 97:
+        return run
+    at = h % len(run)
+    return run[:at] + run[at + 1 :]
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """The form and root of every frequent word of all documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.word_counts(docs, edit=misspelt))
+
+
+OP12_SQL = f"""
+WITH RECURSIVE remainders AS (SELECT {_crc_rounds()} AS t),
+said AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+  FROM documents),
+counted AS (
+  SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM said GROUP BY doc_id, run),
+marked AS (
+  SELECT run, n, xor(list_reduce([('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT for i in range(len(h) // 2)],
+    lambda crc, b: xor(t[(xor(crc, b) & 255) + 1], (crc >> 8)), 4294967295), 4294967295) AS crc
+  FROM counted, remainders),
+edited AS (
+  SELECT CASE WHEN crc % 97 = 0 THEN run[1 : crc % length(run)] || run[crc % length(run) + 2 :] ELSE run END AS word, n FROM marked),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, n, unnest(range(length(word))) AS i FROM words),
+cuts AS (SELECT DISTINCT word, word[1 : i] || word[i + 2 :] AS shorter FROM places),
+masks AS (SELECT word, word[1 : i] || '*' || word[i + 2 :] AS masked FROM places),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM masks AS a JOIN masks AS b ON a.masked = b.masked AND a.word <> b.word
+  UNION SELECT word, shorter FROM cuts WHERE shorter IN (SELECT word FROM words)
+  UNION SELECT shorter, word FROM cuts WHERE shorter IN (SELECT word FROM words)),
+best AS (
+  SELECT a AS word, count(*) AS n_near, min({{'less': -n, 'form': b}}) AS best FROM near JOIN words AS w ON w.word = b GROUP BY a),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * n THEN best.form END AS form,
+    CASE WHEN -best.less >= 2 * n THEN -best.less END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+steps AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT s.word, f.form FROM steps AS s JOIN formed AS f ON f.word = s.at WHERE f.form IS NOT NULL),
+roots AS (SELECT s.word, s.at AS root FROM steps AS s JOIN formed AS f ON f.word = s.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
@@ -352,6 +404,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 SQL = {
     "op1_chat_formatting": OP1_SQL,
@@ -360,4 +413,5 @@ SQL = {
     "op8_line_dedup": OP8_SQL,
     "op10_sharding": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
 }
