@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, langid, linededup, repair, secrets, sharding, simhash, spelling, topk
+from ..session import checkpoint_folder
+from . import bpe, chat, decontaminate, html, langid, linededup, repair, secrets, sharding, simhash, spelling, topk, warc
 from .common import table, utf8_size
 
 
@@ -392,6 +394,30 @@ roots AS (SELECT s.word, s.at AS root FROM steps AS s JOIN formed AS f ON f.word
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
 """
 
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as it reads back from archives that were written whole and normalised."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    shared = f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
+    whole = warc.write_archives(warc.page_rows(pages), f"{shared}/whole")
+    members = warc.normalise(whole, f"{shared}/members")
+    back = warc.read_records(warc.index_entries(members), payloads=False)
+    return back.select(
+        F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+OP13_SQL = """
+WITH told AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+ranked AS (
+  SELECT *, strlen(html) AS size, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST) AS nth,
+    first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST) AS original FROM told)
+SELECT page_id, size AS payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN size >= 100 AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN size >= 100 AND nth > 1 THEN original END AS refers_to
+FROM ranked
+"""
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_decontamination": op2_decontamination,
@@ -405,6 +431,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_warc": op13_warc,
 }
 SQL = {
     "op1_chat_formatting": OP1_SQL,
@@ -414,4 +441,5 @@ SQL = {
     "op10_sharding": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
     "op12_spelling_variants": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }

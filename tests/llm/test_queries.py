@@ -41,7 +41,7 @@ def folder_of(spark, tmp_path, rows: bool):
 
 COUNTS = {
     "op1_chat_formatting": 3, "op2_decontamination": 13, "op3_secrets": 13, "op5_html": 4, "op6_simhash": 13, "op7_language_id": 13,
-    "op8_line_dedup": 13, "op9_bpe": 13, "op10_sharding": 13, "op11_conversation_repair": 2, "op12_spelling_variants": 1,
+    "op8_line_dedup": 13, "op9_bpe": 13, "op10_sharding": 13, "op11_conversation_repair": 2, "op12_spelling_variants": 1, "op13_warc": 4,
 }
 
 
