@@ -13,10 +13,10 @@ A pivot has at most two equal bigrams before it and an edit adds at most two, so
 prefixes are indexed with up to ``PLACES`` = 5 places of their last bigram, and pivots
 looked up.
 
-Position limits: for each length that the other word may have, an edit before the pivot
-fixes the pivot's place from the end and an edit after it that from the start; on the
-side without the edit the words are equal, so that side's hash is part of the lookup.
-This keeps lists short: the words that share a frequent bigram are never paired.
+Position limits: for each length that the other word may have, an edit behind the pivot
+fixes the pivot's place from the start and one before it that from the end.  All that
+stands on the other side is equal, and of the side with the edit one half is; both are
+part of the lookup, so words that only share a frequent bigram are never paired.
 Candidates are verified by their edit distance.
 
 A word's form is the near word that occurs most often, if at least ``TIMES`` times as
@@ -39,6 +39,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import stored
 
@@ -49,7 +50,7 @@ PREFIX = 3
 PLACES = 5
 SLICE = 1 << 20
 FLUSH = 200_000
-BASE, PRIME = 1_000_003, (1 << 61) - 1
+SHORT = 64
 
 # Latin-1: letters stay, A-Z in lower case; all else parts words.
 LETTERS = bytes(
@@ -145,34 +146,30 @@ def pivots_of(prefix: list[Gram]) -> list[Gram]:
     return list(two[1:]) if two else []
 
 
-class Sides:
-    """Rolling hashes of what stands before and from every place of a word."""
+def _keys(word: str, gram: Gram, length: int) -> list[int]:
+    """What a word and another of ``length`` share if they are one edit apart and both have the bigram ``gram``.
 
-    def __init__(self, word: str):
-        self.before, self.since = [0], [0]
-        for letters, out in ((word, self.before), (word[::-1], self.since)):
-            h = 0
-            for c in letters:
-                h = (h * BASE + ord(c)) % PRIME
-                out.append(h)
-        self.since.reverse()
-
-    def key(self, gram: Gram, length: int, moved: bool) -> str:
-        """A bigram in a word of ``length``: with the text before it, or if the edit stands there, with the text after it."""
-        rank, place = gram
-        return f"{rank}:{length}>{self.since[place + 2]}" if moved else f"{rank}:{length}:{place}<{self.before[place]}"
+    ``gram`` has its place in ``word``.  The edit is behind or before it, and there in
+    the first or second half of the other word's letters; the rest is equal in both.
+    """
+    rank, place = gram
+    before, behind = word[:place], word[place + 2 :]
+    keys = []
+    for side, equal, other in ((0, before, behind), (1, behind, before)):
+        there = length - len(equal) - 2  # letters of the other word on the side of the edit
+        half = there // 2
+        keys += [(side, 0, equal, other[:half]), (side, 1, equal, other[len(other) - (there - half) :])]
+    return [xxh64_intdigest(f"{rank} {length} {side} {part} {equal} {same}".encode()) - (1 << 63) for side, part, equal, same in keys]
 
 
-def index_keys(word: str, prefix: list[Gram]) -> list[str]:
-    """The lookups that a word answers: each bigram of its prefix with either side."""
-    sides = Sides(word)
-    return [sides.key(g, len(word), moved) for g in prefix for moved in (False, True)]
+def index_keys(word: str, places: list[Gram]) -> list[int]:
+    """The lookups that a word answers, for each of the bigrams it is indexed by."""
+    return [k for g in places for k in _keys(word, g, len(word))]
 
 
-def probe_keys(word: str, pivots: list[Gram]) -> list[str]:
-    """The lookups by which a word finds the near words of each length, for an edit after or before a pivot."""
-    sides = Sides(word)
-    return [sides.key(g, len(word) + longer, moved) for g in pivots for longer in (-1, 0, 1) for moved in (False, True)]
+def probe_keys(word: str, pivots: list[Gram]) -> list[int]:
+    """The lookups by which a word finds the near words of each length."""
+    return [k for g in pivots for longer in (-1, 0, 1) for k in _keys(word, g, len(word) + longer)]
 
 
 def near_pairs(words: DataFrame, ranks: dict[str, int]) -> DataFrame:
@@ -193,16 +190,18 @@ def near_pairs(words: DataFrame, ranks: dict[str, int]) -> DataFrame:
                     said += [word] * len(some)
                     ends += [prefix[-1][0]] * len(some)
                     keys += some
-                yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), pa.array(ends, pa.int32()), pa.array(keys, pa.string())], names=["word", "last", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), pa.array(ends, pa.int32()), pa.array(keys, pa.int64())], names=["word", "last", "key"])
 
         return run
 
     def table(index: bool, word: str, last: str) -> DataFrame:
-        rows = words.select("word").mapInArrow(keyed(index), "word string, last int, key string")
-        return rows.select(F.col("word").alias(word), F.col("last").alias(last), F.xxhash64("key").alias("key"))
+        rows = words.select("word").mapInArrow(keyed(index), "word string, last int, key bigint")
+        return rows.select(F.col("word").alias(word), F.col("last").alias(last), "key")
 
     met = table(False, "a", "a_last").join(table(True, "b", "b_last"), "key")
-    met = met.filter((F.col("a_last") <= F.col("b_last")) & (F.col("a") != F.col("b"))).select("a", "b")
+    # The JVM looks at short words; its distance takes quadratic time, so long ones are left to Python.
+    likely = (F.length("a") > SHORT) | (F.levenshtein("a", "b", 1) == 1)
+    met = met.filter((F.col("a_last") <= F.col("b_last")) & (F.col("a") != F.col("b")) & likely).select("a", "b")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
