@@ -9,9 +9,9 @@ of one file are shared out over tasks.
 ``write_archives`` turns pages into records and writes them as such monolithic files.  Of
 pages with equal payloads of at least ``LEAST_REVISIT`` bytes the one with the least key
 (then the least address) is a response; the others are revisits, which refer to it and
-leave the payload out.  Counting equal payloads combines in every task, and equal rows
-are one counted row before payloads move, so a payload of a third of all pages is shared
-out; adaptive execution splits what the join leaves.
+leave the payload out.  Equal payloads combine in every task and one of them moves, so a
+payload of a third of all pages is no burden; revisits are counted rows without a payload,
+and adaptive execution splits what their join leaves.
 
 Files are opened by ``pyarrow.fs`` from the folder's address, which every executor must
 reach.  Each attempt of a task writes files under new names and only those of the
@@ -40,7 +40,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -48,7 +48,7 @@ from .common import stored
 LEAST_REVISIT = 100
 FILE_BYTES = 64 << 20
 PIECE = 1 << 18
-RANGE = 32 << 20
+RANGE = 4 << 20
 COPIES = 4096
 LEVEL = 6
 DATE = "2000-01-01T00:00:00Z"
@@ -249,24 +249,47 @@ def _new_file(folder: str, kind: str) -> tuple[str, fs.FileSystem, str]:
 
 
 def page_rows(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
-    """Distinct pages with the numbers ``start`` to ``stop`` of their copies and, where their payload is ``shared``, the key and address of its response."""
+    """The records to write: a page with the numbers ``start`` to ``stop`` of its copies, and for revisits the key and address of the response.
+
+    A payload moves once, to the one response that has it; revisits are counted rows without one.
+    """
     payload = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
-    taken = pages.select(F.col(f"`{key}`").alias("page"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    taken = pages.select(
+        F.col(f"`{key}`").alias("page"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload"),
+        F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"),
+    )
     order = F.struct(F.col("page").isNull().alias("no_page"), "page", F.col("url").isNull().alias("no_url"), "url")
-    firsts = taken.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.filter("n > 1").select("digest", "first")
-    distinct = taken.groupBy("page", "url", "digest").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("copies"))
+    large, one = taken.filter(F.col("size") >= least), F.lit(1).cast("long")
+
+    def parts(rows: DataFrame) -> DataFrame:
+        """Rows whose copies are numbered, cut into runs that are dealt out anew."""
+        starts = F.explode(F.sequence("start", F.col("copies") - 1, F.lit(COPIES).cast("long")))
+        runs = rows.filter("copies > start").withColumn("start", starts).withColumn("stop", F.least(F.col("start") + COPIES, "copies"))
+        return runs.drop("copies").repartition("digest", "page", "url", "start")
+
+    nobody = [F.lit(None).cast("string").alias("first_page"), F.lit(None).cast("string").alias("first_url")]
+    firsts = large.groupBy("digest").agg(F.min(order).alias("first"), F.first("payload").alias("payload"), F.first("size").alias("size"))
+    responses = firsts.select(
+        F.col("first.page").alias("page"), F.col("first.url").alias("url"), "payload", "size", "digest", (one - 1).alias("start"), one.alias("stop"), *nobody
+    )
+    small = taken.filter(F.col("size") < least).groupBy("page", "url", "payload", "size", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    small = parts(small.select("*", (one - 1).alias("start"), *nobody))
+    repeated = large.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    copies = large.groupBy("page", "url", "size", "digest").agg(F.count(F.lit(1)).alias("copies"))
     is_first = F.col("page").eqNullSafe(F.col("first.page")) & F.col("url").eqNullSafe(F.col("first.url"))
-    rows = distinct.join(firsts, "digest", "left").select(
-        F.col("page").cast("string").alias("page"), "url", "payload", F.octet_length("payload").cast("long").alias("size"), "digest", "copies",
-        F.col("first").isNotNull().alias("shared"), F.coalesce(is_first, F.lit(False)).alias("is_first"),
+    revisits = parts(copies.join(repeated, "digest").select(
+        "page", "url", F.lit(None).cast("binary").alias("payload"), "size", "digest", "copies", F.when(is_first, one).otherwise(one - 1).alias("start"),
         F.col("first.page").cast("string").alias("first_page"), F.col("first.url").alias("first_url"),
+    ))
+    rows = responses.withColumn("revisit", F.lit(False)).unionByName(small.withColumn("revisit", F.lit(False))).unionByName(
+        revisits.withColumn("revisit", F.lit(True))
     )
-    # Further copies are dealt out anew, without the payload where they are revisits.
-    once = rows.select("*", F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("stop")).drop("copies")
-    further = rows.filter("copies > 1").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))).alias("start"))
-    further = further.withColumn("payload", F.when(~F.col("shared"), F.col("payload"))).withColumn("stop", F.least(F.col("start") + COPIES, "copies"))
-    return once.unionByName(further.drop("copies").repartition("digest", "page", "url", "start"))
+    return rows.withColumn("page", F.col("page").cast("string"))
+
+
+def _tasks(spark: SparkSession, pieces: int) -> int:
+    """Tasks for so many pieces of work, each much longer than its row: adaptive execution would put them together."""
+    return max(1, min(2 * pieces, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)))
 
 
 def write_archives(rows: DataFrame, folder: str, date: str = DATE, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -288,8 +311,7 @@ def write_archives(rows: DataFrame, folder: str, date: str = DATE, file_bytes: i
                         path, system, at = _new_file(folder, "warc.gz")
                         out, deflater = system.open_output_stream(at, compression=None), zlib.compressobj(LEVEL, wbits=GZIP)
                         count = size = 0
-                    revisit = r["shared"] and not (r["is_first"] and copy == 0)
-                    original = (r["first_page"], r["first_url"]) if revisit else None
+                    original = (r["first_page"], r["first_url"]) if r["revisit"] else None
                     for piece in page_record(r["page"], r["url"], r["payload"], r["size"], r["digest"], date, copy, original):
                         out.write(deflater.compress(piece))
                         size += len(piece)
@@ -324,8 +346,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                     names=["source", "path", "index", "records"],
                 )
 
-    # Every file is its own row of work.
-    files = archives.select("path").repartition(F.col("path"))
+    files = archives.select("path").repartition(_tasks(archives.sparkSession, archives.count()), "path")
     return stored(files.mapInArrow(run, "source string, path string, index string, records bigint"))
 
 
@@ -391,7 +412,8 @@ def read_records(entries: DataFrame, payloads: bool = True) -> DataFrame:
         if source is not None:
             source.close()
 
-    piece: Column = F.floor(F.col("offset") / RANGE)
-    dealt = entries.select("path", "offset", "length").repartition("path", piece).sortWithinPartitions("path", "offset")
+    pieces = entries.select(F.ceil(F.sum("length") / RANGE)).head()[0] or 0
+    piece = F.floor(F.col("offset") / RANGE)
+    dealt = entries.select("path", "offset", "length").repartition(_tasks(entries.sparkSession, pieces), "path", piece).sortWithinPartitions("path", "offset")
     done = dealt.mapInArrow(run, schema)
     return done if payloads else done.drop("payload")
