@@ -16,6 +16,7 @@ from ..functions.units import column_unit, duration_label
 from .cells import blank_of, cells, is_numeric, is_text, join_on, key_of, number_of, row_order, shared, text_of
 from .conditions import Condition, all_of, entity_flags, keep, keep_groups
 from .quantiles import CELLS, counted_values, cut_points, quantiles_of
+from .sums import exact_sums
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 STATISTICS = ("sum", "average", "median", "quartiles", "stdev", "min", "max", "range", "distinct")
@@ -133,12 +134,13 @@ def group_share(df: DataFrame, column: str, order_by, conditions: list[Condition
 # --- statistics -----------------------------------------------------------------
 
 
-def _steady_sum(x: Column, times: Column | None = None) -> Column:
-    """The sum, in decimal where every number has at most six decimals, so row order cannot show in it."""
-    exact = x.try_cast("decimal(20,6)")
-    plain, weighted = (x, exact) if times is None else (x * times, exact * times.cast("decimal(17,0)"))
-    steady = F.bool_and(x.isNull() | F.coalesce(exact.cast("double") == x, F.lit(False)))
-    return F.when(steady, F.sum(weighted).cast("double")).otherwise(F.sum(plain))
+def _bundle(sums: DataFrame, by: list[str]) -> DataFrame:
+    """The statistics that follow from counts, sums, extremes and the variance ``__v``."""
+    n = F.col("n")
+    return sums.select(
+        *by, "rows", "n", (F.col("rows") - n).alias("skipped"), "sum", round2(F.col("sum") / F.when(n > 0, n)).alias("average"),
+        round2(F.when(n >= 2, F.sqrt("__v"))).alias("stdev"), "min", "max", round2(F.col("max") - F.col("min")).alias("range"),
+    )
 
 
 def numeric_bundle(df: DataFrame, by: list[str], value: str, quartiles: bool = True) -> DataFrame:
@@ -147,30 +149,37 @@ def numeric_bundle(df: DataFrame, by: list[str], value: str, quartiles: bool = T
     ``value`` is already numeric.  No readable number gives nulls, never 0.  With
     quartiles all statistics come from one count of the distinct values.
     """
-    x = F.col(value)
+    x, times = F.col(value), F.col("__c")
     if not quartiles:
-        return df.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("rows"), F.count(x).alias("n"), F.count_if(x.isNull()).alias("skipped"),
-            _steady_sum(x).alias("sum"), round2(F.avg(x)).alias("average"),
-            round2(F.when(F.count(x) >= 2, F.stddev_samp(x))).alias("stdev"),
-            F.min(x).alias("min"), F.max(x).alias("max"), round2(F.max(x) - F.min(x)).alias("range"),
+        # A bin's spread and the distance of its mean from the group's give the group's spread.
+        within = F.struct(F.col("n").alias("n"), F.col("mean").alias("mean"), F.col("spread").alias("spread"))
+        sums = exact_sums(
+            df, by, value, partial={
+                "rows": F.count(F.lit(1)), "n": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "spread": F.var_pop(x),
+            }, final={
+                "rows": F.sum("rows"), "n": F.sum("n"), "min": F.min("min"), "max": F.max("max"),
+                "__bins": F.collect_list(F.when(F.col("n") > 0, within)),
+            },
+        )
+        mean = F.col("sum") / F.col("n")
+        apart = F.aggregate(
+            F.sort_array("__bins"), F.lit(0.0), lambda acc, b: acc + b["n"] * (b["spread"] + (b["mean"] - mean) * (b["mean"] - mean))
         )
+        return _bundle(sums.withColumn("__v", apart / (F.col("n") - 1)), by)
     counted = counted_values(df, by, value)
     cuts = cut_points(counted, value)
     # Deviations are taken from a middle value of all rows, which keeps their squares small.
-    times, apart = F.col("__c"), x - F.coalesce(F.get(cuts, F.lit(CELLS // 2 - 1)), F.lit(0.0))
-    sums = counted.groupBy(*by).agg(
-        F.sum(times).alias("rows"), F.coalesce(F.sum(F.when(x.isNotNull(), times)), F.lit(0)).alias("n"),
-        _steady_sum(x, times).alias("sum"), F.min(x).alias("min"), F.max(x).alias("max"),
-        F.sum(apart * times).alias("__s"), F.sum(apart * apart * times).alias("__q"),
-    )
-    variance = F.greatest((F.col("__q") - F.col("__s") * F.col("__s") / F.col("n")) / (F.col("n") - 1), F.lit(0.0))
-    bundle = sums.select(
-        *by, "rows", "n", (F.col("rows") - F.col("n")).alias("skipped"), "sum",
-        round2(F.col("sum") / F.when(F.col("n") > 0, F.col("n"))).alias("average"),
-        round2(F.when(F.col("n") >= 2, F.sqrt(variance))).alias("stdev"),
-        "min", "max", round2(F.col("max") - F.col("min")).alias("range"),
+    apart = x - F.coalesce(F.get(cuts, F.lit(CELLS // 2 - 1)), F.lit(0.0))
+    sums = exact_sums(
+        counted, by, value, times="__c", partial={
+            "rows": F.sum(times), "n": F.coalesce(F.sum(F.when(x.isNotNull(), times)), F.lit(0)), "min": F.min(x), "max": F.max(x),
+            "__s": F.sum(apart * times), "__q": F.sum(apart * apart * times),
+        }, final={
+            "rows": F.sum("rows"), "n": F.sum("n"), "min": F.min("min"), "max": F.max("max"), "__s": F.sum("__s"), "__q": F.sum("__q"),
+        },
     )
+    variance = (F.col("__q") - F.col("__s") * F.col("__s") / F.col("n")) / (F.col("n") - 1)
+    bundle = _bundle(sums.withColumn("__v", F.greatest(variance, F.lit(0.0))), by)
     exact = quantiles_of(counted, cuts, by, value, QUARTILES)
     if by:
         exact = join_on(bundle, exact, by, "left")

@@ -18,6 +18,7 @@ from .conditions import apply_filter
 from .numbering import number_rows, running_total
 from .quantiles import exact_quantiles
 from .ranking import top_with_ties
+from .sums import add_up, bin_sums, exact_sums, merged_sums, with_bin
 
 # How much of a dataset is shown.
 POINT_CAP = 2000
@@ -73,14 +74,14 @@ def categorical(
     )
     periods = keyed.filter(F.col("label").isNull()).select(F.col("raw").alias("value")).distinct()
     keyed = keyed.filter(F.col("label").isNotNull())
-    spelled = shared(keyed.groupBy("key", "label").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("x").alias("n"), F.sum("x").alias("total"),
-        F.min("first").alias("first"),
+    spelled = shared(with_bin(keyed, "x").groupBy("key", "label", "__bin").agg(
+        *bin_sums("x"), F.count(F.lit(1)).alias("rows"), F.min("first").alias("first"),
     ))
-    groups = spelled.groupBy("key").agg(
-        F.min_by("label", "first").alias("label"), F.sum("rows").alias("rows"), F.sum("n").alias("n"),
-        F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"), F.min("first").alias("first"),
+    by_bin = spelled.groupBy("key", "__bin").agg(
+        *merged_sums(), F.sum("rows").alias("rows"), F.sum("__some").alias("n"), F.min(F.struct("first", "label")).alias("seen"),
     )
+    groups = add_up(by_bin, ["key"], "total", rows=F.sum("rows"), n=F.sum("n"), seen=F.min("seen"))
+    groups = groups.select("key", "seen.label", "rows", "n", F.coalesce("total", F.lit(0.0)).alias("total"), "seen.first")
     if how == "median":
         medians = exact_quantiles(keyed, ["key"], "x", {"median": 0.5})
         groups = groups.join(medians, "key", "left")
@@ -88,10 +89,9 @@ def categorical(
         F.coalesce(F.bool_and(looks_like_time(F.col("label"))), F.lit(False)).alias("t")
     ).scalar()
     number = {
-        "count": F.col("rows").cast("double"), "sum": F.col("total"),
-        "average": round2(F.col("total") / F.when(F.col("n") > 0, F.col("n"))),
-        "median": round2(F.col("median")) if how == "median" else None,
-    }[how]
+        "count": lambda: F.col("rows").cast("double"), "sum": lambda: F.col("total"),
+        "average": lambda: round2(F.col("total") / F.when(F.col("n") > 0, F.col("n"))), "median": lambda: round2(F.col("median")),
+    }[how]()
     with_value = groups.withColumn("value", number)
     points = with_value.filter(F.col("value").isNotNull()).select("label", "value", "n", "first")
     return Categorical(
@@ -286,8 +286,7 @@ def crosstab(
         (number_of(df, value) if value else F.lit(None).cast("double")).alias("x"),
     )
     spelled = keyed.groupBy("lk", "lv", "sk", "sv").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("x").alias("n"), F.sum("x").alias("total"),
-        F.min("first").alias("first"),
+        F.count(F.lit(1)).alias("rows"), F.count("x").alias("n"), F.min("first").alias("first"),
     )
     by_key = lambda k, v: spelled.groupBy(k).agg(
         F.min_by(v, "first").alias("label"), F.sum("rows").alias("rows"), F.min("first").alias("first")
@@ -308,17 +307,18 @@ def crosstab(
     slot_of = F.broadcast(own.select("sk", "slot"))  # at most eight rows
     other_slot = F.coalesce(F.col("slot"), F.lit(subgroups_shown - 1))
     merged = spelled.join(slot_of, "sk", "left").groupBy("lk", other_slot.alias("slot")).agg(
-        F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total")
+        F.sum("rows").alias("rows"), F.sum("n").alias("n")
     )
-    if how == "median":
-        slotted = keyed.join(slot_of, "sk", "left").select("lk", other_slot.alias("slot"), "x")
-        merged = merged.join(exact_quantiles(slotted, ["lk", "slot"], "x", {"median": 0.5}), ["lk", "slot"], "left")
+    if how != "count":
+        slotted = keyed.filter(F.col("x").isNotNull()).join(slot_of, "sk", "left").select("lk", other_slot.alias("slot"), "x")
+        at = ["lk", "slot"]
+        measured = exact_quantiles(slotted, at, "x", {"median": 0.5}) if how == "median" else exact_sums(slotted, at, "x", "total")
+        merged = merged.join(measured, at, "left")
     number, empty = {
-        "count": (F.col("rows").cast("double"), F.lit(0.0)),
-        "sum": (F.col("total"), F.lit(0.0)),
-        "average": (round2(F.col("total") / F.when(F.col("n") > 0, F.col("n"))), F.lit(None).cast("double")),
-        "median": (round2(F.col("median")) if how == "median" else None, F.lit(None).cast("double")),
-    }[how]
+        "count": lambda: (F.col("rows").cast("double"), F.lit(0.0)), "sum": lambda: (F.coalesce("total", F.lit(0.0)), F.lit(0.0)),
+        "average": lambda: (round2(F.col("total") / F.when(F.col("n") > 0, F.col("n"))), F.lit(None).cast("double")),
+        "median": lambda: (round2(F.col("median")), F.lit(None).cast("double")),
+    }[how]()
     n_slots = slots.agg(F.count(F.lit(1))).scalar()
     grid = labels.select("lk", "label", F.explode(F.sequence(F.lit(0), (n_slots - 1).cast("int"))).alias("slot"))
     cells = grid.join(merged.select("lk", "slot", number.alias("value")), ["lk", "slot"], "left").join(

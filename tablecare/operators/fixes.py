@@ -12,8 +12,8 @@ from ..functions.dates import parse_date
 from ..functions.names import name_key
 from ..functions.numbers import censored, epoch_serial, number_text, strip_unit
 from ..functions.text import blank_markers, merge_spellings, quoted
-from .reshape import split_rows
-from .rows import dedupe_encounters, dedupe_rows, keep_one
+from .cells import blank_of
+from .provenance import Trail
 
 # Which finding types a request word selects.
 REQUEST_TYPES = {
@@ -79,66 +79,27 @@ def apply_cells(df: DataFrame, fixes: list[Fix]) -> DataFrame:
     return df.select(*[v.alias(c) for c, v in final.items()])
 
 
-def cells_changed(df: DataFrame, fixes: list[Fix]) -> DataFrame:
-    """How many cells every cell fix changes, for all fixes in one pass."""
-    counts, state = [], {c: quoted(c) for c in df.columns}
-    for i, fix in enumerate(fixes):
-        before, after = state[fix.column], fix.on(state[fix.column])
-        counts.append(F.count_if(~before.eqNullSafe(after)).alias(f"changed_{i}"))
-        state[fix.column] = after
-    return df.agg(*counts, F.count(F.lit(1)).alias("rows"))
-
-
-def apply_row_fix(df: DataFrame, fix: Fix, order_by):
-    """One row fix: the rows after, and the removed rows where it removes any."""
+def follow(trail: Trail, fix: Fix) -> int:
+    """Add one fix to a trail; its step number there."""
+    if fix.name in CELL_FIXES:
+        return trail.cell(fix.label, fix.column, fix.on)
     if fix.name == "split_rows":
-        return split_rows(df, fix.column), None
+        return trail.split(fix.label, fix.column)
     if fix.name == "dedupe_rows":
-        split = dedupe_rows(df, order_by)
-    elif fix.name == "dedupe_encounters":
-        split = dedupe_encounters(df, fix.column, order_by)
-    else:
-        split = keep_one(df, fix.column, fix.params.get("policy", "firstrow"), order_by)
-    return split.kept, split.removed
-
-
-LOG_SCHEMA = "step int, action string, cells_changed long, rows_before long, rows_after long"
+        return trail.copies(fix.label)
+    if fix.name == "dedupe_encounters":
+        return trail.copies(fix.label, ~blank_of(trail.table, fix.column))
+    return trail.survivors(fix.label, fix.column, fix.params.get("policy", "firstrow"))
 
 
 def apply_fixes(df: DataFrame, fixes: list[Fix], order_by) -> Fixed:
-    """Run the chosen fixes; nothing is computed until one of the results is read (Q17).
-
-    The log counts every step by an aggregate of its own, which stays right when
-    a task is run twice.
-    """
-    ordered = in_order(fixes)
-    cell = [f for f in ordered if f.name in CELL_FIXES]
-    rows, removed, logs = apply_cells(df, cell), [], []
-    if cell:
-        counts = cells_changed(df, cell)
-        steps = F.array(*[
-            F.struct(F.lit(i).alias("step"), F.lit(f.label).alias("action"), F.col(f"changed_{i}").alias("cells_changed"),
-                     F.col("rows").alias("rows_before"), F.col("rows").alias("rows_after"))
-            for i, f in enumerate(cell)
-        ])
-        logs.append(counts.select(F.inline(steps)))
-    for i, fix in enumerate(ordered[len(cell):], start=len(cell)):
-        before, (rows, gone) = rows, apply_row_fix(rows, fix, order_by)
-        logs.append(step_counts(i, fix.label, before, rows))
-        if gone is not None:
-            removed.append(gone.withColumn("removed_by", F.lit(fix.label)))
-    empty = df.limit(0).withColumn("removed_by", F.lit(""))
-    log = reduce(DataFrame.unionByName, logs, df.sparkSession.createDataFrame([], LOG_SCHEMA))
-    return Fixed(rows, reduce(DataFrame.unionByName, removed) if removed else empty, log)
-
-
-def step_counts(step: int, action: str, before: DataFrame, after: DataFrame) -> DataFrame:
-    """One log row for a step that keeps or removes rows (Q18)."""
-    count = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
-    return count(before, "rows_before").select(
-        F.lit(step).alias("step"), F.lit(action).alias("action"), F.lit(0).cast("long").alias("cells_changed"),
-        "rows_before", count(after, "n").scalar().alias("rows_after"),
-    )
+    """Run the chosen fixes once; rows, removed rows and the log all read the stored trail (Q17, Q18)."""
+    trail = Trail(df, order_by)
+    for fix in in_order(fixes):
+        follow(trail, fix)
+    done = trail.store()
+    log = done.steps().select("step", F.col("label").alias("action"), "cells_changed", "rows_before", "rows_after")
+    return Fixed(done.rows, done.removed, log)
 
 
 def select_findings(findings: DataFrame, request: str, column: str | None = None) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cells import join_on, shared
 
-CELLS = 256
-INNER_CELLS = 1024
+CELLS = 1024
 STEPS = [CELLS >> i for i in range(1, CELLS.bit_length())]
 
 
@@ -25,7 +25,8 @@ def counted_values(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def cut_points(counted: DataFrame, value: str) -> Column:
     """Values that cut the counted values into cells of nearly equal size, as one scalar array."""
-    cuts = F.percentile_approx(value, [i / CELLS for i in range(1, CELLS)], 10 * CELLS)
+    # One literal array; as many single literals would cost more to plan than the query to run.
+    cuts = F.percentile_approx(value, F.lit(np.arange(1, CELLS) / CELLS), 10 * CELLS)
     return counted.agg(cuts.alias("cuts")).select("cuts").scalar()
 
 
@@ -38,28 +39,19 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
 def quantiles_of(counted: DataFrame, cuts: Column, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """The quantiles of counted values; a group without a value has no row.
 
-    The counted values are cut into cells by approximate quantiles over all groups,
-    so a (group, cell) pair holds a small slice however large its group is; cell
-    totals tell which cells hold the wanted ranks.  Those are cut again, into equal
-    steps of their span, and only the steps that hold a wanted rank are sorted.
-    The cuts only balance the work: ranks come from exact counts.
+    The counted values are cut into ``CELLS`` cells by a sketch over all groups, so a
+    (group, cell) pair holds at most that share of all counted values, however the
+    values are spread and however large its group is.  Cell totals tell exactly which
+    cells hold the wanted ranks, and only those are sorted.  The cuts balance the
+    work; they cannot change a result.
     """
     counted = counted.withColumn("__c", F.when(F.col(value).isNotNull(), F.col("__c")).otherwise(F.lit(0)))
     counted = with_cell(counted.withColumn("__cuts", cuts), value).drop("__cuts")
-    x = F.col(value).cast("double")
-    cells = counted.groupBy(*by, "__cell").agg(F.sum("__c").alias("__in"), F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    cells = cells.withColumn("__n", F.sum("__in").over(Window.partitionBy(*by))).withColumn("__base", F.lit(0).cast("long"))
-    targets = _holding(cells, by, "__cell", probs).select(*by, "__cell", "__n", F.col("__below").alias("__base"), "__lo", "__hi")
-    low, high = F.col("__lo"), F.col("__hi")
-    step = F.when(high > low, F.least(F.floor((x - low) / (high - low) * INNER_CELLS).cast("int"), F.lit(INNER_CELLS - 1)))
-    inner = join_on(counted, targets, [*by, "__cell"]).withColumn("__step", F.coalesce(step, F.lit(0)))
-    steps = inner.groupBy(*by, "__cell", "__step").agg(
-        F.sum("__c").alias("__in"), F.first("__n").alias("__n"), F.first("__base").alias("__base")
-    )
-    finer = _holding(steps, [*by, "__cell"], "__step", probs).select(*by, "__cell", "__step", "__below")
-    in_step = Window.partitionBy(*by, "__cell", "__step").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = join_on(inner, finer, [*by, "__cell", "__step"]).select(
-        *by, value, "__n", (F.col("__below") + F.sum("__c").over(in_step)).alias("__end"), "__c",
+    cells = counted.groupBy(*by, "__cell").agg(F.sum("__c").alias("__in"))
+    targets = _holding(cells.withColumn("__n", F.sum("__in").over(Window.partitionBy(*by))), by, probs)
+    in_cell = Window.partitionBy(*by, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = join_on(counted, targets, [*by, "__cell"]).select(
+        *by, value, "__n", (F.col("__below") + F.sum("__c").over(in_cell)).alias("__end"), "__c",
     )
     ranks = {name: _ranks(F.col("__n"), p) for name, p in probs.items()}
     at = lambda r: F.max(F.when((r >= F.col("__end") - F.col("__c")) & (r < F.col("__end")), F.col(value)))
@@ -74,15 +66,15 @@ def quantiles_of(counted: DataFrame, cuts: Column, by: list[str], value: str, pr
     ])
 
 
-def _holding(cells: DataFrame, by: list[str], order: str, probs: dict[str, float]) -> DataFrame:
-    """The cells that hold a wanted rank, with ``__below``: ``__base`` and the counts of earlier cells."""
-    up_to = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    below = F.col("__base") + F.sum("__in").over(up_to) - F.col("__in")
+def _holding(cells: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
+    """The cells that hold a wanted rank, with the rows of their group ``__n`` and of its earlier cells ``__below``."""
+    up_to = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
+    below = F.sum("__in").over(up_to) - F.col("__in")
     wanted = reduce(or_, [
         (r >= F.col("__below")) & (r < F.col("__below") + F.col("__in"))
         for p in probs.values() for r in _ranks(F.col("__n"), p)[:2]
     ])
-    return cells.withColumn("__below", below).filter(wanted)
+    return cells.withColumn("__below", below).filter(wanted).select(*by, "__cell", "__n", "__below")
 
 
 def with_cell(df: DataFrame, value: str) -> DataFrame:

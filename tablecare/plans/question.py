@@ -15,6 +15,7 @@ from ..operators import aggregate, ranking
 from ..operators.cells import blank_of, key_of, number_of
 from ..operators.conditions import Condition, folded, keep, keep_groups
 from ..operators.quantiles import exact_quantiles
+from ..operators.sums import exact_sums
 
 STATISTIC_INTENTS = set(aggregate.STATISTICS)
 
@@ -178,12 +179,14 @@ def _measure(df: DataFrame, m: Measure) -> DataFrame:
         medians = exact_quantiles(keyed, keys, "__x", {"median": 0.5})
         out = counted.join(medians, keys, "left") if keys else medians.withColumn("rows", counted.scalar())
         out = out.select(*[quoted(g) for g in keys], round2(F.col("median")).alias("median"))
+    elif m.how == "count":
+        out = keyed.groupBy(*[quoted(g) for g in keys]).agg(F.count(F.lit(1)).alias("n"))
+    elif m.how in ("sum", "average"):
+        out = exact_sums(keyed, keys, "__x", partial={"__n": F.count("__x")}, final={"__n": F.sum("__n")})
+        average = round2(F.col("sum") / F.when(F.col("__n") > 0, F.col("__n"))).alias("average")
+        out = out.select(*[quoted(g) for g in keys], "sum" if m.how == "sum" else average)
     else:
-        measure = {
-            "count": F.count(F.lit(1)).alias("n"), "sum": F.sum("__x").alias("sum"),
-            "average": round2(F.avg("__x")).alias("average"),
-        }[m.how]
-        out = keyed.groupBy(*[quoted(g) for g in keys]).agg(measure)
+        raise ValueError(f"unknown measure {m.how!r}")
     if not m.sort:
         return out
     by, descending = m.sort

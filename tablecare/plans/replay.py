@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.names import match_name
 from ..functions.text import fold_key, quoted
 from ..operators.cells import blank_of
-from ..operators.fixes import CELL_FIXES, Fix, apply_cells, apply_row_fix, cells_changed
+from ..operators.fixes import Fix, follow
+from ..operators.provenance import Trail
 from .codes import deidentify, empty_codes
 from .question import absent_values, answer
 from .recipe import Recipe, Step, run_transform
@@ -32,9 +33,10 @@ def unmerged_spellings(df: DataFrame, column: str) -> DataFrame:
 
 @dataclass
 class Replay:
-    """What a replay gives; every part is a lazy table.
+    """What a replay gives.
 
-    ``steps`` and ``surprises`` say what ran and what the recipe did not cover.
+    ``steps`` and ``surprises`` say what ran and what the recipe did not cover.  Fixes in a
+    row run once, over a stored trail; the other parts are lazy tables over it.
     """
 
     rows: DataFrame
@@ -52,10 +54,34 @@ class _Run:
 
     def __init__(self, df: DataFrame, order_by, codes: DataFrame | None, prefix: str):
         self.spark, self.order_by, self.prefix = df.sparkSession, order_by, prefix
-        self.rows, self.names = df, list(df.columns)
+        self.settled, self.names = df, list(df.columns)
         self.codes = codes if codes is not None else empty_codes(self.spark)
         self.new_people, self.cards, self.answers, self.removed = None, None, {}, []
         self.step_rows, self.surprises = [], []
+        self.trail, self.followed, self.merged = None, [], []
+
+    @property
+    def rows(self) -> DataFrame:
+        """The rows as they are now; fixes since the last settled state are stored first."""
+        if self.trail is not None:
+            done, followed, merged = self.trail.store(), self.followed, self.merged
+            self.trail, self.followed, self.merged = None, [], []
+            at = F.element_at(F.array(*[F.lit(i) for i, _ in followed]), F.col("step") + 1)
+            label = F.element_at(F.array(*[F.lit(step.label) for _, step in followed]), F.col("step") + 1)
+            self.step_rows.append(done.steps().select(
+                at.alias("step"), label.alias("label"), F.lit(False).alias("skipped"), F.lit(None).cast("string").alias("note"),
+                "rows_before", "rows_after", "cells_changed",
+            ))
+            for i, place, column, name in merged:
+                spelled = done.after(place).select(F.col(name).alias(column))
+                self.found(i, "newCategoryVariant", column, unmerged_spellings(spelled, column), F.col("spelling"))
+            self.removed.append(done.removed.drop("removed_by"))
+            self.settled = done.rows
+        return self.settled
+
+    @rows.setter
+    def rows(self, df: DataFrame) -> None:
+        self.settled = df
 
     def surprise(self, i: int, kind: str, column: str | None, detail: str) -> None:
         self.surprises.append(self.spark.createDataFrame([(i, kind, column, detail)], SURPRISE_SCHEMA))
@@ -91,7 +117,7 @@ class _Run:
     # --- one method per kind of step -------------------------------------------------
 
     def fix(self, i: int, step: Step) -> None:
-        fix, before = step.fix, self.rows
+        fix = step.fix
         if fix.column is not None:
             column = self.column(i, step, fix.column)
             if column is None:
@@ -101,16 +127,12 @@ class _Run:
             fix = self._survivor(i, step, fix)
             if fix is None:
                 return self.skip(i, step)
-        if fix.name in CELL_FIXES:
-            counts = cells_changed(before, [fix])
-            self.rows = apply_cells(before, [fix])
-            self.record(i, step, before, F.col("changed_0"), counts=counts)
-        else:
-            self.rows, gone = apply_row_fix(before, fix, self.order_by)
-            self.removed += [gone] if gone is not None else []
-            self.record(i, step, before)
+        if self.trail is None:
+            self.trail = Trail(self.settled, self.order_by)
+        place = follow(self.trail, fix)
+        self.followed.append((i, step))
         if fix.name == "merge_spellings":
-            self.found(i, "newCategoryVariant", fix.column, unmerged_spellings(self.rows, fix.column), F.col("spelling"))
+            self.merged.append((i, place, fix.column, self.trail.remember(fix.column)))
 
     def _survivor(self, i: int, step: Step, fix: Fix) -> Fix | None:
         mode, _, date = fix.params.get("policy", "firstrow").partition("::")
@@ -177,7 +199,8 @@ def replay(recipe: Recipe, df: DataFrame, order_by, codes: DataFrame | None = No
     union = lambda parts, schema: reduce(
         DataFrame.unionByName, parts, run.spark.createDataFrame([], schema)
     )
+    rows = run.rows
     return Replay(
-        run.rows, union(run.step_rows, STEP_SCHEMA), union(run.surprises, SURPRISE_SCHEMA), run.codes,
+        rows, union(run.step_rows, STEP_SCHEMA), union(run.surprises, SURPRISE_SCHEMA), run.codes,
         run.new_people, run.answers, run.cards, run.removed,
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import quoted
 from ..operators.cells import blank_of, number_of, text_of
+from ..operators.sums import exact_sums
 
 SMALL_CELL = 2
 
@@ -33,16 +34,20 @@ def person_totals(df: DataFrame, person: str, value: str | None = None, group: s
     """Sum or row count per person and group."""
     rows = df.filter(~blank_of(df, person))
     where = F.coalesce(text_of(rows, group), F.lit("(no group)")) if group else F.lit("(all)")
-    total = F.coalesce(F.sum(number_of(rows, value)), F.lit(0.0)) if value else F.count(F.lit(1)).cast("double")
-    return rows.groupBy(text_of(rows, person).alias("person"), where.alias("group")).agg(total.alias("value"))
+    if value is None:
+        return rows.groupBy(text_of(rows, person).alias("person"), where.alias("group")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    numbers = rows.select(text_of(rows, person).alias("person"), where.alias("group"), number_of(rows, value).alias("__x"))
+    return exact_sums(numbers, ["person", "group"], "__x", "value").fillna(0.0, ["value"])
 
 
 def report_cards(df: DataFrame, person: str, value: str | None = None, group: str | None = None) -> ReportCards:
     """Cards, peers and a warning per group of one or two people."""
     totals = person_totals(df, person, value, group)
-    groups = totals.groupBy("group").agg(
-        F.count(F.lit(1)).alias("group_size"), F.max("value").alias("group_max"), F.avg("value").alias("group_mean")
+    groups = exact_sums(
+        totals, ["group"], "value", "__sum", partial={"group_size": F.count(F.lit(1)), "group_max": F.max("value")},
+        final={"group_size": F.sum("group_size"), "group_max": F.max("group_max")},
     )
+    groups = groups.select("group", "group_size", "group_max", (F.col("__sum") / F.col("group_size")).alias("group_mean"))
     cards = totals.join(groups, "group").select(
         "person", "group", "value", "group_size", "group_max", "group_mean",
         (F.col("group_size") <= SMALL_CELL).alias("small_cell"),

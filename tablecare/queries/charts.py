@@ -29,6 +29,16 @@ def _dataset(how):
     return run
 
 
+def dataset_sum_cancelling(spark, folder):
+    """Sums of quarters between numbers of 10^18 that cancel."""
+    rows = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("priority"), F.explode(F.array(
+            F.lit(2.0**60) + F.col("o_custkey") * 1024.0, F.lit(-(2.0**60)) - F.col("o_custkey") * 1024.0, F.col("o_orderkey") % 7 * 0.25,
+        )).alias("amount"),
+    )
+    return datasets.categorical(rows, "priority", "row_id", "amount", "sum").points.select("label", "value", "n")
+
+
 def dataset_filtered(spark, folder):
     chosen = [[("status", "F"), ("second_priority", "2-high")], [("status", "p")]]
     return datasets.categorical(derived(spark, folder, ORDERS), "tags", "row_id", chosen=chosen).points.select("label", "value")
@@ -154,7 +164,7 @@ def reference_line(spark, folder):
 
 QUERIES = {
     "dataset_categorical": dataset_count, "dataset_sum": _dataset("sum"), "dataset_average": _dataset("average"),
-    "dataset_median": _dataset("median"), "dataset_filtered": dataset_filtered, "dataset_no_data": dataset_no_data,
+    "dataset_sum_cancelling": dataset_sum_cancelling, "dataset_median": _dataset("median"), "dataset_filtered": dataset_filtered, "dataset_no_data": dataset_no_data,
     "dataset_month": dataset_month, "dataset_quarter": dataset_quarter, "unreadable_periods": unreadable_periods,
     "crosstab": crosstab, "crosstab_other": crosstab_other, "crosstab_sum": _crosstab("sum"),
     "crosstab_average": _crosstab("average"), "crosstab_median": _crosstab("median"), "small_multiples": small_multiples,
@@ -217,6 +227,7 @@ SQL = {
     "dataset_categorical": with_tables(
         f"SELECT arg_min(priority, row_id) AS label, CAST(count(*) AS DOUBLE) AS value FROM messy_orders WHERE NOT {blank('priority')} GROUP BY {fold('priority')}", ORDERS),
     "dataset_sum": with_tables(_points("sum(x)"), ORDERS),
+    "dataset_sum_cancelling": "SELECT o_orderpriority AS label, CAST(sum(o_orderkey % 7) AS DOUBLE) * 0.25 AS value, 3 * count(*) AS n FROM orders GROUP BY 1",
     "dataset_average": with_tables(_points(r2("avg(x)"), "HAVING count(x) > 0"), ORDERS),
     "dataset_median": with_tables(_points(r2("quantile_cont(x, 0.5)"), "HAVING count(x) > 0"), ORDERS),
     "dataset_filtered": with_tables(
