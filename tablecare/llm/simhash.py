@@ -53,21 +53,28 @@ SEED = 42
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a whole text, as a signed number."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of all shingles of a whole text, repeats included."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        h = xxh64_intdigest(b" ".join(words), SEED)
-        return h - (1 << 64) if h >> 63 else h
     joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1].tolist()
     ends = ends[shingle - 1 :].tolist()
-    hashes = np.fromiter(
+    return np.fromiter(
         map(xxh64_intdigest, [joined[a:b] for a, b in zip(starts, ends)], repeat(SEED)), np.uint64, len(starts)
     )
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of a whole text, as a signed number; 0 of a text without words."""
+    hashes = shingle_hashes(text, shingle)
+    return majority(hashes) if len(hashes) else 0
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half the hashes, as a signed number."""
     set_in = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8)
@@ -219,3 +226,136 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: in
     met = F.col(names[key]).eqNullSafe(F.col("__key")) & (F.xxhash64(names[text]) == F.col("__digest"))
     # A group has one such key and digest; rows that repeat both are copies of it.
     return whole.join(chosen, met).dropDuplicates(["__key", "__digest"]).select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+# --- similar texts, by a longer fingerprint ---------------------------------------------
+
+
+WORDS = 5
+SIMILARITY = 0.8
+SEGMENT_BITS, SEGMENTS = 20, 12
+CHECK_DISTANCE = 20
+SURE_DISTANCE = 8
+# Odd numbers that make further hashes of one.
+MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
+
+
+def long_fingerprint(text: str | None) -> list[int]:
+    """Five words of 64 bits over shingles of five words: segments are cut from the first four, the last is compared whole."""
+    hashes = shingle_hashes(text, WORDS)
+    if not len(hashes):
+        return [0] * len(MIXERS)
+    out = []
+    for mixer in MIXERS:
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(mixer)
+        out.append(majority(mixed ^ (mixed >> np.uint64(29))))
+    return out
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    """The share of common shingles of five words among all different ones of both texts; 1 for two texts without words."""
+    x, y = np.unique(shingle_hashes(a, WORDS)), np.unique(shingle_hashes(b, WORDS))
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    every = len(x) + len(y) - common
+    return common / every if every else 1.0
+
+
+def long_fingerprints(texts: DataFrame) -> DataFrame:
+    """(node, w0 ... w4) for (node, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            found = np.array([long_fingerprint(x.as_py()) for x in batch.column(1)], np.int64).reshape(-1, len(MIXERS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in found.T]], names=["node", *[f"w{i}" for i in range(len(MIXERS))]])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, " + ", ".join(f"w{i} long" for i in range(len(MIXERS))))
+
+
+def neighbours(nodes: DataFrame, limit: int, ahead: int = 2) -> DataFrame:
+    """Pairs (a, b) of nodes that stand next to each other when sorted by one of four words and differ in at most ``limit`` bits of the fifth."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = np.empty((2, 0), np.int64)
+        for batch in batches:
+            node, check = np.concatenate([before, np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
+            for step in range(1, ahead + 1):
+                new = np.arange(max(len(node) - step, 0)) + step >= before.shape[1]
+                apart = np.unpackbits((check[:-step] ^ check[step:]).view(np.uint8).reshape(-1, 8), axis=1).sum(1)
+                near = new & (apart <= limit)
+                yield pa.RecordBatch.from_arrays([pa.array(node[:-step][near]), pa.array(node[step:][near])], names=["a", "b"])
+            before = np.array([node[-ahead:], check[-ahead:]])
+
+    out = None
+    for word in ("w0", "w1", "w2", "w3"):
+        pairs = nodes.select("node", "w4", word).orderBy(word, "w4", "node").select("node", "w4").mapInArrow(run, "a long, b long")
+        out = pairs if out is None else out.unionByName(pairs)
+    return ordered_pairs(out)
+
+
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+
+def _segment(i: int) -> Column:
+    """Segment ``i`` with its number above it: three to a word."""
+    per_word = SEGMENTS // 4
+    bits = F.shiftrightunsigned(F.col(f"w{i // per_word}"), SEGMENT_BITS * (i % per_word)).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
+    return bits.bitwiseOR(F.lit(i << SEGMENT_BITS).cast("long"))
+
+
+def met_in_segments(rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with different roots that agree in a segment up to one bit and nearly in the check word.
+
+    Each segment's Hamming ball of radius 1 is looked up; it only turns 0 into 1, for one
+    of two keys that differ in a bit has a 0 there.  A bucket shows one member of each
+    root, another one in each bucket, so the work grows with members times roots.
+    """
+    keys = F.explode(F.array(*[_segment(i) for i in range(SEGMENTS)])).alias("key")
+    mixed = F.struct(F.xxhash64("key", "node").alias("place"), "node", "check")
+    members = rooted.select("node", "root", F.col("w4").alias("check"), keys).groupBy("key", "root").agg(F.min(mixed).alias("shown"))
+    members = members.select("key", F.col("root").alias("b_root"), F.col("shown.node").alias("b"), F.col("shown.check").alias("b_check"))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(SEGMENT_BITS)])
+    asked = rooted.select(F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("w4").alias("a_check"), keys)
+    asked = asked.select("*", F.explode(flips).alias("flip")).filter(F.col("key").bitwiseAND(F.col("flip")) == 0)
+    asked = asked.withColumn("key", F.col("key").bitwiseOR(F.col("flip"))).drop("flip")
+    met = asked.join(members, "key").filter((F.col("a_root") != F.col("b_root")) & (distance(F.col("a_check"), F.col("b_check")) <= CHECK_DISTANCE))
+    return ordered_pairs(met.select("a", "b"))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs whose texts are at least ``least`` similar."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            keep = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    first = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
+    second = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "a_text", "b_text")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """The row of ``docs`` with the least key of each group of similar texts (null keys last, then the least text digest).
+
+    Texts link if they share at least ``least`` of their shingles of five words.  Candidates
+    come from a fingerprint of 320 bits: neighbours in four sort orders, and what segments
+    meet; neighbours that nearly agree are taken for one group only to pass over each other
+    in that search.  Only exactly confirmed pairs link.
+    """
+    named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("node", F.xxhash64("text"))
+    place = F.struct(F.col("key").isNull().alias("absent"), "key")
+    texts = stored(named.groupBy("node").agg(F.min(place).alias("place"), F.first("text").alias("text")))
+    nodes = stored(long_fingerprints(texts))
+    close = stored(neighbours(nodes, CHECK_DISTANCE).join(nodes.select(F.col("node").alias("a"), F.col("w4").alias("a_check")), "a").join(
+        nodes.select(F.col("node").alias("b"), F.col("w4").alias("b_check")), "b"
+    ))
+    sure = connected(close.filter(distance(F.col("a_check"), F.col("b_check")) <= SURE_DISTANCE).select("a", "b"))
+    begun = stored(nodes.join(sure, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    pairs = stored(close.select("a", "b").unionByName(met_in_segments(begun)).distinct())
+    roots = connected(stored(confirmed(pairs, texts, least)))
+    held = texts.select("node", "place").join(roots, "node", "left")
+    first = held.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("place", "node")).alias("first"))
+    chosen = first.select(F.col("first.place.key").alias("__key"), F.col("first.node").alias("__digest"))
+    names = {c: f"__kept{i}" for i, c in enumerate(docs.columns)}
+    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    met = F.col(names[key]).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(names[text]).cast("string")) == F.col("__digest"))
+    return whole.join(chosen, met).dropDuplicates(["__key", "__digest"]).select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -8,12 +8,17 @@ import pytest
 import corpus_pipeline
 from tablecare.llm import langid
 from tests.llm.test_decontaminate import plain_words
-from tests.llm.test_simhash import plain_fingerprint, plain_roots
+from tests.llm.test_simhash import plain_split
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def plain_shingles(text):
+    words = plain_split(text)
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
 def plain_pipeline(spark, rows, items):
     """The five stages one after the other in plain Python; the model is the one learned."""
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
@@ -36,11 +41,15 @@ def plain_pipeline(spark, rows, items):
         text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
         if not gone or text.strip():
             docs.append((r[0], text, r[2], r[3], len(text)))
-    prints = {r[0]: plain_fingerprint(r[1]) for r in docs}
-    roots = plain_roots(prints.values())
+    shingles = [plain_shingles(r[1]) for r in docs]
+    group = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                group = [group[j] if g == group[i] else g for g in group]
     first = {}
-    for r in docs:
-        first.setdefault(roots[prints[r[0]]], r)
+    for r, g in zip(docs, group):
+        first.setdefault(g, r)
     windows = {}
     for _, text in items:
         words = plain_words(text)

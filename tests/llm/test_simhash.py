@@ -8,11 +8,15 @@ from xxhash import xxh64_intdigest
 from tablecare.llm import simhash as s
 
 
-def plain_fingerprint(text):
+def plain_split(text):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\v\f\r":
         lowered = lowered.replace(c, " ")
-    words = [w for w in lowered.split(" ") if w]
+    return [w for w in lowered.split(" ") if w]
+
+
+def plain_fingerprint(text):
+    words = plain_split(text)
     shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
     hashes = [xxh64_intdigest(x.encode(), 42) for x in shingles]
     return s._signed(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
@@ -108,3 +112,40 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(1000, 1400)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {7: 7} | {i: 7 for i in range(1000, 1400)}
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 6)):
+            for _ in range(rng.randint(0, 3)):
+                base[rng.randrange(len(base))] = rng.choice(words)
+            texts.append(" ".join(base))
+    texts += ["", " \t", "a b", "A  B", "a b c d e", "a b c d e f"] + [" ".join(rng.choice(words) for _ in range(100)) for _ in range(40)]
+    sets = [set(zip(*[plain_split(t)[i:] for i in range(5)])) or ({tuple(plain_split(t))} if plain_split(t) else set()) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(500 + i, texts[i], "x") for i in range(9)] + [(3, texts[3], "x"), (None, texts[5], "x"), (None, None, "x")]
+    kept = {r["doc_id"] for r in s.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(4)).collect()}
+    wanted = {group.index(g) for g in group}
+    # Links are exact; candidates are found with a probability near 1 for texts this close.
+    assert wanted <= kept and len(kept - wanted) <= 1
+    assert s.keep_one_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert s.similarity("a b c d e f", "a b c d e") == 0.5 and s.similarity("", None) == 1.0
+
+
+def test_one_large_group_among_strangers_costs_members_times_roots(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(5)]
+    rows = [(i, 0, *[s._signed(w ^ (1 << rng.randrange(64))) for w in base]) for i in range(2000)]
+    rows += [(5000 + i, 5000 + i, *[s._signed(w) for w in base[:4]], s._signed(rng.getrandbits(64))) for i in range(20)]
+    rooted = spark.createDataFrame(rows, "node long, root long, " + ", ".join(f"w{i} long" for i in range(5)))
+    pairs = s.met_in_segments(rooted)
+    assert pairs.count() <= 2000 * 20 + 20 * 20 * 24
