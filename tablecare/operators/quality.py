@@ -1,13 +1,16 @@
 """The data-quality scan (Q1-Q16, Q20).
 
-Most detectors read one table of distinct cell values, ``(column, value, n)``,
-made with a single shuffle; only whole-row and per-id checks need their own.
+A sketch per column tells columns of few values, whose distinct cell values
+``(column, value, n)`` make one table with a single shuffle, from those of many (free
+text, ids), whose cells are judged in the scan and counted by digests.  Whole-row and
+per-id checks need their own grouping.
 Findings are rows ``table, column, type, count, detail, fix, param``.  ``fix`` is
 null where nothing can be fixed; ``param`` names what the fix still needs.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +20,10 @@ from ..functions.dates import ISO_PREFIX, SLASH_DATE, is_calendar_date, slash_pa
 from ..functions.names import AGE_NAME, END_NAME, NEVER_NEGATIVE, START_NAME, id_role
 from ..functions.numbers import EPOCH_DATE, LIMIT_LOOSE, MONEY_NOISE, NOT_DONE, NUMBER, NUMBER_UNIT, is_number_text
 from ..functions.text import entity_key, fold_key, is_blank, is_marker, quoted, split_list, trimmed
-from .cells import blank_of, is_temporal, is_text, key_of, row_order, text_of
+from ..session import cut_lineage
+from .cells import blank_of, cells, is_temporal, is_text, key_of, row_order, shared, text_of
 from .joins import off_vocabulary
+from .rows import content_digest
 from .profile import DATE, MIXED, NUMBER_TYPE, TEXT, class_counts, class_of, declared_types, value_frequencies
 
 # Thresholds of the detectors and the units looked for.
@@ -29,6 +34,10 @@ UNIT_MIN_SHARE = 0.6
 LIST_MAX_MEAN_LENGTH = 40
 MAX_AGE = 120
 SAMPLES = 5
+ROW_SAMPLES = 3
+CATEGORY = 10_000
+LEAST_MANY = 50
+SENT_KEYS = 200_000
 UNIT_WORD = r"(?i)\b(kg|g|mg|mcg|ug|ml|l|lb|lbs|oz|cm|mm|in)\b"
 
 FINDING = ["table", "column", "type", "count", "detail", "fix", "param"]
@@ -61,6 +70,17 @@ def column_facts(df: DataFrame, values: DataFrame, columns: list[str], today: st
     ``values`` is the table of distinct cell values; each rule runs once per
     distinct value and is weighted by how often the value occurs.
     """
+    c, n = F.col, F.col("n")
+    flagged = _flagged(values, today)
+    distinct = [F.count_if(~c("blank")).alias("distinct"), F.count_if(~c("blank") & (n > 1)).alias("repeated")]
+    facts = flagged.groupBy("column").agg(*_fact_counts(), *distinct)
+    label = F.when(~c("blank") & ~c("marker"), c("low"))
+    labels = flagged.select("column", label.alias("low")).groupBy("column").agg(F.count_distinct("low").alias("labels"))
+    return facts.join(F.broadcast(labels), "column", "left").withColumn("class", class_of(declared_types(df, columns)))
+
+
+def _flagged(values: DataFrame, today: str) -> DataFrame:
+    """What the rules say of each ``value``, which occurs ``n`` times."""
     v, n = F.col("value"), F.col("n")
     t = trimmed(v)
     slash = t.rlike(SLASH_DATE) & ~t.rlike(ISO_PREFIX)
@@ -70,7 +90,7 @@ def column_facts(df: DataFrame, values: DataFrame, columns: list[str], today: st
     unit = F.lower(F.regexp_extract(v, UNIT_WORD, 1))
     with_unit = (unit != "") & v.rlike("[0-9]")
     as_double = F.when(v.rlike(NUMBER), v.try_cast("double"))
-    flagged = values.select(
+    return values.select(
         "column", "value", "n",
         F.coalesce(slash, F.lit(False)).alias("slash"), a.alias("a"), b.alias("b"),
         is_calendar_date(year, a, b).alias("mdy"), is_calendar_date(year, b, a).alias("dmy"),
@@ -83,11 +103,14 @@ def column_facts(df: DataFrame, values: DataFrame, columns: list[str], today: st
         as_double.alias("x"), F.coalesce(F.substring(v, 1, 10) > F.lit(today), F.lit(False)).alias("future"),
         entity_key(v).alias("low"),
     )
+
+
+def _fact_counts() -> list[Column]:
+    """The counts over flagged values that need no look at another value."""
+    v, n, c = F.col("value"), F.col("n"), F.col
     count = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0))
-    c = F.col
-    facts = flagged.groupBy("column").agg(
+    return [
         *class_counts(), count(c("blank")).alias("blank"),
-        F.count_if(~c("blank")).alias("distinct"), F.count_if(~c("blank") & (n > 1)).alias("repeated"),
         F.bool_and(F.when(~c("blank") & ~c("marker"), c("number"))).alias("all_numbers"),
         count(c("slash")).alias("slash"), count(c("slash") & c("mdy")).alias("mdy"),
         count(c("slash") & c("dmy")).alias("dmy"),
@@ -102,12 +125,57 @@ def column_facts(df: DataFrame, values: DataFrame, columns: list[str], today: st
         F.array_sort(F.collect_set(F.when(c("with_unit"), c("unit")))).alias("units"),
         count(c("x") < 0).alias("negative"), count(c("x") > MAX_AGE).alias("over_age"),
         count(c("future")).alias("future"),
-    )
-    label = F.when(~c("blank") & ~c("marker"), c("low"))
-    labels = flagged.select("column", label.alias("low")).groupBy("column").agg(F.count_distinct("low").alias("labels"))
-    return facts.join(F.broadcast(labels), "column", "left").withColumn(
-        "class", class_of(declared_types(df, columns))
-    )
+    ]
+
+
+# --- columns of many values ----------------------------------------------------------
+
+
+def many_valued(df: DataFrame, columns: list[str], most: int = CATEGORY) -> list[str]:
+    """Columns with more than about ``most`` (and ``LEAST_MANY``) different values, by one mergeable sketch per column.
+
+    Either way of counting gives the same findings; the sketch only says which one moves less.
+    """
+    seen = lambda c: entity_key(quoted(c)) if is_text(df, c) else quoted(c)
+    found = df.agg(*[F.approx_count_distinct(seen(c), 0.05).alias(f"c{i}") for i, c in enumerate(columns)]).head()
+    return [c for c, n in zip(columns, found) if n > max(most, LEAST_MANY)]
+
+
+@dataclass(frozen=True)
+class Wide:
+    """Cells of columns with many values: ``facts`` per column, and the spellings ``value, n, first`` of keys that have several."""
+
+    facts: DataFrame
+    spelled: DataFrame
+
+
+def wide_facts(df: DataFrame, columns: list[str], order_by, today: str) -> Wide:
+    """The facts of columns with many values, which never move as text.
+
+    The rules run in the scan and their counts combine in every task.  Values are
+    counted by the digest of their folded key, with the least and the greatest digest of its
+    spellings: where these differ, the key has several, and only its cells are looked
+    at again.  A column of more than ``LEAST_MANY`` values is no closed set of labels.
+    """
+    raw = cells(df, columns, first=row_order(order_by)).withColumn("n", F.lit(1).cast("long"))
+    facts = _flagged(raw, today).groupBy("column").agg(*_fact_counts())
+    v = F.col("value")
+    keyed = raw.filter(~is_blank(v)).withColumn("key", F.xxhash64(fold_key(v)))
+    keys = shared(keyed.groupBy("column", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.xxhash64(v)).alias("least"), F.max(F.xxhash64(v)).alias("greatest")
+    ))
+    one = F.col("least") == F.col("greatest")
+    several = cut_lineage(keys.filter(~one).select("column", "key"))
+    # A table of digests, whose size is checked before it is sent to every executor.
+    small = several.count() <= SENT_KEYS
+    spelled = cut_lineage(keyed.join(F.broadcast(several) if small else several, ["column", "key"]).groupBy("column", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min("first").alias("first")
+    ))
+    counts = keys.groupBy("column").agg(F.count_if(one).alias("d"), F.count_if(one & (F.col("n") > 1)).alias("r")).unionByName(
+        spelled.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.count_if(F.col("n") > 1).alias("r"))
+    ).groupBy("column").agg(F.sum("d").alias("distinct"), F.sum("r").alias("repeated"))
+    whole = facts.join(F.broadcast(counts), "column", "left").fillna(0, ["distinct", "repeated"])
+    return Wide(whole.withColumn("labels", F.col("distinct")).withColumn("class", class_of(declared_types(df, columns))), spelled)
 
 
 def cell_findings(facts: DataFrame, table: str, id_columns: list[str], columns: list[str]) -> DataFrame:
@@ -172,13 +240,17 @@ def variant_map(values: DataFrame, few: DataFrame) -> DataFrame:
     The most common spelling wins, the first seen on a tie.  The window holds the
     spellings of one key of one column.
     """
-    key = F.when(~is_blank(F.col("value")), fold_key(F.col("value")))
-    spelled = values.join(F.broadcast(few), "column").withColumn("key", key)
-    by_key = Window.partitionBy("column", "key")
+    key = F.xxhash64(F.when(~is_blank(F.col("value")), fold_key(F.col("value"))))
+    spelled = shared(values.join(F.broadcast(few), "column").filter(~is_blank(F.col("value"))).withColumn("key", key))
+    digest = F.xxhash64("value")
+    several = spelled.groupBy("column", "key").agg(F.min(digest).alias("least"), F.max(digest).alias("greatest"))
+    several = several.filter("least <> greatest").select("column", "key")
+    folded = spelled.join(several, ["column", "key"]).withColumn("folded", fold_key(F.col("value")))
+    by_key = Window.partitionBy("column", "folded")
     best = by_key.orderBy(F.desc("n"), F.asc("first"))
-    return spelled.select(
+    return folded.select(
         "column", F.col("value").alias("raw"), F.first("value").over(best).alias("canonical"), "n",
-        F.count("key").over(by_key).alias("spellings"),
+        F.count("folded").over(by_key).alias("spellings"),
     ).filter("spellings > 1")
 
 
@@ -311,24 +383,39 @@ def likely_grain(facts: DataFrame, table: str, columns: list[str]) -> DataFrame:
 
 def scan(
     df: DataFrame, table: str, order_by, vocab: DataFrame | None = None, today: str = "9999-12-31",
-    entity: str | None = None, columns: list[str] | None = None, date_columns: list[str] | None = None,
+    entity: str | None = None, columns: list[str] | None = None, date_columns: list[str] | None = None, category: int = CATEGORY,
 ) -> DataFrame:
     """Every detector on one table (Q2).
 
+    Columns of up to about ``category`` values are counted by value, the others by digests in the scan.
+
     ``today`` bounds future dates.  The grain check takes ``entity``, or the first
     column that looks like one.  Text columns that hold dates are named in ``date_columns`` for the start/end check.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     columns = columns or [c for c in df.columns if c not in order]
-    values = value_frequencies(df, columns, first=row_order(order_by))
-    facts = column_facts(df, values, columns, today)
+    many = many_valued(df, columns, category)
+    values = value_frequencies(df, [c for c in columns if c not in many], first=row_order(order_by)) if len(many) < len(columns) else None
+    facts, counted, spelled = [], [], []
+    if values is not None:
+        facts.append(column_facts(df, values, columns, today))
+        counted.append(values.select("column", "value", "n"))
+        spelled.append(values.select("column", "value", "n", "first"))
+    if many:
+        wide = wide_facts(df, many, order_by, today)
+        facts.append(wide.facts)
+        counted.append(cells(df, many).withColumn("n", F.lit(1).cast("long")))
+        spelled.append(wide.spelled.select("column", "value", "n", "first"))
+    # One row per column, read by several detectors.
+    facts = cut_lineage(reduce(lambda a, b: a.unionByName(b), facts))
+    counted, spelled = (reduce(lambda a, b: a.unionByName(b), parts) for parts in (counted, spelled))
     id_columns = [c for c in columns if id_role(c)]
     dates = [c for c in columns if is_temporal(df, c) or c in (date_columns or [])]
     parts = [duplicate_rows(df, table, columns)]
     parts += [encounter_findings(df, table, c, columns) for c in columns if id_role(c) == "encounter"]
     parts += [patient_findings(df, table, c, columns) for c in columns if id_role(c) == "patient"]
-    parts += [cell_findings(facts, table, id_columns, columns), unit_suffixes(values, facts, table)]
-    parts.append(variant_findings(variant_map(values, few_valued(facts)), table))
+    parts += [cell_findings(facts, table, id_columns, columns), unit_suffixes(counted, facts, table)]
+    parts.append(variant_findings(variant_map(spelled, few_valued(facts)), table))
     backwards = reversed_dates(df, table, columns, dates)
     parts += [backwards] if backwards is not None else []
     if vocab is not None:
@@ -364,10 +451,43 @@ def value_tests(today: str) -> list[tuple[str, str | None, Column]]:
     ]
 
 
+def row_samples(df: DataFrame, columns: list[str], order_by) -> DataFrame:
+    """``column, type, samples``: examples behind the whole-row and id findings (Q1, Q3, Q4, Q5).
+
+    Copied rows show their first three filled cells, three examples in the order in which
+    their second copies come; at most two rows of a content leave a task.  Repeated ids show how often they come.
+    """
+    filled = F.filter(F.array(*[text_of(df, c) for c in columns]), lambda x: x.isNotNull())
+    shown = F.array_join(F.slice(filled, 1, 3), " · ")
+    window = Window.partitionBy(*content_digest(columns)).orderBy("first")
+    rows = df.select(*[quoted(c) for c in columns], row_order(order_by).alias("first"), shown.alias("sample"))
+    second = rows.withColumn("rn", F.row_number().over(window)).filter("rn <= 2").filter("rn = 2")
+    parts = [_listed(second.select("sample", "first"), None, "duplicateRows", ROW_SAMPLES)]
+    for c in columns:
+        role = id_role(c)
+        kind = {"encounter": "duplicateEncounterIds", "patient": "duplicatePatientIds"}.get(role)
+        if kind:
+            copies = df.filter(~blank_of(df, c)).groupBy(*[quoted(x) for x in columns]).agg(
+                F.count(F.lit(1)).alias("__n"), F.min(row_order(order_by)).alias("__first")
+            )
+            times = F.sum("__n") if role == "encounter" else F.count(F.lit(1))
+            ids = copies.groupBy(trimmed(quoted(c)).alias("id")).agg(times.alias("n"), F.min("__first").alias("first")).filter("n > 1")
+            parts.append(_listed(ids.select(F.concat("id", F.lit(" ("), F.col("n").cast("string"), F.lit("×)")).alias("sample"), "first"), c, kind, SAMPLES))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _listed(found: DataFrame, column: str | None, kind: str, most: int) -> DataFrame:
+    """The first ``most`` samples as one list."""
+    top = found.orderBy("first").limit(most)
+    listed = top.agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "sample"))), lambda x: x["sample"]).alias("samples"))
+    return listed.select(F.lit(column).cast("string").alias("__column"), F.lit(kind).alias("__type"), F.lit(None).cast("string").alias("why"), "samples")
+
+
 def explained(findings: DataFrame, df: DataFrame, order_by, columns: list[str] | None = None, today: str = "9999-12-31") -> DataFrame:
     """``findings`` with ``fixable`` and ``samples``: up to five values that cause each, as seen first (Q2).
 
-    Findings about whole rows, ids or other columns have no samples.
+    Whole-row and id findings show examples as ``row_samples`` gives them; findings that
+    compare columns have none.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     columns = columns or [c for c in df.columns if c not in order]
@@ -381,7 +501,8 @@ def explained(findings: DataFrame, df: DataFrame, order_by, columns: list[str] |
     listed = kept.groupBy(F.col("column").alias("__column"), F.col("type").alias("__type"), "why").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"]).alias("samples")
     )
-    same = (F.col("column") == F.col("__column")) & (F.col("type") == F.col("__type")) & (
+    listed = listed.unionByName(row_samples(df, columns, order_by))
+    same = F.col("column").eqNullSafe(F.col("__column")) & (F.col("type") == F.col("__type")) & (
         F.col("why").isNull() | (F.col("detail") == F.col("why"))
     )
     return findings.join(listed, same, "left").select(

@@ -28,6 +28,20 @@ def scan_orders(spark, folder):
     )
 
 
+def scan_many_valued(spark, folder):
+    """The same scan with every column taken for one of many values."""
+    return quality.scan(
+        derived(spark, folder, ORDERS), "orders", "row_id", today="2000-06-30", entity="patient_id", date_columns=["visit_date"], category=60,
+    )
+
+
+def copied_row_samples(spark, folder):
+    """Examples of copied rows and repeated ids of an export with copies."""
+    df = _encounters(spark, folder)
+    found = quality.row_samples(df, [c for c in df.columns if c != "row_id"], "row_id")
+    return found.select(F.col("__column").alias("column"), F.col("__type").alias("type"), F.array_join("samples", "|").alias("samples"))
+
+
 def scan_customers(spark, folder):
     return quality.scan(derived(spark, folder, CUSTOMERS), "customers", "row_id", vocab=_vocabulary(spark, folder))
 
@@ -52,7 +66,7 @@ def scan_all_tables(spark, folder):
 
 def scan_explained(spark, folder):
     found = quality.explained(scan_orders(spark, folder), derived(spark, folder, ORDERS), "row_id", today="2000-06-30")
-    chosen = found.filter("type IN ('textNumbers', 'epochDates', 'censored', 'duplicateRows')")
+    chosen = found.filter("type IN ('textNumbers', 'epochDates', 'censored', 'duplicateRows', 'duplicatePatientIds')")
     return chosen.select("column", "type", "count", "fixable", F.array_join("samples", "|").alias("samples"))
 
 
@@ -158,7 +172,7 @@ def selected_findings(spark, folder):
 
 QUERIES = {
     "scan_findings": scan_orders, "scan_customers": scan_customers, "scan_encounters": scan_encounters,
-    "scan_all_tables": scan_all_tables, "scan_explained": scan_explained, "scan_limits": scan_limits, "differing_ids": differing_ids, "scan_samples": scan_samples,
+    "scan_many_valued": scan_many_valued, "copied_row_samples": copied_row_samples, "scan_all_tables": scan_all_tables, "scan_explained": scan_explained, "scan_limits": scan_limits, "differing_ids": differing_ids, "scan_samples": scan_samples,
     "grain_check": grain_check, "variant_map": variant_map, "type_inference": type_inference,
     "type_inference_typed": type_inference_typed, "profile": profile_orders, "column_roles": column_roles,
     "described_columns": described_columns, "vocabulary_kept": vocabulary_kept, "normalised_rows": normalised_rows,
@@ -283,12 +297,20 @@ def _explained(column, kind, test):
     )
 
 
+_CELLS_TOLD = "patient_id, priority, second_priority, status, amount, visit_date, tags, doses, stay, course_days"
 _EXPLAINED = [
     _explained("amount", "textNumbers", _AMOUNT_NUMBER), _explained("stay", "textNumbers", "regexp_matches(stay, '^\\d+$')"),
     _explained("doses", "textNumbers", _IS_NUMBER.format(c="doses")), _explained("stay", "epochDates", "stay LIKE '1900-%'"),
     _explained("amount", "censored", "amount = '<0.5'"),
     "SELECT CAST(NULL AS VARCHAR) AS \"column\", 'duplicateRows' AS type, (SELECT count(*) - (SELECT count(*) FROM "
-    "(SELECT DISTINCT * EXCLUDE (row_id) FROM messy_orders)) FROM messy_orders) AS count, true AS fixable, CAST(NULL AS VARCHAR) AS samples",
+    "(SELECT DISTINCT * EXCLUDE (row_id) FROM messy_orders)) FROM messy_orders) AS count, true AS fixable, (SELECT string_agg(s, '|' ORDER BY row_id) "
+    f"FROM (SELECT row_id, array_to_string(list_filter([{_CELLS_TOLD}], lambda x: x IS NOT NULL)[1:3], ' · ') AS s FROM (SELECT *, row_number() OVER "
+    f"(PARTITION BY {_CELLS_TOLD} ORDER BY row_id) AS rn FROM messy_orders) WHERE rn = 2 ORDER BY row_id LIMIT 3)) AS samples",
+    "SELECT 'patient_id' AS \"column\", 'duplicatePatientIds' AS type, count(*) AS count, true AS fixable, "
+    "string_agg(id || ' (' || n || '×)', '|' ORDER BY f) FILTER (WHERE place <= 5) AS samples FROM (SELECT *, row_number() OVER (ORDER BY f) AS place FROM "
+    "(SELECT " + trim("patient_id") + " AS id, count(DISTINCT rest) AS n, min(row_id) AS f FROM (SELECT row_id, patient_id, "
+    f"row({_CELLS_TOLD}) AS rest FROM messy_orders "
+    f"WHERE NOT {blank('patient_id')}) GROUP BY 1 HAVING count(DISTINCT rest) > 1))",
 ]
 _STAYS = "(" + _LIMITS.format("orders").replace("AS STRING", "AS VARCHAR") + ")"
 _LIMITS_FOUND = [
@@ -374,7 +396,16 @@ def _sample_row(c):
     )
 
 
+_COPIED_ROW = "concat_ws(' · ', CAST(visit_id AS VARCHAR), CAST(customer AS VARCHAR), CASE WHEN visit_id IS NULL THEN priority || ' · ' || note ELSE priority END)"
+
 SQL = {
+    "scan_many_valued": with_tables(_union(_FOUND), ORDERS),
+    "copied_row_samples": with_tables(
+        f" SELECT CAST(NULL AS VARCHAR) AS \"column\", 'duplicateRows' AS type, string_agg(s, '|' ORDER BY row_id) AS samples FROM (SELECT row_id, {_COPIED_ROW} AS s FROM "
+        "(SELECT *, row_number() OVER (PARTITION BY visit_id, customer, priority, note ORDER BY row_id) AS rn FROM copied_visits) WHERE rn = 2 ORDER BY row_id LIMIT 3) "
+        "UNION ALL SELECT 'Encounter ID', 'duplicateEncounterIds', string_agg(visit_id || ' (' || n || '×)', '|' ORDER BY f) FROM "
+        "(SELECT visit_id, count(*) AS n, min(row_id) AS f FROM copied_visits WHERE visit_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1 ORDER BY f LIMIT 5)",
+        "copied_visits"),
     "scan_findings": with_tables(_union(_FOUND), ORDERS), "scan_customers": with_tables(_union(_CUSTOMER_FOUND), CUSTOMERS),
     "scan_encounters": with_tables(_union(_ENCOUNTER_FOUND), "copied_visits"), "scan_all_tables": _union(_ALL_FOUND),
     "differing_ids": with_tables(

@@ -153,3 +153,20 @@ def test_types_and_profile(frame):
     assert [r["column"] for r in profile.role_order(roles, "outcome").collect()][:2] == ["Age", "num"]
     assert {r["column"]: r["suits_axis"] for r in roles.collect()}["Dx"]
     assert profile.profile(df, "row_id", sample_rows=2).filter("column = 'Age'").first()["summary"] == "10 – 20"
+
+
+def test_columns_of_many_values_give_the_same_findings(frame, rows):
+    cells = [(f"P{i % 70}", ["Male", "male", "MALE ", "n/a", "f", None][i % 6], f"{i} mg" if i % 2 else f"${i},000", f"note  {i % 50}" if i % 3 else f"Note {i % 50}") for i in range(210)]
+    df = frame("MRN, Sex, Dose, Note", cells + cells[:7])
+    few, many = (quality.scan(df, "t", "row_id", category=c) for c in (10**6, 0))
+    some = quality.scan(df, "t", "row_id", category=60)
+    assert rows(few) == rows(many) == rows(some) and {"categoryVariants", "duplicatePatientIds", "unitSuffixNumbers"} <= {r[2] for r in rows(few)}
+    assert quality.many_valued(df, ["MRN", "Sex"], 60) == ["MRN"]
+
+
+def test_row_and_id_findings_show_examples(frame):
+    df = frame("CSN, MRN, Drug", [("1", "a", None), ("2", "b", "x"), ("3", "c", "x"), ("2", "b", "x"), ("1", "a", "y"), ("1", "a", None), ("1", "a", None)])
+    found = quality.explained(quality.scan(df, "t", "row_id"), df, "row_id")
+    got = {(r["type"], r["column"]): r["samples"] for r in found.collect()}
+    assert got["duplicateRows", None] == ["2 · b · x", "1 · a"]
+    assert got["duplicateEncounterIds", "CSN"] == ["1 (4×)", "2 (2×)"] and got["duplicatePatientIds", "MRN"] == ["a (2×)"]
