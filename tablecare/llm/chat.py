@@ -105,27 +105,41 @@ def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     return []
 
 
-def record_paths(record: Column, depth: int = 3) -> Column:
-    """The nested field paths of one JSON record, to ``depth`` levels, as an array."""
-    none = F.array().cast("array<string>")
-
-    def below(value: Column, prefix: Column | None, left: int) -> Column:
-        keys = F.coalesce(F.json_object_keys(value), none)
-        named = (lambda k: k) if prefix is None else (lambda k: F.concat(prefix, F.lit("."), k))
-        if left == 1:
-            return F.transform(keys, named)
-
-        def field_paths(key: Column) -> Column:
-            path = named(key)
-            held = F.call_function("get_json_object", value, F.concat(F.lit("$['"), key, F.lit("']")))
-            parts = F.coalesce(F.from_json(held, "array<string>"), none)
-            listed = F.flatten(F.transform(parts, lambda p: below(p, F.concat(path, F.lit("[]")), left - 1)))
-            inner = F.when(held.startswith("["), listed).when(held.startswith("{"), below(held, path, left - 1))
-            return F.concat(F.array(path), F.coalesce(inner, none))
-
-        return F.flatten(F.transform(keys, field_paths))
-
-    return F.array_distinct(below(record, None, depth))
+# The parts of a JSON text that make its structure: keys, other strings, brackets.
+_TOKEN = r'"(?:[^"\\]|\\.)*"(?:\s*:)?|[\{\}\[\]]'
+
+
+def record_paths(record: Column) -> Column:
+    """The nested field paths of one JSON record, however deep, as an array.
+
+    One walk over keys and brackets: the stack holds the path of every open object or
+    list, ``held`` the path of the key whose value comes next.
+    """
+    text = "string"
+    state = F.struct(
+        F.array().cast("array<string>").alias("stack"), F.lit(None).cast(text).alias("held"), F.array().cast("array<string>").alias("paths")
+    )
+
+    def walk(s: Column, token: Column) -> Column:
+        top = F.coalesce(F.get(s["stack"], F.size(s["stack"]) - 1), F.lit(""))
+        name = F.regexp_extract(token, r'(?s)^"(.*)"\s*:$', 1)
+        path = F.when(top == "", name).otherwise(F.concat(top, F.lit("."), name))
+        inner = F.coalesce(s["held"], top)
+        none = F.lit(None).cast(text)
+
+        def to(stack: Column, held: Column, paths: Column) -> Column:
+            return F.struct(stack.alias("stack"), held.alias("held"), paths.alias("paths"))
+
+        return (
+            F.when(token.endswith(":"), to(s["stack"], path, F.array_append(s["paths"], path)))
+            .when(token == "{", to(F.array_append(s["stack"], inner), none, s["paths"]))
+            .when(token == "[", to(F.array_append(s["stack"], F.concat(inner, F.lit("[]"))), none, s["paths"]))
+            .when(token.isin("}", "]"), to(F.slice(s["stack"], 1, F.greatest(F.size(s["stack"]) - 1, F.lit(0))), none, s["paths"]))
+            .otherwise(to(s["stack"], none, s["paths"]))
+        )
+
+    tokens = F.coalesce(F.regexp_extract_all(record, F.lit(_TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    return F.array_distinct(F.aggregate(tokens, state, walk, lambda s: s["paths"]))
 
 
 def fingerprint(paths: Column) -> Column:

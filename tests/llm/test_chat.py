@@ -85,3 +85,26 @@ def test_digest_of_the_contract_turn(spark):
     text = "</s>[INST] ok [/INST]"
     assert row["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
     assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_paths_of_records_of_any_depth(spark):
+    def plain(value, prefix=""):
+        out = []
+        if isinstance(value, dict):
+            for k, v in value.items():
+                path = f"{prefix}.{k}" if prefix else k
+                out += [path, *plain(v, path)]
+        if isinstance(value, list):
+            for v in value:
+                out += plain(v, prefix + "[]")
+        return out
+
+    records = [
+        {"a": 1, "b": {"c": {"d": {"e": {"f": [{"g": {"h": "x: {[\"y"}}, 3, {"i": None}]}}}}}, {"m": [{"role": "user", "content": "a } b ] c"}, {"role": "x"}], "n": "{\"q\": 1}"},
+        {}, {"x": [[{"y": 1}], []], "z": "back\\slash\""},
+    ]
+    for record in records:
+        df = spark.createDataFrame([(json.dumps(record),), (json.dumps(record, indent=2),)], "r string")
+        for r in df.select(chat.record_paths(F.col("r")).alias("p")).collect():
+            assert r["p"] == list(dict.fromkeys(plain(record)))
+    assert spark.createDataFrame([(None,)], "r string").select(chat.record_paths(F.col("r")).alias("p")).first()["p"] == []
