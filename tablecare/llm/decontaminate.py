@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried
+from .common import carried, stored
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -200,14 +200,13 @@ def _searcher(shared, held: list[str], text_name: str, later: bool):
     return run
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
-    """The items, in blocks of about ``block_bytes`` of text; one block is on the driver at a time."""
+def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[int, Iterator[list[tuple]]]:
+    """How many blocks of about ``block_bytes`` of text the items make, and these, each collected when it is asked for."""
     rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
     blocks = max(1, -(-total // block_bytes))
-    for b in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        yield [(r["item"], r["text"]) for r in part.collect()]
+    parts = (rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) for b in range(blocks))
+    return blocks, ([(r["item"], r["text"]) for r in part.collect()] for part in parts)
 
 
 def find_windows(
@@ -223,11 +222,16 @@ def find_windows(
     names = [f"__kept{i}" for i in range(len(keep))]
     out, at_text = carried(docs, keep, text)
     text_name = out.columns[at_text]
-    blocks = list(map(lambda items: sc.broadcast(Benchmark(items, window)), blocks_of(benchmark, item, item_text, block_bytes)))
-    for i, shared in enumerate(blocks):
-        held = names if text_name in names or i + 1 == len(blocks) else [*names, text_name]
+    blocks, parts = blocks_of(benchmark, item, item_text, block_bytes)
+    for i, items in enumerate(parts):
+        shared, last = sc.broadcast(Benchmark(items, window)), i + 1 == blocks
+        held = names if text_name in names or last else [*names, text_name]
         fields = [out.schema[n] for n in held]
         out = out.mapInArrow(_searcher(shared, held, text_name, i > 0), T.StructType([*fields, *FOUND]))
+        if not last:
+            # The findings so far are stored, so one block at a time is in memory.
+            out = stored(out)
+            shared.destroy()
     added = ("n_words", "spans", "items")
     return out.select(
         *[F.col(n).alias(c) for n, c in zip(names, keep) if c not in added],

@@ -70,3 +70,33 @@ def test_the_scan_jumps():
     starts, numbers = matcher.search(text)
     assert sorted(starts.tolist()) == [5000, 99_990] and numbers.tolist() == [0, 0]
     assert sum(looked) < len(text) / 8
+
+
+def test_blocks_are_searched_one_after_the_other(spark, monkeypatch):
+    alive, most = set(), []
+    real = spark.sparkContext.broadcast
+
+    class Kept:
+        def __init__(self, shared):
+            self.shared = shared
+            alive.add(id(self))
+            most.append(len(alive))
+
+        def __getattr__(self, name):
+            return getattr(self.shared, name)
+
+        def __reduce__(self):
+            return self.shared.__reduce__()
+
+        def destroy(self):
+            alive.discard(id(self))
+            self.shared.destroy()
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: Kept(real(value)))
+    words = [f"w{i}" for i in range(400)]
+    items = spark.createDataFrame([(i, " ".join(words[i * 10 : i * 10 + 12])) for i in range(38)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(words[i * 7 : i * 7 + 60]), "x") for i in range(45)], "doc_id long, text string, spans string")
+    whole = {r["doc_id"]: tuple(r) for r in d.find_windows(docs, items, keep=["doc_id"]).collect()}
+    most.clear(), alive.clear()
+    blocks = {r["doc_id"]: tuple(r) for r in d.find_windows(docs, items, keep=["doc_id"], block_bytes=400).collect()}
+    assert blocks == whole and len(most) >= 4 and max(most) == 1
