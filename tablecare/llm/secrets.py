@@ -204,7 +204,7 @@ def tested_tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
 
 
 def best_cut(text: str, start: int, end: int, padded: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, int]]:
-    """The tested parts of the cut of a segment that looks most random; what pads the token up to ``padded`` is its last part's."""
+    """The tested parts of the cut of a segment whose most random part is the most random of all; what pads the token up to ``padded`` is its last part's."""
     cuts = {tuple((p.start(), p.end()) for p in cut.finditer(text, start, end) if p.end() - p.start() >= LEAST) for cut in CUTS}
     tried = []
     for cut in sorted(c for c in cuts if c):
@@ -217,7 +217,8 @@ def best_cut(text: str, start: int, end: int, padded: int, base: list[tuple[int,
             tried.append(parts)
     if not tried:
         return []
-    return [(a, b, name, band, level_of(min(1.0, p * len(tried)))) for p, a, b, name, band in min(tried)]
+    chosen = min(tried, key=lambda parts: (min(parts), parts))
+    return [(a, b, name, band, level_of(min(1.0, p * len(tried)))) for p, a, b, name, band in chosen]
 
 
 SPAN = "start long, kind int, end long"

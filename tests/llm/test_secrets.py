@@ -86,3 +86,17 @@ def test_false_discovery_level_per_band(spark):
 
 def test_empty_table(spark):
     assert s.find_secrets(docs_with(spark, []), ["doc_id"]).count() == 0
+
+
+def test_the_cut_with_the_most_random_part_is_chosen():
+    rng = random.Random(11)
+    letters = string.ascii_letters + string.digits
+    for prefix in ("internationalization-", "configurationmanager-"):
+        exact = 0
+        for _ in range(40):
+            text = prefix + "".join(rng.choice(letters) for _ in range(40))
+            found = s.tested_tokens(text, [])
+            ps = [s.battery(text[a:b])[1] for cut in s.CUTS for a, b in [m.span() for m in cut.finditer(text)] if b - a >= s.LEAST and s.battery(text[a:b])]
+            assert min(s.battery(text[a:b])[1] for a, b, *_ in found) == min(ps)
+            exact += (len(prefix), len(text)) in [(a, b) for a, b, *_ in found]
+        assert exact >= 30
