@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -116,6 +117,7 @@ def lines_of(html: str, by_name: bool = True) -> tuple[list[Line | None], bool]:
     lines: list[Line | None] = []
     # Open elements: (tag, furniture, article, the number of the innermost container; 0 is the page).
     stack: list[tuple[str, bool, bool, int]] = []
+    opened: Counter[str] = Counter()
     hidden = articles = links = containers = 0
     named = False
     line = Line(False, 0)
@@ -138,6 +140,7 @@ def lines_of(html: str, by_name: bool = True) -> tuple[list[Line | None], bool]:
         nonlocal hidden, articles, links
         for _ in range(count):
             tag, furniture, article, _ = stack.pop()
+            opened[tag] -= 1
             if furniture:
                 hidden -= 1
                 lines.extend([None] * WIDTH)
@@ -158,7 +161,8 @@ def lines_of(html: str, by_name: bool = True) -> tuple[list[Line | None], bool]:
         elif tag == "br":
             add(" ")
         if m["close"]:
-            for depth in range(len(stack) - 1, -1, -1):
+            # A stray closing tag looks at no open element.
+            for depth in range(len(stack) - 1 if opened[tag] else -1, -1, -1):
                 if stack[depth][0] == tag:
                     close(len(stack) - depth)
                     break
@@ -176,6 +180,7 @@ def lines_of(html: str, by_name: bool = True) -> tuple[list[Line | None], bool]:
                     containers += 1
                     inner = containers
                 stack.append((tag, furniture, article, inner))
+                opened[tag] += 1
                 hidden += furniture
                 articles += article
                 links += tag == "a"

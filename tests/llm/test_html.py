@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from tablecare.llm.html import extract, main_text
+from tablecare.llm.html import extract, lines_of, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
 <header><a href="/">Home</a></header><nav><ul><li><a href="/a">A</a></li></ul></nav><div id="cookie-notice">We use cookies</div>
@@ -76,3 +76,16 @@ def test_table_with_nulls_repeats_and_clashing_columns(spark):
     assert got == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (2, None, "", 0), (None, "v", "", 0)], key=repr)
     assert extract(df.limit(0), ["page_id"]).columns == ["page_id", "text", "n_chars"]
     assert extract(df.limit(0), ["page_id"]).count() == 0
+
+
+def test_stray_closing_tags_take_linear_time():
+    import time
+
+    def seconds(n):
+        page = "<div>" * n + "<p>some words of a text</p>" + "</p></i></b>" * n
+        start = time.perf_counter()
+        lines_of(page)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 60 * max(seconds(4000), 0.005)
