@@ -46,6 +46,18 @@ def numbered(df: DataFrame, order_by: list[Column], name: str) -> DataFrame:
     return rows.join(F.broadcast(shifts), "__part").select(*df.columns, (F.col("__pos") + F.col("__shift")).alias(name))
 
 
+def joined_spread(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``left`` joined with the one row per key of ``right``, where ``n`` says how many rows of ``left`` have the key.
+
+    Keys of at least a 100,000th of the ``total`` rows (and 1,000) are at most 100,000 and
+    go to every task; the others meet by shuffle, where none is large.
+    """
+    large = F.col(n) >= max(1000, total // 100_000)
+    marked = left.join(F.broadcast(right.filter(large).drop(n).withColumn("__large", F.lit(True))), key, "left")
+    rest = marked.filter(F.col("__large").isNull()).select(*left.columns).join(right.filter(~large).drop(n), key)
+    return marked.filter("__large").drop("__large").unionByName(rest)
+
+
 def carried(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
     """The columns ``keep`` under safe names (``__kept0`` ...), and the place of the text column.
 

@@ -7,10 +7,11 @@ occurs, the first (by key, then text digest, then place in the text) stays; ever
 place covers its three lines, overlapping covers merge, and covered lines go.  Blank
 lines stay.  Texts of fewer than three such lines have no window and stay whole.
 
-Only hashes and places are shuffled to find windows: counting them combines in every
-task, and only windows that repeat meet again, so a passage of a third of all texts is
-one counted row and its places are compared with one first place each.  Texts move
-once, to meet the covers of their key.
+Only hashes and places are shuffled to find windows: the first place and the number of
+places of a window combine in every task.  Places of the most common windows, of which there
+are at most 100,000, are compared with the first one where they stand; the others meet it
+by shuffle, so a passage of a third of all texts is no one task's.  Texts move once, to
+meet the covers of their key.
 
 Rows equal in key and text are one document given the same result; a null key sorts
 first and is joined like a value; null texts stay null with no lines; empty tables give
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from .common import stored
+from .common import joined_spread, stored
 
 WINDOW = 3
 SEPARATOR = b"\n"
@@ -86,11 +87,9 @@ def windows_of(docs: DataFrame, key: str, text: str, window: int = WINDOW) -> Da
 def later_places(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, digest, starts): the windows of each text that occurred before, by their first counted line."""
     windows = stored(windows_of(docs, key, text, window).distinct())
-    repeated = stored(windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
-    met = windows.join(repeated, "hash")
     place = F.struct("key", "digest", "place")
-    first = met.groupBy("hash").agg(F.min(place).alias("first"))
-    later = met.join(first, "hash").filter(~place.eqNullSafe(F.col("first")))
+    repeated = stored(windows.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    later = joined_spread(windows, repeated, "hash", "n", windows.count()).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("key", "digest").agg(F.sort_array(F.collect_list("place")).alias("starts"))
 
 

@@ -14,14 +14,17 @@ looked up in their triple's table.  One of two fingerprints has a 0 where they d
 so a ball only turns 0 into 1.  The whole distance is verified for whatever is met.
 Keys of 32 bits keep chance meetings rare up to some 10^10 fingerprints.
 
-Nothing grows with the square of a group:
+No group is compared with itself by pairs:
 
 * equal fingerprints are one row from the start;
 * before the search, fingerprints are sorted by four bit rotations and linked to their
   next neighbours where these are within the distance, which joins most of a group of
   near copies with few links;
-* the search meets tables only in buckets that hold another group than its own, so a
-  bucket full of one group is passed over; what is left is linked exactly.
+* the search meets tables only in buckets that hold several groups, and there members
+  of the largest group only meet those of the others, so a bucket costs its members times
+  the members outside its largest group; what is left is linked exactly.
+
+Two large groups that share buckets but no link are compared member by member.
 
 Groups come from alternating star contractions over the links, stored between rounds
 in the shared checkpoint folder.
@@ -43,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import stored
+from .common import joined_spread, stored
 from .components import connected
 
 SHINGLE = 4
@@ -162,8 +165,8 @@ def sorted_links(fps: DataFrame, limit: int = DISTANCE, rotations: int = 4, ahea
     return out.distinct()
 
 
-def searched_links(classes: DataFrame, limit: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """Links (a, b) that join all close classes; ``classes`` has (fp, root), at most one link for a fp and a root."""
+def compared(classes: DataFrame, limit: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """The pairs (a, a_root, b, b_root) that meet in a bucket; ``classes`` has (fp, root)."""
     masks, asked = segments(limit, blocks)
     tables = F.array(*[F.struct(F.lit(i).alias("seg"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)])
     probes = F.array(*[
@@ -176,9 +179,19 @@ def searched_links(classes: DataFrame, limit: int = DISTANCE, blocks: int = BLOC
         "a", "a_root", F.col("p.seg").alias("seg"),
         F.col("a").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")).alias("key"),
     )
-    buckets = members.groupBy("seg", "key").agg(F.min("b_root").alias("low"), F.max("b_root").alias("high"))
-    mixed = lookups.join(buckets, ["seg", "key"]).filter((F.col("low") != F.col("a_root")) | (F.col("high") != F.col("a_root")))
-    met = mixed.drop("low", "high").join(members, ["seg", "key"])
+    per_root = members.groupBy("seg", "key", "b_root").agg(F.count(F.lit(1)).alias("n"))
+    buckets = per_root.groupBy("seg", "key").agg(F.max_by("b_root", "n").alias("major"), F.count(F.lit(1)).alias("roots"))
+    # Members of a bucket's largest group are shown to the others only, and are shown only these.
+    minor = F.col("b_root") != F.col("major")
+    shown = members.join(buckets.drop("roots"), ["seg", "key"]).withColumn("side", F.explode(F.when(minor, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    mixed = lookups.join(buckets, ["seg", "key"]).filter((F.col("roots") > 1) | (F.col("major") != F.col("a_root")))
+    mixed = mixed.withColumn("side", (F.col("a_root") == F.col("major")).cast("int"))
+    return mixed.drop("major", "roots").join(shown.drop("major"), ["seg", "key", "side"])
+
+
+def searched_links(classes: DataFrame, limit: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """Links (a, b) that join all close classes, at most one for a fp and a root."""
+    met = compared(classes, limit, blocks)
     near = met.filter((F.col("a_root") != F.col("b_root")) & (distance(F.col("a"), F.col("b")) <= limit))
     return near.groupBy("a", "b_root").agg(F.min("b").alias("b")).select("a", "b")
 
@@ -209,9 +222,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     """One row per document: ``key``, its fingerprint ``fp`` and ``group``, the least key of its group."""
     marked, roots = rooted_rows(docs, key, text, limit)
     named = marked.groupBy("fp").agg(F.min("key").alias("least")).join(roots, "fp")
-    least = named.groupBy("root").agg(F.min("least").alias("group"))
-    by_print = roots.join(least, "root").select(F.col("fp").alias("__fp"), "group")
-    return marked.join(by_print, marked["fp"] == by_print["__fp"]).select(F.col("key").alias(key), "fp", "group")
+    least = stored(named.groupBy("root").agg(F.min("least").alias("group"), F.count(F.lit(1)).alias("n")))
+    prints = joined_spread(roots, least, "root", "n", roots.count())
+    copies = marked.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    by_print = stored(prints.join(copies, "fp").select("fp", "group", "n"))
+    return joined_spread(marked, by_print, "fp", "n", marked.count()).select(F.col("key").alias(key), "fp", "group")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = DISTANCE) -> DataFrame:

@@ -149,3 +149,18 @@ def test_one_large_group_among_strangers_costs_members_times_roots(spark):
     rooted = spark.createDataFrame(rows, "node long, root long, " + ", ".join(f"w{i} long" for i in range(5)))
     pairs = s.met_in_segments(rooted)
     assert pairs.count() <= 2000 * 20 + 20 * 20 * 24
+
+
+def test_a_large_group_with_strangers_in_its_buckets_is_compared_with_these_only(spark, monkeypatch):
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    group = sorted({s._signed(base ^ (1 << a) ^ (1 << b)) for a in range(64) for b in range(a)})
+    strangers = []
+    for i in range(20):
+        other = rng.getrandbits(64)
+        mask = s.segments()[0][i]
+        strangers.append(s._signed((other & ~mask) | (base & mask)))
+    classes = spark.createDataFrame([(f, group[0]) for f in group] + [(f, f) for f in strangers], "fp long, root long")
+    # Every stranger shares one segment with the whole group.  Pairs of the group alone would be two million a table.
+    assert s.compared(classes).count() < 3 * 20 * len(group) * 10
+    assert s.searched_links(classes).count() == 0
