@@ -250,7 +250,7 @@ WORDS = 5
 SIMILARITY = 0.8
 SEGMENT_BITS, SEGMENTS = 20, 12
 CHECK_DISTANCE = 20
-SURE_DISTANCE = 8
+SENT_NODES = 500_000
 # Odd numbers that make further hashes of one.
 MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
@@ -275,14 +275,17 @@ def similarity(a: str | None, b: str | None) -> float:
     return common / every if every else 1.0
 
 
-def long_fingerprints(texts: DataFrame) -> DataFrame:
-    """(node, w0 ... w4) for (node, text)."""
+def long_fingerprints(named: DataFrame) -> DataFrame:
+    """(key, node, w0 ... w4) for (key, node, text)."""
+    words = [T.StructField(f"w{i}", T.LongType()) for i in range(len(MIXERS))]
+    schema = T.StructType([named.schema["key"], T.StructField("node", T.LongType()), *words])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            found = np.array([long_fingerprint(x.as_py()) for x in batch.column(1)], np.int64).reshape(-1, len(MIXERS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in found.T]], names=["node", *[f"w{i}" for i in range(len(MIXERS))]])
+            found = np.array([long_fingerprint(x.as_py()) for x in batch.column(2)], np.int64).reshape(-1, len(MIXERS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c) for c in found.T]], names=schema.names)
 
-    return texts.select("node", "text").mapInArrow(run, "node long, " + ", ".join(f"w{i} long" for i in range(len(MIXERS))))
+    return named.select("key", "node", "text").mapInArrow(run, schema)
 
 
 def neighbours(nodes: DataFrame, limit: int, ahead: int = 2) -> DataFrame:
@@ -316,6 +319,14 @@ def _segment(i: int) -> Column:
     return bits.bitwiseOR(F.lit(i << SEGMENT_BITS).cast("long"))
 
 
+def stars(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a node and the one node that its bucket of each segment shows, if nearly equal in the check word."""
+    keyed = nodes.select("node", F.col("w4").alias("check"), F.explode(F.array(*[_segment(i) for i in range(SEGMENTS)])).alias("key"))
+    shown = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("place"), "node", "check")).alias("shown"))
+    met = keyed.join(shown, "key").filter(distance(F.col("check"), F.col("shown.check")) <= CHECK_DISTANCE)
+    return ordered_pairs(met.select(F.col("node").alias("a"), F.col("shown.node").alias("b")))
+
+
 def met_in_segments(rooted: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes with different roots that agree in a segment up to one bit and nearly in the check word.
 
@@ -335,39 +346,41 @@ def met_in_segments(rooted: DataFrame) -> DataFrame:
     return ordered_pairs(met.select("a", "b"))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose texts are at least ``least`` similar."""
+def confirmed(pairs: DataFrame, named: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs of nodes whose texts, among those of ``named`` (node, text), are at least ``least`` similar; both stored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
             keep = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    first = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-    second = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "a_text", "b_text")
-    return both.mapInArrow(run, "a long, b long")
+    pairs = stored(pairs)
+    needed = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    # Only texts of candidates move; their numbers are sent to every task while they are few.
+    asked = F.broadcast(needed) if needed.count() <= SENT_NODES else needed
+    texts = named.select("node", "text").join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = stored(texts)
+    both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "a_text"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "b_text"}), "b")
+    return stored(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"))
 
 
 def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The row of ``docs`` with the least key of each group of similar texts (null keys last, then the least text digest).
 
     Texts link if they share at least ``least`` of their shingles of five words.  Candidates
-    come from a fingerprint of 320 bits: neighbours in four sort orders, and what segments
-    meet; neighbours that nearly agree are taken for one group only to pass over each other
-    in that search.  Only exactly confirmed pairs link.
+    come from a fingerprint of 320 bits.  First each text is compared with its neighbours in
+    four sort orders and with one text of each of its buckets, which joins most of a group by
+    a few pairs a text; then segments and their Hamming balls are looked up for texts of
+    different groups.  Only exactly confirmed pairs link.
     """
     named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("node", F.xxhash64("text"))
     place = F.struct(F.col("key").isNull().alias("absent"), "key")
-    texts = stored(named.groupBy("node").agg(F.min(place).alias("place"), F.first("text").alias("text")))
-    nodes = stored(long_fingerprints(texts))
-    close = stored(neighbours(nodes, CHECK_DISTANCE).join(nodes.select(F.col("node").alias("a"), F.col("w4").alias("a_check")), "a").join(
-        nodes.select(F.col("node").alias("b"), F.col("w4").alias("b_check")), "b"
-    ))
-    sure = connected(close.filter(distance(F.col("a_check"), F.col("b_check")) <= SURE_DISTANCE).select("a", "b"))
-    begun = stored(nodes.join(sure, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    pairs = stored(close.select("a", "b").unionByName(met_in_segments(begun)).distinct())
-    roots = connected(stored(confirmed(pairs, texts, least)))
-    held = texts.select("node", "place").join(roots, "node", "left")
+    marked = stored(long_fingerprints(named))
+    words = [f"w{i}" for i in range(len(MIXERS))]
+    nodes = stored(marked.groupBy("node").agg(F.min(place).alias("place"), *[F.first(w).alias(w) for w in words]))
+    close = confirmed(neighbours(nodes, CHECK_DISTANCE).unionByName(stars(nodes)).distinct(), named, least)
+    begun = stored(nodes.join(connected(close), "node", "left").select("node", *words, F.coalesce("root", "node").alias("root")))
+    links = stored(close.unionByName(confirmed(met_in_segments(begun), named, least)))
+    held = nodes.select("node", "place").join(connected(links), "node", "left")
     first = held.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("place", "node")).alias("first"))
     chosen = first.select(F.col("first.place.key").alias("__key"), F.col("first.node").alias("__digest"))
     names = {c: f"__kept{i}" for i, c in enumerate(docs.columns)}
