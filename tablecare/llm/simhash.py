@@ -370,7 +370,9 @@ def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     come from a fingerprint of 320 bits.  First each text is compared with its neighbours in
     four sort orders and with one text of each of its buckets, which joins most of a group by
     a few pairs a text; then segments and their Hamming balls are looked up for texts of
-    different groups.  Only exactly confirmed pairs link.
+    different groups.  Only exactly confirmed pairs link.  Texts of a large family that are
+    close in their bits but share less than ``least`` stay apart and are compared with each
+    other: that work grows with the square of the family.
     """
     named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("node", F.xxhash64("text"))
     place = F.struct(F.col("key").isNull().alias("absent"), "key")
