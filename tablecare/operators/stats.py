@@ -31,6 +31,11 @@ def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
 # --- contingency tables ------------------------------------------------------------------
 
 
+def _product(a: str, b: str) -> Column:
+    """Two counts multiplied as doubles: their product may not fit a long."""
+    return F.col(a).cast("double") * F.col(b).cast("double")
+
+
 def _spelled(df: DataFrame, a: str, b: str, order_by, by: list[str]) -> DataFrame:
     """The rows counted per segment and pair of spellings; everything else reads this."""
     rows = df.filter(~blank_of(df, a) & ~blank_of(df, b))
@@ -64,7 +69,7 @@ def contingency_cells(df: DataFrame, a: str, b: str, order_by, by: list[str] = (
     spelled = _spelled(df, a, b, order_by, by)
     out, total = _with_margins(spelled, by), spelled.groupBy(*by).agg(F.sum("n").alias("total"))
     out = join_on(out, total, by) if by else out.withColumn("total", total.select("total").scalar())
-    return out.withColumn("expected", F.col("a_total") * F.col("b_total") / F.col("total"))
+    return out.withColumn("expected", _product("a_total", "b_total") / F.col("total"))
 
 
 def _side(spelled: DataFrame, side: str, by: list[str]) -> DataFrame:
@@ -89,9 +94,9 @@ def contingency(df: DataFrame, a: str, b: str, order_by, by: list[str] = ()) ->
     marked = _joined(_with_margins(spelled, by), sides, by)
     in_a, in_b = F.col("a_key") == F.col("a_one"), F.col("b_key") == F.col("b_one")
     count = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
-    expected = F.col("a_total") * F.col("b_total") / F.col("a_sum")
+    expected = _product("a_total", "b_total") / F.col("a_sum")
     summed = marked.groupBy(*by).agg(
-        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n") / expected) - F.sum("n")).alias("chi_square"),
+        F.sum("n").alias("n"), (F.sum(_product("n", "n") / expected) - F.sum("n")).alias("chi_square"),
         count(in_a & in_b).alias("c11"), count(in_a & ~in_b).alias("c12"),
         count(~in_a & in_b).alias("c21"), count(~in_a & ~in_b).alias("c22"),
     )
@@ -100,7 +105,7 @@ def contingency(df: DataFrame, a: str, b: str, order_by, by: list[str] = ()) ->
     return out.select(
         *by, "n", "a_levels", "b_levels", F.greatest(F.col("chi_square"), F.lit(0.0)).alias("chi_square"),
         ((F.col("a_levels") - 1) * (F.col("b_levels") - 1)).alias("df"),
-        (F.col("a_least") * F.col("b_least") / F.col("n")).alias("min_expected"),
+        (_product("a_least", "b_least") / F.col("n")).alias("min_expected"),
         *[F.when(two, F.col(c)).alias(c) for c in ("c11", "c12", "c21", "c22")],
         "a_1", "a_2", "b_1", "b_2",
     )
@@ -132,7 +137,7 @@ def table_test(df: DataFrame, a: str, b: str, order_by, by: list[str] = (), leve
 
 def _corrected(*cells: Column) -> list[Column]:
     """Half a count added to every cell when any cell is empty."""
-    empty = cells[0] * cells[1] * cells[2] * cells[3] == 0
+    empty = F.least(*cells) == 0
     return [c + F.when(empty, F.lit(0.5)).otherwise(F.lit(0.0)) for c in cells]
 
 

@@ -79,6 +79,23 @@ def test_empty_cells_are_corrected(table_of):
     assert got["odds_ratio"] == pytest.approx(21.0) and got["odds_ratio_lo"] > 0
 
 
+def test_ratios_of_huge_counts(spark):
+    cells = [F.col(c) for c in "abcd"]
+    df = spark.createDataFrame([(10**9, 2 * 10**9, 3 * 10**9, 4 * 10**9), (0, 10, 5, 5)], "a long, b long, c long, d long")
+    odds = [r[0] for r in df.select(*stats.odds_ratio(*cells)).collect()]
+    risk = [r[0] for r in df.select(*stats.risk_ratio(*cells)).collect()]
+    assert odds == pytest.approx([4 / 6, 0.5 * 5.5 / (10.5 * 5.5)]) and risk == pytest.approx([7 / 9, (0.5 / 11) / 0.5])
+
+
+def test_expected_counts_of_huge_tables(frame, monkeypatch):
+    df = frame("a, b", [("x", "1"), ("x", "2"), ("y", "1"), ("y", "2"), ("y", "2")])
+    one = stats._spelled(df, "a", "b", "row_id", [])
+    monkeypatch.setattr(stats, "_spelled", lambda *_: one.withColumn("n", F.col("n") * 4 * 10**9))
+    got = stats.contingency(df, "a", "b", "row_id").first()
+    assert got["chi_square"] == pytest.approx(5 / 36 * 4e9) and got["min_expected"] == pytest.approx(0.8 * 4e9)
+    assert stats.contingency_cells(df, "a", "b", "row_id").filter("a_key = 'x' AND b_key = '1'").first()["expected"] == pytest.approx(0.8 * 4e9)
+
+
 def test_welch(spark):
     cells = [("a", float(x)) for x in range(1, 6)] + [("b", float(x)) for x in range(3, 8)] + [("a", None)]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "row_id long, g string, x double")
