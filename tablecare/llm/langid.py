@@ -4,21 +4,22 @@ A text's subwords are the runs of 2, 3 and 4 bytes of its lower-cased letters, w
 parted by one space.  Each is hashed to one of ``BUCKETS`` embeddings; the embeddings
 are averaged over the whole text and a linear layer with softmax gives the languages.
 
-Training (numpy, stochastic gradient descent) uses a bounded sample of labelled rows:
-about ``PER_LANGUAGE`` per language, chosen by hash, and for every fifth of them the same
-characters in an order that no language has, as a class of its own: junk.  Tasks turn whole
-texts into bucket counts, so the driver gets the buckets that these rows meet, however
-long the texts are, and makes dense rows of one batch at a time.
-
-The score is the probability of the best language.  Rejection is calibrated out of fold:
-each sampled row is scored by a model that learned from the other ``FOLDS`` - 1 parts only,
-and up to about ``CALIBRATE`` further rows, which trained nothing, by the final model.
+Training reads every labelled row that is not held out.  Rows are dealt by hash into blocks
+of about ``BLOCK``; each block learns in one task (numpy, stochastic gradient descent), and
+the linear layers over the buckets, which embeddings and softmax layer multiply to, are
+averaged over the blocks by their rows.  Every fifth row also gives the same characters in
+an order that no language has, as a class of its own: junk.  The driver gets one sum of
+weights per model, however many rows there are.
+
+The score is the probability of the best language.  Rejection is calibrated out of fold on
+all these rows: blocks (of a single block, its rows) are dealt to ``FOLDS`` folds, and each row
+is scored by the average of what was learned outside its fold.
 A temperature fits these scores to the truth; its targets are smoothed by one row in n + 2,
 so it is finite however well the languages part.  The threshold is the lowest that accepts
 no more than ``PASSED`` of new junk, unless that loses more than ``LOST`` of new right
-predictions.  Both are conformal ranks, floor(rate x (n + 1)) of the n scores: too few
-scores for a rate set no bound, by the same formula at every size.  The model carries the
-shares of both errors on the calibrating scores, ``lost`` and ``passed``.
+predictions.  Both are conformal ranks, floor(rate x (n + 1)) of the n scores, found by
+counting: too few scores for a rate set no bound, by the same formula at every size.  The
+model carries the shares of both errors on the calibrating scores, ``lost`` and ``passed``.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and
 rejected; with no labelled rows every text is ``und``; a null label is no language;
@@ -39,19 +40,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried
+from .common import carried, stored
 
 BUCKETS = 1 << 12
 LENGTHS = (2, 3, 4)
 DIMENSIONS = 16
-PER_LANGUAGE = 1000
+BLOCK = 4000
 EPOCHS = 20
 BATCH = 64
 RATE = 2.0
 FOLDS = 3
 LOST = 0.005
 PASSED = 0.01
-CALIBRATE = 20_000
+UNIT = 1 << 20
+SECTIONS = 64
 UNKNOWN = "und"
 SLICE = 1 << 20
 
@@ -112,16 +114,6 @@ class Model:
         """One row of the languages' probabilities per row of bucket counts; the rest to 1 is junk."""
         return softmax(self.scores(counts) / self.temperature)[:, : len(self.languages)]
 
-    def calibrate(self, right: np.ndarray, junk: np.ndarray) -> None:
-        """Set the threshold and both errors from scores of right predictions and of junk."""
-        right, junk = np.sort(right), np.sort(junk)
-        most_lost, most_passed = int(LOST * (len(right) + 1)), int(PASSED * (len(junk) + 1))
-        self.threshold = float(right[most_lost - 1]) if most_lost else 0.0
-        if most_passed:
-            self.threshold = min(self.threshold, float(np.nextafter(junk[-most_passed], 2)))
-        self.lost = float((right < self.threshold).mean()) if len(right) else float("nan")
-        self.passed = float((junk >= self.threshold).mean()) if len(junk) else float("nan")
-
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
@@ -169,47 +161,6 @@ def learned(sample: Sample, train: np.ndarray, classes: int, seed: int = 7) -> t
     return (embeddings @ layer).astype(np.float64), bias.astype(np.float64)
 
 
-def fitted_temperature(scores: np.ndarray, classes: np.ndarray) -> float:
-    """The temperature of least cross entropy, with targets smoothed by one row in n + 2."""
-    n, many = scores.shape
-    if n == 0 or many < 2:
-        return 1.0
-    target = np.full((n, many), 1 / (n + 2) / many)
-    target[np.arange(n), classes] += 1 - 1 / (n + 2)
-    wanted = (target * scores).sum(1)
-    low, high = 1e-3, 1e6
-    # The slope grows with the inverse temperature, so its zero is found by halving.
-    for _ in range(80):
-        middle = (low * high) ** 0.5
-        if ((softmax(scores * middle) * scores).sum(1) - wanted).mean() < 0:
-            low = middle
-        else:
-            high = middle
-    return 1 / middle
-
-
-def fit(sample: Sample, languages: list[str]) -> tuple[Model, np.ndarray, np.ndarray]:
-    """The model of a sample, and its scores out of fold of right predictions and of junk."""
-    classes = len(languages) + bool((sample.classes == len(languages)).any())
-    every = np.arange(len(sample.classes))
-    scores = np.full((len(every), classes), np.nan)
-    for k in range(FOLDS):
-        held = sample.texts % FOLDS == k
-        if held.any() and not held.all():
-            weights, bias = learned(sample, every[~held], classes)
-            part = Model(languages, weights, bias, 1.0, 0.0)
-            for at in range(0, int(held.sum()), 512):
-                rows = every[held][at : at + 512]
-                scores[rows] = part.scores(sample.dense(rows))
-    weights, bias = learned(sample, every, classes)
-    known = ~np.isnan(scores).any(1)
-    model = Model(languages, weights, bias, fitted_temperature(scores[known], sample.classes[known]), 0.0)
-    p = softmax(scores[known] / model.temperature)[:, : len(languages)]
-    junk = sample.classes[known] == len(languages)
-    right = p.argmax(1) == sample.classes[known]
-    return model, p.max(1)[right & ~junk], p.max(1)[junk]
-
-
 def shuffled(text: str, seed: int) -> str:
     """The characters of a text in an order that no language has."""
     return "".join(random.Random(seed).sample(text, len(text)))
@@ -220,74 +171,211 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def fixed(x: np.ndarray) -> np.ndarray:
+    """Whole numbers, whose sums are the same in any order."""
+    return np.rint(np.asarray(x, np.float64) * UNIT).astype(np.int64)
+
+
+def sampled(got: list[tuple], languages: list[str]) -> Sample:
+    """Rows (number of the text, label, text, mark) as buckets, with the shuffled characters of every fifth text as junk."""
+    places, shares, classes, texts = [], [], [], []
+    for number, label, text, mark in got:
+        for real in (True, False)[: 1 + (mark % 5 == 0 and has_letter(text))]:
+            counts = bucket_counts(text if real else shuffled(text, mark))
+            met = np.flatnonzero(counts)
+            places.append(met.astype(np.uint16))
+            shares.append((counts[met] / max(counts.sum(), 1)).astype(np.float32))
+            classes.append(languages.index(label) if real else len(languages))
+            texts.append(number)
+    return Sample(places, shares, np.array(classes), np.array(texts))
+
+
+def block_models(dealt: DataFrame, languages: list[str], folds: int, single: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The mean weights and bias by who may be judged: -1 learned from all blocks, k from everything outside fold k.
+
+    Each block learns in one task.  Sums are whole numbers, added up in every task and
+    then per slice of the weights, so the driver gets one sum per model.
+    """
+    classes = len(languages) + 1
+    slices = 32
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+
+        def add(target: int, sample: Sample, rows: np.ndarray) -> None:
+            weights, bias = learned(sample, rows, classes)
+            one = np.concatenate([fixed(weights).ravel(), fixed(bias), [UNIT]]) * len(rows)
+            for t in [target] if single else [-1, *[k for k in range(folds) if k != target]]:
+                sums[t] = sums[t] + one if t in sums else one
+
+        def close(held: list[tuple], fold: int) -> None:
+            sample = sampled(held, languages)
+            every = np.arange(len(sample.classes))
+            if not single:
+                add(fold, sample, every)
+                return
+            add(-1, sample, every)
+            for k in range(folds):
+                rows = every[sample.texts != k]
+                if 0 < len(rows) < len(every):
+                    add(k, sample, rows)
+
+        held, block, fold = [], None, 0
+        for batch in batches:
+            for b, f, mark, label, text in zip(*[batch.column(c) for c in ("block", "fold", "mark", "label", "text")]):
+                # Rows equal in key and text share a block of any size; it learns in parts.
+                if held and (b.as_py() != block or len(held) >= 2 * BLOCK):
+                    close(held, fold)
+                    held = []
+                block, fold = b.as_py(), f.as_py()
+                held.append((fold, label.as_py(), text.as_py(), mark.as_py()))
+        if held:
+            close(held, fold)
+        for target, total in sums.items():
+            parts = np.array_split(total, slices)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([target] * slices, pa.int32()), pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())],
+                names=["target", "slice", "sums"],
+            )
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for target, at, part in zip(*[batch.column(c).to_pylist() for c in ("target", "slice", "sums")]):
+                part = np.frombuffer(part, np.int64)
+                sums[target, at] = sums[target, at] + part if (target, at) in sums else part
+        for (target, at), total in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([target], pa.int32()), pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["target", "slice", "sums"]
+            )
+
+    schema = "target int, slice int, sums binary"
+    found = dealt.mapInArrow(learn, schema).repartition(slices, "target", "slice").mapInArrow(add_up, schema).collect()
+    models = {}
+    for target in {r["target"] for r in found}:
+        total = np.concatenate([np.frombuffer(r["sums"], np.int64) for r in sorted(found, key=lambda r: r["slice"]) if r["target"] == target])
+        mean = total[:-1] / total[-1]
+        models[target] = mean[: BUCKETS * classes].reshape(BUCKETS, classes), mean[BUCKETS * classes :]
+    return models
+
+
+def judged(rows: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]], languages: list[str]) -> DataFrame:
+    """(class, scores) of every labelled row and of its junk, by a model that did not learn from it; stored."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {k: Model(languages, w, b, 1.0, 0.0) for k, (w, b) in shared.value.items()}
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            kinds, scores = [], []
+            for fold, mark, label, text in zip(*[batch.column(c) for c in ("fold", "mark", "label", "text")]):
+                model, said = known.get(fold.as_py()), text.as_py()
+                if model is None or not has_letter(said):
+                    continue
+                for real in (True, False)[: 1 + (mark.as_py() % 5 == 0)]:
+                    counts = bucket_counts(said if real else shuffled(said, mark.as_py()))
+                    kinds.append(languages.index(label.as_py()) if real else len(languages))
+                    scores.append(model.scores(counts[None, :])[0].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(scores, pa.list_(pa.float64()))], names=["class", "scores"])
+
+    return stored(rows.select("fold", "mark", "label", "text").mapInArrow(run, "class int, scores array<double>"))
+
+
+def _scores_of(batch: pa.RecordBatch, many: int) -> tuple[np.ndarray, np.ndarray]:
+    scores = batch.column("scores").flatten().to_numpy(zero_copy_only=False).reshape(-1, many)
+    return batch.column("class").to_numpy(zero_copy_only=False), scores
+
+
+def fitted_temperature(scored: DataFrame, n: int, many: int) -> float:
+    """The temperature of least cross entropy, with targets smoothed by one row in n + 2.
+
+    The slope grows with the inverse temperature; each pass over the scores cuts the
+    range that holds its zero into ``SECTIONS``.
+    """
+    if n == 0:
+        return 1.0
+    low, high = 1e-3, 1e6
+    for _ in range(4):
+        tried = np.geomspace(low, high, SECTIONS + 1)
+
+        def slopes(batches: Iterator[pa.RecordBatch], tried=tried) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(tried), np.int64)
+            for batch in batches:
+                kinds, x = _scores_of(batch, many)
+                wanted = x.sum(1) / (n + 2) / many + (1 - 1 / (n + 2)) * x[np.arange(len(x)), kinds]
+                total += np.array([fixed((softmax(x * m) * x).sum(1) - wanted).sum() for m in tried])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(tried)), pa.int32()), pa.array(total)], names=["i", "slope"])
+
+        found = scored.mapInArrow(slopes, "i int, slope long").groupBy("i").agg(F.sum("slope").alias("slope")).collect()
+        below = [r["i"] for r in found if r["slope"] < 0]
+        at = min(max(below, default=0), SECTIONS - 1)
+        low, high = float(tried[at]), float(tried[at + 1])
+    return 1 / (low * high) ** 0.5
+
+
+def ranked(best: DataFrame, ranks: dict[bool, int]) -> dict[bool, float]:
+    """Per kind (``right``) the score of a rank from 1, by counting the scores' bits, 16 at a time."""
+    prefix, left = {k: 0 for k in ranks}, dict(ranks)
+    for shift in (48, 32, 16, 0):
+        at = F.shiftright("bits", shift)
+        inside = F.lit(shift == 48)
+        for k in ranks:
+            inside = inside | ((F.col("right") == k) & (F.shiftright(at, 16) == F.lit(prefix[k])))
+        counts = best.filter(inside).groupBy("right", at.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for k in ranks:
+            for r in sorted((r for r in counts if r["right"] == k), key=lambda r: r["cell"]):
+                if left[k] <= r["n"]:
+                    prefix[k] = r["cell"]
+                    break
+                left[k] -= r["n"]
+    return {k: float(np.int64(v).view(np.float64)) for k, v in prefix.items()}
+
+
+def calibrate(model: Model, scored: DataFrame, many: int) -> None:
+    """Set the temperature, the threshold and both errors from the scores out of fold of all rows."""
+    model.temperature = fitted_temperature(scored, scored.count(), many)
+    temperature = model.temperature
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, x = _scores_of(batch, many)
+            p = softmax(x / temperature)[:, :-1]
+            junk, right = kinds == many - 1, p.argmax(1) == kinds
+            bits = np.ascontiguousarray(p.max(1)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(~junk[junk | right]), pa.array(bits[junk | right])], names=["right", "bits"])
+
+    best = stored(scored.mapInArrow(run, "right boolean, bits long"))
+    n = {True: 0, False: 0} | {r["right"]: r["count"] for r in best.groupBy("right").count().collect()}
+    most_lost, most_passed = int(LOST * (n[True] + 1)), int(PASSED * (n[False] + 1))
+    ranks = ({True: most_lost} if most_lost else {}) | ({False: n[False] - most_passed + 1} if most_passed else {})
+    found = ranked(best, ranks) if ranks else {}
+    model.threshold = found.get(True, 0.0)
+    if most_passed:
+        model.threshold = min(model.threshold, float(np.nextafter(found[False], 2)))
+    # Scores are not negative, so their bits are in their order.
+    bound = F.lit(int(np.float64(model.threshold).view(np.int64)))
+    low, high = best.agg(F.count_if(F.col("right") & (F.col("bits") < bound)), F.count_if(~F.col("right") & (F.col("bits") >= bound))).head()
+    model.lost = low / n[True] if n[True] else float("nan")
+    model.passed = high / n[False] if n[False] else float("nan")
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model | None:
-    """The model of a bounded sample of the labelled rows that are not held out."""
+    """The model of all labelled rows that are not held out."""
     rows = docs.filter(~held_out(F.col(f"`{key}`")) & F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    rows = rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label"))
+    rows = rows.select(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label"))
     per_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not per_label:
         return None
     languages = sorted(per_label)
-    parts = 1 << 20
-    share = F.create_map(*[F.lit(x) for name in languages for x in (name, min(parts, -(-parts * PER_LANGUAGE // per_label[name])))])
-    sampled = F.pmod(F.xxhash64(F.lit("sample"), F.col("key"), F.col("text")), F.lit(parts)) < share[F.col("label")]
-    sampled_rows = rows.filter(sampled)
-    further = rows.filter(~sampled).filter(
-        F.pmod(F.xxhash64(F.lit("calibrate"), F.col("key"), F.col("text")), F.lit(parts)) < min(parts, -(-parts * CALIBRATE // sum(per_label.values())))
-    )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, real, places, numbers = [], [], [], []
-            for i, (mark, value) in enumerate(zip(batch.column("mark").to_pylist(), batch.column("text"))):
-                said = value.as_py()
-                texts = [said, shuffled(said, mark)] if mark % 5 == 0 and has_letter(said) else [said]
-                for k, text in enumerate(texts):
-                    counts = bucket_counts(text)
-                    met = np.flatnonzero(counts)
-                    rows.append(i)
-                    real.append(k == 0)
-                    places.append(met.astype("<u2").tobytes())
-                    numbers.append(counts[met].astype("<u4").tobytes())
-            at = pa.array(rows, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("mark").take(at), batch.column("label").take(at), pa.array(real, pa.bool_()),
-                    pa.array(places, pa.binary()), pa.array(numbers, pa.binary()),
-                ],
-                names=["mark", "label", "real", "places", "numbers"],
-            )
-
-    marked = sampled_rows.select(F.xxhash64("key", "text").alias("mark"), "label", "text")
-    got = marked.mapInArrow(count, "mark long, label string, real boolean, places binary, numbers binary").collect()
-    got.sort(key=lambda r: (r["mark"], r["label"], not r["real"], r["places"]))
-    if not got:
-        return None
-    numbers = [np.frombuffer(r["numbers"], "<u4") for r in got]
-    sample = Sample(
-        [np.frombuffer(r["places"], "<u2") for r in got], [(x / max(x.sum(), 1)).astype(np.float32) for x in numbers],
-        np.array([languages.index(r["label"]) if r["real"] else len(languages) for r in got]),
-        np.unique([r["mark"] for r in got], return_inverse=True)[1],
-    )
-    model, right, junk = fit(sample, languages)
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            right, junk = [], []
-            for mark, label, text in zip(*[batch.column(c).to_pylist() for c in ("mark", "label", "text")]):
-                if has_letter(text):
-                    p = known.probabilities(bucket_counts(text)[None, :])[0]
-                    right += [float(p.max())] if known.languages[int(p.argmax())] == label else []
-                    junk += [float(known.probabilities(bucket_counts(shuffled(text, mark))[None, :]).max())] if mark % 5 == 0 else []
-            kind = pa.array([True] * len(right) + [False] * len(junk), pa.bool_())
-            yield pa.RecordBatch.from_arrays([kind, pa.array(right + junk, pa.float64())], names=["right", "score"])
-
-    judged = further.select(F.xxhash64("key", "text").alias("mark"), "label", "text").mapInArrow(judge, "right boolean, score double").collect()
-    model.calibrate(
-        np.concatenate([right, [r["score"] for r in judged if r["right"]]]), np.concatenate([junk, [r["score"] for r in judged if not r["right"]]]),
-    )
+    blocks = -(-sum(per_label.values()) // BLOCK)
+    folds = min(FOLDS, blocks) if blocks > 1 else FOLDS
+    block = F.pmod(F.xxhash64(F.lit("block"), "mark"), F.lit(blocks)).cast("int")
+    fold = F.pmod(block if blocks > 1 else F.xxhash64(F.lit("fold"), "mark"), F.lit(folds)).cast("int")
+    rows = rows.select(block.alias("block"), fold.alias("fold"), "mark", "label", "text")
+    dealt = rows.repartition(blocks, "block").sortWithinPartitions("block", "mark", "label", "text")
+    models = block_models(dealt, languages, folds, blocks == 1)
+    weights, bias = models.pop(-1)
+    model = Model(languages, weights, bias, 1.0, 0.0)
+    calibrate(model, judged(rows, models, languages), len(languages) + 1)
     return model
 
 

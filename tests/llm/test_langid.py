@@ -64,3 +64,17 @@ def test_junk_is_rejected_and_both_errors_are_told(spark):
     found = langid.predict(spark.createDataFrame(junk, "doc_id long, text string"), model, ["doc_id"]).collect()
     assert sum(r["accepted"] for r in found) < 25
     assert model.threshold > 0.4 and model.lost <= langid.LOST and 0 <= model.passed <= 0.5
+
+
+def test_every_labelled_row_of_many_blocks_trains(spark):
+    ids = spark.range(20_000).withColumn("lang", F.when(F.col("id") % 2 == 0, "en").otherwise("de"))
+    said = F.when(F.col("lang") == "en", SENTENCES["en"]).otherwise(SENTENCES["de"])
+    docs = ids.select(F.col("id").alias("doc_id"), F.concat_ws(" ", said, F.hex("id")).alias("text"), "lang")
+    kept = ~langid.held_out(F.col("doc_id"))
+    changed = docs.filter(kept & (F.col("doc_id") > 1000)).agg(F.min("doc_id")).head()[0]
+    other = docs.withColumn("text", F.when(F.col("doc_id") == changed, "quite another text").otherwise(F.col("text")))
+    a, b = langid.train(docs), langid.train(other)
+    assert (a.weights != b.weights).any()
+    found = langid.predict(docs, a, ["doc_id", "lang"])
+    assert found.filter("lang <> lang_pred").count() == 0 and found.filter("NOT accepted").count() <= 200
+    assert (langid.train(docs.repartition(5)).weights == a.weights).all() and a.lost <= langid.LOST
