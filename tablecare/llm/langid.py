@@ -45,7 +45,7 @@ from .common import carried, stored
 BUCKETS = 1 << 12
 LENGTHS = (2, 3, 4)
 DIMENSIONS = 16
-BLOCK = 4000
+BLOCK = 2500
 EPOCHS = 20
 BATCH = 64
 RATE = 2.0
@@ -176,18 +176,12 @@ def fixed(x: np.ndarray) -> np.ndarray:
     return np.rint(np.asarray(x, np.float64) * UNIT).astype(np.int64)
 
 
-def sampled(got: list[tuple], languages: list[str]) -> Sample:
-    """Rows (number of the text, label, text, mark) as buckets, with the shuffled characters of every fifth text as junk."""
-    places, shares, classes, texts = [], [], [], []
-    for number, label, text, mark in got:
-        for real in (True, False)[: 1 + (mark % 5 == 0 and has_letter(text))]:
-            counts = bucket_counts(text if real else shuffled(text, mark))
-            met = np.flatnonzero(counts)
-            places.append(met.astype(np.uint16))
-            shares.append((counts[met] / max(counts.sum(), 1)).astype(np.float32))
-            classes.append(languages.index(label) if real else len(languages))
-            texts.append(number)
-    return Sample(places, shares, np.array(classes), np.array(texts))
+def bucketed(number: int, label: int, junk: int, text: str, mark: int) -> Iterator[tuple]:
+    """(buckets, shares, class, ``number``) of a text, and of its shuffled characters as junk if it is a fifth one."""
+    for real in (True, False)[: 1 + (mark % 5 == 0 and has_letter(text))]:
+        counts = bucket_counts(text if real else shuffled(text, mark))
+        met = np.flatnonzero(counts)
+        yield met.astype(np.uint16), (counts[met] / max(counts.sum(), 1)).astype(np.float32), label if real else junk, number
 
 
 def block_models(dealt: DataFrame, languages: list[str], folds: int, single: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -209,7 +203,8 @@ def block_models(dealt: DataFrame, languages: list[str], folds: int, single: boo
                 sums[t] = sums[t] + one if t in sums else one
 
         def close(held: list[tuple], fold: int) -> None:
-            sample = sampled(held, languages)
+            places, shares, kinds, texts = zip(*held)
+            sample = Sample(list(places), list(shares), np.array(kinds), np.array(texts))
             every = np.arange(len(sample.classes))
             if not single:
                 add(fold, sample, every)
@@ -228,7 +223,7 @@ def block_models(dealt: DataFrame, languages: list[str], folds: int, single: boo
                     close(held, fold)
                     held = []
                 block, fold = b.as_py(), f.as_py()
-                held.append((fold, label.as_py(), text.as_py(), mark.as_py()))
+                held += bucketed(fold, languages.index(label.as_py()), len(languages), text.as_py(), mark.as_py())
         if held:
             close(held, fold)
         for target, total in sums.items():

@@ -36,6 +36,7 @@ empty tables give empty results.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -243,7 +244,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: in
     return whole.join(chosen, met).dropDuplicates(["__key", "__digest"]).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
-# --- similar texts, by a longer fingerprint ---------------------------------------------
+# --- similar texts, by the rarest shingles ------------------------------------------------
 
 
 WORDS = 5
@@ -251,20 +252,10 @@ SIMILARITY = 0.8
 SEGMENT_BITS, SEGMENTS = 20, 12
 CHECK_DISTANCE = 20
 SENT_NODES = 500_000
-# Odd numbers that make further hashes of one.
-MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
-
-
-def long_fingerprint(text: str | None) -> list[int]:
-    """Five words of 64 bits over shingles of five words: segments are cut from the first four, the last is compared whole."""
-    hashes = shingle_hashes(text, WORDS)
-    if not len(hashes):
-        return [0] * len(MIXERS)
-    out = []
-    for mixer in MIXERS:
-        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(mixer)
-        out.append(majority(mixed ^ (mixed >> np.uint64(29))))
-    return out
+# Cells in which shingles are counted, words of parity bits, turns before all groups of a bucket meet.
+CELLS = 1 << 20
+PARITIES = 4
+TURNS = 4
 
 
 def similarity(a: str | None, b: str | None) -> float:
@@ -275,39 +266,6 @@ def similarity(a: str | None, b: str | None) -> float:
     return common / every if every else 1.0
 
 
-def long_fingerprints(named: DataFrame) -> DataFrame:
-    """(key, node, w0 ... w4) for (key, node, text)."""
-    words = [T.StructField(f"w{i}", T.LongType()) for i in range(len(MIXERS))]
-    schema = T.StructType([named.schema["key"], T.StructField("node", T.LongType()), *words])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
-            found = np.array([long_fingerprint(x.as_py()) for x in batch.column(2)], np.int64).reshape(-1, len(MIXERS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c) for c in found.T]], names=schema.names)
-
-    return named.select("key", "node", "text").mapInArrow(run, schema)
-
-
-def neighbours(nodes: DataFrame, limit: int, ahead: int = 2) -> DataFrame:
-    """Pairs (a, b) of nodes that stand next to each other when sorted by one of four words and differ in at most ``limit`` bits of the fifth."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = np.empty((2, 0), np.int64)
-        for batch in batches:
-            node, check = np.concatenate([before, np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns])], axis=1)
-            for step in range(1, ahead + 1):
-                new = np.arange(max(len(node) - step, 0)) + step >= before.shape[1]
-                apart = np.unpackbits((check[:-step] ^ check[step:]).view(np.uint8).reshape(-1, 8), axis=1).sum(1)
-                near = new & (apart <= limit)
-                yield pa.RecordBatch.from_arrays([pa.array(node[:-step][near]), pa.array(node[step:][near])], names=["a", "b"])
-            before = np.array([node[-ahead:], check[-ahead:]])
-
-    out = None
-    for word in ("w0", "w1", "w2", "w3"):
-        pairs = nodes.select("node", "w4", word).orderBy(word, "w4", "node").select("node", "w4").mapInArrow(run, "a long, b long")
-        out = pairs if out is None else out.unionByName(pairs)
-    return ordered_pairs(out)
-
-
 def ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
@@ -319,14 +277,6 @@ def _segment(i: int) -> Column:
     return bits.bitwiseOR(F.lit(i << SEGMENT_BITS).cast("long"))
 
 
-def stars(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a node and the one node that its bucket of each segment shows, if nearly equal in the check word."""
-    keyed = nodes.select("node", F.col("w4").alias("check"), F.explode(F.array(*[_segment(i) for i in range(SEGMENTS)])).alias("key"))
-    shown = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("place"), "node", "check")).alias("shown"))
-    met = keyed.join(shown, "key").filter(distance(F.col("check"), F.col("shown.check")) <= CHECK_DISTANCE)
-    return ordered_pairs(met.select(F.col("node").alias("a"), F.col("shown.node").alias("b")))
-
-
 def met_in_segments(rooted: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes with different roots that agree in a segment up to one bit and nearly in the check word.
 
@@ -363,25 +313,155 @@ def confirmed(pairs: DataFrame, named: DataFrame, least: float = SIMILARITY) ->
     return stored(both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"))
 
 
+def shingle_levels(named: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each of ``CELLS`` cells are, as the number of bits of their count.
+
+    Counted in every task and then per slice, so the driver gets one byte a cell.
+    """
+    slices = 32
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, many = np.zeros(CELLS, np.int64), [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(cells_of(np.unique(shingle_hashes(text.as_py(), WORDS))))
+                many += len(held[-1])
+                if many >= CELLS // 4:
+                    total += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held, many = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=CELLS)
+        for i, part in enumerate(np.array_split(total, slices)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["slice", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[i] = sums.get(i, 0) + np.frombuffer(zlib.decompress(part), np.int64)
+        for i, total in sums.items():
+            levels = np.ceil(np.log2(total + 1)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    found = named.select("text").mapInArrow(count, schema).repartition(slices, "slice").mapInArrow(add_up, schema).collect()
+    levels = np.array_split(np.zeros(CELLS, np.uint8), slices)
+    for r in found:
+        levels[r["slice"]] = np.frombuffer(r["counts"], np.uint8)
+    return np.concatenate(levels)
+
+
+def cells_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(20)).astype(np.int64) % CELLS
+
+
+def prefixes(named: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
+    """(key, node, n, w0 ... w3, prefix) for (key, node, text): the number of different shingles, their parities, the rarest of them.
+
+    Two texts that share ``least`` of their shingles share one of their prefixes.  A parity
+    bit says whether an odd number of shingles fell to its cell, so two texts differ in at
+    least as many shingles as bits.
+    """
+    shared = named.sparkSession.sparkContext.broadcast(levels)
+    words = [T.StructField(f"w{i}", T.LongType()) for i in range(PARITIES)]
+    schema = T.StructType([
+        named.schema["key"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), *words, T.StructField("prefix", T.ArrayType(T.LongType()))
+    ])
+
+    def one(text: str | None, level: np.ndarray) -> tuple:
+        hashes = np.unique(shingle_hashes(text, WORDS))
+        n = len(hashes)
+        odd = np.bincount((hashes >> np.uint64(44)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES).astype(np.uint8) & 1
+        rarest = hashes[np.argsort(level[cells_of(hashes)], kind="stable")][: n - int(np.ceil(least * n - 1e-9)) + 1]
+        # Texts without words have nothing but each other.
+        return n, np.packbits(odd, bitorder="little").view(np.int64), rarest.view(np.int64).tolist() if n else [0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = shared.value
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            found = [one(x.as_py(), level) for x in batch.column(2)]
+            parities = np.array([f[1] for f in found], np.int64).reshape(-1, PARITIES)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.int64()), *[pa.array(c) for c in parities.T],
+                 pa.array([f[2] for f in found], pa.list_(pa.int64()))], names=schema.names,
+            )
+
+    return named.select("key", "node", "text").mapInArrow(run, schema)
+
+
+def may_reach(a: str, b: str, least: float) -> Column:
+    """Whether rows ``a`` and ``b`` of one bucket can share ``least`` of their shingles; never false for two that do."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    both, slack = c(a, "n") + c(b, "n"), 1e-6
+    sizes = F.least(c(a, "n"), c(b, "n")) >= F.greatest(c(a, "n"), c(b, "n")) * least - slack
+    # The first shingle they share stands so early that enough follow; positions count from 0.
+    left = F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos")) >= both * (least / (1 + least)) - slack
+    apart = sum((distance(c(a, f"w{i}"), c(b, f"w{i}")) for i in range(1, PARITIES)), distance(c(a, "w0"), c(b, "w0")))
+    return sizes & left & (apart <= both * ((1 - least) / (1 + least)) + slack)
+
+
+def shown_pairs(postings: DataFrame, turn: int, least: float) -> DataFrame:
+    """Pairs (a, b) of a node and the one node its buckets show in this turn, if they may be similar and have different roots."""
+    whole = F.struct(*[c for c in postings.columns if c != "key"])
+    shown = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("place"), whole.alias("s"))).alias("b")).select("key", "b.s.*")
+    a, b = postings.alias("a"), shown.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & may_reach("a", "b", least))
+    return ordered_pairs(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+
+
+def met_in_buckets(postings: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b) of nodes with different roots that meet in a bucket and may be similar.
+
+    Members of a bucket's largest group are compared with the others only.
+    """
+    per_root = postings.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per_root.groupBy("key").agg(F.max_by("root", "n").alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    held = stored(postings.join(mixed.select("key", "major"), "key"))
+    a, b = held.filter("root <> major").alias("a"), held.alias("b")
+    once = (F.col("b.root") == F.col("b.major")) | (F.col("a.node") < F.col("b.node"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & may_reach("a", "b", least))
+    return ordered_pairs(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+
+
+def similar_links(nodes: DataFrame, named: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Confirmed links (a, b) that connect all texts which share ``least`` of their shingles, directly or by way of others.
+
+    ``nodes`` has (node, n, w0 ... w3, prefix).  Only shingles in two prefixes or more are buckets.
+    """
+    words = [f"w{i}" for i in range(PARITIES)]
+    entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
+    postings = stored(entries.join(several, "key").join(nodes.select("node", *words), "node"))
+    links = None
+    for turn in range(TURNS + 1):
+        if links is None:
+            rooted = postings.withColumn("root", F.col("node"))
+        else:
+            found = connected(links)
+            rooted = stored(postings.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        pairs = shown_pairs(rooted, turn, least) if turn < TURNS else met_in_buckets(rooted, least)
+        new = confirmed(pairs, named, least)
+        links = new if links is None else stored(links.unionByName(new))
+    return links
+
+
 def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The row of ``docs`` with the least key of each group of similar texts (null keys last, then the least text digest).
 
     Texts link if they share at least ``least`` of their shingles of five words.  Candidates
-    come from a fingerprint of 320 bits.  First each text is compared with its neighbours in
-    four sort orders and with one text of each of its buckets, which joins most of a group by
-    a few pairs a text; then segments and their Hamming balls are looked up for texts of
-    different groups.  Only exactly confirmed pairs link.  Texts of a large family that are
-    close in their bits but share less than ``least`` stay apart and are compared with each
-    other: that work grows with the square of the family.
+    are exact: with all shingles in one order, rare ones first, two such texts share one of
+    the first 1 - ``least`` of each (a prefix), and bounds on sizes, places and parities refuse
+    only pairs below ``least``.  In ``TURNS`` turns each text is compared with one text of each of its
+    buckets, another in each turn, which joins most of a group by a few pairs a text; then all
+    texts of a bucket that are in different groups meet.  Only confirmed pairs link.
     """
     named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("node", F.xxhash64("text"))
     place = F.struct(F.col("key").isNull().alias("absent"), "key")
-    marked = stored(long_fingerprints(named))
-    words = [f"w{i}" for i in range(len(MIXERS))]
-    nodes = stored(marked.groupBy("node").agg(F.min(place).alias("place"), *[F.first(w).alias(w) for w in words]))
-    close = confirmed(neighbours(nodes, CHECK_DISTANCE).unionByName(stars(nodes)).distinct(), named, least)
-    begun = stored(nodes.join(connected(close), "node", "left").select("node", *words, F.coalesce("root", "node").alias("root")))
-    links = stored(close.unionByName(confirmed(met_in_segments(begun), named, least)))
+    marked = prefixes(named, shingle_levels(named), least)
+    others = ["n", *[f"w{i}" for i in range(PARITIES)], "prefix"]
+    nodes = stored(marked.groupBy("node").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in others]))
+    links = similar_links(nodes, named, least)
     held = nodes.select("node", "place").join(connected(links), "node", "left")
     first = held.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("place", "node")).alias("first"))
     chosen = first.select(F.col("first.place.key").alias("__key"), F.col("first.node").alias("__digest"))

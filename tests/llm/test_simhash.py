@@ -164,3 +164,35 @@ def test_a_large_group_with_strangers_in_its_buckets_is_compared_with_these_only
     # Every stranger shares one segment with the whole group.  Pairs of the group alone would be two million a table.
     assert s.compared(classes).count() < 3 * 20 * len(group) * 10
     assert s.searched_links(classes).count() == 0
+
+
+def test_no_link_at_the_threshold_is_left_out(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(148)]
+        near = list(base)
+        # 144 shingles, 16 of which differ on each side: exactly 0.8 of all in common.
+        for at in (20, 60, 100):
+            near[at] = "x" + near[at]
+        near[147] = "x" + near[147]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+    assert all(s.similarity(a, b) == 0.8 for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    kept = {r["doc_id"] for r in s.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == set(range(0, 300, 2))
+
+
+def test_texts_below_the_threshold_are_refused_before_their_texts_are_read(spark, monkeypatch):
+    rng = random.Random(22)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(0, 150, 5), 6):
+            words[at] = f"y{i}x{at}"
+        rows.append((i, " ".join(words)))
+    pairs = []
+    confirmed = s.confirmed
+    monkeypatch.setattr(s, "confirmed", lambda p, *rest: pairs.append(p.count()) or confirmed(p, *rest))
+    assert s.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).count() == 150
+    assert sum(pairs) <= 150
