@@ -252,10 +252,12 @@ SIMILARITY = 0.8
 SEGMENT_BITS, SEGMENTS = 20, 12
 CHECK_DISTANCE = 20
 SENT_NODES = 500_000
-# Cells in which shingles are counted, words of parity bits, turns before all groups of a bucket meet.
+# Cells in which shingles are counted, words of short parities, most turns before all groups of a bucket meet,
+# pairs for each place in a bucket at which they meet at once.
 CELLS = 1 << 20
 PARITIES = 4
 TURNS = 4
+FEW_PAIRS = 2
 
 
 def similarity(a: str | None, b: str | None) -> float:
@@ -356,26 +358,46 @@ def cells_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(20)).astype(np.int64) % CELLS
 
 
+def parity_bits(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of ``hashes`` fell to each cell, as bytes of bits: a power of two of cells, as many as hashes or more.
+
+    Two texts differ in at least as many shingles as bits.  Long bits are folded to fewer by exclusive or.
+    """
+    cells = max(64 * PARITIES, 1 << (max(len(hashes), 1) - 1).bit_length())
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % cells, minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """The bits in which two parities differ, the longer folded to the size of the other."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64))
+
+
 def prefixes(named: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
-    """(key, node, n, w0 ... w3, prefix) for (key, node, text): the number of different shingles, their parities, the rarest of them.
+    """(key, node, n, w0 ... w3, parity, prefix) for (key, node, text): the number of different shingles, their parities (short and whole), the rarest of them.
 
-    Two texts that share ``least`` of their shingles share one of their prefixes.  A parity
-    bit says whether an odd number of shingles fell to its cell, so two texts differ in at
-    least as many shingles as bits.
+    Two texts that share ``least`` of their shingles share one of their prefixes.
     """
     shared = named.sparkSession.sparkContext.broadcast(levels)
     words = [T.StructField(f"w{i}", T.LongType()) for i in range(PARITIES)]
     schema = T.StructType([
-        named.schema["key"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), *words, T.StructField("prefix", T.ArrayType(T.LongType()))
+        named.schema["key"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), *words,
+        T.StructField("parity", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
     ])
 
     def one(text: str | None, level: np.ndarray) -> tuple:
         hashes = np.unique(shingle_hashes(text, WORDS))
         n = len(hashes)
-        odd = np.bincount((hashes >> np.uint64(44)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES).astype(np.uint8) & 1
+        parity = parity_bits(hashes)
         rarest = hashes[np.argsort(level[cells_of(hashes)], kind="stable")][: n - int(np.ceil(least * n - 1e-9)) + 1]
         # Texts without words have nothing but each other.
-        return n, np.packbits(odd, bitorder="little").view(np.int64), rarest.view(np.int64).tolist() if n else [0]
+        return n, folded(parity, 8 * PARITIES).view(np.int64), parity.tobytes(), rarest.view(np.int64).tolist() if n else [0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
@@ -384,30 +406,54 @@ def prefixes(named: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
             parities = np.array([f[1] for f in found], np.int64).reshape(-1, PARITIES)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.int64()), *[pa.array(c) for c in parities.T],
-                 pa.array([f[2] for f in found], pa.list_(pa.int64()))], names=schema.names,
+                 pa.array([f[2] for f in found], pa.binary()), pa.array([f[3] for f in found], pa.list_(pa.int64()))], names=schema.names,
             )
 
     return named.select("key", "node", "text").mapInArrow(run, schema)
 
 
+def may_share(n: Column, pos: Column, other_n: Column, other_pos: Column, least: float) -> Column:
+    """Whether two texts of ``n`` shingles whose first common one stands at these places (from 0) can share ``least``."""
+    slack = 1e-6
+    sizes = F.least(n, other_n) >= F.greatest(n, other_n) * least - slack
+    # The first shingle they share stands so early that enough follow.
+    return sizes & (F.least(n - pos, other_n - other_pos) >= (n + other_n) * (least / (1 + least)) - slack)
+
+
 def may_reach(a: str, b: str, least: float) -> Column:
     """Whether rows ``a`` and ``b`` of one bucket can share ``least`` of their shingles; never false for two that do."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    both, slack = c(a, "n") + c(b, "n"), 1e-6
-    sizes = F.least(c(a, "n"), c(b, "n")) >= F.greatest(c(a, "n"), c(b, "n")) * least - slack
-    # The first shingle they share stands so early that enough follow; positions count from 0.
-    left = F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos")) >= both * (least / (1 + least)) - slack
     apart = sum((distance(c(a, f"w{i}"), c(b, f"w{i}")) for i in range(1, PARITIES)), distance(c(a, "w0"), c(b, "w0")))
-    return sizes & left & (apart <= both * ((1 - least) / (1 + least)) + slack)
+    few = apart <= (c(a, "n") + c(b, "n")) * ((1 - least) / (1 + least)) + 1e-6
+    return may_share(c(a, "n"), c(a, "pos"), c(b, "n"), c(b, "pos"), least) & few
 
 
-def shown_pairs(postings: DataFrame, turn: int, least: float) -> DataFrame:
-    """Pairs (a, b) of a node and the one node its buckets show in this turn, if they may be similar and have different roots."""
-    whole = F.struct(*[c for c in postings.columns if c != "key"])
-    shown = postings.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("place"), whole.alias("s"))).alias("b")).select("key", "b.s.*")
-    a, b = postings.alias("a"), shown.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & may_reach("a", "b", least))
-    return ordered_pairs(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+def buckets_of(postings: DataFrame, turn: int) -> DataFrame:
+    """(key, many, and node, n, pos, root of the one it shows in this turn) of every bucket with several roots.
+
+    The one with the fewest rarer shingles is shown: it has least of its own, so what links to another of a group
+    mostly links to it.  Ties depend on the turn and the node only, so the buckets of a group mostly show the same one.
+    """
+    mixed = F.col("node").bitwiseXOR(F.lit(_signed(xxh64_intdigest(str(turn).encode(), SEED))))
+    mixed = F.shiftleft(F.least("pos", F.lit(1 << 22)).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(mixed, 24))
+    found = postings.groupBy("key").agg(
+        F.count(F.lit(1)).alias("many"), F.min("root").alias("__least"), F.max("root").alias("__most"),
+        *[F.min_by(c, mixed).alias(f"shown_{c}") for c in ("node", "n", "pos", "root")],
+    )
+    return found.filter("many > 1 AND __least <> __most").drop("__least", "__most")
+
+
+def within_parity(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole parities allow ``least``; of texts that share less, few are left."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * ((1 - least) / (1 + least)) + 1e-6
+            keep = [bits_apart(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column(4), batch.column(5), most)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("parity").alias(f"{side}_parity")), side)
+    return pairs.select("a", "b", "a_n", "b_n", "a_parity", "b_parity").mapInArrow(run, "a long, b long")
 
 
 def met_in_buckets(postings: DataFrame, least: float) -> DataFrame:
@@ -427,23 +473,34 @@ def met_in_buckets(postings: DataFrame, least: float) -> DataFrame:
 def similar_links(nodes: DataFrame, named: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Confirmed links (a, b) that connect all texts which share ``least`` of their shingles, directly or by way of others.
 
-    ``nodes`` has (node, n, w0 ... w3, prefix).  Only shingles in two prefixes or more are buckets.
+    ``nodes`` has (node, n, w0 ... w3, parity, prefix).  Only shingles in two prefixes or more are buckets.
+    A node that its bucket has shown to all others leaves the bucket, and buckets of one root are done.
     """
-    words = [f"w{i}" for i in range(PARITIES)]
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    entries = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "key"))
     several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
-    postings = stored(entries.join(several, "key").join(nodes.select("node", *words), "node"))
+    postings = stored(entries.join(several, "key")).withColumn("root", F.col("node"))
     links = None
     for turn in range(TURNS + 1):
-        if links is None:
-            rooted = postings.withColumn("root", F.col("node"))
+        buckets = stored(buckets_of(postings, turn))
+        members, pairs_left = buckets.agg(F.sum("many"), F.sum(F.col("many").cast("double") * (F.col("many") - 1) / 2)).head()
+        if not members:
+            break
+        last = turn == TURNS or pairs_left <= FEW_PAIRS * members
+        if last:
+            words = nodes.select("node", *[f"w{i}" for i in range(PARITIES)])
+            pairs = met_in_buckets(postings.join(buckets.select("key"), "key", "left_semi").join(words, "node"), least)
         else:
-            found = connected(links)
-            rooted = stored(postings.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        pairs = shown_pairs(rooted, turn, least) if turn < TURNS else met_in_buckets(rooted, least)
-        new = confirmed(pairs, named, least)
+            met = stored(postings.join(buckets, "key").filter("node <> shown_node"))
+            c = F.col
+            near = met.filter((c("root") != c("shown_root")) & may_share(c("n"), c("pos"), c("shown_n"), c("shown_pos"), least))
+            pairs = ordered_pairs(near.select(c("node").alias("a"), c("shown_node").alias("b")))
+        new = confirmed(within_parity(pairs, nodes, least), named, least)
         links = new if links is None else stored(links.unionByName(new))
-    return links
+        if last:
+            break
+        left = met.filter("many > 2").select("key", "node", "n", "pos")
+        postings = stored(left.join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    return nodes.sparkSession.createDataFrame([], "a long, b long") if links is None else links
 
 
 def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -452,20 +509,27 @@ def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     Texts link if they share at least ``least`` of their shingles of five words.  Candidates
     are exact: with all shingles in one order, rare ones first, two such texts share one of
     the first 1 - ``least`` of each (a prefix), and bounds on sizes, places and parities refuse
-    only pairs below ``least``.  In ``TURNS`` turns each text is compared with one text of each of its
-    buckets, another in each turn, which joins most of a group by a few pairs a text; then all
-    texts of a bucket that are in different groups meet.  Only confirmed pairs link.
+    only pairs below ``least``.  In up to ``TURNS`` turns each text is compared with one text of each of its
+    buckets, another in each turn, which joins most of a group by a few pairs a text; when few pairs
+    are left, or after the last turn, all texts of a bucket that are in different groups meet.  Only
+    confirmed pairs link.
     """
     named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("node", F.xxhash64("text"))
     place = F.struct(F.col("key").isNull().alias("absent"), "key")
     marked = prefixes(named, shingle_levels(named), least)
-    others = ["n", *[f"w{i}" for i in range(PARITIES)], "prefix"]
+    others = ["n", *[f"w{i}" for i in range(PARITIES)], "parity", "prefix"]
     nodes = stored(marked.groupBy("node").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in others]))
     links = similar_links(nodes, named, least)
     held = nodes.select("node", "place").join(connected(links), "node", "left")
     first = held.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("place", "node")).alias("first"))
-    chosen = first.select(F.col("first.place.key").alias("__key"), F.col("first.node").alias("__digest"))
     names = {c: f"__kept{i}" for i, c in enumerate(docs.columns)}
     whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    met = F.col(names[key]).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(names[text]).cast("string")) == F.col("__digest"))
-    return whole.join(chosen, met).dropDuplicates(["__key", "__digest"]).select(*[F.col(n).alias(c) for c, n in names.items()])
+
+    def placed_by(key: Column, node: Column) -> list[Column]:
+        return [node.alias("__node"), F.coalesce(key.cast("string"), F.lit("")).alias("__name"), key.isNull().alias("__absent")]
+
+    chosen = first.select(*placed_by(F.col("first.place.key"), F.col("first.node")))
+    whole = whole.select("*", *placed_by(F.col(names[key]), F.xxhash64(F.col(names[text]).cast("string"))))
+    # Joined and freed of copies by the same columns, so the texts move once.
+    same = ["__node", "__name", "__absent"]
+    return whole.join(chosen.hint("merge"), same).dropDuplicates(same).select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import pytest
 from xxhash import xxh64_intdigest
 
@@ -196,3 +198,42 @@ def test_texts_below_the_threshold_are_refused_before_their_texts_are_read(spark
     monkeypatch.setattr(s, "confirmed", lambda p, *rest: pairs.append(p.count()) or confirmed(p, *rest))
     assert s.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).count() == 150
     assert sum(pairs) <= 150
+
+
+def _pairs_read(spark, monkeypatch, texts):
+    """The documents kept, and how many pairs of texts were read for it."""
+    pairs, confirmed = [], s.confirmed
+    monkeypatch.setattr(s, "confirmed", lambda p, *rest: pairs.append(p.count()) or confirmed(p, *rest))
+    kept = s.keep_one_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    return sorted(r["doc_id"] for r in kept.collect()), sum(pairs)
+
+
+def test_long_texts_below_the_threshold_are_refused_by_their_whole_parities(spark, monkeypatch):
+    rng = random.Random(23)
+    part = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    core, ends = part(1000), [part(500) for _ in range(8)]
+    # Each shares three quarters with the next one: similar to 0.6.
+    texts = [f"{ends[i]} {core} {ends[(i + 1) % 8]}" for i in range(8)]
+    assert _pairs_read(spark, monkeypatch, texts) == (list(range(8)), 0)
+
+
+def test_a_group_around_one_text_is_joined_by_about_a_pair_a_text(spark, monkeypatch):
+    rng = random.Random(24)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(204)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(5, 195, 5), 4):
+            words[at] = f"y{i}x{at}"
+        texts.append(" ".join(words))
+    kept, read = _pairs_read(spark, monkeypatch, [*texts, " ".join(base)])
+    assert kept == [0] and read <= 2 * len(texts)
+
+
+def test_parities_never_differ_in_more_bits_than_shingles(spark):
+    rng = random.Random(25)
+    for n, more in ((0, 3), (5, 0), (300, 40), (700, 500), (3000, 90)):
+        x = np.array([rng.getrandbits(64) for _ in range(n)], np.uint64)
+        y = np.concatenate([x[n // 9 :], np.array([rng.getrandbits(64) for _ in range(more)], np.uint64)])
+        apart = s.bits_apart(s.parity_bits(x).tobytes(), s.parity_bits(y).tobytes())
+        assert apart <= n // 9 + more and apart % 2 == (n // 9 + more) % 2
