@@ -385,8 +385,9 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            # Dense counts of few rows at a time: 32 KB a row, several times over.
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
                 names, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
                 texts = [x.as_py() for x in batch.column(at_text)]
                 told = [i for i, t in enumerate(texts) if known and has_letter(t)]
