@@ -167,7 +167,11 @@ def sorted_links(fps: DataFrame, limit: int = DISTANCE, rotations: int = 4, ahea
 
 
 def compared(classes: DataFrame, limit: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """The pairs (a, a_root, b, b_root) that meet in a bucket; ``classes`` has (fp, root)."""
+    """The pairs (a, a_root, b, b_root) that meet in a bucket; ``classes`` has (fp, root).
+
+    Spark sizes an exploded table as if each row had stayed one, so these joins are told to sort:
+    their 20 to 70 rows a fingerprint would be sent to every task by way of the driver.
+    """
     masks, asked = segments(limit, blocks)
     tables = F.array(*[F.struct(F.lit(i).alias("seg"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)])
     probes = F.array(*[
@@ -184,10 +188,10 @@ def compared(classes: DataFrame, limit: int = DISTANCE, blocks: int = BLOCKS) ->
     buckets = per_root.groupBy("seg", "key").agg(F.max_by("b_root", "n").alias("major"), F.count(F.lit(1)).alias("roots"))
     # Members of a bucket's largest group are shown to the others only, and are shown only these.
     minor = F.col("b_root") != F.col("major")
-    shown = members.join(buckets.drop("roots"), ["seg", "key"]).withColumn("side", F.explode(F.when(minor, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    mixed = lookups.join(buckets, ["seg", "key"]).filter((F.col("roots") > 1) | (F.col("major") != F.col("a_root")))
+    shown = members.join(buckets.drop("roots").hint("merge"), ["seg", "key"]).withColumn("side", F.explode(F.when(minor, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    mixed = lookups.join(buckets.hint("merge"), ["seg", "key"]).filter((F.col("roots") > 1) | (F.col("major") != F.col("a_root")))
     mixed = mixed.withColumn("side", (F.col("a_root") == F.col("major")).cast("int"))
-    return mixed.drop("major", "roots").join(shown.drop("major"), ["seg", "key", "side"])
+    return mixed.drop("major", "roots").join(shown.drop("major").hint("merge"), ["seg", "key", "side"])
 
 
 def searched_links(classes: DataFrame, limit: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:

@@ -237,3 +237,14 @@ def test_parities_never_differ_in_more_bits_than_shingles(spark):
         y = np.concatenate([x[n // 9 :], np.array([rng.getrandbits(64) for _ in range(more)], np.uint64)])
         apart = s.bits_apart(s.parity_bits(x).tobytes(), s.parity_bits(y).tobytes())
         assert apart <= n // 9 + more and apart % 2 == (n // 9 + more) % 2
+
+
+def test_exploded_tables_are_not_sent_to_every_task(spark):
+    from tablecare.llm.common import stored
+
+    fps = sorted(set(clustered(random.Random(8), 8, 25)))
+    classes = stored(spark.createDataFrame([(f, f) for f in fps], "fp long, root long"))
+    met = s.compared(classes)
+    assert met.count() > 0
+    # Spark sizes a table of 20 or 70 rows a fingerprint as one of a row each: 300,000 fingerprints would fill a driver.
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
