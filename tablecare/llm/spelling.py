@@ -176,6 +176,8 @@ def near_pairs(words: DataFrame, ranks: dict[str, int]) -> DataFrame:
     """(a, b): every two words of ``words`` that are one edit apart, in both orders.
 
     A word must have four bigrams at least, so that its prefix holds two that do not overlap.
+    Spark sizes the tables of keys as if each word had one, so their join is told to sort:
+    they would be sent to every task by way of the driver.
     """
     shared = words.sparkSession.sparkContext.broadcast(ranks)
 
@@ -198,7 +200,7 @@ def near_pairs(words: DataFrame, ranks: dict[str, int]) -> DataFrame:
         rows = words.select("word").mapInArrow(keyed(index), "word string, last int, key bigint")
         return rows.select(F.col("word").alias(word), F.col("last").alias(last), "key")
 
-    met = table(False, "a", "a_last").join(table(True, "b", "b_last"), "key")
+    met = table(False, "a", "a_last").join(table(True, "b", "b_last").hint("merge"), "key")
     # The JVM looks at short words; its distance takes quadratic time, so long ones are left to Python.
     likely = (F.length("a") > SHORT) | (F.levenshtein("a", "b", 1) == 1)
     met = met.filter((F.col("a_last") <= F.col("b_last")) & (F.col("a") != F.col("b")) & likely).select("a", "b")
@@ -230,26 +232,29 @@ def roots_of(forms: DataFrame) -> DataFrame:
     at = stored(forms.select("word", F.col("form").alias("root")))
     while True:
         further = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = stored(at.join(further, "root", "left").select("word", "root", "next"))
+        moved = stored(at.join(further.hint("merge"), "root", "left").select("word", "root", "next"))
         if moved.filter(F.col("next").isNotNull()).isEmpty():
             return at
         at = moved.select("word", F.coalesce("next", "root").alias("root"))
 
 
 def variants(counted: DataFrame, times: int = TIMES) -> DataFrame:
-    """For each word of ``counted`` (word, n): its form, root, near words and the form's count."""
+    """For each word of ``counted`` (word, n): its form, root, near words and the form's count.
+
+    Stored words take a tenth of the room that they take in memory, so their joins are told to sort as well.
+    """
     words = stored(counted.select("word", "n"))
     pairs = near_pairs(words, bigram_ranks(words))
     of = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"))
-    near = pairs.join(of, "b").groupBy("a").agg(
+    near = pairs.join(of.hint("merge"), "b").groupBy("a").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("b_n")).alias("less"), F.col("b").alias("form"))).alias("best")
     )
     near = near.select(F.col("a").alias("word"), "n_near", F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))
-    joined = words.join(near, "word", "left")
+    joined = words.join(near.hint("merge"), "word", "left")
     frequent = F.col("form_n") >= times * F.col("n")
     joined = stored(joined.select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         F.when(frequent, F.col("form")).alias("form"), F.when(frequent, F.col("form_n")).alias("form_n"),
     ))
     roots = roots_of(joined.filter(F.col("form").isNotNull()))
-    return joined.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return joined.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -109,3 +109,16 @@ def test_one_edit():
     rng = random.Random(2)
     words = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 6))) for _ in range(120)]
     assert all(s.one_edit(a, b) == one_apart(a, b) for a in words for b in words)
+
+
+def test_tables_of_keys_are_not_sent_to_every_task(spark):
+    from tablecare.llm.common import stored
+
+    words = stored(spark.createDataFrame([(w, 3) for w in ("colour", "colours", "collour", "flavour")], "word string, n long"))
+    near = s.near_pairs(words, s.bigram_ranks(words))
+    assert near.count() == 4
+    # Spark sizes a table of up to 24 keys a word as one of a key each: 270,000 words would fill a driver.
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    found = s.variants(words)
+    assert found.count() == 4
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
