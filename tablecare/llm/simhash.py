@@ -201,19 +201,24 @@ def searched_links(classes: DataFrame, limit: int = DISTANCE, blocks: int = BLOC
     return near.groupBy("a", "b_root").agg(F.min("b").alias("b")).select("a", "b")
 
 
-def classes_of(fps: DataFrame, limit: int = DISTANCE) -> DataFrame:
-    """Every distinct fingerprint (``fp``) with the least fingerprint it is connected to (``root``)."""
-    distinct = stored(fps.select("fp").distinct())
+def _rooted(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    found = connected(links)
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select(
+        "fp", F.coalesce("root", "fp").alias("root")
+    )
 
-    def rooted(links: DataFrame) -> DataFrame:
-        found = connected(links)
-        return distinct.join(found, distinct["fp"] == found["node"], "left").select(
-            "fp", F.coalesce("root", "fp").alias("root")
-        )
 
+def links_of(distinct: DataFrame, limit: int = DISTANCE) -> DataFrame:
+    """Links (a, b) that connect all fingerprints of ``distinct`` (fp) which differ in at most ``limit`` bits; stored."""
     first = stored(sorted_links(distinct, limit))
-    begun = stored(rooted(first))
-    return rooted(stored(first.unionByName(searched_links(begun, limit))))
+    begun = stored(_rooted(distinct, first))
+    return stored(first.unionByName(searched_links(begun, limit)))
+
+
+def classes_of(fps: DataFrame, limit: int = DISTANCE) -> DataFrame:
+    """Every distinct fingerprint (``fp``) with the least fingerprint it is connected to (``root``)."""
+    distinct = stored(fps.select("fp").distinct())
+    return _rooted(distinct, links_of(distinct, limit))
 
 
 def rooted_rows(docs: DataFrame, key: str, text: str, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -384,24 +389,25 @@ def bits_apart(a: bytes, b: bytes) -> int:
 
 
 def prefixes(named: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
-    """(key, node, n, w0 ... w3, parity, prefix) for (key, node, text): the number of different shingles, their parities (short and whole), the rarest of them.
+    """(key, node, fp, n, w0 ... w3, parity, prefix) for (key, node, text): the fingerprint of all shingles, the number of different ones, their parities (short and whole), the rarest of them.
 
     Two texts that share ``least`` of their shingles share one of their prefixes.
     """
     shared = named.sparkSession.sparkContext.broadcast(levels)
     words = [T.StructField(f"w{i}", T.LongType()) for i in range(PARITIES)]
     schema = T.StructType([
-        named.schema["key"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), *words,
+        named.schema["key"], T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), *words,
         T.StructField("parity", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())),
     ])
 
     def one(text: str | None, level: np.ndarray) -> tuple:
-        hashes = np.unique(shingle_hashes(text, WORDS))
+        every = shingle_hashes(text, WORDS)
+        hashes = np.unique(every)
         n = len(hashes)
         parity = parity_bits(hashes)
         rarest = hashes[np.argsort(level[cells_of(hashes)], kind="stable")][: n - int(np.ceil(least * n - 1e-9)) + 1]
         # Texts without words have nothing but each other.
-        return n, folded(parity, 8 * PARITIES).view(np.int64), parity.tobytes(), rarest.view(np.int64).tolist() if n else [0]
+        return n, folded(parity, 8 * PARITIES).view(np.int64), parity.tobytes(), rarest.view(np.int64).tolist() if n else [0], majority(every) if n else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
@@ -409,7 +415,7 @@ def prefixes(named: DataFrame, levels: np.ndarray, least: float) -> DataFrame:
             found = [one(x.as_py(), level) for x in batch.column(2)]
             parities = np.array([f[1] for f in found], np.int64).reshape(-1, PARITIES)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.int64()), *[pa.array(c) for c in parities.T],
+                [batch.column(0), batch.column(1), pa.array([f[4] for f in found], pa.int64()), pa.array([f[0] for f in found], pa.int64()), *[pa.array(c) for c in parities.T],
                  pa.array([f[2] for f in found], pa.binary()), pa.array([f[3] for f in found], pa.list_(pa.int64()))], names=schema.names,
             )
 
@@ -474,16 +480,36 @@ def met_in_buckets(postings: DataFrame, least: float) -> DataFrame:
     return ordered_pairs(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
 
 
+def print_pairs(nodes: DataFrame, limit: int = DISTANCE) -> DataFrame:
+    """Pairs (a, b) that connect all ``nodes`` (node, fp) whose fingerprints differ in at most ``limit`` bits.
+
+    Each fingerprint goes by its least node, and its other nodes are paired with that one.
+    """
+    named = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    links = links_of(named.select("fp"), limit)
+    for side in ("a", "b"):
+        links = links.join(named.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_first")), side)
+    copies = nodes.join(named, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return ordered_pairs(links.select(F.col("a_first").alias("a"), F.col("b_first").alias("b")).unionByName(copies))
+
+
 def similar_links(nodes: DataFrame, named: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Confirmed links (a, b) that connect all texts which share ``least`` of their shingles, directly or by way of others.
 
-    ``nodes`` has (node, n, w0 ... w3, parity, prefix).  Only shingles in two prefixes or more are buckets.
+    ``nodes`` has (node, fp, n, w0 ... w3, parity, prefix).  Only shingles in two prefixes or more are buckets;
+    nodes in none are similar to no other.  The rest is first linked by fingerprints, and what these miss is met in the buckets.
     A node that its bucket has shown to all others leaves the bucket, and buckets of one root are done.
     """
+    def rooted(postings: DataFrame) -> DataFrame:
+        return stored(postings.join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+
     entries = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "key"))
     several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
-    postings = stored(entries.join(several, "key")).withColumn("root", F.col("node"))
-    links = None
+    # Spark sizes the exploded prefixes as one shingle a text.
+    postings = stored(entries.join(several.hint("merge"), "key"))
+    met_at_all = nodes.select("node", "fp").join(postings.select("node").distinct(), "node", "left_semi")
+    links = confirmed(within_parity(print_pairs(stored(met_at_all)), nodes, least), named, least)
+    postings = rooted(postings)
     for turn in range(TURNS + 1):
         buckets = stored(buckets_of(postings, turn))
         members, pairs_left = buckets.agg(F.sum("many"), F.sum(F.col("many").cast("double") * (F.col("many") - 1) / 2)).head()
@@ -499,19 +525,19 @@ def similar_links(nodes: DataFrame, named: DataFrame, least: float = SIMILARITY)
             near = met.filter((c("root") != c("shown_root")) & may_share(c("n"), c("pos"), c("shown_n"), c("shown_pos"), least))
             pairs = ordered_pairs(near.select(c("node").alias("a"), c("shown_node").alias("b")))
         new = confirmed(within_parity(pairs, nodes, least), named, least)
-        links = new if links is None else stored(links.unionByName(new))
+        links = stored(links.unionByName(new))
         if last:
             break
-        left = met.filter("many > 2").select("key", "node", "n", "pos")
-        postings = stored(left.join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    return nodes.sparkSession.createDataFrame([], "a long, b long") if links is None else links
+        postings = rooted(met.filter("many > 2").select("key", "node", "n", "pos"))
+    return links
 
 
 def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The row of ``docs`` with the least key of each group of similar texts (null keys last, then the least text digest).
 
-    Texts link if they share at least ``least`` of their shingles of five words.  Candidates
-    are exact: with all shingles in one order, rare ones first, two such texts share one of
+    Texts link if they share at least ``least`` of their shingles of five words.  SimHash fingerprints
+    of these shingles link most of a group: the search of ``classes_of``, its pairs confirmed on their
+    texts.  What fingerprints miss is found exactly: with all shingles in one order, rare ones first, two such texts share one of
     the first 1 - ``least`` of each (a prefix), and bounds on sizes, places and parities refuse
     only pairs below ``least``.  In up to ``TURNS`` turns each text is compared with one text of each of its
     buckets, another in each turn, which joins most of a group by a few pairs a text; when few pairs
@@ -521,7 +547,7 @@ def keep_one_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("node", F.xxhash64("text"))
     place = F.struct(F.col("key").isNull().alias("absent"), "key")
     marked = prefixes(named, shingle_levels(named), least)
-    others = ["n", *[f"w{i}" for i in range(PARITIES)], "parity", "prefix"]
+    others = ["fp", "n", *[f"w{i}" for i in range(PARITIES)], "parity", "prefix"]
     nodes = stored(marked.groupBy("node").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in others]))
     links = similar_links(nodes, named, least)
     held = nodes.select("node", "place").join(connected(links), "node", "left")

@@ -248,3 +248,38 @@ def test_exploded_tables_are_not_sent_to_every_task(spark):
     assert met.count() > 0
     # Spark sizes a table of 20 or 70 rows a fingerprint as one of a row each: 300,000 fingerprints would fill a driver.
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_fingerprints_connect_what_is_close(spark):
+    fps = clustered(random.Random(13), 6, 20)
+    nodes = spark.createDataFrame([(i, f) for i, f in enumerate(fps + fps[:30])], "node long, fp long").repartition(4)
+    from tablecare.llm.components import connected
+
+    root = {r["node"]: r["root"] for r in connected(s.print_pairs(nodes)).collect()}
+    of = plain_roots(fps)
+    first = {}
+    for i, f in enumerate(fps):
+        first.setdefault(of[f], i)
+    assert [root.get(i, i) for i in range(len(fps) + 30)] == [first[of[f]] for f in fps + fps[:30]]
+
+
+def test_similar_texts_are_searched_by_fingerprint_and_then_exactly(spark, monkeypatch):
+    rng = random.Random(26)
+    part = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for i in range(12):
+        base = part(1000)
+        # One word in a thousand leaves the fingerprint nearly as it is, one in fifty does not.
+        texts += [base, [*base[:500], "x", *base[501:]], [f"y{i}x{at}" if at % 50 == 9 else w for at, w in enumerate(base)]]
+    texts = [" ".join(t) for t in texts]
+    prints = [s.majority(s.shingle_hashes(t, s.WORDS)) for t in texts]
+    close = {(i, j) for i in range(36) for j in range(i + 1, 36) if ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 4}
+    assert 6 <= len(close) < 36
+    searched, links_of, found = [], s.links_of, []
+    monkeypatch.setattr(s, "links_of", lambda *a: searched.append(links_of(*a)) or searched[-1])
+    confirmed = s.confirmed
+    monkeypatch.setattr(s, "confirmed", lambda *a: found.append(confirmed(*a)) or found[-1])
+    kept = s.keep_one_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 36, 3))
+    assert len(searched) == 1 and searched[0].count() >= 6
+    assert found[0].count() >= 6 and len(found) > 1
