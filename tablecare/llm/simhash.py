@@ -170,7 +170,7 @@ def compared(classes: DataFrame, limit: int = DISTANCE, blocks: int = BLOCKS) ->
     """The pairs (a, a_root, b, b_root) that meet in a bucket; ``classes`` has (fp, root).
 
     Spark sizes an exploded table as if each row had stayed one, so these joins are told to sort:
-    their 20 to 70 rows a fingerprint would be sent to every task by way of the driver.
+    their 20 to 100 rows a fingerprint would be sent to every task by way of the driver.
     """
     masks, asked = segments(limit, blocks)
     tables = F.array(*[F.struct(F.lit(i).alias("seg"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)])

@@ -246,7 +246,7 @@ def test_exploded_tables_are_not_sent_to_every_task(spark):
     classes = stored(spark.createDataFrame([(f, f) for f in fps], "fp long, root long"))
     met = s.compared(classes)
     assert met.count() > 0
-    # Spark sizes a table of 20 or 70 rows a fingerprint as one of a row each: 300,000 fingerprints would fill a driver.
+    # Spark sizes a table of 20 or 100 rows a fingerprint as one of a row each: 300,000 fingerprints would fill a driver.
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
 
 
